@@ -10,7 +10,9 @@ from ..functions import times as tm
 from ..functions import values as va
 from ..functions.values import snap, snap_sql
 from ..operators import cleaning as cl
-from ..operators.joins import dimension, full_on_keys, linear_grid
+from ..operators.joins import full_on_keys, linear_grid
+from ..operators.ordering import relevel as rebuild_levels
+from ..operators.ordering import union_tagged
 from .registry import query
 from .tables import (
     DAILY, EXCLUDED_SQL, LINES, READINGS, daily, excluded, lines, readings, table, with_views,
@@ -56,9 +58,9 @@ def filter_key(spark, d):
     return daily(spark, d).filter(F.col("key") == "GEP").select("id", "key", "day")
 
 
-@query("filter_near", with_views("SELECT event_id, ppfd FROM readings WHERE abs(ppfd - 12.31) < 1.4901161193847656e-8", READINGS))
+@query("filter_near", with_views("SELECT event_id, ppfd FROM readings WHERE abs(floor(ppfd) - 12) < 1.4901161193847656e-8", READINGS))
 def filter_near(spark, d):
-    return readings(spark, d).filter(va.near("ppfd", 12.31)).select("event_id", "ppfd")
+    return readings(spark, d).filter(va.near(F.floor("ppfd"), 12.0)).select("event_id", "ppfd")
 
 
 @query(
@@ -292,10 +294,8 @@ LEVEL_ORDER = ["4-NOT SPECIFIED", "2-HIGH", "3-MEDIUM", "1-URGENT", "5-LOW", "6-
         "wanted(location, o) AS (VALUES " + ", ".join(f"('{v}', {i})" for i, v in enumerate(LEVEL_ORDER)) + ")"),
 )
 def relevel(spark, d):
-    from ..operators.ordering import relevel as rebuild
-
     counts = daily(spark, d).groupBy("location").agg(F.count(F.lit(1)).alias("n"))
-    return rebuild(counts, "location", LEVEL_ORDER, "level")
+    return rebuild_levels(counts, "location", LEVEL_ORDER, "level")
 
 
 @query(
@@ -414,14 +414,14 @@ def student_logpdf(spark, d):
 @query(
     "linear_grid",
     with_views(
-        f"""SELECT location, {snap_sql('i * hi / 20', 6)} AS light, {snap_sql('i * hi / 21', 6)} AS light_open
-            FROM (SELECT location, max(x) AS hi FROM lines GROUP BY location), (SELECT unnest(range(21))::INTEGER AS i)""", LINES),
+        f"""SELECT kind, location, {snap_sql('i * hi / steps', 6)} AS light
+            FROM (SELECT location, max(x) AS hi FROM lines GROUP BY location),
+                 (VALUES ('closed', 20), ('open', 21)) k(kind, steps), (SELECT unnest(range(21))::INTEGER AS i)""", LINES),
 )
 def linear_grid_query(spark, d):
     top = lines(spark, d).groupBy("location").agg(F.max("x").alias("hi"))
-    grid = linear_grid(top, "light", 0.0, F.col("hi"), 21)
-    # The open grid has the same number of points but stops one step before the end.
-    return grid.select(
-        "location", snap("light", 6).alias("light"),
-        snap(F.round(F.col("light") * 20 / F.col("hi")) * F.col("hi") / 21, 6).alias("light_open"),
-    )
+    grids = {
+        "closed": linear_grid(top, "light", 0.0, F.col("hi"), 21),
+        "open": linear_grid(top, "light", 0.0, F.col("hi"), 21, closed=False),
+    }
+    return union_tagged(grids, "kind").select("kind", "location", snap("light", 6).alias("light"))
