@@ -9,11 +9,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .values import _c
-
 
 @dataclass
 class Spline:
@@ -99,34 +97,34 @@ class Spline:
             return slope.T
         return (c[..., 0] + t * (c[..., 1] + t * (c[..., 2] + t * c[..., 3])) + beyond * slope).T
 
-    def _local(self, x: Column) -> tuple[Column, Column]:
-        """(position clipped into the knot range, distance beyond it)."""
+    def attach(self, df: DataFrame, x: str, derivative: int = 0, prefix: str = "_b") -> tuple[DataFrame, list[str]]:
+        """Add one column per basis function (or its slope) of ``x``; returns the new names too.
+
+        Three small steps (position, interval, distance from the left knot) keep each
+        expression short: the interval picks the polynomial from literal arrays.
+        """
         first, last = self.knots[0], self.knots[-1]
         if self.kind == "cc":
-            wrapped = x - F.lit(last - first) * F.floor((x - first) / F.lit(last - first))
-            return wrapped, F.lit(0.0)
-        inside = F.least(F.greatest(x, F.lit(first)), F.lit(last))
-        return inside, x - inside
-
-    def columns(self, x, derivative: int = 0) -> list[Column]:
-        """One expression per basis function (or its slope), linear beyond the knots."""
-        inside, beyond = self._local(_c(x))
-        out = []
+            inside = f"`{x}` - {last - first!r}D * floor((`{x}` - {first!r}D) / {last - first!r}D)"
+        else:
+            inside = f"least(greatest(`{x}`, {first!r}D), {last!r}D)"
+
+        def pick(values) -> str:
+            return "get(array(" + ", ".join(f"{float(v)!r}D" for v in values) + "), _j)"
+
+        steps = df.withColumn("_in", F.expr(inside))
+        interval = " + ".join(["0"] + [f"cast(_in >= {k!r}D AS int)" for k in self.knots[1:-1]])
+        steps = steps.withColumn("_j", F.expr(interval)).withColumn("_t", F.expr(f"_in - {pick(self.knots[:-1])}"))
+        names, out = [], []
         for i in range(self.size):
-            value = slope = None
-            for j in reversed(range(len(self.knots) - 1)):
-                a, b, c, d = (float(v) for v in self.pieces[i, j])
-                t = inside - F.lit(self.knots[j])
-                v_j = a + t * (b + t * (c + t * d))
-                s_j = b + t * (2 * c + t * (3 * d))
-                at = inside < F.lit(self.knots[j + 1])
-                value = v_j if value is None else F.when(at, v_j).otherwise(value)
-                slope = s_j if slope is None else F.when(at, s_j).otherwise(slope)
-            if derivative:
-                out.append(slope)
-            else:
-                out.append(value if self.kind == "cc" else value + beyond * slope)
-        return out
+            a, b, c, d = (pick(self.pieces[i, :, p]) for p in range(4))
+            slope = f"{b} + _t * (2 * {c} + _t * 3 * {d})"
+            value = f"{a} + _t * ({b} + _t * ({c} + _t * {d}))"
+            if self.kind != "cc":
+                value = f"{value} + (`{x}` - _in) * ({slope})"
+            names.append(f"{prefix}{i}")
+            out.append(F.expr(slope if derivative else value).alias(names[-1]))
+        return steps.select(*df.columns, *out), names
 
     def sql(self, x: str) -> list[str]:
         """The basis functions inside the knot range as SQL text."""

@@ -119,8 +119,8 @@ def _band(df: DataFrame, eta: Column, variance: Column, log_link: bool, z: float
 def predict(model: SeasonModel, grid: DataFrame, month: str = "month") -> DataFrame:
     """Fit and 95 % band on the response scale for the (site, month) rows of ``grid``."""
     spark = grid.sparkSession
-    basis = [F.lit(1.0), *[F.col(f"_b{i}") for i in range(model.spline.size)]]
-    wide = grid.select("*", *[b.alias(f"_b{i}") for i, b in enumerate(model.spline.columns(month))])
+    wide, names = model.spline.attach(grid, month)
+    basis = ["1", *names]
     wide = wide.join(model.curves(spark), "site")
     banded = _band(wide, dot("theta", basis), quadratic("theta_cov", basis), model.fit.family == "gamma")
     return banded.select(*grid.columns, "fit", "l95", "u95")
@@ -151,7 +151,8 @@ def facet_curves(
 
     curves = packed.mapInPandas(run, schema)
     grid = linear_grid(curves, "month", spline.knots[0], spline.knots[-1], points)
-    basis = [F.lit(1.0), *spline.columns("month")]
+    grid, names = spline.attach(grid, "month")
+    basis = ["1", *names]
     banded = _band(grid, dot("theta", basis), quadratic("theta_cov", basis), family == "gamma")
     return banded.select(*facet, "month", "edf", "fit", "l95", "u95")
 

@@ -14,16 +14,17 @@ from ..session import materialize
 from .joins import hand_back
 
 
-def gram(df: DataFrame, keys: Sequence[str], basis: Sequence[Column], y: str, weight: Column | None = None) -> DataFrame:
+def gram(df: DataFrame, keys: Sequence[str], spline: Spline, x: str, y: str) -> DataFrame:
     """Per group: upper triangle of B'B, B'y, y'y and n. One aggregation, combined map-side."""
-    k = len(basis)
-    wide = df.select(*keys, F.col(y).alias("_y"), *[b.alias(f"_b{i}") for i, b in enumerate(basis)])
-    wide = wide.filter(F.col("_y").isNotNull())
-    b = [F.col(f"_b{i}") for i in range(k)]
+    k = spline.size
+    rows = df.select(*keys, x, F.col(y).alias("_y")).filter(F.col("_y").isNotNull() & F.col(x).isNotNull())
+    wide, _ = spline.attach(rows, x)
+    pairs = ", ".join(f"sum(_b{i} * _b{j})" for i in range(k) for j in range(i, k))
+    cross = ", ".join(f"sum(_b{i} * _y)" for i in range(k))
     return wide.groupBy(*keys).agg(
-        F.array(*[F.sum(b[i] * b[j]) for i in range(k) for j in range(i, k)]).alias("gram"),
-        F.array(*[F.sum(x * F.col("_y")) for x in b]).alias("cross"),
-        F.sum(F.col("_y") * F.col("_y")).alias("yy"),
+        F.expr(f"array({pairs})").alias("gram"),
+        F.expr(f"array({cross})").alias("cross"),
+        F.expr("sum(_y * _y)").alias("yy"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -103,28 +104,24 @@ def fit_groups(grams: DataFrame, keys: Sequence[str], spline: Spline) -> DataFra
     return grams.mapInPandas(run, schema)
 
 
-def dot(coefficients: str, basis: Sequence[Column]) -> Column:
-    total = F.lit(0.0)
-    for i, b in enumerate(basis):
-        total = total + F.get(F.col(coefficients), F.lit(i)) * b
-    return total
+def dot(coefficients: str, basis: Sequence[str]) -> Column:
+    """Sum of coefficient array elements times the named columns ('1' for the level)."""
+    return F.expr(" + ".join(f"get({coefficients}, {i}) * {b}" for i, b in enumerate(basis)))
 
 
-def quadratic(cov: str, basis: Sequence[Column]) -> Column:
-    """b' V b for a row-major covariance array."""
+def quadratic(cov: str, basis: Sequence[str]) -> Column:
+    """b' V b for a row-major covariance array and named columns."""
     k = len(basis)
-    total = F.lit(0.0)
-    for i in range(k):
-        for j in range(i, k):
-            factor = 1.0 if i == j else 2.0
-            total = total + factor * F.get(F.col(cov), F.lit(i * k + j)) * basis[i] * basis[j]
-    return total
+    return F.expr(" + ".join(
+        f"{1 if i == j else 2}D * get({cov}, {i * k + j}) * {basis[i]} * {basis[j]}" for i in range(k) for j in range(i, k)
+    ))
 
 
 def slope_at_rows(
     df: DataFrame, keys: Sequence[str], x: str, y: str, spline: Spline, spread_by: Sequence[str], out: str = "rate"
 ) -> DataFrame:
     """Input rows plus the slope of their group's smooth curve (exact derivative, no finite difference)."""
-    fits = materialize(fit_groups(gram(df, keys, spline.columns(x), y), keys, spline), "slopes")
+    fits = materialize(fit_groups(gram(df, keys, spline, x, y), keys, spline), "slopes")
     joined = hand_back(df, fits.select(*keys, "beta", "n"), keys, "n", spread_by)
-    return joined.withColumn(out, dot("beta", spline.columns(x, derivative=1))).drop("beta")
+    wide, names = spline.attach(joined, x, derivative=1)
+    return wide.withColumn(out, dot("beta", names)).drop("beta", *names)

@@ -46,12 +46,12 @@ def _long_gram(grams, keys):
 )
 def spline_gram_daily(spark, d):
     keys = ["location", "position", "day"]
-    return _long_gram(sm.gram(readings(spark, d), keys, HOUR_SPLINE.columns("hour"), "oxygen"), keys)
+    return _long_gram(sm.gram(readings(spark, d), keys, HOUR_SPLINE, "hour", "oxygen"), keys)
 
 
 @query("spline_gram_cyclic", with_views(_gram_sql("location", MONTH_SPLINE, "month", "value", "daily"), DAILY))
 def spline_gram_cyclic(spark, d):
-    return _long_gram(sm.gram(daily(spark, d), ["location"], MONTH_SPLINE.columns("month"), "value"), ["location"])
+    return _long_gram(sm.gram(daily(spark, d), ["location"], MONTH_SPLINE, "month", "value"), ["location"])
 
 
 @query("oxygen_slope")
