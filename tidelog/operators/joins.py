@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_PARTS = 64
+BROADCAST_ROWS = 20_000  # a counted table of at most this many narrow rows may be broadcast
 
 
 def dimension(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
@@ -83,15 +84,23 @@ def within_intervals(
 
 
 def hand_back(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread_by: Sequence[str]
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    spread_by: Sequence[str],
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Left join one-row-per-group results onto rows without piling a hot group on one task.
 
     ``groups`` holds the row count of each group in ``size``. Groups with more than
     1/HOT_PARTS of all rows number fewer than HOT_PARTS, so that list is safe to
     broadcast; only those groups are cut into HOT_PARTS pieces by a hash of ``spread_by``.
+    When the caller has counted ``groups`` and they are few, they are broadcast whole.
     """
     keys = list(keys)
+    if known_rows is not None and known_rows <= BROADCAST_ROWS:
+        return key_join(rows, F.broadcast(groups.drop(size)), keys, "left")
     total = groups.agg(F.sum(size)).scalar()
     hot = groups.filter(F.col(size) * HOT_PARTS > total).select(*keys, F.lit(True).alias("_is_hot"))
     piece = F.pmod(F.xxhash64(*spread_by), F.lit(HOT_PARTS)).cast("int")

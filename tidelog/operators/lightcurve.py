@@ -1,9 +1,10 @@
 """Light-response curves by separable least squares, for any number of groups of any size.
 
 With k = alpha/pmax (and b = beta/pmax) fixed, the curve is linear in pmax and rd, so a
-group's best fit at k needs only a few sums. A level evaluates a row of candidates in one
-aggregation; the next level zooms in around each group's best. Rows are first reduced to
-one cell per distinct light value, which is exact for least squares.
+group's best fit at k needs only a few sums. A level evaluates a row of candidates, the next
+level zooms in around the best. Rows are first reduced to one cell per distinct light value,
+which is exact for least squares. Groups with few cells are searched whole on an executor,
+many at a time; a group with more cells is searched by one aggregation per level.
 """
 
 from __future__ import annotations
@@ -23,21 +24,22 @@ from .joins import hand_back, linear_grid
 # Relative error sums are compared on this grid, so rounding noise cannot pick the winner.
 TIE_GRID = 1e11
 
-# First level: k from 0.001 to 10 per unit of light; each later level is 8 times finer.
-SATURATING_START = [(10.0 ** (-3 + 0.25 * i), 0.0) for i in range(17)]
-INHIBITED_START = [
-    (10.0 ** (-3 + 2 * i / 3), b) for i in range(7) for b in [0.0] + [10.0 ** (-4 + 0.6 * j) for j in range(6)]
-]
+# First level: k runs over 10^-3 .. 10^1 per unit of light in 17 steps; each later level covers
+# one step to either side of the best and is 8 times finer. With inhibition both ratios take
+# 7 steps and each level is 3 times finer.
+CENTRE_A, WIDTH_A = 0.1, 2.0
+CENTRE_B, WIDTH_B = 10.0**-2.5, 1.8
+STEPS_ONE, STEPS_TWO = 8, 3
+LEVELS_ONE, LEVELS_TWO = 5, 6
+PACK_CELLS = 4096  # groups with more distinct light values are never gathered
 
 
-def saturating_zoom(level: int) -> list[tuple[float, float]]:
-    width = 0.25 / 8 ** (level - 1)
-    return [(10.0 ** (width * j / 8), 1.0) for j in range(-8, 9)]
-
-
-def inhibited_zoom(level: int) -> list[tuple[float, float]]:
-    wide_a, wide_b = (2 / 3) / 3 ** (level - 1), 0.6 / 3 ** (level - 1)
-    return [(10.0 ** (wide_a * i / 3), 10.0 ** (wide_b * j / 3)) for i in range(-3, 4) for j in range(-3, 4)]
+def candidate_offsets(inhibition: bool) -> list[tuple[float, float]]:
+    """Candidates around a centre, in units of the level's width (log10)."""
+    if not inhibition:
+        return [(i / STEPS_ONE, 0.0) for i in range(-STEPS_ONE, STEPS_ONE + 1)]
+    one_side = range(-STEPS_TWO, STEPS_TWO + 1)
+    return [(i / STEPS_TWO, j / STEPS_TWO) for i in one_side for j in one_side]
 
 
 def curve_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -50,21 +52,26 @@ def curve_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
-def best_candidate(cells: DataFrame, keys: Sequence[str], candidates: Sequence[tuple[float, float]]) -> DataFrame:
-    """Best of the candidates per group. ``cells`` may carry centres ``_a``/``_b`` to multiply."""
-    zoom = "_a" in cells.columns
-    a = [f"(_a * {fa!r}D)" if zoom else f"{fa!r}D" for fa, _ in candidates]
-    b = [f"(_b * {fb!r}D)" if zoom else f"{fb!r}D" for _, fb in candidates]
-    damp = zoom or any(fb for _, fb in candidates)
+def best_candidate(
+    cells: DataFrame, keys: Sequence[str], inhibition: bool = False, extra: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """Best candidate per group around the centres ``_a``/``_b`` with widths ``_wa``/``_wb`` of its rows.
+
+    Centres and widths are data, not literals, so every level runs the same generated code.
+    ``extra`` are further (aggregate, name) pairs taken in the same pass.
+    """
+    centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
+    offsets = candidate_offsets(inhibition)
+    a = [f"(_a * pow(10D, _wa * {u!r}D))" for u, _ in offsets]
+    b = [f"(_b * pow(10D, _wb * {v!r}D))" if inhibition else "0D" for _, v in offsets]
     curves = [
-        f"(1 - exp(-{p} * x))" + (f" * exp(-{q} * x)" if damp else "") + f" AS g{i}"
-        for i, (p, q) in enumerate(zip(a, b))
+        f"(1 - exp(-{p} * x))" + (f" * exp(-{q} * x)" if inhibition else "") + f" AS g{i}" for i, (p, q) in enumerate(zip(a, b))
     ]
-    centre = ["_a", "_b"] if zoom else []
-    wide = cells.selectExpr(*[f"`{k}`" for k in keys], *centre, "x", "w", "s1", "s2", *curves)
+    wide = cells.selectExpr("*", *curves)
     sums = [F.expr(e) for e in ("sum(w) AS _w", "sum(s1) AS _s1", "sum(s2) AS _s2", *[f"first({c}) AS {c}" for c in centre])]
-    for i in range(len(candidates)):
+    for i in range(len(offsets)):
         sums += [F.expr(f"sum(w * g{i}) AS _g{i}"), F.expr(f"sum(w * g{i} * g{i}) AS _gg{i}"), F.expr(f"sum(g{i} * s1) AS _gy{i}")]
+    sums += [F.expr(e).alias(name) for e, name in extra]
     total = wide.groupBy(*keys).agg(*sums).withColumn("_vy", F.expr("_s2 - _s1 * _s1 / _w"))
     fits = []
     for i, (p, q) in enumerate(zip(a, b)):
@@ -75,14 +82,98 @@ def best_candidate(cells: DataFrame, keys: Sequence[str], candidates: Sequence[t
             f"_vy - {cgy} * {cgy} / {vg} AS sse) END"
         )
     best = total.withColumn("_f", F.expr(f"array_min(array({', '.join(fits)}))"))
+    widths = ["_wa / 8 AS _wa"] if not inhibition else ["_wa / 3 AS _wa", "_wb / 3 AS _wb"]
     return best.selectExpr(
-        *[f"`{k}`" for k in keys], "_w AS n", "_f.a AS _a", "_f.b AS _b", "_f.pmax AS pmax", "_f.rd AS rd",
-        "greatest(_f.sse, 0D) AS sse",
+        *[f"`{k}`" for k in keys], "_w AS n", "_f.a AS _a", "_f.b AS _b", *widths,
+        "_f.pmax AS pmax", "_f.rd AS rd", "greatest(_f.sse, 0D) AS sse", *[name for _, name in extra],
+    )
+
+
+def search_packed(x: np.ndarray, w: np.ndarray, s1: np.ndarray, s2: np.ndarray, inhibition: bool) -> np.ndarray:
+    """The same search for a stack of small groups [group, cell], padded with w = 0.
+
+    Returns columns a, b, pmax, rd, sse; NaN where no candidate is usable.
+    """
+    offsets = np.array(candidate_offsets(inhibition))
+    a, b = np.full(len(x), CENTRE_A), np.full(len(x), CENTRE_B)
+    n, t1 = w.sum(1)[:, None], s1.sum(1)[:, None]
+    vy = s2.sum(1)[:, None] - t1 * t1 / n
+    finer = STEPS_TWO if inhibition else STEPS_ONE
+    out = np.full((len(x), 5), np.nan)
+    for level in range(LEVELS_TWO if inhibition else LEVELS_ONE):
+        ca = a[:, None] * 10.0 ** (WIDTH_A / finer**level * offsets[:, 0])
+        cb = b[:, None] * 10.0 ** (WIDTH_B / finer**level * offsets[:, 1])
+        g = 1 - np.exp(-ca[:, None, :] * x[:, :, None])
+        if inhibition:
+            g *= np.exp(-cb[:, None, :] * x[:, :, None])
+        sg, sgy = np.einsum("gc,gck->gk", w, g), np.einsum("gc,gck->gk", s1, g)
+        vg = np.einsum("gc,gck,gck->gk", w, g, g) - sg * sg / n
+        usable = vg > 1e-9 * n
+        vg = np.where(usable, vg, 1.0)
+        cgy = sgy - sg * t1 / n
+        sse = vy - cgy * cgy / vg
+        rel = np.where(usable, np.floor(sse / np.maximum(vy, 1e-12) * TIE_GRID), np.inf)
+        pick = np.argmin(rel, axis=1)[:, None]  # ties: first, which is the smallest a, then b
+        take = lambda m: np.take_along_axis(m, pick, 1)[:, 0]
+        pmax = take(cgy / vg)
+        a, b = take(ca), take(cb)
+        out = np.column_stack([a, b, pmax, (pmax * take(sg) - t1[:, 0]) / n[:, 0], np.maximum(take(sse), 0.0)])
+        out[~np.isfinite(take(rel))] = np.nan
+    return out
+
+
+def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFrame:
+    """Fit groups whose cell count was checked to be at most PACK_CELLS."""
+    packed = cells.groupBy(*group).agg(F.collect_list(F.struct("x", "w", "s1", "s2")).alias("_c")).select(
+        *group, *[F.col(f"_c.{f}").alias(f) for f in ("x", "w", "s1", "s2")]
     )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name in group)
+    schema += ", n_light bigint, n double, _a double, _b double, pmax double, rd double, sse double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["x"].map(len).to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            fits = np.full((len(pdf), 5), np.nan)
+            start = 0
+            while start < len(order):
+                # Neighbours in size share a padded block of about four million numbers.
+                stop = start + 1
+                while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] * 49 < 4_000_000:
+                    stop += 1
+                block, width = order[start:stop], sizes[order[stop - 1]]
+                stack = np.zeros((4, len(block), width))
+                for i, at in enumerate(block):
+                    for j, name in enumerate(("x", "w", "s1", "s2")):
+                        stack[j, i, : sizes[at]] = pdf[name].iat[at]
+                fits[block] = search_packed(*stack, inhibition)
+                start = stop
+            out = pdf[group].copy()
+            out["n_light"], out["n"] = sizes, pdf["w"].map(np.sum).astype(float)
+            for i, name in enumerate(("_a", "_b", "pmax", "rd", "sse")):
+                out[name] = [float(v) if np.isfinite(v) else None for v in fits[:, i]]
+            yield out
+
+    return packed.mapInPandas(run, schema)
+
+
+def _fit_by_levels(cells: DataFrame, group: list[str], inhibition: bool) -> DataFrame:
+    """Fit groups of any size, one aggregation over the cells per level."""
+    place = [F.lit(CENTRE_A).alias("_a"), F.lit(WIDTH_A).alias("_wa")]
+    if inhibition:
+        place += [F.lit(CENTRE_B).alias("_b"), F.lit(WIDTH_B).alias("_wb")]
+    centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
+    count = [("count(1)", "n_light")]
+    best = materialize(best_candidate(cells.select("*", *place), group, inhibition, count), "curve")
+    groups = best.count()
+    for _ in range(1, LEVELS_TWO if inhibition else LEVELS_ONE):
+        placed = hand_back(cells, best.select(*group, *centre, "n"), group, "n", ["x"], groups)
+        best = materialize(best_candidate(placed, group, inhibition, count), "curve")
+    return best.select(*group, "n_light", "n", "_a", "_b", "pmax", "rd", "sse")
 
 
 def fit_curves(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, inhibition: bool = False, levels: int | None = None
+    df: DataFrame, keys: Sequence[str], x: str, y: str, inhibition: bool = False, pack_cells: int = PACK_CELLS
 ) -> DataFrame:
     """One row per group: pmax, alpha, (beta,) rd, sse, n. y = pmax (1 - e^(-alpha x / pmax)) [e^(-beta x / pmax)] - rd.
 
@@ -92,18 +183,18 @@ def fit_curves(
     group = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
     cells = materialize(curve_cells(source, group, x, y), "cells")
-    start, zoom = (INHIBITED_START, inhibited_zoom) if inhibition else (SATURATING_START, saturating_zoom)
-    levels = levels or (6 if inhibition else 5)
-    best = materialize(best_candidate(cells, group, start), "curve")
-    for level in range(1, levels):
-        sizes = best.select(*group, "_a", "_b", "n")
-        placed = hand_back(cells, sizes, group, "n", ["x"])
-        best = materialize(best_candidate(placed.filter(F.col("_a").isNotNull()), group, zoom(level)), "curve")
-    lights = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n_light"), F.sum("w").cast("bigint").alias("n_rows"))
-    joined = hand_back(lights.withColumnRenamed("n_rows", "n"), best.withColumnRenamed("n", "_n"), group, "_n", group)
+    lights = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_lights"))
+    if (lights.agg(F.max("_lights")).first()[0] or 0) <= pack_cells:
+        fits = _fit_packed(cells, group, inhibition)
+    else:
+        sized = hand_back(cells, lights.withColumn("_n", F.col("_lights")), group, "_n", ["x"])
+        sized = materialize(sized, "cells")
+        small = sized.filter(F.col("_lights") <= pack_cells).drop("_lights")
+        large = sized.filter(F.col("_lights") > pack_cells).drop("_lights")
+        fits = _fit_packed(small, group, inhibition).unionByName(_fit_by_levels(large, group, inhibition))
     ok = (F.col("n") >= 4) & (F.col("n_light") >= 3)
-    return joined.select(
-        *keys, "n",
+    return fits.select(
+        *keys, F.col("n").cast("bigint").alias("n"),
         F.when(ok, F.col("pmax")).alias("pmax"),
         F.when(ok, F.col("_a") * F.col("pmax")).alias("alpha"),
         *([F.when(ok, F.col("_b") * F.col("pmax")).alias("beta")] if inhibition else []),
@@ -153,30 +244,29 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
     state = materialize(
         start.filter(F.col("pmax").isNotNull() & (F.col("n") > 4)).select(
             *keys, F.col("n").cast("double").alias("n"), "pmax", "rd",
-            (F.col("alpha") / F.col("pmax")).alias("_a"), F.lit(0.0).alias("_b"),
+            (F.col("alpha") / F.col("pmax")).alias("_a"), F.lit(0.2).alias("_wa"),
             (F.col("sse") / F.col("n")).alias("s2"),
         ), "robust")
 
+    groups = state.count()
+
     def weighted(current: DataFrame) -> DataFrame:
         sized = current.withColumn("_size", F.col("n"))
-        placed = hand_back(rows, sized.drop("n"), keys, "_size", spread).filter(F.col("_a").isNotNull())
+        placed = hand_back(rows, sized.drop("n"), keys, "_size", spread, groups).filter(F.col("_a").isNotNull())
         mu = F.expr("pmax * (1 - exp(-_a * x)) - rd")
         placed = placed.withColumn("_r2", (F.col("_y") - mu) * (F.col("_y") - mu))
         return placed.withColumn("w", 3 / (2 + F.col("_r2") / F.greatest("s2", F.lit(1e-12))))
 
-    for step in range(steps):
-        placed = weighted(state)
-        cells = placed.select(
-            *keys, "_a", "_b", "x", "w",
+    for _ in range(steps):
+        cells = weighted(state).select(
+            *keys, "_a", "_wa", "x", "w", (F.col("w") * F.col("_r2")).alias("_wr2"),
             (F.col("w") * F.col("_y")).alias("s1"), (F.col("w") * F.col("_y") * F.col("_y")).alias("s2"),
         )
-        width = 0.2 / 3**step
-        fits = best_candidate(cells, keys, [(10.0 ** (width * j / 8), 1.0) for j in range(-8, 9)])
-        scale = placed.groupBy(*keys).agg(
-            (F.sum(F.col("w") * F.col("_r2")) / F.count(F.lit(1))).alias("s2"), F.count(F.lit(1)).cast("double").alias("_rows")
-        )
-        new = hand_back(fits.drop("n", "sse"), scale.withColumn("n", F.col("_rows")), keys, "_rows", keys)
-        state = materialize(new.select(*keys, "n", "pmax", "rd", "_a", "_b", "s2"), "robust")
+        new = best_candidate(cells, keys, extra=[("sum(_wr2)", "_scale"), ("count(1)", "_rows")])
+        state = materialize(new.select(
+            *keys, F.col("_rows").cast("double").alias("n"), "pmax", "rd", "_a",
+            (F.col("_wa") * 8 / 3).alias("_wa"), (F.col("_scale") / F.col("_rows")).alias("s2"),
+        ), "robust")
 
     return _shrink(_uncertainty(weighted(state), keys), keys)
 

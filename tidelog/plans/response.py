@@ -18,25 +18,19 @@ def _snapped(df, *columns, digits=4):
     return df
 
 
-def _curve_views(keys: str, prefix: str, start, zooms) -> list[str]:
-    """The same candidate search written as SQL views ``<prefix>0 .. <prefix>L``."""
-
-    def values(candidates):
-        return ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in candidates)
-
+def _curve_views(keys: str, prefix: str, rows: str, inhibition: bool = False) -> list[str]:
+    """The same candidate search written as SQL views ``<prefix>_1 .. <prefix>_best``."""
+    offsets = ", ".join(f"({u!r}::DOUBLE, {v!r}::DOUBLE)" for u, v in lc.candidate_offsets(inhibition))
+    levels = lc.LEVELS_TWO if inhibition else lc.LEVELS_ONE
+    finer = lc.STEPS_TWO if inhibition else lc.STEPS_ONE
+    damp = " * exp(-b * x)" if inhibition else ""
     views = [
-        f"""{prefix}_cells AS (SELECT {keys}, x, count(*)::DOUBLE AS w, sum(y) AS s1, sum(y * y) AS s2
-            FROM {prefix}_rows GROUP BY ALL)"""
+        f"""{prefix}_cells AS (SELECT {keys}, x, count(*)::DOUBLE AS w, sum(y) AS s1, sum(y * y) AS s2 FROM ({rows}) GROUP BY ALL)""",
+        f"""{prefix}_0 AS (SELECT DISTINCT {keys}, {lc.CENTRE_A!r}::DOUBLE AS a, {lc.CENTRE_B!r}::DOUBLE AS b FROM {prefix}_cells)""",
     ]
-    for level, candidates in enumerate([start, *zooms]):
-        name = f"{prefix}{level}"
-        if level == 0:
-            source = f"SELECT c.*, fa AS a, fb AS b FROM {prefix}_cells c, (VALUES {values(candidates)}) v(fa, fb)"
-        else:
-            source = (
-                f"SELECT c.*, p.a * fa AS a, p.b * fb AS b FROM {prefix}_cells c JOIN {prefix}{level - 1} p USING ({keys}), "
-                f"(VALUES {values(candidates)}) v(fa, fb)"
-            )
+    for level in range(1, levels + 1):
+        wa, wb = (w / finer ** (level - 1) for w in (lc.WIDTH_A, lc.WIDTH_B))
+        name = f"{prefix}_best" if level == levels else f"{prefix}_{level}"
         views.append(f"""{name} AS (
           SELECT {keys}, a, b, pmax, rd, sse, n FROM (
             SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rel, a, b) AS rn FROM (
@@ -44,25 +38,24 @@ def _curve_views(keys: str, prefix: str, start, zooms) -> list[str]:
                      floor((vy - cgy * cgy / vg) / greatest(vy, 1e-12) * {lc.TIE_GRID!r}) AS rel
               FROM (SELECT *, gg - g * g / w AS vg, gy - g * s1 / w AS cgy, s2 - s1 * s1 / w AS vy FROM (
                 SELECT {keys}, a, b, sum(w) AS w, sum(s1) AS s1, sum(s2) AS s2, sum(w * e) AS g, sum(w * e * e) AS gg, sum(e * s1) AS gy
-                FROM (SELECT *, (1 - exp(-a * x)) * exp(-b * x) AS e FROM ({source})) GROUP BY {keys}, a, b))
+                FROM (SELECT *, (1 - exp(-a * x)){damp} AS e FROM (
+                  SELECT c.*, p.a * pow(10, {wa!r} * u) AS a, p.b * pow(10, {wb!r} * v) AS b
+                  FROM {prefix}_cells c JOIN {prefix}_{level - 1} p USING ({keys}), (VALUES {offsets}) o(u, v)))
+                GROUP BY {keys}, a, b))
               WHERE vg > 1e-9 * w)) WHERE rn = 1)""")
     return views
 
 
-SITE_CURVES = ["site_rows AS (SELECT location, x, y FROM lines)",
-               *_curve_views("location", "site", lc.SATURATING_START, [lc.saturating_zoom(i) for i in range(1, 5)])]
-ALL_CURVES = ["all_rows AS (SELECT 1 AS one, x, y FROM lines)",
-              *_curve_views("one", "all", lc.SATURATING_START, [lc.saturating_zoom(i) for i in range(1, 5)])]
-DAY_CURVES = ["day_rows AS (SELECT location, day, x, y FROM lines)",
-              *_curve_views("location, day", "day", lc.SATURATING_START, [lc.saturating_zoom(i) for i in range(1, 5)])]
-DAMPED_CURVES = ["damp_rows AS (SELECT location, x, y * exp(-0.004 * x) AS y FROM lines)",
-                 *_curve_views("location", "damp", lc.INHIBITED_START, [lc.inhibited_zoom(i) for i in range(1, 6)])]
+SITE_CURVES = _curve_views("location", "site", "SELECT location, x, y FROM lines")
+ALL_CURVES = _curve_views("one", "all", "SELECT 1 AS one, x, y FROM lines")
+DAY_CURVES = _curve_views("location, day", "day", "SELECT location, day, x, y FROM lines")
+DAMPED_CURVES = _curve_views("location", "damp", "SELECT location, x, y * exp(-0.004 * x) AS y FROM lines", inhibition=True)
 
 
 @query(
     "nls_pooled",
     with_views(
-        f"SELECT n::BIGINT AS n, {snap_sql('pmax')} AS pmax, {snap_sql('a * pmax')} AS alpha, {snap_sql('rd')} AS rd, {snap_sql('sse', 2)} AS sse FROM all4",
+        f"SELECT n::BIGINT AS n, {snap_sql('pmax')} AS pmax, {snap_sql('a * pmax')} AS alpha, {snap_sql('rd')} AS rd, {snap_sql('sse', 2)} AS sse FROM all_best",
         LINES, *ALL_CURVES),
 )
 def nls_pooled(spark, d):
@@ -77,7 +70,7 @@ def nls_pooled(spark, d):
         f"""SELECT {snap_sql('s0', 2)} AS sse_pooled, {snap_sql('s1', 2)} AS sse_full, df, dr AS df_residual, {snap_sql('f', 3)} AS f_value,
                    {snap_sql('pow(v, dr / 2) * (1 + dr / 2 * (1 - v) + dr / 2 * (dr / 2 + 1) / 2 * (1 - v) * (1 - v))', 6)} AS p_value FROM (
               SELECT *, dr / (dr + df * f) AS v FROM (SELECT *, (s0 - s1) / df / (s1 / dr) AS f FROM (
-                SELECT (SELECT sse FROM all4) AS s0, sum(sse) AS s1, ((count(*) - 1) * 3)::DOUBLE AS df, sum(n) - count(*) * 3 AS dr FROM site4)))""",
+                SELECT (SELECT sse FROM all_best) AS s0, sum(sse) AS s1, ((count(*) - 1) * 3)::DOUBLE AS df, sum(n) - count(*) * 3 AS dr FROM site_best)))""",
         LINES, *ALL_CURVES, *SITE_CURVES),
 )
 def nls_by_site_f(spark, d):
@@ -90,7 +83,7 @@ def nls_by_site_f(spark, d):
     "nls_grid_predict",
     with_views(
         f"""SELECT location, {snap_sql('i * 30 / 100.0::DOUBLE')} AS light, {snap_sql('pmax * (1 - exp(-a * i * 30 / 100)) - rd', 3)} AS fit
-            FROM site4, (SELECT unnest(range(101))::INTEGER AS i)""", LINES, *SITE_CURVES),
+            FROM site_best, (SELECT unnest(range(101))::INTEGER AS i)""", LINES, *SITE_CURVES),
 )
 def nls_grid_predict(spark, d):
     fits = lc.fit_curves(lines(spark, d), ["location"], "x", "y")
@@ -103,7 +96,7 @@ def nls_grid_predict(spark, d):
     with_views(
         f"""SELECT location, day, count(*) AS n,
                    CASE WHEN count(*) >= 4 AND count(DISTINCT x) >= 3 THEN {snap_sql('any_value(f.sse)', 2)} END AS sse
-            FROM lines LEFT JOIN day4 f USING (location, day) GROUP BY location, day""", LINES, *DAY_CURVES),
+            FROM lines LEFT JOIN day_best f USING (location, day) GROUP BY location, day""", LINES, *DAY_CURVES),
 )
 def nls_by_day_safe(spark, d):
     # Compared by the error sum: on a handful of rows different parameters can fit equally well.
@@ -115,7 +108,7 @@ def nls_by_day_safe(spark, d):
     "nls_inhibited",
     with_views(
         f"""SELECT location, n::BIGINT AS n, {snap_sql('pmax', 3)} AS pmax, {snap_sql('a * pmax', 3)} AS alpha,
-                   {snap_sql('b * pmax', 3)} AS beta, {snap_sql('rd', 3)} AS rd, {snap_sql('sse', 2)} AS sse FROM damp5""",
+                   {snap_sql('b * pmax', 3)} AS beta, {snap_sql('rd', 3)} AS rd, {snap_sql('sse', 2)} AS sse FROM damp_best""",
         LINES, *DAMPED_CURVES),
 )
 def nls_inhibited(spark, d):
