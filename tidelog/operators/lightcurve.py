@@ -52,6 +52,20 @@ def curve_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
+def _candidate_texts(inhibition: bool) -> tuple[list[str], list[str]]:
+    offsets = candidate_offsets(inhibition)
+    a = [f"(_a * pow(10D, _wa * {u!r}D))" for u, _ in offsets]
+    b = [f"(_b * pow(10D, _wb * {v!r}D))" if inhibition else "0D" for _, v in offsets]
+    return a, b
+
+
+def with_candidates(groups: DataFrame, inhibition: bool = False) -> DataFrame:
+    """Candidate ratios of each group as columns, computed per group and not per row."""
+    a, b = _candidate_texts(inhibition)
+    more = [f"{t} AS _p{i}" for i, t in enumerate(a)] + ([f"{t} AS _q{i}" for i, t in enumerate(b)] if inhibition else [])
+    return groups.selectExpr("*", *more)
+
+
 def best_candidate(
     cells: DataFrame, keys: Sequence[str], inhibition: bool = False, extra: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:
@@ -62,10 +76,9 @@ def best_candidate(
     """
     centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
     offsets = candidate_offsets(inhibition)
-    a = [f"(_a * pow(10D, _wa * {u!r}D))" for u, _ in offsets]
-    b = [f"(_b * pow(10D, _wb * {v!r}D))" if inhibition else "0D" for _, v in offsets]
+    a, b = _candidate_texts(inhibition)
     curves = [
-        f"(1 - exp(-{p} * x))" + (f" * exp(-{q} * x)" if inhibition else "") + f" AS g{i}" for i, (p, q) in enumerate(zip(a, b))
+        f"(1 - exp(-_p{i} * x))" + (f" * exp(-_q{i} * x)" if inhibition else "") + f" AS g{i}" for i in range(len(offsets))
     ]
     wide = cells.selectExpr("*", *curves)
     sums = [F.expr(e) for e in ("sum(w) AS _w", "sum(s1) AS _s1", "sum(s2) AS _s2", *[f"first({c}) AS {c}" for c in centre])]
@@ -164,10 +177,12 @@ def _fit_by_levels(cells: DataFrame, group: list[str], inhibition: bool) -> Data
         place += [F.lit(CENTRE_B).alias("_b"), F.lit(WIDTH_B).alias("_wb")]
     centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
     count = [("count(1)", "n_light")]
-    best = materialize(best_candidate(cells.select("*", *place), group, inhibition, count), "curve")
+    first = with_candidates(cells.select("*", *place), inhibition)
+    best = materialize(best_candidate(first, group, inhibition, count), "curve")
     groups = best.count()
     for _ in range(1, LEVELS_TWO if inhibition else LEVELS_ONE):
-        placed = hand_back(cells, best.select(*group, *centre, "n"), group, "n", ["x"], groups)
+        near = with_candidates(best.select(*group, *centre, "n"), inhibition)
+        placed = hand_back(cells, near, group, "n", ["x"], groups)
         best = materialize(best_candidate(placed, group, inhibition, count), "curve")
     return best.select(*group, "n_light", "n", "_a", "_b", "pmax", "rd", "sse")
 
@@ -251,7 +266,7 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
     groups = state.count()
 
     def weighted(current: DataFrame) -> DataFrame:
-        sized = current.withColumn("_size", F.col("n"))
+        sized = with_candidates(current).withColumn("_size", F.col("n"))
         placed = hand_back(rows, sized.drop("n"), keys, "_size", spread, groups).filter(F.col("_a").isNotNull())
         mu = F.expr("pmax * (1 - exp(-_a * x)) - rd")
         placed = placed.withColumn("_r2", (F.col("_y") - mu) * (F.col("_y") - mu))
@@ -259,7 +274,7 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
 
     for _ in range(steps):
         cells = weighted(state).select(
-            *keys, "_a", "_wa", "x", "w", (F.col("w") * F.col("_r2")).alias("_wr2"),
+            *keys, "_a", "_wa", *[f"_p{i}" for i in range(len(candidate_offsets(False)))], "x", "w", (F.col("w") * F.col("_r2")).alias("_wr2"),
             (F.col("w") * F.col("_y")).alias("s1"), (F.col("w") * F.col("_y") * F.col("_y")).alias("s2"),
         )
         new = best_candidate(cells, keys, extra=[("sum(_wr2)", "_scale"), ("count(1)", "_rows")])

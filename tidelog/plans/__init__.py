@@ -1,4 +1,4 @@
 """Registered queries with their SQL equivalents."""
 
-from . import cleaning, modelling, response, series, summaries  # noqa: F401
+from . import cleaning, modelling, response, scanning, series, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
