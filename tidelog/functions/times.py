@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +11,8 @@ from .values import _c
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 # Japanese half-day marks and their English forms.
 HALF_DAY_MARKS = {"午前": "AM", "午後": "PM"}
-# Month-first layouts for text dates, 12 hour clock first (it cannot match 24 hour text).
-_DATES = ("M/d/yyyy", "M/d/yy", "M-d-yyyy", "M-d-yy")
-_CLOCKS = ("{d} h:mm:ss a", "{d} h:mm a", "{d} a h:mm:ss", "{d} a h:mm", "{d} H:mm:ss", "{d} H:mm")
-MONTH_FIRST = tuple(clock.format(d=date) for clock in _CLOCKS for date in _DATES)
+# Month first, year of 2 or 4 digits, clock of 12 or 24 hours, half-day mark on either side.
+_MONTH_FIRST = r"^\s*\d{1,2}[/-]\d{1,2}[/-](\d{2}|\d{4})\s+((AM|PM)\s*)?\d{1,2}:\d{2}(:\d{2})?(\s*(AM|PM))?\s*$"
 
 
 def stamp(date_text, time_text, layout: str = "yyyy/MM/dd HH:mm:ss") -> Column:
@@ -25,14 +21,40 @@ def stamp(date_text, time_text, layout: str = "yyyy/MM/dd HH:mm:ss") -> Column:
     return F.try_to_timestamp(joined, F.lit(layout)).cast("timestamp_ntz")
 
 
-def parse_first(text, layouts: Sequence[str] = MONTH_FIRST) -> Column:
-    """First layout that can read the text, after translating the half-day marks."""
-    clean = _c(text)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def parse_month_first(text) -> Column:
+    """Timestamp of a month-first text in any of its usual layouts; NULL when unreadable.
+
+    The digits are cut out and put together, so no layout has to be tried and failed.
+    """
+    clean = F.upper(_c(text))
     for mark, english in HALF_DAY_MARKS.items():
         clean = F.replace(clean, F.lit(mark), F.lit(english))
-    clean = F.trim(F.regexp_replace(clean, r"\s+", " "))
-    tries = [F.try_to_timestamp(clean, F.lit(layout)) for layout in layouts]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+
+    def number(parts: Column, i: int) -> Column:
+        return F.get(parts, F.lit(i)).try_cast("int")
+
+    def build(t: Column) -> Column:
+        evening = F.contains(t, F.lit("PM"))
+        marked = evening | F.contains(t, F.lit("AM"))
+
+        def assemble(parts: Column) -> Column:
+            hour, year = number(parts, 3), number(parts, 2)
+            return F.try_make_timestamp_ntz(
+                F.when(F.length(F.get(parts, F.lit(2))) == 2, year + 2000).otherwise(year),
+                number(parts, 0), number(parts, 1),
+                F.when(marked, hour % 12 + F.when(evening, 12).otherwise(0)).otherwise(hour),
+                number(parts, 4), F.coalesce(number(parts, 5), F.lit(0)).cast("decimal(16,6)"),
+            )
+
+        digits = F.split(F.trim(F.regexp_replace(t, "[^0-9]+", " ")), " ")
+        return F.when(t.rlike(_MONTH_FIRST), _let(digits, assemble))
+
+    return _let(clean, build)
 
 
 def _seconds(ts: Column) -> Column:

@@ -122,6 +122,6 @@ def slope_at_rows(
 ) -> DataFrame:
     """Input rows plus the slope of their group's smooth curve (exact derivative, no finite difference)."""
     fits = materialize(fit_groups(gram(df, keys, spline, x, y), keys, spline), "slopes")
-    joined = hand_back(df, fits.select(*keys, "beta", "n"), keys, "n", spread_by)
+    joined = hand_back(df, fits.select(*keys, "beta", "n"), keys, "n", spread_by, fits.count())
     wide, names = spline.attach(joined, x, derivative=1)
     return wide.withColumn(out, dot("beta", names)).drop("beta", *names)

@@ -161,7 +161,7 @@ def parse_multi_format(spark, d):
         .when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "MM/dd/yyyy "), half, F.date_format("ts", " hh:mm:ss")))
         .otherwise(F.date_format("ts", "M/d/yyyy H:mm:ss"))
     )
-    return table(spark, d, "events").select("event_id", tm.parse_first(text).alias("datetime"))
+    return table(spark, d, "events").select("event_id", tm.parse_month_first(text).alias("datetime"))
 
 
 @query("round_10min", "SELECT event_id, time_bucket(INTERVAL 10 MINUTE, ts + INTERVAL 5 MINUTE) AS datetime FROM events")
@@ -321,9 +321,9 @@ def nutrient_summary(spark, d):
 @query(
     "math_functions",
     with_views(
-        f"""SELECT event_id, {snap_sql('exp(ppfd / 100)')} AS e, {snap_sql('ln(ppfd)')} AS l, {snap_sql('sqrt(ppfd)')} AS s,
+        f"""SELECT event_id, {snap_sql('exp(ppfd / 100)')} AS e, {snap_sql('ln(nullif(ppfd, 0))')} AS l, {snap_sql('sqrt(ppfd)')} AS s,
                   {snap_sql('abs(rate)')} AS a, {snap_sql('pow(ppfd / 10, 1.5)')} AS p,
-                  CASE WHEN event_id % 5 = 0 THEN '-inf'::DOUBLE ELSE {snap_sql('ln(ppfd)')} END AS log_kept
+                  CASE WHEN event_id % 5 = 0 OR ppfd = 0 THEN '-inf'::DOUBLE ELSE {snap_sql('ln(nullif(ppfd, 0))')} END AS log_kept
            FROM readings""", READINGS),
 )
 def math_functions(spark, d):

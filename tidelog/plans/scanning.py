@@ -121,7 +121,7 @@ def scan_headerless_dispatch(spark, d):
     folder = _folder(spark, d, "oxygen", _write_oxygen)
     raw = sc.scan_headerless_any(spark, folder, "ncnn", OXYGEN_NAMES)
     keyed = sc.file_name_keys(raw, ["", "", "location", "position"])
-    return keyed.withColumn("datetime", tm.parse_first("datetime")).select("location", "position", *OXYGEN_NAMES)
+    return keyed.withColumn("datetime", tm.parse_month_first("datetime")).select("location", "position", *OXYGEN_NAMES)
 
 
 def _write_station(r, folder):
@@ -152,7 +152,7 @@ def scan_varied_header(spark, d):
     keyed = sc.file_name_keys(named, ["", "", "location", "position"])
     flux = 4.6 * F.coalesce(F.col("sol").cast("double"), F.lit(0.0)) + F.coalesce(F.col("par").cast("double"), F.lit(0.0))
     return keyed.select(
-        "location", "position", tm.round_minutes(tm.parse_first("datetime"), 10).alias("datetime"),
+        "location", "position", tm.round_minutes(tm.parse_month_first("datetime"), 10).alias("datetime"),
         snap(F.when(flux >= 0, flux)).alias("ppfd"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,9 +35,8 @@ def write_files(lines: DataFrame, folder: str, encode: Callable[[list[str]], byt
     packed = packed.select("file_name", F.col("rows.line").alias("lines"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        system, base = arrow_fs.FileSystem.from_uri(folder)
+        # Spark writes local URIs as file:/x, Arrow wants file:///x.
+        system, base = arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
         system.create_dir(base, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["file_name"], pdf["lines"]):
