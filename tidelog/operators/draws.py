@@ -141,6 +141,8 @@ def effective_ratio(draws: DataFrame, param: str, chain: str, iteration: str, va
 
         def run(batches: Iterator[pd.DataFrame], all_lags: bool = lags >= longest - 1) -> Iterator[pd.DataFrame]:
             for pdf in batches:
+                if not len(pdf):
+                    continue
                 rows = []
                 for name, chains in zip(pdf[param], pdf["chains"]):
                     n = min(c["n"] for c in chains)

@@ -145,6 +145,8 @@ def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             sizes = pdf["x"].map(len).to_numpy()
             order = np.argsort(sizes, kind="stable")
             fits = np.full((len(pdf), 5), np.nan)
@@ -298,6 +300,8 @@ def _uncertainty(placed: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             h = np.zeros((len(pdf), 3, 3))
             for i in range(3):
                 for j in range(i, 3):

@@ -143,6 +143,8 @@ def facet_curves(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             fitted = [_fit_facet(c, spline, family) for c in pdf["cells"]]
             out = pdf[facet].copy()
             for i, name in enumerate(("theta", "theta_cov", "edf")):

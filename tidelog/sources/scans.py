@@ -49,6 +49,8 @@ def logger_lines(
             split.update(pdf.loc[head & pdf["split"], "path"].unique())
             keep = ~head | (position >= skip)
             kept = pdf[keep]
+            if not len(kept):
+                continue
             yield pd.DataFrame({
                 "path": kept["path"],
                 "first": (head & (position == skip))[keep],
