@@ -25,8 +25,8 @@ def cp932_file(folder, name, lines, skip=36):
 
 def test_cp932_preamble_and_header(spark, tmp_path):
     cp932_file(tmp_path, "a_1_arik_0m_x.csv", ["1,2018/01/01,00:00:00,1.5,-2,3,", "2,2018/01/01,00:10:00,x,7,,"])
-    cp932_file(tmp_path, "a_2_tain_1m_x.csv", [])
-    table = sc.scan_by_header(sc.logger_lines(spark, str(tmp_path), 36, "cp932"), "nccnnn_")
+    cp932_file(tmp_path, "a_2_tain_1m 測定.csv", [])
+    table = sc.scan_by_header(spark, str(tmp_path), 36, "nccnnn_", "cp932")
     picked = cl.select_by_name(table, {"path": "path", "n": "No.", "d": "YYYY", "t": "hh:", "speed": "Velo[", "chl": "ｸﾛﾛ["})
     keyed = sc.file_name_keys(picked, ["", "id", "location", "position"]).withColumn("ts", tm.stamp("d", "t"))
     got = rows(keyed, "n", "ts", "speed", "chl", "id", "location", "position")
@@ -43,8 +43,7 @@ def test_a_file_over_many_splits_keeps_every_line(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     spark.conf.set("spark.sql.files.openCostInBytes", "1024")
     try:
-        read = sc.logger_lines(spark, str(tmp_path), 36, "cp932")
-        table = sc.scan_by_header(read, "nccnnn_")
+        table = sc.scan_by_header(spark, str(tmp_path), 36, "nccnnn_", "cp932")
         assert table.rdd.getNumPartitions() > 4
         assert table.count() == 20_003
         assert table.agg(F.sum("`No.`")).first()[0] == sum(range(20_000)) + 3
@@ -58,9 +57,9 @@ def test_a_file_over_many_splits_keeps_every_line(spark, tmp_path):
 def test_headers_that_differ(spark, tmp_path):
     (tmp_path / "m_s1.csv").write_text("title\nid,GMT,PAR\n1,01/02/2018 10:00,5\n2,01/02/2018 10:10,\n")
     (tmp_path / "m_s2.csv").write_text("title\nW,GMT,id\n7.5,\"01/02/2018 10:20\",3\n")
-    table = sc.scan_by_header(sc.logger_lines(spark, str(tmp_path), 1))
+    table = sc.scan_by_header(spark, str(tmp_path), 1)
     assert rows(table, "id", "PAR", "W") == [("1", "5", None), ("2", None, None), ("3", None, "7.5")]
-    renamed = sc.scan_variants(sc.logger_lines(spark, str(tmp_path), 1), {"W": "PAR"}, ["id", "PAR"], ["PAR"])
+    renamed = sc.scan_variants(sc.scan_by_header(spark, str(tmp_path), 1), {"W": "PAR"}, ["id", "PAR"], ["PAR"])
     assert rows(renamed, "id", "PAR") == [("1", 5.0), ("2", None), ("3", 7.5)]
 
 

@@ -32,12 +32,14 @@ def sample_groups(
 ) -> DataFrame:
     """``size`` groups (days) per stratum (month) with all their rows, chosen by a seeded hash of the group.
 
-    The window sees one row per group; the verdict goes back to the rows through hand_back.
+    The verdict goes back to the rows through hand_back.
     """
     groups = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("_n"))
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(order, group))
-    chosen = groups.withColumn("_take", rank <= size)
+    # The limit on the rank is applied before the shuffle too: at most `size` groups per task and stratum travel.
+    taken = groups.select(stratum, group).withColumn("_rank", rank).filter(F.col("_rank") <= size)
+    chosen = key_join(groups, taken.select(stratum, group, F.lit(True).alias("_take")), [stratum, group], "left")
     return hand_back(df, chosen, [stratum, group], "_n", spread_by).filter("_take").drop("_take")
 
 

@@ -75,7 +75,7 @@ def _write_current(r, folder):
 )
 def scan_cp932_logger(spark, d):
     folder = _folder(spark, d, "current", _write_current)
-    raw = sc.scan_by_header(sc.logger_lines(spark, folder, PREAMBLE, "cp932"), CURRENT_TYPES)
+    raw = sc.scan_by_header(spark, folder, PREAMBLE, CURRENT_TYPES, "cp932")
     picked = cl.select_by_name(raw, {
         "path": "path", "n": "No.", "date_text": "YYYY", "time_text": "hh:", "speed": "Velo[", "vel_x": "Vel X[", "temperature": "Temp[",
     })
@@ -138,7 +138,7 @@ def _write_station(r, folder):
 
 def _station(spark, d):
     folder = _folder(spark, d, "station", _write_station)
-    return sc.scan_by_header(sc.logger_lines(spark, folder, 1))
+    return sc.scan_by_header(spark, folder, 1)
 
 
 @query(
@@ -255,7 +255,7 @@ def _write_variants(r, folder):
 def variant_files(spark, d):
     folder = _folder(spark, d, "variants", _write_variants)
     table = sc.scan_variants(
-        sc.logger_lines(spark, folder, 0), {"conc_base_gain_carry_value": "conc"}, ["id", "station", "conc"], ["id", "conc"]
+        sc.scan_by_header(spark, folder, 0), {"conc_base_gain_carry_value": "conc"}, ["id", "station", "conc"], ["id", "conc"]
     )
     return table.drop("path")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import split_into
 from ..operators.joins import BROADCAST_ROWS, hand_back, key_join
 from ..operators.ordering import union_by_name
+from .files import line_at
 from .workbook import read_rows
 
 MAX_HEADERS = 500  # distinct header lines a folder may hold; more is an error, not a cut
@@ -63,6 +64,25 @@ def logger_lines(
     return raw.mapInPandas(decode, "path string, first boolean, line string")
 
 
+def header_lines(
+    spark: SparkSession, path: str, skip: int, encoding: str = "utf-8", glob: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """(path, head): the line after the preamble of every file. Only the start of each file is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    files = reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("uri"))
+    if pattern:
+        files = files.filter(F.col("path").rlike(pattern))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            heads = [line_at(uri, skip, encoding) for uri in pdf["uri"]]
+            yield pd.DataFrame({"path": pdf["path"], "head": heads})
+
+    return files.mapInPandas(read, "path string, head string").filter(F.col("head").isNotNull())
+
+
 def file_name_keys(df: DataFrame, names: Sequence[str], path: str = "path", pattern: str = "[^A-Za-z0-9]+") -> DataFrame:
     """Columns from the pieces of the file name; an empty name drops its piece."""
     base = F.element_at(F.split(F.col(path), "/"), -1)
@@ -97,13 +117,22 @@ def scan_headerless(lines: DataFrame, types: str, names: Sequence[str]) -> DataF
     return cells.select("path", *_typed(F.col("_cells"), types, names))
 
 
-def scan_by_header(lines: DataFrame, types: str | None = None) -> DataFrame:
-    """Tables whose first line names the columns; files with different headers are stacked by name.
+def scan_by_header(
+    spark: SparkSession,
+    path: str,
+    skip: int,
+    types: str | None = None,
+    encoding: str = "utf-8",
+    glob: str | None = None,
+    pattern: str | None = None,
+) -> DataFrame:
+    """Tables whose first line after the preamble names the columns; differing files are stacked by name.
 
     With ``types=None`` all columns stay text. The distinct header lines (one per logger
-    model) are the only thing brought to the driver.
+    model) are the only thing brought to the driver; the rows are read once.
     """
-    heads = lines.filter("first").select("path", F.col("line").alias("head"))
+    heads = header_lines(spark, path, skip, encoding, glob, pattern)
+    lines = logger_lines(spark, path, skip, encoding, glob, pattern)
     variants = [r["head"] for r in heads.select("head").distinct().limit(MAX_HEADERS + 1).collect()]
     if len(variants) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers")
@@ -115,6 +144,8 @@ def scan_by_header(lines: DataFrame, types: str | None = None) -> DataFrame:
         else:
             sizes = data.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
             data = hand_back(data, key_join(sizes, heads, ["path"]), ["path"], "_n", ["line"])
+    if not variants:
+        return data.select("path")
     parts = []
     for head in sorted(variants):
         names = _header_names(head)
@@ -125,9 +156,8 @@ def scan_by_header(lines: DataFrame, types: str | None = None) -> DataFrame:
     return union_by_name(parts)
 
 
-def scan_variants(lines: DataFrame, rename: Mapping[str, str], keep: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """Files that call the same column differently: rename, keep the common columns, stack."""
-    table = scan_by_header(lines)
+def scan_variants(table: DataFrame, rename: Mapping[str, str], keep: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """Stacked files that call the same column differently: bring the names together, keep the common columns."""
     for old, new in rename.items():
         if old in table.columns:
             source = F.col(f"`{old}`")

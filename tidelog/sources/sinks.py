@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import resolve
+
 
 def write_routed(df: DataFrame, path: str, column: str, pattern: str, hit: str, miss: str, fmt: str = "csv") -> None:
     """One folder per route: rows whose ``column`` matches go to ``region=hit``, the others to ``region=miss``.
@@ -35,8 +35,7 @@ def write_files(lines: DataFrame, folder: str, encode: Callable[[list[str]], byt
     packed = packed.select("file_name", F.col("rows.line").alias("lines"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Spark writes local URIs as file:/x, Arrow wants file:///x.
-        system, base = arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        system, base = resolve(folder)
         system.create_dir(base, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["file_name"], pdf["lines"]):
