@@ -31,13 +31,14 @@ CENTRE_A, WIDTH_A = 0.1, 2.0
 CENTRE_B, WIDTH_B = 10.0**-2.5, 1.8
 STEPS_ONE, STEPS_TWO = 8, 3
 LEVELS_ONE, LEVELS_TWO = 5, 6
+ROBUST_STEPS = 4
 PACK_CELLS = 4096  # groups with more distinct light values are never gathered
 
 
-def candidate_offsets(inhibition: bool) -> list[tuple[float, float]]:
+def candidate_offsets(inhibition: bool, steps: int = STEPS_ONE) -> list[tuple[float, float]]:
     """Candidates around a centre, in units of the level's width (log10)."""
     if not inhibition:
-        return [(i / STEPS_ONE, 0.0) for i in range(-STEPS_ONE, STEPS_ONE + 1)]
+        return [(i / steps, 0.0) for i in range(-steps, steps + 1)]
     one_side = range(-STEPS_TWO, STEPS_TWO + 1)
     return [(i / STEPS_TWO, j / STEPS_TWO) for i in one_side for j in one_side]
 
@@ -52,22 +53,26 @@ def curve_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
-def _candidate_texts(inhibition: bool) -> tuple[list[str], list[str]]:
-    offsets = candidate_offsets(inhibition)
+def _candidate_texts(inhibition: bool, steps: int) -> tuple[list[str], list[str]]:
+    offsets = candidate_offsets(inhibition, steps)
     a = [f"(_a * pow(10D, _wa * {u!r}D))" for u, _ in offsets]
     b = [f"(_b * pow(10D, _wb * {v!r}D))" if inhibition else "0D" for _, v in offsets]
     return a, b
 
 
-def with_candidates(groups: DataFrame, inhibition: bool = False) -> DataFrame:
+def with_candidates(groups: DataFrame, inhibition: bool = False, steps: int = STEPS_ONE) -> DataFrame:
     """Candidate ratios of each group as columns, computed per group and not per row."""
-    a, b = _candidate_texts(inhibition)
+    a, b = _candidate_texts(inhibition, steps)
     more = [f"{t} AS _p{i}" for i, t in enumerate(a)] + ([f"{t} AS _q{i}" for i, t in enumerate(b)] if inhibition else [])
     return groups.selectExpr("*", *more)
 
 
 def best_candidate(
-    cells: DataFrame, keys: Sequence[str], inhibition: bool = False, extra: Sequence[tuple[str, str]] = ()
+    cells: DataFrame,
+    keys: Sequence[str],
+    inhibition: bool = False,
+    extra: Sequence[tuple[str, str]] = (),
+    steps: int = STEPS_ONE,
 ) -> DataFrame:
     """Best candidate per group around the centres ``_a``/``_b`` with widths ``_wa``/``_wb`` of its rows.
 
@@ -75,8 +80,8 @@ def best_candidate(
     ``extra`` are further (aggregate, name) pairs taken in the same pass.
     """
     centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
-    offsets = candidate_offsets(inhibition)
-    a, b = _candidate_texts(inhibition)
+    offsets = candidate_offsets(inhibition, steps)
+    a, b = _candidate_texts(inhibition, steps)
     curves = [
         f"(1 - exp(-_p{i} * x))" + (f" * exp(-_q{i} * x)" if inhibition else "") + f" AS g{i}" for i in range(len(offsets))
     ]
@@ -95,7 +100,8 @@ def best_candidate(
             f"_vy - {cgy} * {cgy} / {vg} AS sse) END"
         )
     best = total.withColumn("_f", F.expr(f"array_min(array({', '.join(fits)}))"))
-    widths = ["_wa / 8 AS _wa"] if not inhibition else ["_wa / 3 AS _wa", "_wb / 3 AS _wb"]
+    finer = STEPS_TWO if inhibition else steps
+    widths = [f"{w} / {finer} AS {w}" for w in centre if w.startswith("_w")]
     return best.selectExpr(
         *[f"`{k}`" for k in keys], "_w AS n", "_f.a AS _a", "_f.b AS _b", *widths,
         "_f.pmax AS pmax", "_f.rd AS rd", "greatest(_f.sse, 0D) AS sse", *[name for _, name in extra],
@@ -268,7 +274,7 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
     groups = state.count()
 
     def weighted(current: DataFrame) -> DataFrame:
-        sized = with_candidates(current).withColumn("_size", F.col("n"))
+        sized = with_candidates(current, steps=ROBUST_STEPS).withColumn("_size", F.col("n"))
         placed = hand_back(rows, sized.drop("n"), keys, "_size", spread, groups).filter(F.col("_a").isNotNull())
         mu = F.expr("pmax * (1 - exp(-_a * x)) - rd")
         placed = placed.withColumn("_r2", (F.col("_y") - mu) * (F.col("_y") - mu))
@@ -276,13 +282,13 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
 
     for _ in range(steps):
         cells = weighted(state).select(
-            *keys, "_a", "_wa", *[f"_p{i}" for i in range(len(candidate_offsets(False)))], "x", "w", (F.col("w") * F.col("_r2")).alias("_wr2"),
+            *keys, "_a", "_wa", *[f"_p{i}" for i in range(2 * ROBUST_STEPS + 1)], "x", "w", (F.col("w") * F.col("_r2")).alias("_wr2"),
             (F.col("w") * F.col("_y")).alias("s1"), (F.col("w") * F.col("_y") * F.col("_y")).alias("s2"),
         )
-        new = best_candidate(cells, keys, extra=[("sum(_wr2)", "_scale"), ("count(1)", "_rows")])
+        new = best_candidate(cells, keys, extra=[("sum(_wr2)", "_scale"), ("count(1)", "_rows")], steps=ROBUST_STEPS)
         state = materialize(new.select(
             *keys, F.col("_rows").cast("double").alias("n"), "pmax", "rd", "_a",
-            (F.col("_wa") * 8 / 3).alias("_wa"), (F.col("_scale") / F.col("_rows")).alias("s2"),
+            (F.col("_wa") * ROBUST_STEPS / 3).alias("_wa"), (F.col("_scale") / F.col("_rows")).alias("s2"),
         ), "robust")
 
     return _shrink(_uncertainty(weighted(state), keys), keys)

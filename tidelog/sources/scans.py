@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import split_into
 from ..operators.joins import BROADCAST_ROWS, hand_back, key_join
-from ..operators.ordering import union_by_name
 from .files import line_at
 from .workbook import read_rows
 
@@ -89,14 +88,18 @@ def file_name_keys(df: DataFrame, names: Sequence[str], path: str = "path", patt
     return df.select("*", *split_into(base, names, pattern))
 
 
+def _as_type(cell: Column, kind: str) -> Column:
+    text = F.nullif(F.trim(cell), F.lit(""))
+    return text.try_cast("double") if kind == "n" else text
+
+
 def _typed(cells: Column, types: str, names: Sequence[str]) -> list[Column]:
     """Columns by position: n number, c text, _ dropped. Unreadable numbers become NULL."""
     out = []
     for i, (kind, name) in enumerate(zip(types, names)):
         if kind == "_":
             continue
-        text = F.nullif(F.trim(F.get(cells, F.lit(i))), F.lit(""))
-        out.append((text.try_cast("double") if kind == "n" else text).alias(name))
+        out.append(_as_type(F.get(cells, F.lit(i)), kind).alias(name))
     return out
 
 
@@ -133,27 +136,39 @@ def scan_by_header(
     """
     heads = header_lines(spark, path, skip, encoding, glob, pattern)
     lines = logger_lines(spark, path, skip, encoding, glob, pattern)
-    variants = [r["head"] for r in heads.select("head").distinct().limit(MAX_HEADERS + 1).collect()]
+    variants = sorted(r["head"] for r in heads.select("head").distinct().limit(MAX_HEADERS + 1).collect())
     if len(variants) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers")
     data = lines.filter(~F.col("first")).select("path", "line")
-    if len(variants) > 1:
-        files = heads.count()
-        if files <= BROADCAST_ROWS:
-            data = key_join(data, F.broadcast(heads), ["path"])
-        else:
-            sizes = data.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-            data = hand_back(data, key_join(sizes, heads, ["path"]), ["path"], "_n", ["line"])
     if not variants:
         return data.select("path")
-    parts = []
-    for head in sorted(variants):
+    number = F.coalesce(*[F.when(F.col("head") == v, F.lit(i)) for i, v in enumerate(variants)])
+    heads = heads.select("path", number.alias("_variant"))
+    if len(variants) == 1:
+        data = data.withColumn("_variant", F.lit(0))
+    elif heads.count() <= BROADCAST_ROWS:
+        data = key_join(data, F.broadcast(heads), ["path"])
+    else:
+        sizes = data.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+        data = hand_back(data, key_join(sizes, heads, ["path"]), ["path"], "_n", ["line"])
+    # Where each named column sits in each kind of file, and its type letter there.
+    places: dict[str, list[tuple[int, int]]] = {}
+    letters: dict[str, str] = {}
+    width = 0
+    for i, head in enumerate(variants):
         names = _header_names(head)
-        mine = data.filter(F.col("head") == head) if len(variants) > 1 else data
         kinds = types or "c" * len(names)
-        cells = mine.withColumn("_cells", _csv_cells(F.col("line"), max(len(kinds), len(names))))
-        parts.append(cells.select("path", *_typed(F.col("_cells"), kinds, names)))
-    return union_by_name(parts)
+        width = max(width, len(names), len(kinds))
+        for at, (name, kind) in enumerate(zip(names, kinds)):
+            if kind != "_":
+                places.setdefault(name, []).append((i, at))
+                letters[name] = kind
+    cells = data.withColumn("_cells", _csv_cells(F.col("line"), width))
+    out = []
+    for name, spots in places.items():
+        at = F.coalesce(*[F.when(F.col("_variant") == i, F.lit(pos)) for i, pos in spots])
+        out.append(_as_type(F.get(F.col("_cells"), at), letters[name]).alias(name))
+    return cells.select("path", *out)
 
 
 def scan_variants(table: DataFrame, rename: Mapping[str, str], keep: Sequence[str], numbers: Sequence[str]) -> DataFrame:
