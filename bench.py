@@ -21,7 +21,7 @@ HEADLINE = [
     "complete_groups",
     "box_stats",
     "subtract_group_min",
-    "oxygen_slope",         # the step the reference notes as about ten minutes
+    "oxygen_slope",         # smooth every site-depth-day and take its slope
     "seasonal_by_site",
     "seasonal_predict",
     "nested_f_test",

@@ -121,6 +121,11 @@ def smooth_terms(spark, d):
 # --- linear models -----------------------------------------------------------
 
 # Per-site regression on h = month - 6; the treatment-coded model is a rewriting of it.
+COEF = """coef AS (
+  SELECT 'intercept' AS term, a AS estimate, sqrt(va) AS se FROM base
+  UNION ALL SELECT 'month', b, sqrt(vb) FROM base
+  UNION ALL SELECT 'site[' || s.location || ']', s.a - z.a, sqrt(s.va + z.va) FROM site s, base z WHERE s.location <> z.location
+  UNION ALL SELECT 'month:site[' || s.location || ']', s.b - z.b, sqrt(s.vb + z.vb) FROM site s, base z WHERE s.location <> z.location)"""
 PER_SITE = """per AS (
   SELECT location, count(*) AS n, regr_intercept(value, month - 6) AS a, regr_slope(value, month - 6) AS b,
          regr_sxx(value, month - 6) AS sxx, regr_sxy(value, month - 6) AS sxy, regr_syy(value, month - 6) AS syy,
@@ -130,11 +135,7 @@ err AS (SELECT sum(syy - sxy * sxy / sxx) / (sum(n) - 2 * count(*)) AS s2, sum(n
                sum(syy - sxy * sxy / sxx) AS sse FROM per),
 site AS (SELECT location, a, b, s2 * (1.0 / n + hbar * hbar / sxx) AS va, s2 / sxx AS vb FROM per, err),
 base AS (SELECT * FROM site WHERE location = (SELECT min(location) FROM site)),
-coef AS (
-  SELECT 'intercept' AS term, a AS estimate, sqrt(va) AS se FROM base
-  UNION ALL SELECT 'month', b, sqrt(vb) FROM base
-  UNION ALL SELECT 'site[' || s.location || ']', s.a - z.a, sqrt(s.va + z.va) FROM site s, base z WHERE s.location <> z.location
-  UNION ALL SELECT 'month:site[' || s.location || ']', s.b - z.b, sqrt(s.vb + z.vb) FROM site s, base z WHERE s.location <> z.location)"""
+""" + COEF
 
 
 def _simpson(density: str, t: str) -> str:
@@ -186,10 +187,35 @@ def glm_gamma_site(spark, d):
     return _snapped(_snapped(out, "estimate"), "se", digits=5)
 
 
-@query("glm_gamma_slope_site")
+# With site-wise slopes a Gamma model falls apart into one two-parameter fit per site; each
+# iteration is a weighted straight line through the working response of the month cells.
+GAMMA_LINES = f"""WITH RECURSIVE {DAILY},
+cells AS (SELECT location, (month - 6)::DOUBLE AS h, count(*)::DOUBLE AS n, sum(value) AS s1, sum(value * value) AS s2 FROM daily GROUP BY ALL),
+steps(step, location, b0, b1) AS (
+  SELECT 0, location, ln(sum(s1) / sum(n)), 0.0::DOUBLE FROM cells GROUP BY location
+  UNION ALL
+  SELECT step + 1, location, (sz - b * sh) / sn, b FROM (
+    SELECT step, location, sum(n) AS sn, sum(n * h) AS sh, sum(n * z) AS sz,
+           (sum(n * h * z) - sum(n * h) * sum(n * z) / sum(n)) / (sum(n * h * h) - sum(n * h) * sum(n * h) / sum(n)) AS b
+    FROM (SELECT s.step, c.location, n, h, b0 + b1 * h + (s1 / n - exp(b0 + b1 * h)) / exp(b0 + b1 * h) AS z
+          FROM cells c JOIN steps s ON s.location = c.location WHERE s.step < 30)
+    GROUP BY step, location)),
+lines AS (SELECT location, b0 AS a, b1 AS b FROM steps WHERE step = 30),
+disp AS (SELECT sum((s2 - 2 * s1 * exp(a + b * h) + n * exp(2 * (a + b * h))) / exp(2 * (a + b * h))) / (sum(n) - 2 * count(DISTINCT c.location)) AS phi
+         FROM cells c JOIN lines l ON l.location = c.location),
+site AS (SELECT l.location, a, b, phi * shh / (sn * shh - sh * sh) AS va, phi * sn / (sn * shh - sh * sh) AS vb FROM lines l, disp,
+         (SELECT location, sum(n) AS sn, sum(n * h) AS sh, sum(n * h * h) AS shh FROM cells GROUP BY location) m WHERE m.location = l.location),
+base AS (SELECT * FROM site WHERE location = (SELECT min(location) FROM site)),
+"""
+
+
+@query(
+    "glm_gamma_slope_site",
+    GAMMA_LINES + COEF + f" SELECT term, {snap_sql('estimate', 5)} AS estimate, {snap_sql('se', 5)} AS se FROM coef",
+)
 def glm_gamma_slope_site(spark, d):
     _, fit = _full_model(spark, d, "slope*site", "gamma")
-    return ln.coefficient_table(spark, fit)
+    return _snapped(ln.coefficient_table(spark, fit).select("term", "estimate", "se"), "estimate", "se", digits=5)
 
 
 @query(

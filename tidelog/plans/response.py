@@ -240,9 +240,32 @@ def draws_rhat(spark, d):
     return _snapped(dr.split_rhat(draws(spark, d), "param", "chain", "iter", "value"), "rhat", digits=6)
 
 
-@query("draws_ess")
+# The sum ends at the first negative pair of autocorrelations; 200 lags are offered here and the
+# result is NULL, hence a mismatch, should a sequence be longer.
+ESS_VIEWS = [
+    """centred AS (SELECT param, chain, iter, value - avg(value) OVER g AS x, count(*) OVER g AS n FROM draws
+                   WINDOW g AS (PARTITION BY param, chain))""",
+    """acov AS (SELECT a.param, a.chain, t, sum(a.x * b.x) / any_value(a.n) AS v FROM centred a, (SELECT unnest(range(200)) AS t), centred b
+                WHERE b.param = a.param AND b.chain = a.chain AND b.iter = a.iter + t GROUP BY 1, 2, 3)""",
+    """size AS (SELECT param, var_samp(m) AS between, min(n)::DOUBLE AS n, count(*) AS chains, sum(n) AS total
+                FROM (SELECT param, chain, avg(value) AS m, count(*) AS n FROM draws GROUP BY 1, 2) GROUP BY param)""",
+    """rho AS (SELECT param, t, CASE t WHEN 0 THEN 1 ELSE 1 - (w - v * n / (n - 1)) / (w * (n - 1) / n + between) END AS r FROM (
+                 SELECT a.param, t, avg(v) AS v, n, between, max(avg(v)) FILTER (t = 0) OVER (PARTITION BY a.param) * n / (n - 1) AS w
+                 FROM acov a JOIN size USING (param) GROUP BY a.param, t, n, between))""",
+    "pairs AS (SELECT param, t // 2 AS j, sum(r) AS p FROM rho GROUP BY 1, 2)",
+    "ends AS (SELECT param, min(j) FILTER (p < 0) AS stop FROM pairs GROUP BY param)",
+    """steps AS (SELECT param, j, min(p) OVER (PARTITION BY param ORDER BY j) AS p FROM pairs)""",
+]
+
+
+@query(
+    "draws_ess",
+    with_views(
+        f"""SELECT param, any_value(total)::BIGINT AS n_draws, {snap_sql('1 / greatest(2 * sum(p) - 1, 1 / log10(any_value(chains * n)))')} AS neff_ratio
+            FROM steps JOIN ends USING (param) JOIN size USING (param) WHERE j < stop GROUP BY param""", DRAWS, *ESS_VIEWS),
+)
 def draws_ess(spark, d):
-    return dr.effective_ratio(draws(spark, d), "param", "chain", "iter", "value")
+    return _snapped(dr.effective_ratio(draws(spark, d), "param", "chain", "iter", "value"), "neff_ratio")
 
 
 @query(

@@ -172,7 +172,8 @@ def union_varied_files(spark, d):
 
 
 def _write_sheets(r, folder):
-    serial = (F.unix_timestamp(tm.floor_minutes("datetime").cast("timestamp")) / 86400 + 25569).cast("string")
+    minutes = F.hour("datetime") * 60 + F.minute("datetime")
+    serial = (tm.length_days(F.lit("1899-12-30").cast("date"), "datetime") + minutes / 1440).cast("string")
     part = _chunked(r, "xlsx", "sheet")
     rows = part.select("file_name", F.col("event_id").alias("row"), F.concat_ws(",", "location", "event_id", serial, "ppfd").alias("line"))
     sk.write_files(_with_heading(rows, ["location,id,start_date,value"]), folder, _as_workbook)
