@@ -44,6 +44,19 @@ def test_intervals_closed_overlapping_and_reversed(spark):
     assert got == [("s", T(2024, 1, 1)), ("s", T(2024, 1, 2)), ("s", T(2024, 1, 3))]
 
 
+def test_intervals_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = T(2024, 1, 1)
+    at = lambda hours: base + dt.timedelta(hours=int(hours))
+    intervals = [(f"s{rng.integers(3)}", at(a), at(a + rng.integers(-5, 120))) for a in rng.integers(0, 600, 25)]
+    readings = [(i, f"s{rng.integers(4)}", at(h)) for i, h in enumerate(rng.integers(0, 720, 800))]
+    got = jn.within_intervals(
+        frame(spark, readings, "i int, location string, datetime timestamp_ntz"),
+        frame(spark, intervals, "location string, start_date timestamp_ntz, end_date timestamp_ntz"))
+    want = sorted(i for i, s, t in readings if any(s == p and a <= t <= b for p, a, b in intervals))
+    assert 100 < len(want) < 800 and sorted(r["i"] for r in got.collect()) == want
+
+
 def test_hand_back_with_a_hot_group(spark):
     # One group holds most rows, another is missing its key: every row keeps its own result once.
     df = spark.range(5000).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidelog.functions import times as tm
 from tidelog.operators import cleaning as cl
+from tidelog import session as ss
 from tidelog.session import materialize, shared_dir
 from tidelog.sources import calibration as cal
 from tidelog.sources import scans as sc
@@ -24,15 +25,15 @@ def cp932_file(folder, name, lines, skip=36):
 
 
 def test_cp932_preamble_and_header(spark, tmp_path):
-    cp932_file(tmp_path, "a_1_arik_0m_x.csv", ["1,2018/01/01,00:00:00,1.5,-2,3,", "2,2018/01/01,00:10:00,x,7,,"])
-    cp932_file(tmp_path, "a_2_tain_1m 測定.csv", [])
+    cp932_file(tmp_path, "a_1_north_0m_x.csv", ["1,2018/01/01,00:00:00,1.5,-2,3,", "2,2018/01/01,00:10:00,x,7,,"])
+    cp932_file(tmp_path, "a_2_east_1m 測定.csv", [])
     table = sc.scan_by_header(spark, str(tmp_path), 36, "nccnnn_", "cp932")
     picked = cl.select_by_name(table, {"path": "path", "n": "No.", "d": "YYYY", "t": "hh:", "speed": "Velo[", "chl": "ｸﾛﾛ["})
     keyed = sc.file_name_keys(picked, ["", "id", "location", "position"]).withColumn("ts", tm.stamp("d", "t"))
     got = rows(keyed, "n", "ts", "speed", "chl", "id", "location", "position")
     assert got == [
-        (1.0, dt.datetime(2018, 1, 1), 1.5, 3.0, "1", "arik", "0m"),
-        (2.0, dt.datetime(2018, 1, 1, 0, 10), None, None, "1", "arik", "0m"),
+        (1.0, dt.datetime(2018, 1, 1), 1.5, 3.0, "1", "north", "0m"),
+        (2.0, dt.datetime(2018, 1, 1, 0, 10), None, None, "1", "north", "0m"),
     ]
 
 
@@ -87,12 +88,12 @@ def test_excel_day_numbers(spark):
 
 
 def test_routed_sink_and_typed_csv(spark, tmp_path):
-    df = spark.createDataFrame([("arik", 1.0), ("mush", None)], "location string, x double")
+    df = spark.createDataFrame([("north", 1.0), ("south", None)], "location string, x double")
     for fmt in ("csv", "parquet"):
-        sk.write_routed(df, str(tmp_path / fmt), "location", "arik|tain", "kami", "mushi", fmt)
-    back = sc.scan_typed_csv(spark, str(tmp_path / "csv" / "region=mushi"), "location STRING, x DOUBLE")
-    assert rows(back) == [("mush", None)]
-    assert rows(spark.read.parquet(str(tmp_path / "parquet")), "location", "region") == [("arik", "kami"), ("mush", "mushi")]
+        sk.write_routed(df, str(tmp_path / fmt), "location", "north|east", "near", "far", fmt)
+    back = sc.scan_typed_csv(spark, str(tmp_path / "csv" / "region=far"), "location STRING, x DOUBLE")
+    assert rows(back) == [("south", None)]
+    assert rows(spark.read.parquet(str(tmp_path / "parquet")), "location", "region") == [("north", "near"), ("south", "far")]
 
 
 def test_written_files_are_whole(spark, tmp_path):
@@ -112,3 +113,9 @@ def test_calibration_table(spark, tmp_path):
 def test_materialized_rows_do_not_depend_on_the_plan(spark):
     fixed = materialize(spark.range(10).withColumn("u", F.rand()), "t")
     assert rows(fixed) == rows(fixed) and shared_dir(spark) in fixed.inputFiles()[0]
+
+
+def test_written_tables_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(ss, "_written", {})
+    table = materialize(spark.range(3), "drop")
+    assert table.count() == 3 and ss.drop_written(spark) == 1 and ss.drop_written(spark) == 0

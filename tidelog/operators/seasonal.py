@@ -94,11 +94,6 @@ class SeasonModel:
         return out
 
 
-def model_table(spark: SparkSession, models: dict[str, SeasonModel]) -> DataFrame:
-    rows = [(name, m.fit.df_model, m.fit.deviance, m.fit.scale, m.fit.n) for name, m in models.items()]
-    return dimension(spark, rows, ["model", "edf", "deviance", "scale", "n"])
-
-
 def smooth_terms(spark: SparkSession, models: dict[str, SeasonModel]) -> DataFrame:
     rows = [r for variable, m in models.items() for r in m.smooth_table(variable)]
     return dimension(spark, rows, ["variable", "site", "edf", "ref_df", "f_value", "p_value"])

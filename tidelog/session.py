@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}  # paths written per application
 
 
 def get_session(app: str = "tidelog", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,7 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; results still reading them become unusable."""
+    from .sources.files import remove
+
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    return sum(remove(path) for path in paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

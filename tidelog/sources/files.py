@@ -27,3 +27,12 @@ def line_at(uri: str, number: int, encoding: str, step: int = 1 << 16) -> str |
             data += block
     lines = data.splitlines()
     return lines[number].decode(encoding) if len(lines) > number else None
+
+
+def remove(uri: str) -> bool:
+    """Delete a folder if it is there."""
+    system, path = resolve(uri)
+    if system.get_file_info(path).type != arrow_fs.FileType.Directory:
+        return False
+    system.delete_dir(path)
+    return True
