@@ -5,16 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ngram_join import ngram_join
+from .shards import shard_rows
+from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(labelled_sample(docs, _table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), F.col("toxic_matches").alias("matches"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join}
-ORACLES: dict[str, str] = {}
+def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return shard_rows(rows, 16, ["doc_id"], seed=20).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# CRC-32 from its rule (reversed polynomial 0xEDB88320), then the permutation with one recursion step per round;
+# a walk past the table goes on with round 0. Row numbers follow doc_id.
+SHARD_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS n FROM documents),
+sums AS (
+  SELECT doc_id, n, octet_length(encode(text)) + 1 AS size,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM docs, crc_table),
+grid AS (SELECT total, wide, (total + wide - 1) // wide AS high FROM (SELECT count(*) AS total, ceil(sqrt(count(*)))::BIGINT AS wide FROM documents)),
+walk AS (
+  SELECT n, n // high AS l, n % high AS r, 0 AS k FROM docs, grid
+  UNION ALL
+  SELECT n,
+         CASE WHEN k % 2 = 0 THEN (l + ('0x' || substr(md5('20:' || k || ':' || r), 1, 15))::BIGINT % wide) % wide ELSE l END,
+         CASE WHEN k % 2 = 0 THEN r ELSE (r + ('0x' || substr(md5('20:' || k || ':' || l), 1, 15))::BIGINT % high) % high END,
+         k + 1
+  FROM (SELECT n, l, r, CASE WHEN k = 8 THEN 0 ELSE k END AS k FROM walk, grid WHERE k < 8 OR l * high + r >= total) AS w, grid),
+placed AS (SELECT n, l * high + r AS place FROM walk, grid WHERE k = 8 AND l * high + r < total)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law,
+       (place % 16)::INTEGER AS shard, (place // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM sums JOIN placed USING (n)
+"""
+
+QUERIES = {"op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op10_feistel_shards": op10_feistel_shards}
+ORACLES: dict[str, str] = {"op10_feistel_shards": SHARD_SQL}
