@@ -14,8 +14,8 @@ from .words import chunks, mix, shingles
 
 WORDS = 5
 PERCENT = 75
-FRAGMENT_BYTES = 24 << 20  # text whose n-grams make one vertical fragment of the rarity pass
-TILE_DOCS = 256
+FRAGMENT_BYTES = 16 << 20  # text whose n-grams make one vertical fragment of the rarity pass
+TILE_DOCS = 512
 TILE_GRAMS = 1 << 20
 
 
@@ -159,16 +159,17 @@ def _link_tile(percent: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        segments = pa.concat_arrays(table["segment"].chunks)
-        bounds, values = segments.offsets.to_numpy(), segments.values.to_numpy()
-        nodes, first, owner = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
-        n, fragment = table["n"].to_numpy()[first], table["fragment"].to_numpy()
-        lengths = np.diff(bounds)
+        nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+        n = table["n"].to_numpy()[first]
+        lists, levels = pa.concat_arrays(table["grams"].chunks).take(pa.array(first)), pa.concat_arrays(table["levels"].chunks).take(pa.array(first))
+        grams, level = lists.flatten().to_numpy(), levels.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
+        # fragments: consecutive cuts of the order (frequency level, then quarter of the hash range)
+        fragment = level * 4 + (grams >> 62) + 2
         overlap = np.zeros((len(nodes), len(nodes)), np.int64)
         for f in np.unique(fragment):
-            chosen = np.flatnonzero(fragment == f)
-            gram = np.concatenate([values[bounds[i]:bounds[i + 1]] for i in chosen])
-            holder = np.repeat(owner[chosen], lengths[chosen])
+            chosen = fragment == f
+            gram, holder = grams[chosen], owner[chosen]
             order = np.argsort(gram, kind="stable")
             gram, holder = gram[order], holder[order]
             new = np.r_[True, gram[1:] != gram[:-1]]
@@ -208,7 +209,6 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     grams = materialize(sets.select("node", "n", F.explode("grams").alias("g")), "ngram-rows")
     often = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    # fragments: consecutive cuts of the order (frequency level, then quarter of the hash range)
     rows = grams.join(often, "g").withColumn("level", F.floor(F.log2("df")).cast("int"))
     need = F.expr(f"(n * {percent} + 99) div 100")
     ordered = materialize(rows.groupBy("node", "n").agg(
@@ -221,13 +221,10 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     member = materialize(group.join(ordered, "node"), "ngram-members")
     size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("o")).alias("total")).where("m > 1").select(
         "component", F.greatest(F.ceil(F.col("m") / TILE_DOCS), F.ceil(F.col("total") / TILE_GRAMS)).cast("int").alias("blocks"))
-    cut = member.select("node", "n", "component", F.explode(F.expr(
-        "transform(array_distinct(transform(o, x -> x.level * 4 + shiftright(x.g, 62) + 2)),"
-        " f -> struct(f, transform(filter(o, x -> x.level * 4 + shiftright(x.g, 62) + 2 = f), x -> x.g) as segment))")).alias("s"))
-    tiled = cut.join(size, "component").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).select(
-        "node", "n", "component", "s", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "node", "n", F.col("s.f").alias("fragment"), F.col("s.segment").alias("segment"),
-        "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    tiled = member.join(size, "component").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).select(
+        "node", "n", F.col("o.level").alias("levels"), F.col("o.g").alias("grams"),
+        "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        "node", "n", "levels", "grams", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     return tiled.groupBy("component", "p", "q").applyInArrow(_link_tile(percent), "a long, b long")
 
 

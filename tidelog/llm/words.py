@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # text handled at once; longer texts pass in windows cut at white space
+CHUNK_BYTES = 2 << 20  # text handled at once; longer texts pass in windows cut at white space
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
