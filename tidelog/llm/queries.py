@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import new_path
+from .mixing import MixTargets, mix_sources, token_count
 from .ngram_join import ngram_join
+from .packing import packed_digest
 from .shards import shard_rows
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 
@@ -13,6 +16,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX = MixTargets(percent=80, max_epochs=3, seed=7, default=1, weights={
+    "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}})
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Domain of a document: the number of its source modulo 4 (sources without number: none)."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "[0-9]+", 0)
+    return docs.withColumn("domain", F.when(number != "", F.concat(F.lit("d"), number.cast("long") % 4)).otherwise("none"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(_table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", token_count(F.col("text")).alias("n_tokens")))
+    return mix_sources(docs, MIX_LEVELS, MIX, tokens=F.col("n_tokens")).select("doc_id", "domain", "lang", "source", "n_tokens", "mix_epoch")
+
+
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(_table(spark, sf_dir, "documents"), VOCABULARY, new_path(spark, "packed"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(labelled_sample(docs, _table(spark, sf_dir, "labels")))
@@ -61,5 +87,36 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM sums JOIN placed USING (n)
 """
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op10_feistel_shards": op10_feistel_shards}
-ORACLES: dict[str, str] = {"op10_feistel_shards": SHARD_SQL}
+def _share_sql(depth: int) -> str:
+    """Budgets of one tree level from those of the level above."""
+    keys = [f"l{i}" for i in range(depth + 1)]
+    above = ", ".join(keys[:-1])
+    part = f"PARTITION BY {above}" if above else ""
+    level = MIX_LEVELS[depth]
+    weight = f"CASE l{depth} " + " ".join(f"WHEN '{v}' THEN {w}" for v, w in MIX.weights[level].items()) + f" ELSE {MIX.default} END"
+    give = f"JOIN (SELECT {above}, got AS give FROM share{depth - 1}) AS p USING ({above})" if above else \
+        f"CROSS JOIN (SELECT sum(tokens) * {MIX.percent} // 100 AS give FROM leaves) AS p"
+    return f"""
+node{depth} AS (SELECT {', '.join(keys)}, sum(tokens) * {MIX.max_epochs} AS cap, {weight} AS w FROM leaves GROUP BY ALL),
+run{depth} AS (SELECT *, greatest(0, give - coalesce(sum(cap) OVER before, 0)) AS rest, sum(w) OVER onward AS ws FROM node{depth} {give}
+  WINDOW before AS ({part} ORDER BY cap / w, l{depth} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onward AS ({part} ORDER BY cap / w, l{depth} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+open{depth} AS (SELECT *, first(CASE WHEN cap * ws > rest * w THEN [rest, ws] END IGNORE NULLS) OVER ({part} ORDER BY cap / w, l{depth} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS o FROM run{depth}),
+share{depth} AS (SELECT {', '.join(keys)}, CASE WHEN cap * ws <= rest * w THEN cap ELSE least(cap, o[1] * w // o[2]) END AS got FROM open{depth})"""
+
+
+MIX_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+         CASE WHEN regexp_extract(coalesce(source, ''), '[0-9]+') = '' THEN 'none' ELSE 'd' || (regexp_extract(source, '[0-9]+')::BIGINT % 4) END AS domain FROM documents),
+keyed AS (SELECT *, domain AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM docs),
+leaves AS (SELECT l0, l1, l2, sum(n_tokens)::HUGEINT AS tokens FROM keyed GROUP BY ALL),
+{",".join(_share_sql(i) for i in range(3))},
+plan AS (SELECT l0, l1, l2, CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN got % tokens ELSE got END AS rest FROM share2 JOIN leaves USING (l0, l1, l2)),
+placed AS (SELECT *, ('0x' || substr(md5('{MIX.seed}:' || epochs || ':' || doc_id), 1, 15))::BIGINT AS place FROM keyed JOIN plan USING (l0, l1, l2)),
+counted AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY place) <= rest THEN 1 ELSE 0 END AS copies FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::INTEGER AS mix_epoch FROM counted
+"""
+
+QUERIES = {"op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op10_feistel_shards": op10_feistel_shards}
+ORACLES: dict[str, str] = {"op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
