@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import new_path
+from .decontam import find_leaks
 from .mixing import MixTargets, mix_sources, token_count
 from .ngram_join import ngram_join
 from .packing import packed_digest
@@ -52,6 +53,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items").alias("item_ids"), F.round("leaked_share", 4).alias("share"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _table(spark, sf_dir, "documents").select(
@@ -107,7 +113,8 @@ share{depth} AS (SELECT {', '.join(keys)}, CASE WHEN cap * ws <= rest * w THEN c
 
 MIX_SQL = rf"""
 WITH docs AS (
-  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens,
          CASE WHEN regexp_extract(coalesce(source, ''), '[0-9]+') = '' THEN 'none' ELSE 'd' || (regexp_extract(source, '[0-9]+')::BIGINT % 4) END AS domain FROM documents),
 keyed AS (SELECT *, domain AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM docs),
 leaves AS (SELECT l0, l1, l2, sum(n_tokens)::HUGEINT AS tokens FROM keyed GROUP BY ALL),
@@ -118,5 +125,5 @@ counted AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTIT
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::INTEGER AS mix_epoch FROM counted
 """
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op10_feistel_shards": op10_feistel_shards}
+QUERIES = {"op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
 ORACLES: dict[str, str] = {"op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}

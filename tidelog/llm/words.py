@@ -30,6 +30,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PLAIN = _SPACE.copy()  # blanks and ASCII punctuation, for comparisons that ignore punctuation
+PLAIN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))[_LOWER]  # value of each raw byte, lower-cased
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -43,11 +45,11 @@ def _power(name: str, size: int) -> np.ndarray:
     return _powers[name][:size]
 
 
-def _window_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window_words(data: np.ndarray, edges: np.ndarray, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of ``data`` and, for each edge, the number of words that start before it."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
-    space = _SPACE[data]
+    space = blanks[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[edges] = True
     cut[0] = cut[-1] = True
@@ -66,20 +68,20 @@ def _window_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(raw ^ ((ends - starts + 1).astype(np.uint64) * _M2)), np.searchsorted(starts, edges)
 
 
-def _long_words(data: np.ndarray) -> np.ndarray:
+def _long_words(data: np.ndarray, blanks: np.ndarray) -> np.ndarray:
     """Words of one text of any length, in windows that end at white space."""
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK_BYTES)
         if end < len(data):
-            blank = np.flatnonzero(_SPACE[data[at:end]])
+            blank = np.flatnonzero(blanks[data[at:end]])
             while not len(blank) and end < len(data):  # a word longer than the window
                 end = min(len(data), end + CHUNK_BYTES)
-                blank = np.flatnonzero(_SPACE[data[at:end]])
+                blank = np.flatnonzero(blanks[data[at:end]])
             if end < len(data):
                 end = at + int(blank[-1]) + 1
         piece = data[at:end]
-        parts.append(_window_words(piece, np.array([0, len(piece)]))[0])
+        parts.append(_window_words(piece, np.array([0, len(piece)]), blanks)[0])
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
@@ -96,7 +98,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, blanks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after last, word hashes, word offsets per row) for runs of rows of at most ``limit`` bytes.
 
     A text above the limit comes alone.
@@ -108,13 +110,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         high = min(high, len(column))
         piece = data[offsets[low]:offsets[high]]
         if high == low + 1 and len(piece) > CHUNK_BYTES:
-            words = _long_words(piece)
+            words = _long_words(piece, blanks)
             yield low, high, words, np.array([0, len(words)])
         elif len(piece) > CHUNK_BYTES:
-            parts = [_long_words(data[offsets[i]:offsets[i + 1]]) for i in range(low, high)]
+            parts = [_long_words(data[offsets[i]:offsets[i + 1]], blanks) for i in range(low, high)]
             yield low, high, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         else:
-            yield low, high, *_window_words(piece, offsets[low:high + 1] - offsets[low])
+            yield low, high, *_window_words(piece, offsets[low:high + 1] - offsets[low], blanks)
         low = high
 
 
