@@ -11,12 +11,17 @@ from .ngram_join import ngram_join
 from .packing import packed_digest
 from .shards import shard_rows
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
+from .vector_dedup import near_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 MIX_LEVELS = ["domain", "lang", "source"]
@@ -125,5 +130,5 @@ counted AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTIT
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::INTEGER AS mix_epoch FROM counted
 """
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
+QUERIES = {"op3_vector_dedup": op3_vector_dedup, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
 ORACLES: dict[str, str] = {"op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
