@@ -209,65 +209,60 @@ def _matching(finder: _Finder, items: Items, weights: np.ndarray, vectors: np.nd
                 return 0.0
         return share
 
-    def run(batches):
-        for batch in batches:
-            for low, high, words, at in chunks(batch.column(1), blanks=PLAIN):
-                found = finder(words)
-                passage, term, first = _passages(found, at, informative, True)
-                hits: list[dict[int, float]] = [{} for _ in range(high - low)]
-                for a in range(0, len(passage), 65536):
-                    b = min(len(passage), a + 65536)
-                    a = int(np.searchsorted(passage, passage[a]))
-                    b = int(np.searchsorted(passage, passage[b - 1], "left")) if b < len(passage) else b
-                    p, t = passage[a:b], term[a:b]
-                    if not len(p):
-                        continue
-                    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                    latent = np.add.reduceat(scaled[t], starts)
-                    dot = latent @ query.T
-                    length = np.linalg.norm(latent, axis=1)[:, None]
-                    good = useful & (dot >= SHARE * norm ** 2) & (dot >= COSINE * length * norm)
-                    for r, j in zip(*np.nonzero(good)):
-                        number = int(p[starts[r]])
-                        doc = int(np.searchsorted(first, number, "right")) - 1
-                        begin = at[doc] + (number - first[doc]) * HALF
-                        around = found[max(at[doc], begin - HALF // 2):min(at[doc + 1], begin + 2 * HALF + HALF // 2)]
-                        item = items.ids[j]
-                        if hits[doc].get(item, 0) < 1:
-                            share = check(around, int(j))
-                            if share > hits[doc].get(item, 0):
-                                hits[doc][item] = share
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[low:high],
-                    pa.array([sorted(h) for h in hits], pa.list_(pa.int64())),
-                    pa.array([max(h.values(), default=0.0) for h in hits], pa.float64())], names=["id", "items", "share"])
-
-    return run
-
-
-def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               rank: int = RANK) -> DataFrame:
-    """One row per row of ``df``: id, leaked_items (sorted ids of benchmark items found), share (largest part of an item found in order).
+    def match(texts: pa.Array) -> pa.Array:
+        leaks: list[dict[int, float]] = []
+        for low, high, words, at in chunks(texts, blanks=PLAIN):
+            found = finder(words)
+            passage, term, first = _passages(found, at, informative, True)
+            hits: list[dict[int, float]] = [{} for _ in range(high - low)]
+            a = 0
+            while a < len(passage):
+                # whole passages, about 65536 entries at once
+                b = min(len(passage), a + 65536)
+                b = max(int(np.searchsorted(passage, passage[b - 1], "left")), int(np.searchsorted(passage, passage[a], "right"))) if b < len(passage) else b
+                p, t = passage[a:b], term[a:b]
+                a = b
+                starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                latent = np.add.reduceat(scaled[t], starts)
+                dot = latent @ query.T
+                length = np.linalg.norm(latent, axis=1)[:, None]
+                good = useful & (dot >= SHARE * norm ** 2) & (dot >= COSINE * length * norm)
+                for r, j in zip(*np.nonzero(good)):
+                    number = int(p[starts[r]])
+                    doc = int(np.searchsorted(first, number, "right")) - 1
+                    begin = at[doc] + (number - first[doc]) * HALF
+                    item = items.ids[j]
+                    if hits[doc].get(item, 0) < 1:
+                        share = check(found[max(at[doc], begin - HALF // 2):min(at[doc + 1], begin + 2 * HALF + HALF // 2)], int(j))
+                        if share > hits[doc].get(item, 0):
+                            hits[doc][item] = share
+            leaks += hits
+        return pa.StructArray.from_arrays([
+            pa.array([sorted(h) for h in leaks], pa.list_(pa.int64())),
+            pa.array([max(h.values(), default=0.0) for h in leaks], pa.float64())], names=["items", "share"])
+
+    return match
+
+
+def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK) -> DataFrame:
+    """All columns of ``df`` with leaked_items (sorted ids of benchmark items found) and leaked_share (largest part of an item found in order).
 
     Passages of documents whose latent vector points to an item (cosine and share of the item's
     weight) are compared with it word by word: a leak holds at least WHOLE of the item's words in
-    order, or PARTLY of them and the answer, its last words. Punctuation and the case of A-Z do not
+    order, or PARTLY of them and the answer, its last words. Punctuation and case do not
     count. An item none of whose words is informative matches nothing; null texts are empty; an
     empty benchmark leaves every list empty. Large benchmarks go in batches of BATCH_ITEMS, over
-    all texts each. Only benchmark rows reach the driver.
+    all texts each. Only benchmark rows and matrices of their words reach the driver. Columns of the new names are replaced.
     """
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    rows = [(r[0], r[1]) for r in benchmark.select("item_id", F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
+    text = F.lower(F.col(text_col).cast("string"))
+    found = []
     for a in range(0, len(rows), BATCH_ITEMS):
         items = prepare(rows[a:a + BATCH_ITEMS])
-        if not items.ids:
-            continue
-        weights, vectors = latent_space(texts.select("text"), items, rank)
-        found = texts.mapInArrow(_matching(_Finder(items.vocabulary), items, weights, vectors), "id long, items array<long>, share double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = texts.select("id", F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(0.0).alias("share"))
-    elif len(rows) > BATCH_ITEMS:
-        out = out.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("share").alias("share"))
-    return out.select(F.col("id").alias(id_col), F.col("items").alias("leaked_items"), F.col("share").alias("leaked_share"))
+        if items.ids:
+            weights, vectors = latent_space(df.select(text.alias("text")), items, rank)
+            found.append(F.arrow_udf(_matching(_Finder(items.vocabulary), items, weights, vectors), "items array<long>, share double")(text))
+    kept = [c for c in df.columns if c not in ("leaked_items", "leaked_share")]
+    none = F.struct(F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(0.0).alias("share"))
+    marked = df.select(*kept, F.array(none, *found).alias("leaks__"))
+    return marked.select(*kept, F.array_sort(F.array_distinct(F.flatten("leaks__.items"))).alias("leaked_items"), F.array_max("leaks__.share").alias("leaked_share"))

@@ -35,21 +35,21 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-MIX_LEVELS = ["domain", "lang", "source"]
+MIX_LEVELS = ["mix_domain__", "lang", "source"]
 MIX = MixTargets(percent=80, max_epochs=3, seed=7, default=1, weights={
-    "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}})
+    "mix_domain__": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}})
 
 
 def with_domain(docs: DataFrame) -> DataFrame:
     """Domain of a document: the number of its source modulo 4 (sources without number: none)."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "[0-9]+", 0)
-    return docs.withColumn("domain", F.when(number != "", F.concat(F.lit("d"), number.cast("long") % 4)).otherwise("none"))
+    return docs.withColumn("mix_domain__", F.when(number != "", F.concat(F.lit("d"), number.cast("long") % 4)).otherwise("none"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_domain(_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", token_count(F.col("text")).alias("n_tokens")))
-    return mix_sources(docs, MIX_LEVELS, MIX, tokens=F.col("n_tokens")).select("doc_id", "domain", "lang", "source", "n_tokens", "mix_epoch")
+    return mix_sources(docs, MIX_LEVELS, MIX, tokens=F.col("n_tokens")).select("doc_id", F.col("mix_domain__").alias("domain"), "lang", "source", "n_tokens", "mix_epoch")
 
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.col("leaked_items").alias("item_ids"), F.round("leaked_share", 4).alias("share"))
 
 
