@@ -10,6 +10,7 @@ from .extraction import extract_pages
 from .mixing import MixTargets, mix_sources, token_count
 from .ngram_join import ngram_join
 from .packing import packed_digest
+from .pitman_yor import score_texts
 from .shards import shard_rows
 from .substring_dedup import dedup_substrings
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -141,5 +146,5 @@ counted AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTIT
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::INTEGER AS mix_epoch FROM counted
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
 ORACLES: dict[str, str] = {"op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
