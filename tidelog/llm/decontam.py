@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from .words import PLAIN, chunks
 
 HALF = 32            # a passage is two halves of so many words; passages overlap by one half
-RANK = 256
-BATCH_ITEMS = 224    # items compared at once, below RANK so that the subspace can hold them all
-COMMON = 0.05        # words in a larger share of passages weigh nothing
+RANK = 160
+BATCH_ITEMS = 224    # items compared at once, little above RANK so that the subspace holds most of each
+COMMON = 0.01        # words in a larger share of passages weigh nothing
 COSINE, SHARE = 0.5, 0.35
 WHOLE, PARTLY, ANSWER = 0.75, 0.5, 0.8
 ANSWER_WORDS = 8
@@ -112,9 +112,9 @@ def _multiplying(finder: _Finder, weights: np.ndarray, basis: np.ndarray):
         for batch in batches:
             for _, _, words, at in chunks(batch.column(0), blanks=PLAIN):
                 passage, term, _ = _passages(finder(words), at, weights > 0, False)
-                for low in range(0, len(passage), 32768):
+                for low in range(0, len(passage), 4096):
                     # whole passages only
-                    high = min(len(passage), low + 32768)
+                    high = min(len(passage), low + 4096)
                     a = np.searchsorted(passage, passage[low]) if low else 0
                     b = np.searchsorted(passage, passage[high - 1]) if high < len(passage) else high
                     p, t = passage[a:b], term[a:b]
@@ -217,8 +217,8 @@ def _matching(finder: _Finder, items: Items, weights: np.ndarray, vectors: np.nd
             hits: list[dict[int, float]] = [{} for _ in range(high - low)]
             a = 0
             while a < len(passage):
-                # whole passages, about 65536 entries at once
-                b = min(len(passage), a + 65536)
+                # whole passages, about 8192 entries at once
+                b = min(len(passage), a + 8192)
                 b = max(int(np.searchsorted(passage, passage[b - 1], "left")), int(np.searchsorted(passage, passage[a], "right"))) if b < len(passage) else b
                 p, t = passage[a:b], term[a:b]
                 a = b
