@@ -16,7 +16,7 @@ RANK = 160
 BATCH_ITEMS = 224    # items compared at once, little above RANK so that the subspace holds most of each
 COMMON = 0.01        # words in a larger share of passages weigh nothing
 COSINE, SHARE = 0.5, 0.35
-WHOLE, PARTLY, ANSWER = 0.75, 0.5, 0.8
+WHOLE, PARTLY, ANSWER = 0.62, 0.45, 0.8
 ANSWER_WORDS = 8
 
 
@@ -201,7 +201,7 @@ def _matching(finder: _Finder, items: Items, weights: np.ndarray, vectors: np.nd
         """Share of the item found in order, 0 if it does not count as a leak."""
         item = items.words[j]
         share = lcs(item, words) / len(item)
-        if share < PARTLY or lcs(key[j], words[(words >= 0) & informative[words]]) < 0.6 * len(key[j]):
+        if share < PARTLY or lcs(key[j], words[(words >= 0) & informative[words]]) < 0.5 * len(key[j]):
             return 0.0
         if share < WHOLE:
             answer = item[-ANSWER_WORDS:]
