@@ -5,7 +5,8 @@ the previous word, so a fragment holds whole context restaurants. As every token
 also a context of that text exactly once (the end token starts it), token counts are known
 there as well. Fragments send their tables to the parent, cut by word in the same way, and get
 back the parent's part of the probability of each word they hold. Sums per text come back by block.
-Nothing passes through the driver but the size of the input.
+Contexts that hold a large share of all tokens are cut further, by the next word; their totals are
+summed in one small row. Only the size of the input and the few hundred such words reach the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import chunks, mix
 
-FRAGMENT_BYTES = 16 << 20   # text whose tokens make one fragment
+FRAGMENT_BYTES = 12 << 20   # text whose tokens make one fragment
 BLOCK_TOKENS = 1_500_000    # tokens whose pairs travel together
 STRENGTH = 0.5              # of every restaurant
 UNKNOWN = 0.9               # share of the base measure for words never seen; known words share the rest
+HOT_SHARE = 1 / 256         # a context above this share of the tokens, and above half a fragment, is cut by the next word
 BURN_IN, SAMPLES = 4, 8     # Gibbs sweeps before and while averaging
 _END = mix(np.array([0x656E64], np.uint64))[0]
 
@@ -50,8 +52,30 @@ def _five(high: bytes, low: bytes) -> np.ndarray:
     return (np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(low, np.uint8).astype(np.uint64) << np.uint64(24))
 
 
-def _cells(fragments: int):
-    """Pairs of every block of texts (id, text, training flag), cut by context."""
+def _frequent(batches):
+    """Words with at least half of HOT_SHARE in some run of texts, with their counts there, and the number of tokens (word 0)."""
+    for batch in batches:
+        for low, high, words, _ in chunks(batch.column(0)):
+            tokens = len(words) + high - low
+            found, count = np.unique(words, return_counts=True)
+            often = count >= tokens * HOT_SHARE / 2
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.r_[found[often], _END, np.uint64(0)].view(np.int64)), pa.array(np.r_[count[often], high - low, tokens])], names=["word", "n"])
+
+
+def hot_contexts(texts: DataFrame, fragments: int) -> np.ndarray:
+    """Sorted hashes of the contexts to be cut by the next word; fewer than 1/HOT_SHARE, as shares add up to one."""
+    if fragments == 1:
+        return np.empty(0, np.uint64)
+    counted = texts.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.where("word = 0").agg(F.sum("n")).first()[0] or 0
+    least = max(total * HOT_SHARE, total / (2 * fragments))
+    rows = counted.where((F.col("word") != 0) & (F.col("n") >= least)).select("word").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _cells(fragments: int, hot: np.ndarray):
+    """Pairs of every block of texts (id, text, training flag), cut by context, or by the next word after a hot one."""
 
     def block(name, ids, words, offsets, train):
         sizes = np.diff(offsets) + 1
@@ -63,16 +87,20 @@ def _cells(fragments: int):
         before = np.empty_like(nexts)
         before[0], before[1:] = _END, nexts[:-1]
         doc = np.repeat(np.arange(len(sizes)) * 2 + train, sizes).astype(np.uint16)
+        part = _fragment(before, fragments)
+        if len(hot):
+            cut = np.isin(before, hot)
+            part[cut] = _fragment(nexts[cut], fragments)
         order = np.argsort(before, kind="stable")
-        before, nexts, doc = before[order], nexts[order], doc[order]
-        starts = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        order = order[np.argsort(part[order], kind="stable")]
+        before, nexts, doc, part = before[order], nexts[order], doc[order], part[order]
+        starts = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (part[1:] != part[:-1])])
         context, count = before[starts], np.diff(np.r_[starts, len(before)])
-        part = _fragment(context, fragments)
         heads = np.stack([ids, train, sizes]).astype(np.int64).tobytes()
         rows = []
         for f in np.unique(np.r_[0, part]):
-            a, b = np.searchsorted(part, (f, f + 1))
-            c, d = (starts[a] if a < len(starts) else len(before)), (starts[b] if b < len(starts) else len(before))
+            c, d = np.searchsorted(part, (f, f + 1))
+            a, b = np.searchsorted(starts, (c, d))
             w = nexts[c:d]
             rows.append((int(f), name, _six(context[a:b]), count[a:b].astype(np.uint32).tobytes(), (w >> np.uint64(32)).astype(np.uint32).tobytes(),
                          (w >> np.uint64(24)).astype(np.uint8).tobytes(), doc[c:d].tobytes(), heads if f == 0 else b""))
@@ -185,7 +213,7 @@ def _discount(count: np.ndarray) -> float:
 class _Fragment:
     """Pairs of one fragment, decoded in the order of their blocks."""
 
-    def __init__(self, table: pa.Table, fragments: int):
+    def __init__(self, table: pa.Table, fragments: int, hot: np.ndarray):
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         self.number, self.blocks = rows[0]["fragment"], rows
         contexts = [_from_six(r["contexts"]) for r in rows]
@@ -202,15 +230,24 @@ class _Fragment:
         self.keys, kind, count = np.unique(key[train], return_inverse=True, return_counts=True)
         self.count = count.astype(np.int64)
         self.kind_room, self.kind_dish = (self.keys // max(1, len(self.words))).astype(np.int32), (self.keys % max(1, len(self.words))).astype(np.int32)
-        self.known = np.bincount(room[train], minlength=len(self.context))  # training tokens equal to each context
+        self.known = np.bincount(room[train], minlength=len(self.context)).astype(float)  # training tokens equal to each context
+        # places of the hot contexts here, and which of them are here
+        shared = hot & ~np.uint64(0xFFFF)
+        spot = np.searchsorted(self.context, shared)
+        self.hot = np.flatnonzero(self.context[np.minimum(spot, len(self.context) - 1)] == shared) if len(self.context) else np.empty(0, np.int64)
+        self.hot_room = spot[self.hot]
         spot = np.searchsorted(self.keys, key)
         spot = np.minimum(spot, max(0, len(self.keys) - 1)).astype(np.int32)
         self.kind = np.where(self.keys[spot] == key, spot, -1) if len(self.keys) else np.full(len(key), -1, np.int32)
         self.target = _fragment(self.words, fragments)
         self.discount = _discount(self.count)
 
-    def seating(self, seed: int) -> Restaurants:
-        return Restaurants(self.count, self.kind_room, len(self.context), self.discount, seed * 1_000_003 + self.number)
+    def seating(self, seed: int, elsewhere: np.ndarray | None = None) -> Restaurants:
+        """Fresh seating; ``elsewhere`` are the tables that hot contexts have in other fragments."""
+        seats = Restaurants(self.count, self.kind_room, len(self.context), self.discount, seed * 1_000_003 + self.number)
+        if elsewhere is not None:
+            seats.open[self.hot_room] += elsewhere[self.hot]
+        return seats
 
     def guess(self) -> np.ndarray:
         """Probability of each dish from this fragment alone, to start from."""
@@ -218,24 +255,32 @@ class _Fragment:
         return share / share.sum()
 
 
-def _send(fragments: int, seed: int):
+def _send(fragments: int, seed: int, hot: np.ndarray):
     """Tables of a fragment's restaurants per word, to the parent's fragments."""
 
     def run(table: pa.Table) -> pa.Table:
-        f = _Fragment(table, fragments)
-        seats = f.seating(seed)
+        f = _Fragment(table, fragments, hot)
+        own = np.zeros(len(hot))
+        own[f.hot] = np.bincount(f.kind_room, minlength=len(f.context))[f.hot_room]
+        seats = f.seating(seed, own * (fragments - 1))  # until it is known: as many in each other fragment
         parent = f.guess()[f.kind_dish]
         for _ in range(BURN_IN):
             seats.sweep(parent)
         tables = np.bincount(f.kind_dish, seats.tables, minlength=len(f.words)).astype(np.int64)
-        totals = np.array([tables.sum(), f.known.sum(), (f.known > 0).sum()], float).tobytes()
+        whole = np.ones(len(f.context), bool)
+        whole[f.hot_room] = False
+        totals = np.array([tables.sum(), f.known.sum(), (f.known[whole] > 0).sum()], float).tobytes()
+        # hot contexts: their training tokens and tables here, for the first part of the parent
+        part = np.zeros((2, len(hot)))
+        part[0, f.hot] = f.known[f.hot_room]
+        part[1, f.hot] = np.bincount(f.kind_room, seats.tables, minlength=len(f.context))[f.hot_room]
         rows = []
         for g in range(fragments):
             a, b = np.searchsorted(f.target, (g, g + 1))
             w, t = f.words[a:b], tables[a:b]
             many = np.flatnonzero(t != 1).astype(np.uint32)
             rows.append((g, f.number, (w >> np.uint64(32)).astype(np.uint32).tobytes(), (w >> np.uint64(24)).astype(np.uint8).tobytes(),
-                         many.tobytes(), t[many].astype(np.uint32).tobytes(), totals))
+                         many.tobytes(), t[many].astype(np.uint32).tobytes(), totals + part.tobytes() if g == 0 else totals))
         cols = list(zip(*rows, strict=True))
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
                         names=[x.split()[0] for x in _MESSAGE.split(", ")])
@@ -256,7 +301,9 @@ def _parent(seed: int):
             t[np.frombuffer(r["many"], np.uint32)] = np.frombuffer(r["tables"], np.uint32)
             tables.append(t)
         count = np.bincount(place, np.concatenate(tables), minlength=len(words)).astype(np.int64)
-        customers, tokens, vocabulary = np.sum([np.frombuffer(r["totals"]) for r in rows], axis=0)
+        given = np.stack([np.frombuffer(r["totals"]) for r in rows])
+        customers, tokens, vocabulary = given[:, :3].sum(0)
+        hot = given[:, 3:].reshape(len(rows), 2, -1)
         seen = np.flatnonzero(count)
         discount = _discount(count[seen])
         seats = Restaurants(count[seen], np.zeros(len(seen), np.int32), 1, discount, seed * 1_000_003 + 500_009 + rows[0]["fragment"])
@@ -266,27 +313,32 @@ def _parent(seed: int):
         mass = np.zeros(len(words), np.float32)
         mass[seen] = count[seen] - discount * mean
         totals = np.array([customers, tokens, vocabulary, discount * mean.sum()]).tobytes()
+        # each sender learns the tokens of hot contexts everywhere and their tables elsewhere
+        extra = [hot[:, 0].sum(0).tobytes() + (hot[:, 1].sum(0) - h).tobytes() for h in hot[:, 1]]
         ends = np.cumsum([0, *map(len, codes)])
         return pa.table([pa.array([r["sender"] for r in rows], pa.int32()), pa.array([rows[0]["fragment"]] * len(rows), pa.int32()),
                          pa.array([mass[place[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                         pa.array([totals] * len(rows), pa.binary())], names=[x.split()[0] for x in _ANSWER.split(", ")])
+                         pa.array([totals + x for x in extra], pa.binary())], names=[x.split()[0] for x in _ANSWER.split(", ")])
 
     return run
 
 
-def _score(fragments: int, seed: int):
+def _score(fragments: int, seed: int, hot: np.ndarray):
     """Partial sums of every text of a fragment's blocks: base term, log probability, known tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        f = _Fragment(left, fragments)
+        f = _Fragment(left, fragments, hot)
         answers = sorted(right.select(["sender", "mass", "totals"]).to_pylist(), key=lambda r: r["sender"])
         mass = np.concatenate([np.frombuffer(r["mass"], np.float32) for r in answers]).astype(float)
-        totals = np.stack([np.frombuffer(r["totals"]) for r in answers])
+        totals = np.stack([np.frombuffer(r["totals"])[:4] for r in answers])
+        everywhere, elsewhere = np.frombuffer(answers[0]["totals"])[4:].reshape(2, -1)
         customers, tokens, vocabulary = totals[0, :3]
+        vocabulary += (everywhere > 0).sum()
+        f.known[f.hot_room] = everywhere[f.hot]
         spare = STRENGTH + totals[:, 3].sum()
         base = np.where(mass > 0, (1 - UNKNOWN) / max(1.0, vocabulary), UNKNOWN)
         parent = (mass + spare * base) / (STRENGTH + customers)
-        tables, rooms = f.seating(seed + 1).average(parent[f.kind_dish])
+        tables, rooms = f.seating(seed + 1, elsewhere).average(parent[f.kind_dish])
         share = np.zeros(len(f.keys) + 1)
         share[:-1] = f.count - f.discount * tables  # the last place serves pairs never seen
         probability = share[f.kind]
@@ -338,11 +390,12 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     fragments = 1 + size // FRAGMENT_BYTES
     train = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds != 0
     missing = -(1 << 63)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)), text, train)
-    cells = rows.mapInArrow(_cells(fragments), _CELL)
-    sent = cells.groupBy("fragment").applyInArrow(_send(fragments, seed), _MESSAGE)
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), text.alias("text"), train.alias("train"))
+    hot = hot_contexts(rows.select("text"), fragments)
+    cells = rows.mapInArrow(_cells(fragments, hot), _CELL)
+    sent = cells.groupBy("fragment").applyInArrow(_send(fragments, seed, hot), _MESSAGE)
     answers = sent.groupBy("fragment").applyInArrow(_parent(seed), _ANSWER)
-    parts = cells.groupBy("fragment").cogroup(answers.groupBy("fragment")).applyInArrow(_score(fragments, seed), _PART)
+    parts = cells.groupBy("fragment").cogroup(answers.groupBy("fragment")).applyInArrow(_score(fragments, seed, hot), _PART)
     scored = parts.groupBy("block").applyInArrow(
         _sum_blocks, "row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.when(F.col("row") != missing, F.col("row")).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
