@@ -14,7 +14,8 @@ from .words import PLAIN, chunks
 HALF = 32            # a passage is two halves of so many words; passages overlap by one half
 RANK = 160
 BATCH_ITEMS = 224    # items compared at once, little above RANK so that the subspace holds most of each
-COMMON = 0.01        # words in a larger share of passages weigh nothing
+COMMON, FEW = 0.01, 50  # words in a larger share of passages (and in more than FEW) weigh nothing,
+RAREST = 8           # but for the rarest words of each item
 COSINE, SHARE = 0.5, 0.35
 WHOLE, PARTLY, ANSWER = 0.62, 0.45, 0.8
 ANSWER_WORDS = 8
@@ -150,7 +151,12 @@ def latent_space(texts: DataFrame, items: Items, rank: int = RANK, seed: int = 0
     counted = dict(texts.mapInArrow(_counting(finder), "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     passages = counted.pop(-1, 0) or 0
     df = np.array([counted.get(i, 0) for i in range(len(items.vocabulary))], float)
-    weights = np.log((passages + 2) / (df + 1)) * (df <= max(COMMON * passages, 2))
+    weights = np.log(np.maximum((passages + 2) / (df + 1), 1 / COMMON))  # an item in many texts keeps its weight
+    telling = df <= max(COMMON * passages, FEW)
+    for w in items.words:
+        terms = np.unique(w)
+        telling[terms[np.argsort(df[terms], kind="stable")[:RAREST]]] = True
+    weights *= telling
     own = np.zeros((len(items.words), len(weights)))
     for i, w in enumerate(items.words):
         own[i, w] = weights[w]
@@ -250,8 +256,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rank
     Passages of documents whose latent vector points to an item (cosine and share of the item's
     weight) are compared with it word by word: a leak holds at least WHOLE of the item's words in
     order, or PARTLY of them and the answer, its last words. Punctuation and case do not
-    count. An item none of whose words is informative matches nothing; null texts are empty; an
-    empty benchmark leaves every list empty. Large benchmarks go in batches of BATCH_ITEMS, over
+    count. Null texts are empty; an empty benchmark leaves every list empty. Large benchmarks go in batches of BATCH_ITEMS, over
     all texts each. Only benchmark rows and matrices of their words reach the driver. Columns of the new names are replaced.
     """
     rows = [(r[0], r[1]) for r in benchmark.select("item_id", F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
