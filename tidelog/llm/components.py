@@ -23,10 +23,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Every round is written to the shared folder, and only whether it was the last reaches
     the driver. Self edges name single nodes; edges with a null end are ignored. An empty table gives an empty table.
     """
-    named = edges.select("a", "b").where("a is not null and b is not null")
-    nodes = named
-    now = materialize(
-        named.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    start = materialize(edges.where("a is not null and b is not null").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    now = start.where("a <> b")
     while not _settled(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -36,6 +35,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = materialize(small.union(low).distinct(), label)
     labelled = now.groupBy("a").agg(F.min("b").alias("component"))
-    every = nodes.select(F.col("a").alias("node")).union(nodes.select("b")).distinct()
+    every = start.select(F.col("a").alias("node")).union(start.select("b")).distinct()
     return every.join(labelled.withColumnRenamed("a", "node"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
