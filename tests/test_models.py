@@ -222,3 +222,14 @@ def test_facets_fit_alone(spark, frame, data):
     want = {r["month"]: r["fit"] for r in se.predict(single, grid).collect()}
     have = {round(r["month"]): r["fit"] for r in got.filter("site = 'b'").collect()}
     assert have == pytest.approx({round(k): v for k, v in want.items()}, rel=1e-6)
+
+
+def test_slopes_keep_their_digits_under_a_large_offset(spark):
+    rng = np.random.default_rng(4)
+    x = np.linspace(0, 24, 145)
+    y = 2 * np.sin(x / 4) + rng.normal(0, 0.05, len(x))
+    data = [(g, i, float(v), float(w) + off) for g, off in (("low", 0.0), ("high", 1e7)) for i, (v, w) in enumerate(zip(x, y))]
+    spline = Spline.even(0.0, 24.0, 10, "cr")
+    out = sm.slope_at_rows(spark.createDataFrame(data, "g string, i int, x double, y double"), ["g"], "x", "y", spline, ["i"])
+    got = {(r["g"], r["i"]): r["rate"] for r in out.collect()}
+    assert max(abs(got["low", i] - got["high", i]) for i in range(len(x))) < 1e-5

@@ -165,3 +165,38 @@ def test_bundle(spark):
     out = dr.fit_bundle(raw, dr.curve_draws(par, ["k", "d"], F.lit(20.0), 3, 1), ["k"], "light")
     assert {r["kind"]: r["count"] for r in out.groupBy("kind").count().collect()} == {"raw": 1, "fit": 3, "predict": 3}
     assert out.filter("kind <> 'raw' and not (hdi_low <= estimate and estimate <= hdi_high)").count() == 0
+
+
+def test_fits_do_not_depend_on_the_unit_of_light(spark):
+    rng = np.random.default_rng(3)
+    x = np.tile(np.linspace(0, 30, 40), 3)
+    y = 20 * (1 - np.exp(-2.0 * x / 20)) - 1.5 + rng.normal(0, 0.3, len(x))
+    data = [(f"u{e}", float(v) * 10.0**e, float(w)) for e in (-3, 0, 2, 5) for v, w in zip(x, y)]
+    fits = {r["k"]: r for r in lc.fit_curves(spark.createDataFrame(data, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    for e in (-3, 2, 5):
+        r = fits[f"u{e}"]
+        assert r["status"] == "ok" and r["pmax"] == pytest.approx(fits["u0"]["pmax"], rel=1e-6)
+        assert r["alpha"] * 10.0**e == pytest.approx(fits["u0"]["alpha"], rel=1e-5) and r["sse"] == pytest.approx(fits["u0"]["sse"], rel=1e-9)
+
+
+def test_every_group_keeps_its_row(spark):
+    line = [("line", float(i), 2.0 * i) for i in range(10)]
+    good = [("good", float(i), float(9 * (1 - np.exp(-i / 3)))) for i in range(12)]
+    data = line + good + [("few", 1.0, 1.0), ("few", 2.0, 3.0), ("few", 3.0, 3.5), ("nul", None, 1.0), ("nul", None, 2.0), ("nul", 3.0, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "k string, x double, y double, i int")
+    fits = {r["k"]: r for r in lc.fit_curves(df, ["k"], "x", "y").collect()}
+    assert {k: (r["status"], r["pmax"] is None) for k, r in fits.items()} == {
+        "line": ("boundary", True), "good": ("ok", False), "few": ("few", True), "nul": ("few", True)}
+    assert fits["nul"]["n"] == 0 and fits["line"]["sse"] is not None
+    robust = {r["k"]: r["pmax"] is None for r in lc.robust_curves(df, ["k"], "x", "y", ["i"]).collect()}
+    assert robust == {"line": True, "good": False, "few": True, "nul": True}
+
+
+def test_rhat_cuts_every_chain_at_its_own_middle(spark):
+    rng = np.random.default_rng(5)
+    long = [("long", c, i, float(rng.normal())) for c in range(4) for i in range(1000)]
+    moved = [("moved", c, i, float(rng.normal() + 3 * (i >= 50))) for c in range(4) for i in range(100)]
+    schema = "param string, chain int, iter long, value double"
+    alone = dr.split_rhat(spark.createDataFrame(moved, schema), "param", "chain", "iter", "value").first()["rhat"]
+    both = {r["param"]: r["rhat"] for r in dr.split_rhat(spark.createDataFrame(long + moved, schema), "param", "chain", "iter", "value").collect()}
+    assert both["moved"] == pytest.approx(alone) and alone > 1.8 and both["long"] < 1.02

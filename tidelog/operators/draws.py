@@ -64,12 +64,16 @@ def means_by_chain(draws: DataFrame, param: str, chain: str, value: str) -> Data
 
 
 def split_rhat(draws: DataFrame, param: str, chain: str, iteration: str, value: str) -> DataFrame:
-    """Split R-hat: between and within variance of half chains (the middle draw of odd chains is left out)."""
-    n = draws.agg(F.max(iteration) + 1).scalar()
-    half = F.floor(n / 2)
-    part = F.when(F.col(iteration) < half, 0).when(F.col(iteration) >= n - half, 1)
+    """Split R-hat: between and within variance of half chains (the middle draw of odd chains is left out).
+
+    Each chain is cut at its own middle; chains and parameters may differ in length.
+    """
+    lengths = draws.groupBy(param, chain).agg((F.max(iteration) + 1).alias("_length"), F.count(F.lit(1)).alias("_rows"))
+    sized = hand_back(draws.select(param, chain, iteration, value), lengths, [param, chain], "_rows", [iteration])
+    half = F.floor(F.col("_length") / 2)
+    part = F.when(F.col(iteration) < half, 0).when(F.col(iteration) >= F.col("_length") - half, 1)
     halves = (
-        draws.withColumn("_half", part).filter(F.col("_half").isNotNull())
+        sized.withColumn("_half", part).filter(F.col("_half").isNotNull())
         .groupBy(param, chain, "_half")
         .agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.count(value).alias("_n"))
     )

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOT_PARTS = 64
+from ..session import materialize
+
+PIECE_ROWS = 2_000_000  # rows of one group that are joined together; larger groups are cut
 BROADCAST_ROWS = 20_000  # a counted table of at most this many narrow rows may be broadcast
 
 
@@ -68,12 +70,16 @@ def within_intervals(
 
     Intervals are cut into calendar days so the match is an equi-join on (site, day)
     with the exact range test on top: a busy site is spread over its days, and the
-    interval table may be of any size.
+    interval table may be of any size. A missing end means that the logger is still out, a
+    missing start that it was out before the first reading; days without readings are not made.
     """
+    span = readings.agg(F.struct(F.min(ts).alias("first"), F.max(ts).alias("last"))).scalar()
     days = (
-        intervals.select(F.col(site).alias("_site"), F.col(start).alias("_start"), F.col(end).alias("_end"))
-        .filter("_start <= _end")
-        .withColumn("_date", F.explode(F.sequence(F.to_date("_start"), F.to_date("_end"))))
+        intervals.select(F.col(site).alias("_site"), F.col(start).alias("_start"), F.col(end).alias("_end"), span.alias("_span"))
+        .withColumns({"_start": F.coalesce("_start", "_span.first"), "_end": F.coalesce("_end", "_span.last")})
+        .withColumns({"_low": F.to_date(F.greatest("_start", "_span.first")), "_high": F.to_date(F.least("_end", "_span.last"))})
+        .filter("_start <= _end AND _low <= _high")
+        .withColumn("_date", F.explode(F.sequence("_low", "_high"))).drop("_span", "_low", "_high")
     )
     match = (
         F.col(site).eqNullSafe(F.col("_site"))
@@ -93,22 +99,22 @@ def hand_back(
 ) -> DataFrame:
     """Left join one-row-per-group results onto rows without piling a hot group on one task.
 
-    ``groups`` holds the row count of each group in ``size``. Groups with more than
-    1/HOT_PARTS of all rows number fewer than HOT_PARTS, so that list is safe to
-    broadcast; only those groups are cut into HOT_PARTS pieces by a hash of ``spread_by``.
+    ``groups`` holds the row count of each group in ``size`` and is written once, so the rows
+    behind it are aggregated once. Groups of more than PIECE_ROWS rows are cut into pieces of about
+    that size by a hash of ``spread_by``; they number fewer than (all rows / PIECE_ROWS), a list
+    that is safe to broadcast. The join itself is Catalyst's choice by the written size.
     When the caller has counted ``groups`` and they are few, they are broadcast whole.
     """
     keys = list(keys)
     if known_rows is not None and known_rows <= BROADCAST_ROWS:
         return key_join(rows, F.broadcast(groups.drop(size)), keys, "left")
-    total = groups.agg(F.sum(size)).scalar()
-    hot = groups.filter(F.col(size) * HOT_PARTS > total).select(*keys, F.lit(True).alias("_is_hot"))
-    piece = F.pmod(F.xxhash64(*spread_by), F.lit(HOT_PARTS)).cast("int")
+    groups = materialize(groups, "groups")
+    hot = groups.filter(F.col(size) > PIECE_ROWS).select(*keys, F.ceil(F.col(size) / PIECE_ROWS).cast("int").alias("_pieces"))
+    if not hot.limit(1).count():
+        return key_join(rows, groups.drop(size), keys, "left")
     left = key_join(rows, F.broadcast(hot), keys, "left")
-    left = left.withColumn("_part", F.when(F.col("_is_hot"), piece).otherwise(0)).drop("_is_hot")
-    pieces = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    right = key_join(groups, F.broadcast(hot), keys, "left")
-    right = right.withColumn("_part", F.explode(pieces)).drop("_is_hot", size)
+    left = left.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    right = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / PIECE_ROWS).cast("int") - 1))).drop(size)
     return key_join(left, right, keys + ["_part"], "left").drop("_part")
 
 

@@ -10,6 +10,7 @@ many at a time; a group with more cells is searched by one aggregation per level
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,18 +20,18 @@ from pyspark.sql import functions as F
 from ..functions.curves import saturating
 from ..functions.distributions import f_upper_tail
 from ..session import materialize
-from .joins import hand_back, linear_grid
+from .joins import hand_back, key_join, linear_grid
 
 # Relative error sums are compared on this grid, so rounding noise cannot pick the winner.
 TIE_GRID = 1e11
 
-# First level: k runs over 10^-3 .. 10^1 per unit of light in 17 steps; each later level covers
-# one step to either side of the best and is 8 times finer. With inhibition both ratios take
-# 7 steps and each level is 3 times finer.
-CENTRE_A, WIDTH_A = 0.1, 2.0
-CENTRE_B, WIDTH_B = 10.0**-2.5, 1.8
+# First level: k times the group's largest light runs over 10^-2 .. 10^3 in 17 steps, so the unit
+# of light does not matter; each later level covers one step to either side of the best and is 8
+# times finer. With inhibition both ratios take 7 steps and each level is 3 times finer.
+CENTRE_A, WIDTH_A = 10.0**0.5, 2.5
+CENTRE_B, WIDTH_B = 10.0**-1, 2.0
 STEPS_ONE, STEPS_TWO = 8, 3
-LEVELS_ONE, LEVELS_TWO = 5, 6
+LEVELS_ONE, LEVELS_TWO = 7, 9
 ROBUST_STEPS = 4
 PACK_CELLS = 4096  # groups with more distinct light values are never gathered
 
@@ -44,9 +45,12 @@ def candidate_offsets(inhibition: bool, steps: int = STEPS_ONE) -> list[tuple[fl
 
 
 def curve_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Sums per group and distinct light value: (keys, x, w, s1, s2)."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return rows.groupBy(*keys, F.col(x).alias("x")).agg(
+    """Sums per group and distinct light value: (keys, x, w, s1, s2).
+
+    Rows without light or value make one cell without light, so that their group stays known.
+    """
+    usable = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.groupBy(*keys, F.when(usable, F.col(x)).alias("x")).agg(
         F.count(F.lit(1)).cast("double").alias("w"),
         F.sum(y).alias("s1"),
         F.sum(F.col(y) * F.col(y)).alias("s2"),
@@ -114,7 +118,9 @@ def search_packed(x: np.ndarray, w: np.ndarray, s1: np.ndarray, s2: np.ndarray,
     Returns columns a, b, pmax, rd, sse; NaN where no candidate is usable.
     """
     offsets = np.array(candidate_offsets(inhibition))
-    a, b = np.full(len(x), CENTRE_A), np.full(len(x), CENTRE_B)
+    top = np.abs(np.where(w > 0, x, 0.0)).max(1)
+    top[top == 0] = 1.0
+    a, b = CENTRE_A / top, CENTRE_B / top
     n, t1 = w.sum(1)[:, None], s1.sum(1)[:, None]
     vy = s2.sum(1)[:, None] - t1 * t1 / n
     finer = STEPS_TWO if inhibition else STEPS_ONE
@@ -143,7 +149,8 @@ def search_packed(x: np.ndarray, w: np.ndarray, s1: np.ndarray, s2: np.ndarray,
 
 def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFrame:
     """Fit groups whose cell count was checked to be at most PACK_CELLS."""
-    packed = cells.groupBy(*group).agg(F.collect_list(F.struct("x", "w", "s1", "s2")).alias("_c")).select(
+    cell = F.when(F.col("x").isNotNull(), F.struct("x", "w", "s1", "s2"))
+    packed = cells.groupBy(*group).agg(F.collect_list(cell).alias("_c")).select(
         *group, *[F.col(f"_c.{f}").alias(f) for f in ("x", "w", "s1", "s2")]
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name in group)
@@ -156,7 +163,7 @@ def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFra
             sizes = pdf["x"].map(len).to_numpy()
             order = np.argsort(sizes, kind="stable")
             fits = np.full((len(pdf), 5), np.nan)
-            start = 0
+            start = int((sizes == 0).sum())
             while start < len(order):
                 # Neighbours in size share a padded block of about four million numbers.
                 stop = start + 1
@@ -170,7 +177,7 @@ def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFra
                 fits[block] = search_packed(*stack, inhibition)
                 start = stop
             out = pdf[group].copy()
-            out["n_light"], out["n"] = sizes, pdf["w"].map(np.sum).astype(float)
+            out["n_light"], out["n"] = sizes, [float(np.sum(w)) for w in pdf["w"]]
             for i, name in enumerate(("_a", "_b", "pmax", "rd", "sse")):
                 out[name] = [float(v) if np.isfinite(v) else None for v in fits[:, i]]
             yield out
@@ -180,12 +187,13 @@ def _fit_packed(cells: DataFrame, group: list[str], inhibition: bool) -> DataFra
 
 def _fit_by_levels(cells: DataFrame, group: list[str], inhibition: bool) -> DataFrame:
     """Fit groups of any size, one aggregation over the cells per level."""
-    place = [F.lit(CENTRE_A).alias("_a"), F.lit(WIDTH_A).alias("_wa")]
+    place = [(CENTRE_A / F.col("_top")).alias("_a"), F.lit(WIDTH_A).alias("_wa")]
     if inhibition:
-        place += [F.lit(CENTRE_B).alias("_b"), F.lit(WIDTH_B).alias("_wb")]
+        place += [(CENTRE_B / F.col("_top")).alias("_b"), F.lit(WIDTH_B).alias("_wb")]
     centre = ["_a", "_wa"] + (["_b", "_wb"] if inhibition else [])
     count = [("count(1)", "n_light")]
     first = with_candidates(cells.select("*", *place), inhibition)
+    cells = cells.drop("_top")
     best = materialize(best_candidate(first, group, inhibition, count), "curve")
     groups = best.count()
     for _ in range(1, LEVELS_TWO if inhibition else LEVELS_ONE):
@@ -198,31 +206,38 @@ def _fit_by_levels(cells: DataFrame, group: list[str], inhibition: bool) -> Data
 def fit_curves(
     df: DataFrame, keys: Sequence[str], x: str, y: str, inhibition: bool = False, pack_cells: int = PACK_CELLS
 ) -> DataFrame:
-    """One row per group: pmax, alpha, (beta,) rd, sse, n. y = pmax (1 - e^(-alpha x / pmax)) [e^(-beta x / pmax)] - rd.
+    """One row per group: pmax, alpha, (beta,) rd, sse, n, status. y = pmax (1 - e^(-alpha x / pmax)) [e^(-beta x / pmax)] - rd.
 
-    A group with fewer than four rows or three light values, or without any usable curve,
-    keeps its row with NULL parameters.
+    Every group keeps its row. ``status`` is ``few`` (fewer than four rows or three light values,
+    or no usable curve: all NULL), ``boundary`` (the error falls on to the end of the searched
+    ratios, as for a straight line: parameters NULL, sse kept) or ``ok``. Rows without light or value do not count in n.
     """
     group = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
     cells = materialize(curve_cells(source, group, x, y), "cells")
-    lights = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_lights"))
+    top = F.coalesce(F.nullif(F.max(F.abs("x")), F.lit(0.0)), F.lit(1.0))
+    lights = materialize(cells.groupBy(*group).agg(F.count("x").alias("_lights"), top.alias("_top")), "lights")
     if (lights.agg(F.max("_lights")).first()[0] or 0) <= pack_cells:
         fits = _fit_packed(cells, group, inhibition)
     else:
         sized = hand_back(cells, lights.withColumn("_n", F.col("_lights")), group, "_n", ["x"])
         sized = materialize(sized, "cells")
-        small = sized.filter(F.col("_lights") <= pack_cells).drop("_lights")
-        large = sized.filter(F.col("_lights") > pack_cells).drop("_lights")
+        small = sized.filter(F.col("_lights") <= pack_cells).drop("_lights", "_top")
+        large = sized.filter((F.col("_lights") > pack_cells) & F.col("x").isNotNull()).drop("_lights")
         fits = _fit_packed(small, group, inhibition).unionByName(_fit_by_levels(large, group, inhibition))
-    ok = (F.col("n") >= 4) & (F.col("n_light") >= 3)
+    fits = key_join(fits, lights.select(*group, "_top"), group)
+    enough = (F.col("n") >= 4) & (F.col("n_light") >= 3) & F.col("_a").isNotNull()
+    ends = [(F.abs(F.log10(F.col(c) * F.col("_top") / centre)) > width - 1e-6) for c, centre, width in (
+        ("_a", CENTRE_A, WIDTH_A), ("_b", CENTRE_B, WIDTH_B))[:2 if inhibition else 1]]
+    ok = enough & ~reduce(lambda p, q: p | q, ends)
     return fits.select(
         *keys, F.col("n").cast("bigint").alias("n"),
         F.when(ok, F.col("pmax")).alias("pmax"),
         F.when(ok, F.col("_a") * F.col("pmax")).alias("alpha"),
         *([F.when(ok, F.col("_b") * F.col("pmax")).alias("beta")] if inhibition else []),
         F.when(ok, F.col("rd")).alias("rd"),
-        F.when(ok, F.col("sse")).alias("sse"),
+        F.when(enough, F.col("sse")).alias("sse"),
+        F.when(ok, "ok").when(enough, "boundary").otherwise("few").alias("status"),
     )
 
 
@@ -258,12 +273,14 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
 
     Each step reweights the rows by 3 / (2 + z^2) and refits around the previous curve; the
     state between steps is one row per group, written to the shared folder. Afterwards the
-    group values are shrunk to their precision-weighted mean by their own uncertainty.
+    group values are shrunk to their precision-weighted mean by their own uncertainty. Groups
+    without a curve, or with at most four rows, keep their row with NULL values.
     """
     keys = list(keys)
+    df = materialize(df.select(*dict.fromkeys([*keys, *spread_by, x, y])), "robust-rows")
     rows = df.select(*keys, *[c for c in spread_by if c not in keys + [x, y]], F.col(x).alias("x"), F.col(y).alias("_y"))
     spread = ["x" if c == x else "_y" if c == y else c for c in spread_by]
-    start = fit_curves(df, keys, x, y)
+    start = materialize(fit_curves(df, keys, x, y), "robust-start")
     state = materialize(
         start.filter(F.col("pmax").isNotNull() & (F.col("n") > 4)).select(
             *keys, F.col("n").cast("double").alias("n"), "pmax", "rd",
@@ -291,7 +308,8 @@ def robust_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, spread_by:
             (F.col("_wa") * ROBUST_STEPS / 3).alias("_wa"), (F.col("_scale") / F.col("_rows")).alias("s2"),
         ), "robust")
 
-    return _shrink(_uncertainty(weighted(state), keys), keys)
+    pooled = _shrink(_uncertainty(weighted(state), keys), keys)
+    return key_join(start.select(*keys, "n"), pooled.drop("n"), keys, "left")
 
 
 def _uncertainty(placed: DataFrame, keys: list[str]) -> DataFrame:

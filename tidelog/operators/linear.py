@@ -128,19 +128,20 @@ def fit_cells(
         if (mean <= 0).any() or np.isnan(cells.slog).any():
             raise ValueError("a Gamma model needs positive values")
         eta = np.full(len(n), np.log(cells.s1.sum() / total))
-        deviance = np.inf
-        for step in range(50):
+        for step in range(200):
             mu = np.exp(eta)
             z = eta + (mean - mu) / mu
             solve = weighted(z, float((within / mu**2).sum()))
             if penalties and step < 12:
                 logs = _stationary_search(solve, logs)
             _, beta, edf, inv, _ = solve(logs)
-            eta = x @ beta
+            change, eta = float(np.abs(x @ beta - eta).max()), x @ beta
             mu = np.exp(eta)
-            previous, deviance = deviance, float(2 * (n * eta - cells.slog + cells.s1 / mu - n).sum())
-            if abs(previous - deviance) < 1e-10 * (abs(deviance) + 0.1) and step >= 2:
+            if change < 1e-11 * max(1.0, float(np.abs(eta).max())) and step >= (12 if penalties else 2):
                 break
+        else:
+            raise ArithmeticError("the Gamma model did not converge")
+        deviance = float(2 * (n * eta - cells.slog + cells.s1 / mu - n).sum())
         pearson = float(((cells.s2 - 2 * mu * cells.s1 + n * mu**2) / mu**2).sum())
         scale = pearson / (total - edf.sum())
     return Fit(terms, beta, inv * scale, edf, deviance, scale, total, family, [10.0**v for v in logs])

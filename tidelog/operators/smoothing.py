@@ -120,8 +120,13 @@ def quadratic(cov: str, basis: Sequence[str]) -> Column:
 def slope_at_rows(
     df: DataFrame, keys: Sequence[str], x: str, y: str, spline: Spline, spread_by: Sequence[str], out: str = "rate"
 ) -> DataFrame:
-    """Input rows plus the slope of their group's smooth curve (exact derivative, no finite difference)."""
-    fits = materialize(fit_groups(gram(df, keys, spline, x, y), keys, spline), "slopes")
+    """Input rows plus the slope of their group's smooth curve (exact derivative, no finite difference).
+
+    Values enter the sums less their group's mean, so a large offset costs no digits.
+    """
+    means = df.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
+    centred = hand_back(df, means, keys, "_rows", spread_by).withColumn(y, F.col(y) - F.col("_mean"))
+    fits = materialize(fit_groups(gram(centred, keys, spline, x, y), keys, spline), "slopes")
     joined = hand_back(df, fits.select(*keys, "beta", "n"), keys, "n", spread_by, fits.count())
     wide, names = spline.attach(joined, x, derivative=1)
     return wide.withColumn(out, dot("beta", names)).drop("beta", *names)

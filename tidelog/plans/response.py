@@ -26,7 +26,7 @@ def _curve_views(keys: str, prefix: str, rows: str, inhibition: bool = False) ->
     damp = " * exp(-b * x)" if inhibition else ""
     views = [
         f"""{prefix}_cells AS (SELECT {keys}, x, count(*)::DOUBLE AS w, sum(y) AS s1, sum(y * y) AS s2 FROM ({rows}) GROUP BY ALL)""",
-        f"""{prefix}_0 AS (SELECT DISTINCT {keys}, {lc.CENTRE_A!r}::DOUBLE AS a, {lc.CENTRE_B!r}::DOUBLE AS b FROM {prefix}_cells)""",
+        f"""{prefix}_0 AS (SELECT {keys}, {lc.CENTRE_A!r}::DOUBLE / max(abs(x)) AS a, {lc.CENTRE_B!r}::DOUBLE / max(abs(x)) AS b FROM {prefix}_cells GROUP BY ALL)""",
     ]
     for level in range(1, levels + 1):
         wa, wb = (w / finer ** (level - 1) for w in (lc.WIDTH_A, lc.WIDTH_B))
@@ -46,6 +46,15 @@ def _curve_views(keys: str, prefix: str, rows: str, inhibition: bool = False) ->
     return views
 
 
+def _status_sql(cells: str, same: str, inhibition: bool = False) -> str:
+    """Whether the best ratios lie inside the searched range of the group ``f``."""
+    top = f"(SELECT max(abs(x)) FROM {cells} c WHERE {same})"
+    ends = [f"abs(log10(f.a * {top} / {lc.CENTRE_A!r})) > {lc.WIDTH_A - 1e-6!r}"]
+    if inhibition:
+        ends.append(f"abs(log10(f.b * {top} / {lc.CENTRE_B!r})) > {lc.WIDTH_B - 1e-6!r}")
+    return f"CASE WHEN {' OR '.join(ends)} THEN 'boundary' ELSE 'ok' END"
+
+
 SITE_CURVES = _curve_views("location", "site", "SELECT location, x, y FROM lines")
 ALL_CURVES = _curve_views("one", "all", "SELECT 1 AS one, x, y FROM lines")
 DAY_CURVES = _curve_views("location, day", "day", "SELECT location, day, x, y FROM lines")
@@ -55,7 +64,7 @@ DAMPED_CURVES = _curve_views("location", "damp", "SELECT location, x, y * exp(-0
 @query(
     "nls_pooled",
     with_views(
-        f"SELECT n::BIGINT AS n, {snap_sql('pmax')} AS pmax, {snap_sql('a * pmax')} AS alpha, {snap_sql('rd')} AS rd, {snap_sql('sse', 2)} AS sse FROM all_best",
+        f"SELECT n::BIGINT AS n, {snap_sql('pmax')} AS pmax, {snap_sql('a * pmax')} AS alpha, {snap_sql('rd')} AS rd, {snap_sql('sse', 2)} AS sse, {_status_sql('all_cells', 'TRUE')} AS status FROM all_best f",
         LINES, *ALL_CURVES),
 )
 def nls_pooled(spark, d):
@@ -108,7 +117,8 @@ def nls_by_day_safe(spark, d):
     "nls_inhibited",
     with_views(
         f"""SELECT location, n::BIGINT AS n, {snap_sql('pmax', 3)} AS pmax, {snap_sql('a * pmax', 3)} AS alpha,
-                   {snap_sql('b * pmax', 3)} AS beta, {snap_sql('rd', 3)} AS rd, {snap_sql('sse', 2)} AS sse FROM damp_best""",
+                   {snap_sql('b * pmax', 3)} AS beta, {snap_sql('rd', 3)} AS rd, {snap_sql('sse', 2)} AS sse, {_status_sql('damp_cells', 'c.location = f.location', True)} AS status
+            FROM damp_best f""",
         LINES, *DAMPED_CURVES),
 )
 def nls_inhibited(spark, d):
@@ -147,16 +157,16 @@ def curve_draws(spark, d):
     return _snapped(_snapped(out, "light", "yhat"), "ypred", digits=3)
 
 
-# One parameter draw per nation; regions 0, 1, 2 stand for the three sites.
+# One parameter draw per nation; regions 0 to 4 are dealt to the three sites.
 NATION_DRAWS = """nation_draws AS (
-  SELECT CASE n_regionkey WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS location, n_nationkey AS draw,
+  SELECT CASE n_regionkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' END AS location, n_nationkey AS draw,
          18 + n_nationkey / 5.0::DOUBLE AS pmax, 1 + n_nationkey / 20.0::DOUBLE AS alpha, 2.0::DOUBLE AS rd, 1.25::DOUBLE AS sigma
-  FROM nation WHERE n_regionkey < 3)"""
+  FROM nation)"""
 
 
 def _nation_draws(spark, d):
-    n = table(spark, d, "nation").filter("n_regionkey < 3")
-    site = F.when(F.col("n_regionkey") == 0, "A").when(F.col("n_regionkey") == 1, "N").otherwise("R")
+    n = table(spark, d, "nation")
+    site = F.element_at(F.array(*map(F.lit, "ANR")), (F.col("n_regionkey") % 3 + 1).cast("int"))
     return n.select(
         site.alias("location"), F.col("n_nationkey").alias("draw"), (18 + F.col("n_nationkey") / 5).alias("pmax"),
         (1 + F.col("n_nationkey") / 20).alias("alpha"), F.lit(2.0).alias("rd"), F.lit(1.25).alias("sigma"),
@@ -233,11 +243,15 @@ def draws_mean(spark, d):
     with_views(
         f"""SELECT param, {snap_sql('sqrt(((max(n) - 1) / max(n) * avg(v) + var_samp(m)) / avg(v))', 6)} AS rhat FROM (
               SELECT param, chain, iter >= size - size // 2 AS half, avg(value) AS m, var_samp(value) AS v, count(*)::DOUBLE AS n
-              FROM draws, (SELECT max(iter) + 1 AS size FROM draws) WHERE iter < size // 2 OR iter >= size - size // 2
-              GROUP BY 1, 2, 3) GROUP BY param""", DRAWS),
+              FROM (SELECT *, max(iter) OVER (PARTITION BY param, chain) + 1 AS size FROM uneven) WHERE iter < size // 2 OR iter >= size - size // 2
+              GROUP BY 1, 2, 3) GROUP BY param""", DRAWS,
+        """uneven AS (SELECT * FROM draws UNION ALL
+             SELECT chain, iter // 3, 'third', value FROM draws WHERE param = 'pmax' AND iter % 3 = 0)"""),
 )
 def draws_rhat(spark, d):
-    return _snapped(dr.split_rhat(draws(spark, d), "param", "chain", "iter", "value"), "rhat", digits=6)
+    t = draws(spark, d)  # and a parameter with chains of a third of the length
+    third = t.filter("param = 'pmax' AND iter % 3 = 0").select("chain", F.expr("iter div 3").alias("iter"), F.lit("third").alias("param"), "value")
+    return _snapped(dr.split_rhat(t.unionByName(third), "param", "chain", "iter", "value"), "rhat", digits=6)
 
 
 # The sum ends at the first negative pair of autocorrelations; 200 lags are offered here and the

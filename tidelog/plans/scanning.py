@@ -17,6 +17,7 @@ from ..session import new_path
 from ..sources import calibration as cal
 from ..sources import scans as sc
 from ..sources import sinks as sk
+from ..sources.files import is_folder
 from ..sources.workbook import write_rows
 from .registry import query
 from .tables import READINGS, readings, with_views
@@ -31,10 +32,12 @@ PREAMBLE = 36
 
 
 def _folder(spark, d, kind, build) -> str:
-    key = (spark.sparkContext.applicationId, d, kind)
-    if key not in _written:
+    table = readings(spark, d)
+    changed = spark.read.parquet(f"{d}/events.parquet").agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size")).first()
+    key = (spark.sparkContext.applicationId, d, kind, *changed)
+    if key not in _written or not is_folder(_written[key]):
         folder = new_path(spark, f"files-{kind}")
-        build(readings(spark, d), folder)
+        build(table, folder)
         _written[key] = folder
     return _written[key]
 

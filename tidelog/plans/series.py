@@ -125,11 +125,12 @@ def component_sum(spark, d):
     "apply_calibration",
     with_views(
         f"""SELECT l_orderkey, l_linenumber, {snap_sql('l.x * p.p_retailprice / 1000', 6)} AS calibrated
-            FROM lines l LEFT JOIN part p ON p.p_partkey = l.logger AND p.p_partkey % 10 <> 3""", LINES),
+            FROM lines l LEFT JOIN part p ON p.p_partkey + CASE WHEN p.p_partkey % 10 = 3 THEN 1000000000 ELSE 0 END = l.logger""", LINES),
 )
 def apply_calibration(spark, d):
-    factors = table(spark, d, "part").filter("p_partkey % 10 <> 3").select(
-        F.col("p_partkey").alias("logger"), (F.col("p_retailprice") / 1000).alias("coefficient")
+    shifted = F.col("p_partkey") + F.when(F.col("p_partkey") % 10 == 3, 1_000_000_000).otherwise(0)  # loggers that are unknown
+    factors = table(spark, d, "part").select(
+        shifted.alias("logger"), (F.col("p_retailprice") / 1000).alias("coefficient")
     )
     rows = lines(spark, d).select("l_orderkey", "l_linenumber", "logger", "x")
     out = jn.apply_factor(rows, factors, "logger", "x", "coefficient", "calibrated")
@@ -183,10 +184,11 @@ def subtract_group_min(spark, d):
 
 @query(
     "dense_month_index",
-    with_views("SELECT id, month, CAST(dense_rank() OVER (ORDER BY month) AS INTEGER) AS idx FROM daily WHERE month % 3 <> 0", DAILY),
+    with_views("SELECT id, CASE WHEN month % 3 = 0 THEN month + 12 ELSE month END AS month, CAST(dense_rank() OVER (ORDER BY CASE WHEN month % 3 = 0 THEN month + 12 ELSE month END) AS INTEGER) AS idx FROM daily", DAILY),
 )
 def dense_month_index(spark, d):
-    t = daily(spark, d).filter("month % 3 <> 0").select("id", "month")
+    later = F.when(F.col("month") % 3 == 0, F.col("month") + 12).otherwise(F.col("month")).cast("int")  # leaves gaps
+    t = daily(spark, d).select("id", later.alias("month"))
     return rk.dense_index(t, "month", "idx", ["id"])
 
 
@@ -273,12 +275,12 @@ def neighbour_pairs(spark, d):
     "union_by_name",
     with_views(
         """SELECT id, location, position, month FROM daily WHERE key = 'NEP'
-           UNION ALL SELECT id, location, NULL, month FROM daily WHERE key = 'RP'""", DAILY),
+           UNION ALL SELECT id, location, NULL, month FROM daily WHERE key IS DISTINCT FROM 'NEP'""", DAILY),
 )
 def union_by_name(spark, d):
     t = daily(spark, d)
     first = t.filter("key = 'NEP'").select("id", "location", "position", "month")
-    return od.union_by_name([first, t.filter("key = 'RP'").select("month", "location", "id")])
+    return od.union_by_name([first, t.filter("NOT key <=> 'NEP'").select("month", "location", "id")])
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)  # after the session has ended
     return _local_dirs[app]
 
 

@@ -29,6 +29,11 @@ def line_at(uri: str, number: int, encoding: str, step: int = 1 << 16) -> str |
     return lines[number].decode(encoding) if len(lines) > number else None
 
 
+def is_folder(uri: str) -> bool:
+    system, path = resolve(uri)
+    return system.get_file_info(path).type == arrow_fs.FileType.Directory
+
+
 def remove(uri: str) -> bool:
     """Delete a folder if it is there."""
     system, path = resolve(uri)

@@ -13,8 +13,6 @@ from ..operators.joins import BROADCAST_ROWS, hand_back, key_join
 from .files import line_at
 from .workbook import read_rows
 
-MAX_HEADERS = 500  # distinct header lines a folder may hold; more is an error, not a cut
-
 
 def logger_lines(
     spark: SparkSession, path: str, skip: int, encoding: str = "utf-8", glob: str | None = None, pattern: str | None = None
@@ -109,9 +107,16 @@ def _csv_cells(line: Column, count: int) -> Column:
     return F.array(*[parsed[f"c{i}"] for i in range(count)])
 
 
-def _header_names(line: str) -> list[str]:
-    names = [n.strip().strip('"') for n in line.split(",")]
-    return [n or f"unnamed_{i}" for i, n in enumerate(names)]
+def _header_names(line: Column, types: str | None) -> Column:
+    """Names of a header line by position; NULL where the position is dropped."""
+
+    def name(cell: Column, at: Column) -> Column:
+        text = F.regexp_replace(cell, r'^[\s"]+|[\s"]+$', "")
+        text = F.when(F.length(text) > 0, text).otherwise(F.concat(F.lit("unnamed_"), at.cast("string")))
+        dropped = [i for i, kind in enumerate(types or "") if kind == "_"]
+        return F.when(~at.isin(dropped), text) if dropped else text
+
+    return F.transform(F.split(line, ","), name)
 
 
 def scan_headerless(lines: DataFrame, types: str, names: Sequence[str]) -> DataFrame:
@@ -131,43 +136,32 @@ def scan_by_header(
 ) -> DataFrame:
     """Tables whose first line after the preamble names the columns; differing files are stacked by name.
 
-    With ``types=None`` all columns stay text. The distinct header lines (one per logger
-    model) are the only thing brought to the driver; the rows are read once.
+    With ``types=None`` all columns stay text. The names and places of columns, which make the
+    schema, are the only thing brought to the driver; each file's rows look their places up
+    in its own header, so any number of header lines may differ. The rows are read once.
     """
-    heads = header_lines(spark, path, skip, encoding, glob, pattern)
+    heads = header_lines(spark, path, skip, encoding, glob, pattern).select("path", _header_names(F.col("head"), types).alias("_names"))
     lines = logger_lines(spark, path, skip, encoding, glob, pattern)
-    variants = sorted(r["head"] for r in heads.select("head").distinct().limit(MAX_HEADERS + 1).collect())
-    if len(variants) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers")
     data = lines.filter(~F.col("first")).select("path", "line")
-    if not variants:
+    known = heads.select(F.posexplode("_names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    places = sorted((r["at"], r["name"], r["last"]) for r in known.collect() if r["name"] is not None)
+    if not places:
         return data.select("path")
-    number = F.coalesce(*[F.when(F.col("head") == v, F.lit(i)) for i, v in enumerate(variants)])
-    heads = heads.select("path", number.alias("_variant"))
+    width = max([len(types or ""), *(last + 1 for *_, last in places)])
+    variants = heads.select("_names").distinct().limit(2).collect()
     if len(variants) == 1:
-        data = data.withColumn("_variant", F.lit(0))
+        data = data.withColumn("_names", F.array(*[F.lit(n) for n in variants[0]["_names"]]))
     elif heads.count() <= BROADCAST_ROWS:
         data = key_join(data, F.broadcast(heads), ["path"])
     else:
         sizes = data.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
         data = hand_back(data, key_join(sizes, heads, ["path"]), ["path"], "_n", ["line"])
-    # Where each named column sits in each kind of file, and its type letter there.
-    places: dict[str, list[tuple[int, int]]] = {}
-    letters: dict[str, str] = {}
-    width = 0
-    for i, head in enumerate(variants):
-        names = _header_names(head)
-        kinds = types or "c" * len(names)
-        width = max(width, len(names), len(kinds))
-        for at, (name, kind) in enumerate(zip(names, kinds)):
-            if kind != "_":
-                places.setdefault(name, []).append((i, at))
-                letters[name] = kind
     cells = data.withColumn("_cells", _csv_cells(F.col("line"), width))
     out = []
-    for name, spots in places.items():
-        at = F.coalesce(*[F.when(F.col("_variant") == i, F.lit(pos)) for i, pos in spots])
-        out.append(_as_type(F.get(F.col("_cells"), at), letters[name]).alias(name))
+    for at, name, _ in places:
+        place = F.nullif(F.array_position("_names", F.lit(name)), F.lit(0)) - 1
+        kind = types[at] if types and at < len(types) else "c"
+        out.append(_as_type(F.get(F.col("_cells"), place.cast("int")), kind).alias(name))
     return cells.select("path", *out)
 
 
