@@ -150,3 +150,13 @@ def test_main_text(spark):
 def test_smoothing_keeps_constants():
     assert smooth(np.full(7, 3.0)) == pytest.approx(np.full(7, 3.0))
     assert smooth(np.array([0.0, 0, 9, 0, 0]))[2] == smooth(np.array([0.0, 0, 9, 0, 0])).max()
+
+
+def test_names_of_page_parts():
+    body = "<h1>Head</h1><p>Text of the article that is long enough to be the main part of this page, surely.</p>"
+    want = "Head Text of the article that is long enough to be the main part of this page, surely."
+    for page in (f'<div class="page with-sidebar">{body}</div>', f'<article class="post tags">{body}</article>',
+                 f'<article><div class="article-header"><h1>Head</h1></div>{body[13:]}</article>',
+                 f'<div id="nav-top">Menu and more</div><div class=story>{body}</div><div class="ad banner">Buy this thing</div><aside>Aside</aside>',
+                 f'<main>{body}<div role=dialog>Sign in</div></main><div id=comments><p>{"First! " * 30}</p></div>'):
+        assert main_text(f"<html><body>{page}</body></html>") == want, page

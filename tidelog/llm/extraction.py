@@ -30,9 +30,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class PageReader(HTMLParser):
     """Collects lines (texts between block tags) with their tags, links and containers."""
 
-    def __init__(self):
+    def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether each starts page furniture
+        self.names = names  # whether class, id and role count
+        self.named = self.passed = 0  # open elements that only their name makes furniture, and the text passed over in them
+        self.stack: list[tuple[str, int]] = []  # open elements: 1 starts page furniture, 2 does so by its name
         self.skipping = 0
         self.boxes: list[int] = [0]
         self.parent: list[int] = [-1]
@@ -47,23 +49,28 @@ class PageReader(HTMLParser):
             self.lines.append((text, self.tags, self.linked, self.boxes[-1], self.in_list > 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
-    def _furniture(self, tag: str, attrs) -> bool:
-        if tag in HIDDEN or tag in FURNITURE:
-            return True
-        if tag == "header" and not self.in_article:
-            return True
+    def _furniture(self, tag: str, attrs) -> int:
+        if tag in HIDDEN or tag in FURNITURE or tag == "header" and not self.in_article:
+            return 1
         if tag in ("html", "body", "main"):
-            return False
+            return 0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return 1
             if not value:
                 continue
-            if name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if name in ("class", "id") and NAMES.search(value):
-                return not (tag in HEADINGS or tag in ("article", "header"))  or bool(tag == "article" and re.search(r"comment|related|promo|\bad", value, re.I))
-        return False
+            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return 1
+            if self.names and name == "role" and value.lower() in ROLES:
+                return 2
+            if self.names and name in ("class", "id") and tag not in HEADINGS and tag != "header":
+                # the heading part of an article is named header too
+                found = {m.strip(" _-").lower() for m in NAMES.findall(value)}
+                if "header" in found and (self.in_article or re.search(r"article|post|entry|content|story|title", value, re.I)):
+                    found.discard("header")
+                if found and (tag != "article" or re.search(r"comment|repl|related|promo|\bads?\b", value, re.I)):
+                    return 2
+        return 0
 
     def handle_starttag(self, tag, attrs):
         if tag == "body":  # an unclosed head ends here
@@ -76,7 +83,8 @@ class PageReader(HTMLParser):
             return
         starts = self._furniture(tag, attrs)
         self.stack.append((tag, starts))
-        self.skipping += starts
+        self.skipping += starts > 0
+        self.named += starts == 2
         if tag == "a":
             self.in_link += 1
         elif tag in ("ul", "ol"):
@@ -94,7 +102,8 @@ class PageReader(HTMLParser):
 
     def _pop(self) -> None:
         tag, starts = self.stack.pop()
-        self.skipping -= starts
+        self.skipping -= starts > 0
+        self.named -= starts == 2
         if tag == "a":
             self.in_link -= 1
         elif tag in ("ul", "ol"):
@@ -123,10 +132,12 @@ class PageReader(HTMLParser):
             self.parts.append(data)
             if self.in_link:
                 self.linked += len(data.strip())
+        elif self.skipping == self.named:
+            self.passed += len(data.strip())
 
 
-def read_lines(html: str) -> PageReader:
-    reader = PageReader()
+def read_lines(html: str, names: bool = True) -> PageReader:
+    reader = PageReader(names)
     rest = html
     while True:
         try:
@@ -137,6 +148,8 @@ def read_lines(html: str) -> PageReader:
             rest = "&lt;" + reader.rawdata[1:] if reader.rawdata.startswith("<") else reader.rawdata[1:]
             reader.rawdata = ""
     reader._line()
+    if names and sum(len(line[0]) for line in reader.lines) < 0.05 * reader.passed:
+        return read_lines(html, False)  # a name fits the wrapper of the whole page
     return reader
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
-SENTENCES, WORDS = 2, 20  # a run is the shortest one from a sentence on that has both
-LONG = 160                # characters above which a sentence is also cut after commas
+SENTENCES, WORDS = 2, 12  # a run is the shortest one from a sentence on that has both
+LONG = 90                 # characters above which a sentence is also cut after commas
 
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _COMMA = re.compile(r"[,;:]\s+")
