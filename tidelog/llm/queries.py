@@ -114,6 +114,34 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM sums JOIN placed USING (n)
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, s.y FROM reach r JOIN steps s ON r.y = s.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+COSINE_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+"""
+
+
 def _share_sql(depth: int) -> str:
     """Budgets of one tree level from those of the level above."""
     keys = [f"l{i}" for i in range(depth + 1)]
@@ -147,4 +175,4 @@ SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(
 """
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
-ORACLES: dict[str, str] = {"op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
+ORACLES: dict[str, str] = {"op3_vector_dedup": COSINE_SQL, "op8_ngram_join": JACCARD_SQL, "op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
