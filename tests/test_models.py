@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.splines import Spline
 from tidelog.operators import linear as ln
 from tidelog.operators import seasonal as se
+from tidelog.operators import siteblocks as sb
 from tidelog.operators import smoothing as sm
 
 RNG = np.random.default_rng(11)
@@ -52,8 +53,35 @@ def test_gaussian_model_equals_row_solve(spark, data, cells):
     assert fit.deviance == pytest.approx(float(rss[0]))
     cov = np.linalg.inv(x.T @ x) * rss[0] / (len(y) - x.shape[1])
     assert fit.cov == pytest.approx(cov)
-    table = {r["term"]: r for r in ln.coefficient_table(spark, fit).collect()}
-    assert table["month"]["se"] == pytest.approx(cov[1, 1] ** 0.5)
+
+
+@pytest.mark.parametrize("family,form", [("gaussian", "slope*site"), ("gamma", "slope*site"), ("gamma", "site")])
+def test_site_blocks_equal_the_dense_model(frame, cells, family, form):
+    fit, own = ln.linear_model(cells, form, family), sb.fit_site_lines(ln.month_cells(frame, "site", "month", "y"), form, family)
+    table = {r["term"]: r for r in sb.coefficient_table(own).collect()}
+    assert set(table) == set(fit.terms)
+    for i, term in enumerate(fit.terms):
+        assert (table[term]["estimate"], table[term]["se"]) == pytest.approx((fit.beta[i], fit.cov[i, i] ** 0.5), rel=1e-7, abs=1e-9)
+    assert (own.summary.deviance, own.summary.scale, own.summary.df_residual) == pytest.approx((fit.deviance, fit.scale, fit.df_residual), rel=1e-8)
+
+
+@pytest.mark.parametrize("family", ["gaussian", "gamma"])
+def test_shared_curve_equals_the_dense_model(frame, cells, family):
+    fit = se.SeasonModel(cells, "site", family, se.month_spline()).fit
+    own = sb.fit_shared_curve(ln.month_cells(frame, "site", "month", "y"), family, se.month_spline())
+    # both choose the smoothing level on the same ladder, in units that differ
+    assert (own.deviance, own.scale) == pytest.approx((fit.deviance, fit.scale), rel=5e-3)
+    assert own.df_residual == pytest.approx(fit.df_residual, abs=0.4)
+
+
+def test_many_sites(spark):
+    rng = np.random.default_rng(5)
+    data = [(f"s{i:04d}", m, float(rng.gamma(9, np.exp(0.4 * np.cos(m / 2)) / 9))) for i in range(2000) for m in range(1, 13)]
+    many = ln.month_cells(spark.createDataFrame(data, "site string, month int, y double"), "site", "month", "y")
+    own = sb.fit_site_lines(many, "slope*site", "gamma")
+    assert own.summary.df_residual == 24000 - 4000 and sb.coefficient_table(own).count() == 4000
+    curves = sb.fit_site_curves(many, "gaussian", se.month_spline())
+    assert curves.sites.count() == 2000 and sb.fit_shared_curve(many, "gaussian", se.month_spline()).deviance > curves.summary.deviance
 
 
 def test_gamma_model_equals_row_iterations(data, cells):
@@ -84,13 +112,13 @@ def test_months_outside_the_calendar_are_refused(spark):
         ln.collect_cells(ln.month_cells(df, "site", "month", "y"))
 
 
-def test_contrasts(spark, cells):
+def test_contrasts(spark, frame, cells):
     fit = ln.linear_model(cells, "slope*site")
     pos = {t: i for i, t in enumerate(fit.terms)}
     weights = ln.dimension(spark, [("x", "site[b]", 1.0), ("x", "site[c]", -1.0), ("y", "site[c]", 1.0), ("y", "site[b]", -1.0)],
                            ["contrast", "term", "weight"])
-    coefs, covs = ln.coefficient_table(spark, fit).select("term", "estimate"), ln.covariance_table(spark, fit)
-    got = {r["contrast"]: r for r in ln.contrasts(coefs, covs, weights).collect()}
+    own = sb.fit_site_lines(ln.month_cells(frame, "site", "month", "y"))
+    got = {r["contrast"]: r for r in sb.contrasts(own, weights).collect()}
     k = np.zeros(len(fit.terms))
     k[pos["site[b]"]], k[pos["site[c]"]] = 1, -1
     assert got["x"]["estimate"] == pytest.approx(k @ fit.beta)
@@ -98,17 +126,20 @@ def test_contrasts(spark, cells):
     assert got["y"]["z"] == pytest.approx(-got["x"]["z"]) and got["y"]["p_value"] == pytest.approx(got["x"]["p_value"])
     unknown = ln.dimension(spark, [("x", "site[q]", 1.0)], ["contrast", "term", "weight"])
     with pytest.raises(Exception, match="unknown term"):
-        ln.contrasts(coefs, covs, unknown).collect()
-    pairs = ln.all_pairs(spark, fit, cells.sites).collect()
+        sb.contrasts(own, unknown).collect()
+    pairs = sb.all_pairs(own).collect()
     assert len(pairs) == 3 and all(p["p_holm"] >= p["p_value"] for p in pairs)
+    assert sb.neighbour_z(own).count() == 2
 
 
-def test_site_lines_and_nested_models(spark, cells):
+def test_site_lines_and_nested_models(spark, frame, cells):
     fits = {f: ln.linear_model(cells, f) for f in ("slope", "slope+site", "slope*site")}
     table = ln.compare_nested(spark, fits).collect()
+    own = sb.fit_site_lines(ln.month_cells(frame, "site", "month", "y"))
+    assert own.shared_slope.deviance == pytest.approx(fits["slope+site"].deviance) and own.shared_slope.df_residual == pytest.approx(fits["slope+site"].df_residual)
     assert [r["df"] for r in table] == [None, pytest.approx(2), pytest.approx(2)]
     assert table[1]["deviance_drop"] == pytest.approx(fits["slope"].deviance - fits["slope+site"].deviance)
-    per_site = {r["site"]: r for r in ln.site_lines(spark, fits["slope*site"], cells.sites).collect()}
+    per_site = {r["site"]: r for r in sb.site_lines(sb.fit_site_lines(ln.month_cells(frame, "site", "month", "y"))).collect()}
     at = cells.site == 1
     slope = np.polyfit(np.repeat(cells.month[at] - 6, cells.n[at].astype(int)), np.repeat(cells.s1[at] / cells.n[at], cells.n[at].astype(int)), 1)
     assert (per_site["b"]["slope"], per_site["b"]["intercept"]) == pytest.approx(tuple(slope))
@@ -203,10 +234,11 @@ def test_seasonal_models(spark, data, cells, family):
             eta = x @ want
     assert m.fit.beta == pytest.approx(want, abs=1e-5)
     grid = ln.dimension(spark, [(s, float(v)) for s in SITES for v in (1.0, 4.5, 12.0)], ["site", "month"])
-    got = {(r["site"], r["month"]): r for r in se.predict(models["by_site"], grid).collect()}
+    curves = sb.fit_site_curves(ln.month_cells(spark.createDataFrame(data, "site string, month int, y double"), "site", "month", "y"), family, se.month_spline())
+    got = {(r["site"], r["month"]): r for r in sb.predict_sites(curves, grid).collect()}
     assert all(r["l95"] < r["fit"] < r["u95"] for r in got.values())
     assert got[("a", 1.0)]["fit"] == pytest.approx(got[("a", 12.0)]["fit"])  # the year closes
-    table = se.smooth_terms(spark, {"v": models["by_site"]}).collect()
+    table = sb.smooth_table(curves, "v").collect()
     assert len(table) == 3 and all(r["p_value"] < 0.01 and 1 < r["edf"] < 9 for r in table)
 
 

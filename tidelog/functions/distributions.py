@@ -41,17 +41,3 @@ def t_two_sided(t: float, df: float) -> float | None:
     if df <= 0 or not math.isfinite(t):
         return None
     return beta_regularised(df / (df + t * t), df / 2, 0.5)
-
-
-def normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def holm(p: list[float]) -> list[float]:
-    """Step-down adjustment for several tests at once."""
-    order = sorted(range(len(p)), key=lambda i: p[i])
-    out, worst = [0.0] * len(p), 0.0
-    for rank, i in enumerate(order):
-        worst = max(worst, min(1.0, (len(p) - rank) * p[i]))
-        out[i] = worst
-    return out

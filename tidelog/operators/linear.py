@@ -14,12 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distributions import f_upper_tail, holm, normal_two_sided, t_two_sided
+from ..functions.distributions import f_upper_tail
 from .joins import dimension
 
-MAX_SITES = 200  # a dense site model larger than this is refused, never cut
-
-
 @dataclass
 class Cells:
     """Sufficient statistics per (site, month)."""
@@ -42,11 +39,18 @@ def month_cells(df: DataFrame, site: str, month: str, value: str) -> DataFrame:
     )
 
 
+def collect_months(cells: DataFrame) -> Cells:
+    """The cells of all sites together, at most one per month, as one site."""
+    whole = cells.groupBy("month").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "slog")], F.max(F.col("slog").isNull()).alias("_bad"))
+    slog = F.when(~F.col("_bad"), F.col("slog"))  # a value without logarithm stays visible
+    return collect_cells(whole.select(F.lit("all").alias("site"), "month", "n", "s1", "s2", slog.alias("slog")))
+
+
 def collect_cells(cells: DataFrame) -> Cells:
-    """Bring the cells to the driver: at most 12 per site, and the site count is checked."""
-    rows = cells.limit(12 * MAX_SITES + 1).collect()
-    if len(rows) > 12 * MAX_SITES or any(not 1 <= r["month"] <= 12 for r in rows):
-        raise ValueError(f"expected months 1..12 for at most {MAX_SITES} sites")
+    """Cells of a few sites on the driver, for models of their own; see siteblocks for any number of sites."""
+    rows = cells.collect()
+    if any(not 1 <= r["month"] <= 12 for r in rows):
+        raise ValueError("expected months 1..12")
     rows.sort(key=lambda r: (r["site"], r["month"]))
     sites = sorted({r["site"] for r in rows})
 
@@ -78,14 +82,14 @@ class Fit:
         return self.n - self.df_model
 
 
-def _stationary_search(solve, start: list[float]) -> list[float]:
+def stationary_levels(score, start: list[float]) -> list[float]:
     """Coordinate search of the log10 smoothing levels on a coarse, then a fine grid."""
     logs = list(start)
     for step, sweeps in ((1.0, 2), (0.25, 2), (0.05, 1)):
         for _ in range(sweeps):
             for i in range(len(logs)):
                 tries = [np.clip(logs[i] + step * j, -7.0, 7.0) for j in range(-6, 7)]
-                scores = [solve(logs[:i] + [t] + logs[i + 1 :])[0] for t in tries]
+                scores = [score(logs[:i] + [t] + logs[i + 1 :]) for t in tries]
                 logs[i] = float(tries[int(np.argmin(scores))])
     return logs
 
@@ -121,7 +125,7 @@ def fit_cells(
     if family == "gaussian":
         solve = weighted(mean, float(within.sum()))
         if penalties:
-            logs = _stationary_search(solve, logs)
+            logs = stationary_levels(lambda v: solve(v)[0], logs)
         _, beta, edf, inv, rss = solve(logs)
         deviance, scale = rss, rss / (total - edf.sum())
     else:
@@ -133,7 +137,7 @@ def fit_cells(
             z = eta + (mean - mu) / mu
             solve = weighted(z, float((within / mu**2).sum()))
             if penalties and step < 12:
-                logs = _stationary_search(solve, logs)
+                logs = stationary_levels(lambda v: solve(v)[0], logs)
             _, beta, edf, inv, _ = solve(logs)
             change, eta = float(np.abs(x @ beta - eta).max()), x @ beta
             mu = np.exp(eta)
@@ -174,22 +178,6 @@ def linear_model(cells: Cells, form: str, family: str = "gaussian", origin: floa
     return fit_cells(cells, x, terms, family)
 
 
-def coefficient_table(spark: SparkSession, fit: Fit) -> DataFrame:
-    se = np.sqrt(np.diag(fit.cov))
-    rows = []
-    for term, b, s in zip(fit.terms, fit.beta, se):
-        t = float(b / s)
-        rows.append((term, float(b), float(s), t, t_two_sided(t, fit.df_residual)))
-    return dimension(spark, rows, ["term", "estimate", "se", "statistic", "p_value"])
-
-
-def covariance_table(spark: SparkSession, fit: Fit) -> DataFrame:
-    rows = [
-        (a, b, float(fit.cov[i, j])) for i, a in enumerate(fit.terms) for j, b in enumerate(fit.terms)
-    ]
-    return dimension(spark, rows, ["term_a", "term_b", "covariance"])
-
-
 def compare_nested(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
     """Analysis of deviance for models listed from small to large; F uses the largest model's scale."""
     items = list(fits.items())
@@ -205,62 +193,3 @@ def compare_nested(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
         rows.append((name, f.df_residual, f.deviance, df, dev, value, f_upper_tail(value, df, df_last)))
     names = ["model", "df_residual", "deviance", "df", "deviance_drop", "f_value", "p_value"]
     return dimension(spark, rows, names)
-
-
-def site_lines(spark: SparkSession, fit: Fit, sites: Sequence[str]) -> DataFrame:
-    """Intercept and slope of each site; a log-link intercept is given on the response scale."""
-    at = dict(zip(fit.terms, fit.beta))
-    rows = []
-    for s in sites:
-        intercept = at["intercept"] + at.get(f"site[{s}]", 0.0)
-        slope = at.get("month", 0.0) + at.get(f"month:site[{s}]", 0.0)
-        rows.append((s, float(np.exp(intercept) if fit.family == "gamma" else intercept), float(slope)))
-    return dimension(spark, rows, ["site", "intercept", "slope"])
-
-
-def contrasts(coefficients: DataFrame, covariances: DataFrame, weights: DataFrame) -> DataFrame:
-    """Tests of weighted sums of coefficients. ``weights`` is long: (contrast, term, weight).
-
-    Terms are matched by name, so a term the model does not have is an error, not a shift.
-    """
-    known = weights.join(coefficients, "term", "left").withColumn(
-        "estimate", F.coalesce("estimate", F.raise_error(F.concat(F.lit("unknown term "), F.col("term"))))
-    )
-    value = known.groupBy("contrast").agg(F.sum(F.col("weight") * F.col("estimate")).alias("estimate"))
-    a = weights.select("contrast", F.col("term").alias("term_a"), F.col("weight").alias("_wa"))
-    b = weights.select("contrast", F.col("term").alias("term_b"), F.col("weight").alias("_wb"))
-    spread = (
-        a.join(b, "contrast").join(covariances, ["term_a", "term_b"])
-        .groupBy("contrast").agg(F.sqrt(F.sum(F.col("_wa") * F.col("_wb") * F.col("covariance"))).alias("se"))
-    )
-    from ..functions.curves import normal_p_two_sided
-
-    out = value.join(spread, "contrast").withColumn("z", F.col("estimate") / F.col("se"))
-    return out.withColumn("p_value", normal_p_two_sided("z"))
-
-
-def all_pairs(spark: SparkSession, fit: Fit, sites: Sequence[str]) -> DataFrame:
-    """Differences between all sites at the origin month, with Holm-adjusted p values."""
-    position = {t: i for i, t in enumerate(fit.terms)}
-    rows = []
-    for i, low in enumerate(sites):
-        for high in sites[i + 1 :]:
-            k = np.zeros(len(fit.terms))
-            for s, sign in ((high, 1.0), (low, -1.0)):
-                if f"site[{s}]" in position:
-                    k[position[f"site[{s}]"]] += sign
-            est, se = float(k @ fit.beta), float(np.sqrt(k @ fit.cov @ k))
-            rows.append([f"{high} - {low}", est, se, est / se, normal_two_sided(est / se)])
-    adjusted = holm([r[4] for r in rows])
-    return dimension(spark, [r + [p] for r, p in zip(rows, adjusted)],
-                     ["contrast", "estimate", "se", "z", "p_value", "p_holm"])
-
-
-def neighbour_z(spark: SparkSession, names: Sequence[str], estimates, errors) -> DataFrame:
-    """z tests between levels that are neighbours in falling order, treating estimates as independent."""
-    order = sorted(range(len(names)), key=lambda i: (-estimates[i], names[i]))
-    rows = []
-    for i, j in zip(order, order[1:]):
-        z = float((estimates[i] - estimates[j]) / np.hypot(errors[i], errors[j]))
-        rows.append((f"{names[i]} - {names[j]}", z, normal_two_sided(z)))
-    return dimension(spark, rows, ["compare", "z", "p_value"])

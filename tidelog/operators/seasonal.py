@@ -23,7 +23,7 @@ def month_spline(cyclic: bool = True, k: int = 10) -> Spline:
     return Spline.even(1.0, 12.0, k, "cc" if cyclic else "cr")
 
 
-def _null_space(row: np.ndarray) -> np.ndarray:
+def null_space(row: np.ndarray) -> np.ndarray:
     """Orthonormal basis of the vectors orthogonal to ``row``."""
     q, _ = np.linalg.qr(row[:, None], mode="complete")
     return q[:, 1:]
@@ -47,7 +47,7 @@ class SeasonModel:
         self.blocks: list[tuple[str, int, np.ndarray]] = []
         for label, mask in ([("all", np.ones(len(cells.n), bool))] if form != "by_site"
                             else [(cells.sites[i], cells.site == i) for i in sites]):
-            z = _null_space((cells.n[mask, None] * b[mask]).sum(0))
+            z = null_space((cells.n[mask, None] * b[mask]).sum(0))
             self.blocks.append((label, len(terms), z))
             columns.append((b @ z) * mask[:, None])
             terms += [f"s(month)[{label}].{j}" for j in range(z.shape[1])]
@@ -94,12 +94,7 @@ class SeasonModel:
         return out
 
 
-def smooth_terms(spark: SparkSession, models: dict[str, SeasonModel]) -> DataFrame:
-    rows = [r for variable, m in models.items() for r in m.smooth_table(variable)]
-    return dimension(spark, rows, ["variable", "site", "edf", "ref_df", "f_value", "p_value"])
-
-
-def _band(df: DataFrame, eta: Column, variance: Column, log_link: bool, z: float = 1.96) -> DataFrame:
+def band(df: DataFrame, eta: Column, variance: Column, log_link: bool, z: float = 1.96) -> DataFrame:
     back = F.exp if log_link else (lambda c: c)
     half = F.lit(z) * F.sqrt(F.greatest(variance, F.lit(0.0)))
     df = df.withColumn("_eta", eta).withColumn("_half", half)
@@ -117,7 +112,7 @@ def predict(model: SeasonModel, grid: DataFrame, month: str = "month") -> DataFr
     wide, names = model.spline.attach(grid, month)
     basis = ["1", *names]
     wide = wide.join(model.curves(spark), "site")
-    banded = _band(wide, dot("theta", basis), quadratic("theta_cov", basis), model.fit.family == "gamma")
+    banded = band(wide, dot("theta", basis), quadratic("theta_cov", basis), model.fit.family == "gamma")
     return banded.select(*grid.columns, "fit", "l95", "u95")
 
 
@@ -150,7 +145,7 @@ def facet_curves(
     grid = linear_grid(curves, "month", spline.knots[0], spline.knots[-1], points)
     grid, names = spline.attach(grid, "month")
     basis = ["1", *names]
-    banded = _band(grid, dot("theta", basis), quadratic("theta_cov", basis), family == "gamma")
+    banded = band(grid, dot("theta", basis), quadratic("theta_cov", basis), family == "gamma")
     return banded.select(*facet, "month", "edf", "fit", "l95", "u95")
 
 

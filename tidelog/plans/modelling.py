@@ -8,7 +8,9 @@ from ..functions.splines import Spline
 from ..functions.values import snap, snap_sql
 from ..operators import linear as ln
 from ..operators import seasonal as se
+from ..operators import siteblocks as sb
 from ..operators import smoothing as sm
+from ..session import materialize
 from ..operators.joins import dimension, grid_by_level
 from .registry import query
 from .tables import DAILY, READINGS, daily, readings, with_views
@@ -61,7 +63,7 @@ def oxygen_slope(spark, d):
 
 
 def _cells(spark, d, value="value"):
-    return ln.collect_cells(ln.month_cells(daily(spark, d), "location", "month", value))
+    return materialize(ln.month_cells(daily(spark, d), "location", "month", value), "month-cells")
 
 
 def _grid(spark, d, points=51):
@@ -69,8 +71,9 @@ def _grid(spark, d, points=51):
 
 
 def _pooled(spark, d, family, spline):
-    model = se.SeasonModel(_cells(spark, d), "pooled", family, spline)
-    return se.predict(model, _grid(spark, d))
+    model = se.SeasonModel(ln.collect_months(_cells(spark, d)), "pooled", family, spline)
+    return se.predict(model, _grid(spark, d).withColumnRenamed("site", "_site").withColumn("site", F.lit("all"))).select(
+        F.col("_site").alias("site"), "month", "fit", "l95", "u95")
 
 
 @query("seasonal_gaussian")
@@ -92,14 +95,16 @@ def seasonal_open(spark, d):
 def seasonal_by_site(spark, d):
     """The three nested seasonal models and their analysis of deviance, from one pass over the rows."""
     cells = _cells(spark, d)
-    fits = {form: se.SeasonModel(cells, form, "gamma", MONTH_SPLINE).fit for form in se.FORMS}
-    return ln.compare_nested(spark, fits)
+    return ln.compare_nested(spark, {
+        "pooled": se.SeasonModel(ln.collect_months(cells), "pooled", "gamma", MONTH_SPLINE).fit,
+        "site": sb.fit_shared_curve(cells, "gamma", MONTH_SPLINE),
+        "by_site": sb.fit_site_curves(cells, "gamma", MONTH_SPLINE).summary,
+    })
 
 
 @query("seasonal_predict")
 def seasonal_predict(spark, d):
-    model = se.SeasonModel(_cells(spark, d), "by_site", "gamma", MONTH_SPLINE)
-    return se.predict(model, _grid(spark, d))
+    return sb.predict_sites(sb.fit_site_curves(_cells(spark, d), "gamma", MONTH_SPLINE), _grid(spark, d))
 
 
 @query("smooth_per_facet")
@@ -109,13 +114,18 @@ def smooth_per_facet(spark, d):
     return se.facet_curves(cells, ["site"], MONTH_SPLINE, "gaussian")
 
 
+@query("smooth_per_facet_open")
+def smooth_per_facet_open(spark, d):
+    """The same with the Gamma family and the open basis."""
+    t = daily(spark, d).withColumn("facet", F.concat_ws(" ", "location", "position"))
+    return se.facet_curves(ln.month_cells(t, "facet", "month", "value"), ["site"], OPEN_SPLINE, "gamma")
+
+
 @query("smooth_terms")
 def smooth_terms(spark, d):
-    models = {
-        "scaled": se.SeasonModel(_cells(spark, d), "by_site", "gaussian", MONTH_SPLINE),
-        "raw": se.SeasonModel(_cells(spark, d, "raw"), "by_site", "gaussian", MONTH_SPLINE),
-    }
-    return se.smooth_terms(spark, models)
+    values = {"scaled": "value", "raw": "raw"}
+    tables = [sb.smooth_table(sb.fit_site_curves(_cells(spark, d, c), "gaussian", MONTH_SPLINE), name) for name, c in values.items()]
+    return tables[0].unionByName(tables[1])
 
 
 # --- linear models -----------------------------------------------------------
@@ -155,8 +165,7 @@ STUDENT_P = _simpson(
 
 
 def _full_model(spark, d, form="slope*site", family="gaussian"):
-    cells = _cells(spark, d)
-    return cells, ln.linear_model(cells, form, family)
+    return sb.fit_site_lines(_cells(spark, d), form, family)
 
 
 @query(
@@ -164,8 +173,8 @@ def _full_model(spark, d, form="slope*site", family="gaussian"):
     with_views(f"SELECT term, {snap_sql('estimate')} AS estimate, {snap_sql('se')} AS se FROM coef", DAILY, PER_SITE),
 )
 def glm_gaussian_site(spark, d):
-    _, fit = _full_model(spark, d)
-    return _snapped(ln.coefficient_table(spark, fit).select("term", "estimate", "se"), "estimate", "se")
+    fit = _full_model(spark, d)
+    return _snapped(sb.coefficient_table(fit).select("term", "estimate", "se"), "estimate", "se")
 
 
 @query(
@@ -182,8 +191,8 @@ def glm_gaussian_site(spark, d):
                     FROM daily JOIN mu ON mu.location = daily.location)"""),
 )
 def glm_gamma_site(spark, d):
-    _, fit = _full_model(spark, d, "site", "gamma")
-    out = ln.coefficient_table(spark, fit).select("term", "estimate", "se")
+    fit = _full_model(spark, d, "site", "gamma")
+    out = sb.coefficient_table(fit).select("term", "estimate", "se")
     return _snapped(_snapped(out, "estimate"), "se", digits=5)
 
 
@@ -214,8 +223,42 @@ base AS (SELECT * FROM site WHERE location = (SELECT min(location) FROM site)),
     GAMMA_LINES + COEF + f" SELECT term, {snap_sql('estimate', 5)} AS estimate, {snap_sql('se', 5)} AS se FROM coef",
 )
 def glm_gamma_slope_site(spark, d):
-    _, fit = _full_model(spark, d, "slope*site", "gamma")
-    return _snapped(ln.coefficient_table(spark, fit).select("term", "estimate", "se"), "estimate", "se", digits=5)
+    fit = _full_model(spark, d, "slope*site", "gamma")
+    return _snapped(sb.coefficient_table(fit).select("term", "estimate", "se"), "estimate", "se", digits=5)
+
+
+def _line_bands(spark, d, family):
+    fit = sb.fit_site_lines(_cells(spark, d), "slope*site", family)
+    return _snapped(sb.line_bands(fit, 1, 12, 12), "fit", "l95", "u95", digits=3).withColumn("month", F.col("month").cast("int"))
+
+
+BAND_MONTHS = "(SELECT unnest(range(1, 13))::INTEGER AS month)"
+
+
+@query(
+    "line_per_facet",
+    with_views(
+        f"""SELECT location AS site, month, {snap_sql('e', 3)} AS fit, {snap_sql('e - 1.96 * s', 3)} AS l95, {snap_sql('e + 1.96 * s', 3)} AS u95 FROM (
+              SELECT location, month, a + b * (month - 6) AS e,
+                     sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0 / n + pow(month - 6 - hbar, 2) / sxx)) AS s FROM per, {BAND_MONTHS})""",
+        DAILY, PER_SITE),
+)
+def line_per_facet(spark, d):
+    return _line_bands(spark, d, "gaussian")
+
+
+@query(
+    "line_per_facet_gamma",
+    GAMMA_LINES + COEF + f""",
+own AS (SELECT l.location, any_value(a) AS a, any_value(b) AS b, sum(n) AS sn, sum(n * h) AS sh, sum(n * h * h) AS shh,
+               sum((s2 - 2 * s1 * exp(a + b * h) + n * exp(2 * (a + b * h))) / exp(2 * (a + b * h))) / (sum(n) - 2) AS phi
+        FROM cells c JOIN lines l ON l.location = c.location GROUP BY l.location)
+SELECT location AS site, month, {snap_sql('exp(e)', 3)} AS fit, {snap_sql('exp(e - 1.96 * s)', 3)} AS l95, {snap_sql('exp(e + 1.96 * s)', 3)} AS u95 FROM (
+  SELECT location, month, a + b * (month - 6) AS e,
+         sqrt(phi * (shh - 2 * (month - 6) * sh + (month - 6) * (month - 6) * sn) / (sn * shh - sh * sh)) AS s FROM own, {BAND_MONTHS})""",
+)
+def line_per_facet_gamma(spark, d):
+    return _line_bands(spark, d, "gamma")
 
 
 @query(
@@ -226,8 +269,8 @@ def glm_gamma_slope_site(spark, d):
             FROM (SELECT *, estimate / se AS t, df::DOUBLE AS df FROM coef, err)""", DAILY, PER_SITE),
 )
 def glm_coef_table(spark, d):
-    _, fit = _full_model(spark, d)
-    out = _snapped(ln.coefficient_table(spark, fit), "estimate", "se", "statistic")
+    fit = _full_model(spark, d)
+    out = _snapped(sb.coefficient_table(fit), "estimate", "se", "statistic")
     return _snapped(out, "p_value", digits=6)
 
 
@@ -237,8 +280,8 @@ def glm_coef_table(spark, d):
         f"SELECT location AS site, {snap_sql('a')} AS intercept, {snap_sql('b')} AS slope FROM site", DAILY, PER_SITE),
 )
 def site_intercept_slope(spark, d):
-    cells, fit = _full_model(spark, d)
-    return _snapped(ln.site_lines(spark, fit, cells.sites), "intercept", "slope")
+    fit = _full_model(spark, d)
+    return _snapped(sb.site_lines(fit), "intercept", "slope")
 
 
 # The planned comparisons, by term name.
@@ -265,9 +308,9 @@ PLANNED = [
                   WHERE x.location = '5-LOW' AND y.location = '4-NOT SPECIFIED'))""", DAILY, PER_SITE),
 )
 def contrasts_given(spark, d):
-    _, fit = _full_model(spark, d)
+    fit = _full_model(spark, d)
     weights = dimension(spark, PLANNED, ["contrast", "term", "weight"])
-    out = ln.contrasts(ln.coefficient_table(spark, fit).select("term", "estimate"), ln.covariance_table(spark, fit), weights)
+    out = sb.contrasts(fit, weights)
     return _snapped(_snapped(out, "estimate", "se", "z"), "p_value", digits=6)
 
 
@@ -283,8 +326,8 @@ def contrasts_given(spark, d):
                   FROM site x, site y WHERE x.location > y.location)))""", DAILY, PER_SITE),
 )
 def contrasts_all_pairs(spark, d):
-    cells, fit = _full_model(spark, d)
-    out = ln.all_pairs(spark, fit, cells.sites).select("contrast", "estimate", "z", "p_value", "p_holm")
+    fit = _full_model(spark, d)
+    out = sb.all_pairs(fit).select("contrast", "estimate", "z", "p_value", "p_holm")
     return _snapped(_snapped(out, "estimate", "z"), "p_value", "p_holm", digits=6)
 
 
@@ -297,14 +340,8 @@ def contrasts_all_pairs(spark, d):
               FROM site WINDOW o AS (ORDER BY a DESC, location)) WHERE z IS NOT NULL""", DAILY, PER_SITE),
 )
 def wald_pairs(spark, d):
-    cells, fit = _full_model(spark, d)
-    at, pos = dict(zip(fit.terms, fit.beta)), {t: i for i, t in enumerate(fit.terms)}
-    levels, errors = [], []
-    for s in cells.sites:
-        k = [1.0 if t in ("intercept", f"site[{s}]") else 0.0 for t in pos]
-        levels.append(float(at["intercept"] + at.get(f"site[{s}]", 0.0)))
-        errors.append(float((sum(k[i] * k[j] * fit.cov[i, j] for i in range(len(k)) for j in range(len(k)))) ** 0.5))
-    return _snapped(_snapped(ln.neighbour_z(spark, cells.sites, levels, errors), "z"), "p_value", digits=6)
+    fit = _full_model(spark, d)
+    return _snapped(_snapped(sb.neighbour_z(fit), "z"), "p_value", digits=6)
 
 
 @query(
@@ -327,8 +364,9 @@ def wald_pairs(spark, d):
 )
 def nested_f_test(spark, d):
     cells = _cells(spark, d)
-    fits = {form: ln.linear_model(cells, form) for form in ("slope", "slope+site", "slope*site")}
-    out = ln.compare_nested(spark, fits)
+    own = sb.fit_site_lines(cells)
+    out = ln.compare_nested(spark, {
+        "slope": ln.linear_model(ln.collect_months(cells), "slope"), "slope+site": own.shared_slope, "slope*site": own.summary})
     out = _snapped(_snapped(out, "deviance", "deviance_drop", digits=2), "f_value")
     # Unpenalised models have whole degrees of freedom.
     return _snapped(out.withColumn("df", F.round("df")).withColumn("df_residual", F.round("df_residual")), "p_value", digits=6)
