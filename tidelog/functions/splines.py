@@ -126,8 +126,8 @@ class Spline:
             out.append(F.expr(slope if derivative else value).alias(names[-1]))
         return steps.select(*df.columns, *out), names
 
-    def sql(self, x: str) -> list[str]:
-        """The basis functions inside the knot range as SQL text."""
+    def sql(self, x: str, derivative: int = 0) -> list[str]:
+        """The basis functions inside the knot range, or their slopes, as SQL text."""
         if self.kind == "cc":
             first, span = self.knots[0], self.knots[-1] - self.knots[0]
             x = f"({x} - {span!r} * floor(({x} - {first!r}) / {span!r}))"
@@ -137,7 +137,7 @@ class Spline:
             for j in range(len(self.knots) - 1):
                 a, b, c, d = (f"({float(v)!r})::DOUBLE" for v in self.pieces[i, j])
                 t = f"({x} - {self.knots[j]!r})"
-                poly = f"{a} + {t} * ({b} + {t} * ({c} + {t} * {d}))"
+                poly = f"{b} + {t} * (2 * {c} + {t} * 3 * {d})" if derivative else f"{a} + {t} * ({b} + {t} * ({c} + {t} * {d}))"
                 last = j == len(self.knots) - 2
                 cases.append(f"ELSE {poly}" if last else f"WHEN {x} < {self.knots[j + 1]!r} THEN {poly}")
             out.append("CASE " + " ".join(cases) + " END")

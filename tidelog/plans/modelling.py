@@ -56,10 +56,64 @@ def spline_gram_cyclic(spark, d):
     return _long_gram(sm.gram(daily(spark, d), ["location"], MONTH_SPLINE, "month", "value"), ["location"])
 
 
-@query("oxygen_slope")
+def _slope_sql() -> str:
+    """Penalised least squares per group: Gauss-Jordan steps on [A | G | c], one recursion step per pivot.
+
+    A = G + lambda S; with X = A^-1 G and beta = A^-1 c the effective df are the trace of X. Two rounds
+    of smoothing levels are tried, the second around the best of the first.
+    """
+    k, s = HOUR_SPLINE.size, HOUR_SPLINE.penalty
+    keys = "location, position, day"
+    basis = ", ".join(f"{t} AS b{i}" for i, t in enumerate(HOUR_SPLINE.sql("hour")))
+    slope = ", ".join(f"{t} AS d{i}" for i, t in enumerate(HOUR_SPLINE.sql("hour", 1)))
+    gram = ", ".join("[" + ", ".join(f"sum(b{i} * b{j})" for j in range(k)) + "]" for i in range(k))
+    trace = " + ".join(f"g[{i}][{i}]" for i in range(1, k + 1))
+    ridge = "[" + ", ".join("[" + ", ".join(f"g[{i}][{j}]" + (f" + 1e-12 * ({trace}) / {k}" if i == j else "") for j in range(1, k + 1)) + "]" for i in range(1, k + 1)) + "]"
+    rows = ", ".join("list_concat([" + ", ".join(
+        f"g[{i + 1}][{j + 1}] + pow(10::DOUBLE, level) * scale * ({float(s[i, j])!r})::DOUBLE" for j in range(k)) + f"], g[{i + 1}], [c[{i + 1}]])" for i in range(k))
+    dots = " + ".join(f"m[{i}][{2 * k + 1}] * c[{i}]" for i in range(1, k + 1))
+    squares = " + ".join(f"m[{i}][{2 * k + 1}] * m[{j}][{2 * k + 1}] * g[{i}][{j}]" for i in range(1, k + 1) for j in range(1, k + 1))
+    edf = " + ".join(f"m[{i}][{k + i}]" for i in range(1, k + 1))
+
+    def solved(name: str, levels: str) -> str:
+        return f"""
+{name}_steps(p, {keys}, level, g, c, yy, n, m) AS (
+  SELECT 0, {keys}, level, g, c, yy, n, [{rows}] FROM {levels}
+  UNION ALL
+  SELECT p + 1, {keys}, level, g, c, yy, n, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = p + 1 THEN top
+           ELSE list_transform(range(1, {2 * k + 2}), lambda j: m[i][j] - m[i][p + 1] * top[j]) END)
+  FROM (SELECT *, list_transform(m[p + 1], lambda v: v / m[p + 1][p + 1]) AS top FROM {name}_steps WHERE p < {k})),
+{name} AS (
+  SELECT {keys}, level, n, edf, m, CASE WHEN n - edf > 1e-6 THEN n * greatest(rss, 0) / pow(greatest(n - edf, 1e-6), 2) ELSE 'inf'::DOUBLE END AS gcv
+  FROM (SELECT *, {edf} AS edf, yy - 2 * ({dots}) + {squares} AS rss FROM {name}_steps WHERE p = {k}))"""
+
+    first = ", ".join(f"{-7 + 0.5 * i!r}::DOUBLE" for i in range(29))
+    second = ", ".join(f"{-0.45 + 0.05 * i!r}::DOUBLE" for i in range(19))
+    return f"""
+WITH RECURSIVE {READINGS},
+centred AS (SELECT *, oxygen - avg(oxygen) OVER (PARTITION BY {keys}) AS y FROM readings),
+sums AS (
+  SELECT {keys}, count(*)::DOUBLE AS n, sum(y * y) AS yy, [{gram}] AS g, [{", ".join(f"sum(b{i} * y)" for i in range(k))}] AS c
+  FROM (SELECT {keys}, y, {basis} FROM centred) GROUP BY ALL),
+groups AS (SELECT {keys}, n, yy, {ridge} AS g, c, ({trace}) / {float(s.trace())!r}::DOUBLE AS scale FROM sums),
+wide AS (SELECT *, unnest([{first}]) AS level FROM groups),{solved("coarse", "wide")},
+chosen AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gcv, level) AS rn FROM coarse),
+near AS (SELECT groups.*, chosen.level + unnest([{second}]) AS level FROM groups JOIN chosen USING ({keys}) WHERE rn = 1),{solved("fine", "near")},
+best AS (
+  SELECT {keys}, CASE WHEN n > edf + 0.5 THEN m END AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gcv, round, level) AS pick FROM (
+      SELECT {keys}, n, edf, m, gcv, level, 1 AS round FROM chosen WHERE rn = 1
+      UNION ALL SELECT {keys}, n, edf, m, gcv, level, 2 FROM fine)) WHERE pick = 1)
+SELECT event_id, location, position, day, {snap_sql('hour')} AS hour, {snap_sql('oxygen')} AS oxygen,
+       {snap_sql(" + ".join(f"d{i} * m[{i + 1}][{2 * k + 1}]" for i in range(k)), 3)} AS rate
+FROM (SELECT *, {slope} FROM readings) JOIN best USING ({keys})"""
+
+
+@query("oxygen_slope", _slope_sql())
 def oxygen_slope(spark, d):
     r = readings(spark, d).select("event_id", "location", "position", "day", "hour", "oxygen")
-    return sm.slope_at_rows(r, ["location", "position", "day"], "hour", "oxygen", HOUR_SPLINE, ["event_id"])
+    out = sm.slope_at_rows(r, ["location", "position", "day"], "hour", "oxygen", HOUR_SPLINE, ["event_id"])
+    return _snapped(_snapped(out, "hour", "oxygen"), "rate", digits=3)
 
 
 def _cells(spark, d, value="value"):
@@ -70,13 +124,76 @@ def _grid(spark, d, points=51):
     return grid_by_level(daily(spark, d).select(F.col("location").alias("site")), "site", "month", 1, 12, points)
 
 
+def _season_sql(keys: str, source: str, spline: Spline, select: str, points: str) -> str:
+    """Gaussian smooth of every group of ``source(keys, month, value)``: same ladder of smoothing levels, own algebra.
+
+    The basis adds up to one and the penalty ignores constants, so level and centred smooth together
+    are the plain basis, solved as [A | G | c | I] by Gauss-Jordan steps, A = G + lambda S.
+    """
+    k, s = spline.size, spline.penalty
+    one = range(1, k + 1)
+    basis = ", ".join(f"{t} AS b{i}" for i, t in enumerate(spline.sql("month")))
+    gram = ", ".join("[" + ", ".join(f"sum(b{i} * b{j})" for j in range(k)) + "]" for i in range(k))
+    penalty = "[" + ", ".join("[" + ", ".join(f"({float(v)!r})::DOUBLE" for v in row) + "]" for row in s) + "]"
+    total = " + ".join(f"r[{i}] * r[{i}]" for i in one)
+
+    def rest(m: str) -> str:  # trace of m over the directions that keep the smooth's sum at zero
+        return f"({' + '.join(f'{m}[{i}][{i}]' for i in one)} - ({' + '.join(f'r[{i}] * r[{j}] * {m}[{i}][{j}]' for i in one for j in one)}) / ({total}))"
+
+    rows = ", ".join("list_concat([" + ", ".join(f"g[{i}][{j}] + pow(10::DOUBLE, level) * unit * s[{i}][{j}]" for j in one)
+                     + f"], g[{i}], [c[{i}]], [{', '.join('1.0' if i == j else '0.0' for j in one)}]::DOUBLE[])" for i in one)
+    beta = [f"m[{i}][{2 * k + 1}]" for i in one]
+    dots = " + ".join(f"{b} * c[{i}]" for i, b in zip(one, beta))
+    squares = " + ".join(f"{beta[i - 1]} * {beta[j - 1]} * g[{i}][{j}]" for i in one for j in one)
+    edf = " + ".join(f"m[{i}][{k + i}]" for i in one)
+    views = []
+    for turn, step in enumerate((1.0, 1.0, 0.25, 0.25, 0.05)):
+        start = "0.0::DOUBLE" if turn == 0 else "level"
+        before = "models" if turn == 0 else f"best{turn - 1}"
+        views.append(f"""
+tries{turn} AS (SELECT {keys}, n, yy, g, c, s, unit, j, greatest(-7.0::DOUBLE, least(7.0::DOUBLE, start + {step!r}::DOUBLE * j)) AS level
+  FROM (SELECT {keys}, n, yy, g, c, s, unit, {start} AS start, unnest(range(-6, 7)) AS j FROM {before})),
+steps{turn}(p, {keys}, level, j, g, c, s, unit, yy, n, m) AS (
+  SELECT 0, {keys}, level, j, g, c, s, unit, yy, n, [{rows}] FROM tries{turn}
+  UNION ALL
+  SELECT p + 1, {keys}, level, j, g, c, s, unit, yy, n, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = p + 1 THEN top
+           ELSE list_transform(range(1, {3 * k + 2}), lambda q: m[i][q] - m[i][p + 1] * top[q]) END)
+  FROM (SELECT *, list_transform(m[p + 1], lambda v: v / m[p + 1][p + 1]) AS top FROM steps{turn} WHERE p < {k})),
+best{turn} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n * rss / pow(greatest(n - edf, 1e-6), 2), j) AS pick
+    FROM (SELECT *, {edf} AS edf, yy - 2 * ({dots}) + {squares} AS rss FROM steps{turn} WHERE p = {k})) WHERE pick = 1)""")
+    band = " + ".join(f"b{i} * b{j} * m[{i + 1}][{2 * k + 2 + j}]" for i in range(k) for j in range(k))
+    return f"""
+WITH RECURSIVE {DAILY},
+source AS ({source}),
+sums AS (SELECT {keys}, count(*)::DOUBLE AS n, sum(value * value) AS yy, [{gram}] AS g, [{", ".join(f"sum(b{i} * value)" for i in range(k))}] AS c,
+                [{", ".join(f"sum(b{i})" for i in range(k))}] AS r, {penalty} AS s
+         FROM (SELECT {keys}, value, {basis} FROM source) GROUP BY ALL),
+models AS (SELECT *, (n + {rest("g")}) / {rest("s")} AS unit FROM sums),{",".join(views)},
+curve AS (SELECT {keys}, month, edf, {" + ".join(f"b{i} * m[{i + 1}][{2 * k + 1}]" for i in range(k))} AS fit, sqrt(greatest(({band}) * rss / (n - edf), 0)) AS half
+          FROM (SELECT *, {basis} FROM best4, (SELECT 1 + i * 11 / {points}::DOUBLE AS month FROM (SELECT unnest(range({points} + 1)) AS i))))
+{select}"""
+
+
+BAND = f"{snap_sql('month')} AS month, {snap_sql('fit', 3)} AS fit, {snap_sql('fit - 1.96 * half', 3)} AS l95, {snap_sql('fit + 1.96 * half', 3)} AS u95"
+
+
+def _band_snapped(df):
+    return _snapped(_snapped(df, "month"), "fit", "l95", "u95", digits=3)
+
+
+def _pooled_sql(spline: Spline) -> str:
+    return _season_sql("one", "SELECT 1 AS one, month, value FROM daily", spline,
+                       f"SELECT site, {BAND} FROM curve, (SELECT DISTINCT location AS site FROM daily)", "50")
+
+
 def _pooled(spark, d, family, spline):
     model = se.SeasonModel(ln.collect_months(_cells(spark, d)), "pooled", family, spline)
-    return se.predict(model, _grid(spark, d).withColumnRenamed("site", "_site").withColumn("site", F.lit("all"))).select(
-        F.col("_site").alias("site"), "month", "fit", "l95", "u95")
+    out = se.predict(model, _grid(spark, d).withColumnRenamed("site", "_site").withColumn("site", F.lit("all")))
+    return _band_snapped(out.select(F.col("_site").alias("site"), "month", "fit", "l95", "u95"))
 
 
-@query("seasonal_gaussian")
+@query("seasonal_gaussian", _pooled_sql(MONTH_SPLINE))
 def seasonal_gaussian(spark, d):
     return _pooled(spark, d, "gaussian", MONTH_SPLINE)
 
@@ -86,7 +203,7 @@ def seasonal_gamma(spark, d):
     return _pooled(spark, d, "gamma", MONTH_SPLINE)
 
 
-@query("seasonal_open")
+@query("seasonal_open", _pooled_sql(OPEN_SPLINE))
 def seasonal_open(spark, d):
     return _pooled(spark, d, "gaussian", OPEN_SPLINE)
 
@@ -107,11 +224,12 @@ def seasonal_predict(spark, d):
     return sb.predict_sites(sb.fit_site_curves(_cells(spark, d), "gamma", MONTH_SPLINE), _grid(spark, d))
 
 
-@query("smooth_per_facet")
+@query("smooth_per_facet", _season_sql("site", "SELECT concat_ws(' ', location, position) AS site, month, value FROM daily", MONTH_SPLINE,
+                                       f"SELECT site, {snap_sql('edf', 3)} AS edf, {BAND} FROM curve", "50"))
 def smooth_per_facet(spark, d):
     t = daily(spark, d).withColumn("facet", F.concat_ws(" ", "location", "position"))
     cells = ln.month_cells(t, "facet", "month", "value")
-    return se.facet_curves(cells, ["site"], MONTH_SPLINE, "gaussian")
+    return _snapped(_band_snapped(se.facet_curves(cells, ["site"], MONTH_SPLINE, "gaussian")), "edf", digits=3)
 
 
 @query("smooth_per_facet_open")
