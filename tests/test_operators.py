@@ -280,3 +280,30 @@ def test_balance(spark):
     assert (whole["NEP"], whole["GEP"]) == pytest.approx((1.5, 73.5))
     raw = pr.integrate(df, ["k"], per_hour=False).filter("k = 'a' and light_group").first()
     assert raw["rate_sum"] == pytest.approx(18.0)
+
+
+def test_ranks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    from tidelog.operators import ranking as rk
+
+    df = spark.createDataFrame([("a" if i % 3 else "b", float((i * 37) % 50), i) for i in range(300)], "k string, v double, i int")
+    found = []
+    for size in (rk.BLOCK_ROWS, 7):
+        monkeypatch.setattr(rk, "BLOCK_ROWS", size)
+        found.append([rows(rk.box_stats(df, ["k"], "v")), rows(rk.shortest_interval(df, ["k"], "v")), rows(rk.dense_index(df, "v", "at", ["i"]))])
+    assert found[0] == found[1]
+
+
+def test_open_and_far_deployments(spark):
+    r = spark.createDataFrame([("s", f"2024-01-0{d} 12:00:00", d) for d in range(1, 9)], "location string, t string, id int").selectExpr("location", "timestamp(t) datetime", "id")
+    i = spark.createDataFrame([("s", "2024-01-06 00:00:00", None), ("s", None, "2024-01-01 23:00:00"), ("s", "2024-01-03 00:00:00", "2024-01-03 23:00:00"), ("s", "2024-01-08 00:00:00", "9999-01-01 00:00:00")],
+                              "location string, a string, b string").selectExpr("location", "timestamp(a) start_date", "timestamp(b) end_date")
+    assert [x["id"] for x in jn.within_intervals(r, i).orderBy("id").collect()] == [1, 3, 6, 7, 8]
+
+
+def test_hand_back_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(jn, "PIECE_ROWS", 10)
+    df = spark.createDataFrame([(None if i % 4 == 0 else "big" if i % 4 < 3 else f"k{i}", i) for i in range(200)], "k string, id int")
+    sums = df.groupBy("k").agg(F.sum("id").alias("total"), F.count("*").alias("n"))
+    got = {r["id"]: r["total"] for r in jn.hand_back(df, sums, ["k"], "n", ["id"]).collect()}
+    want = {r["k"]: r["total"] for r in sums.collect()}
+    assert got == {r["id"]: want[r["k"]] for r in df.collect()}

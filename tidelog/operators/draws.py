@@ -50,6 +50,20 @@ def pointwise_loglik(
     return joined.select(*ids, *draw_ids, student2_logpdf("_y", mu, F.col("sigma")).alias("log_lik"))
 
 
+def loglik_summary(
+    data: DataFrame, draws: DataFrame, group: str, x: str, y: str, ids: Sequence[str], parts: int = 16
+) -> DataFrame:
+    """Per observation over all draws of its group: number, log of the mean density, mean and variance of the log density.
+
+    The product of observations and draws is summed as it is made, map-side, and never written. The
+    density is bounded and its tails fall as a power, so its mean needs no shift.
+    """
+    long = pointwise_loglik(data, draws, group, x, y, ids, [], parts)
+    return long.groupBy(*ids).agg(
+        F.count("log_lik").alias("n_draws"), F.ln(F.avg(F.exp("log_lik"))).alias("log_mean"),
+        F.avg("log_lik").alias("mean_log"), F.var_samp("log_lik").alias("var_log"))
+
+
 def mean_and_interval(draws: DataFrame, keys: Sequence[str], value: str, mass: float = 0.8) -> DataFrame:
     means = draws.groupBy(*keys).agg(F.avg(value).alias("estimate"))
     return key_join(means, shortest_interval(draws, keys, value, mass), keys, "left")
@@ -132,7 +146,7 @@ def _geyer(acov: np.ndarray, means: np.ndarray, n: int, complete: bool) -> float
 def effective_ratio(draws: DataFrame, param: str, chain: str, iteration: str, value: str, lags: int = 32) -> DataFrame:
     """Effective sample size over the number of draws, initial monotone positive sequence.
 
-    Lags are added (doubling) only for parameters whose sequence has not ended, until it
+    Lags are added (four times as many each round) only for parameters whose sequence has not ended, until it
     ends or the chain is used up: no lag is cut off.
     """
     done = None

@@ -16,6 +16,9 @@ from ..session import materialize
 from .joins import hand_back, key_join
 
 
+BLOCK_ROWS = 1_000_000  # distinct values that one task ranks together
+
+
 @dataclass
 class Ranked:
     """``rows``: one per distinct value with ranks ``lo..hi``, dense rank, block and group size ``n``.
@@ -28,14 +31,18 @@ class Ranked:
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ranked:
-    spark = df.sparkSession
     keys, order = list(keys), list(order)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Equal values collapse first, so a value repeated a billion times is one row.
     distinct = df.filter(F.col(order[-1]).isNotNull()).groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("c"))
-    ranged = distinct.repartitionByRange(parts, *keys, *order).withColumn("_block", F.spark_partition_id())
-    # The block numbers come from sampling: fix them in a written table before using them twice.
-    fixed = materialize(ranged, "rank").withColumn("_g", F.lit(1))
+    distinct = materialize(distinct, "rank")
+    parts = 1 + distinct.count() // BLOCK_ROWS
+    if parts > 1:
+        # The block numbers come from sampling: fix them in a written table before using them twice.
+        ranged = distinct.repartitionByRange(parts, *keys, *order).withColumn("_block", F.spark_partition_id())
+        fixed = materialize(ranged, "rank")
+    else:
+        fixed = distinct.withColumn("_block", F.lit(0))
+    fixed = fixed.withColumn("_g", F.lit(1))
     counts = fixed.groupBy("_g", *keys, "_block").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_d"))
     # At most `parts` rows per group from here on.
     group = Window.partitionBy("_g", *keys)

@@ -44,10 +44,10 @@ def sample_groups(
 
 
 def first_groups(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """All rows of the first ``n`` groups in key order. The key list has n rows: broadcast is bounded."""
+    """All rows of the first ``n`` groups in key order; Catalyst broadcasts the list of keys if it is small enough."""
     keys = list(keys)
     chosen = df.select(*keys).distinct().orderBy(*keys).limit(n)
-    return key_join(df, F.broadcast(chosen), keys, "left_semi")
+    return key_join(df, chosen, keys, "left_semi")
 
 
 def neighbour_pairs(df: DataFrame, name: str, estimate: str) -> DataFrame:

@@ -173,6 +173,19 @@ def _nation_draws(spark, d):
     )
 
 
+@query(
+    "loglik_summary",
+    with_views(
+        f"""SELECT l_orderkey, l_linenumber, count(*) AS n_draws, {snap_sql('ln(avg(exp(ll)))')} AS log_mean,
+                   {snap_sql('avg(ll)')} AS mean_log, {snap_sql('var_samp(ll)', 3)} AS var_log FROM (
+              SELECT l_orderkey, l_linenumber, -ln(2 * sqrt(2) * sigma) - 1.5 * ln(1 + pow((y - (pmax * (1 - exp(-alpha / pmax * x)) - rd)) / sigma, 2) / 2) AS ll
+              FROM lines JOIN nation_draws USING (location)) GROUP BY ALL""", LINES, NATION_DRAWS),
+)
+def loglik_summary(spark, d):
+    out = dr.loglik_summary(lines(spark, d), _nation_draws(spark, d), "location", "x", "y", ["l_orderkey", "l_linenumber"])
+    return _snapped(_snapped(out, "log_mean", "mean_log"), "var_log", digits=3)
+
+
 @query(
     "pointwise_loglik",
     with_views(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import batched, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import split_into
 from ..operators.joins import BROADCAST_ROWS, hand_back, key_join
 from .files import line_at
-from .workbook import read_rows
+from .workbook import iter_rows
 
 
 def logger_lines(
@@ -175,7 +176,7 @@ def scan_variants(table: DataFrame, rename: Mapping[str, str], keep: Sequence[st
 
 
 def scan_workbooks(spark: SparkSession, path: str, types: str, names: Sequence[str], skip: int = 1, glob: str = "*.xlsx") -> DataFrame:
-    """First sheet of every workbook under ``path``; one workbook (at most 1,048,576 rows) is one record to parse."""
+    """First sheet of every workbook under ``path``, parsed row by row; a workbook is one record of at most 1,048,576 rows."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
         .select(F.col("_metadata.file_path").alias("path"), "content")
@@ -184,8 +185,8 @@ def scan_workbooks(spark: SparkSession, path: str, types: str, names: Sequence[s
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                rows = read_rows(bytes(content))[skip:]
-                yield pd.DataFrame({"path": [name] * len(rows), "cells": rows})
+                for rows in batched(islice(iter_rows(bytes(content)), skip, None), 5000):
+                    yield pd.DataFrame({"path": [name] * len(rows), "cells": rows})
 
     cells = files.mapInPandas(parse, "path string, cells array<string>")
     return cells.select("path", *_typed(F.col("cells"), types, names))

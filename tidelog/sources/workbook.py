@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -23,35 +23,49 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
 
-def read_rows(content: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet as text, row by row; gaps are None."""
+def _shared_texts(book: zipfile.ZipFile) -> list[str]:
+    out = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as part:
+            for _, node in ElementTree.iterparse(part):
+                if node.tag == f"{_MAIN}si":
+                    out.append(_text(node))
+                    node.clear()
+    return out
+
+
+def iter_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Cells of the first sheet as text, row by row; gaps are None. The sheet is parsed as it is read."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = [_text(item) for item in root.iter(f"{_MAIN}si")]
-        sheet = min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        rows: list[list[str | None]] = []
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_MAIN}row"):
-            number = int(row.get("r", len(rows) + 1))
-            while len(rows) < number - 1:
-                rows.append([])
-            cells: list[str | None] = []
-            for cell in row.iter(f"{_MAIN}c"):
-                at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
-                cells += [None] * (at - len(cells))
-                kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
-                if kind == "inlineStr":
-                    cells.append(_text(cell))
-                elif value is None:
-                    cells.append(None)
-                elif kind == "s":
-                    cells.append(shared[int(value.text)])
-                else:
-                    cells.append(value.text)
-            rows.append(cells)
-    return rows
+        shared = _shared_texts(book)
+        sheet = min((n for n in book.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+        done = 0
+        with book.open(sheet) as part:
+            for _, row in ElementTree.iterparse(part):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                number = int(row.get("r", done + 1))
+                while done < number - 1:
+                    done += 1
+                    yield []
+                cells: list[str | None] = []
+                for cell in row.iter(f"{_MAIN}c"):
+                    at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
+                    cells += [None] * (at - len(cells))
+                    kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
+                    if kind == "inlineStr":
+                        cells.append(_text(cell))
+                    elif value is None:
+                        cells.append(None)
+                    else:
+                        cells.append(shared[int(value.text)] if kind == "s" else value.text)
+                done += 1
+                row.clear()
+                yield cells
+
+
+def read_rows(content: bytes) -> list[list[str | None]]:
+    return list(iter_rows(content))
 
 
 # The parts every workbook package needs.
