@@ -330,7 +330,7 @@ def fit_shared_curve(cells: DataFrame, family: str, spline: Spline) -> Summary:
 
         return packed.mapInPandas(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first().asDict()
 
-    curve, level = np.zeros(12), 0.0
+    curve, level, settled = np.zeros(12), 0.0, 0
     for step in range(STEPS):
         s = sums(curve)
         r, g = np.array([s[f"r{i}"] for i in range(p)]), np.array([s[f"g{i}"] for i in range(p * p)]).reshape(p, p)
@@ -343,12 +343,13 @@ def fit_shared_curve(cells: DataFrame, family: str, spline: Spline) -> Summary:
             rss = s["zz"] - 2 * beta @ r + beta @ g @ beta + s["spread"]
             return s["n"] * rss / max(s["n"] - edf, 1e-6) ** 2, beta, edf
 
-        if step < 12 or family == "gaussian":
-            level = stationary_levels(lambda v: solve(v[0])[0], [level])[0]
+        if settled < 2 and step < 12:  # the smoothing level is tuned until it stays
+            before, level = level, stationary_levels(lambda v: solve(v[0])[0], [level])[0]
+            settled = settled + 1 if level == before else 0
         _, beta, edf = solve(level)
         new = x @ beta
         change, curve = float(np.abs(new - curve).max()), new
-        if family == "gaussian" or (change < TOLERANCE * max(1.0, float(np.abs(curve).max())) and step >= 12):
+        if family == "gaussian" or (change < TOLERANCE * max(1.0, float(np.abs(curve).max())) and (settled >= 2 or step >= 12)):
             break
     else:
         raise ArithmeticError("the Gamma model did not converge")

@@ -53,7 +53,7 @@ def logger_lines(
             yield pd.DataFrame({
                 "path": kept["path"],
                 "first": (head & (position == skip))[keep],
-                "line": [bytes(v).decode(encoding) for v in kept["value"]],
+                "line": b"\n".join(kept["value"]).decode(encoding).split("\n"),  # no line holds a line end
             })
         short = [p for p in split if seen[p] <= skip]
         if short:
