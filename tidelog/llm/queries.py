@@ -12,7 +12,7 @@ from .ngram_join import ngram_join
 from .packing import packed_digest
 from .pitman_yor import score_texts
 from .shards import shard_rows
-from .substring_dedup import dedup_substrings
+from .substring_dedup import LONG, SENTENCES, WORDS, dedup_substrings
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .vector_dedup import near_vectors
 
@@ -142,6 +142,35 @@ FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
 """
 
 
+REPEATS_SQL = rf"""
+WITH units AS (
+  SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?s:.*?)(?:[.!?]+\s+|\n\s*)|(?s:.+)'), lambda u, i: {{'u': u, 'i': i}})) AS x FROM documents),
+parts AS (
+  SELECT doc_id, x.i AS i, unnest(list_transform(CASE WHEN length(x.u) > {LONG} THEN regexp_extract_all(x.u, '(?s:.*?)[,;:]\s+|(?s:.+)') ELSE [x.u] END,
+                                          lambda p, k: {{'p': p, 'k': k}})) AS y FROM units),
+sentences AS (
+  SELECT doc_id, y.p AS part, row_number() OVER (PARTITION BY doc_id ORDER BY i, y.k) AS pos, regexp_extract_all(lower(y.p), '\S+') AS w FROM parts),
+counted AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM sentences),
+reached AS (SELECT doc_id, upto, min(pos) AS j FROM counted GROUP BY ALL),
+texts AS (SELECT doc_id, list(array_to_string(w, ' ') ORDER BY pos) AS s FROM sentences GROUP BY doc_id),
+runs AS (
+  SELECT c.doc_id, c.pos AS i, greatest(r.j, c.pos + {SENTENCES - 1}) AS j
+  FROM counted c ASOF JOIN reached r ON c.doc_id = r.doc_id AND r.upto >= c.upto - len(c.w) + {WORDS}
+  WHERE greatest(r.j, c.pos + {SENTENCES - 1}) <= c.n),
+keyed AS (SELECT runs.*, array_to_string(s[i:j], chr(1)) AS key FROM runs JOIN texts USING (doc_id)),
+placed AS (SELECT *, first_value({{'d': doc_id, 'i': i}}) OVER (PARTITION BY key ORDER BY doc_id, i) AS f FROM keyed),
+again AS (SELECT doc_id, i, j, f.d AS source FROM placed WHERE f.d <> doc_id OR f.i <> i),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM again),
+sources AS (SELECT doc_id, list_sort(list(DISTINCT source)) AS first_docs FROM again GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n, count(gone.pos) AS removed, string_agg(part, '' ORDER BY sentences.pos) FILTER (gone.pos IS NULL) AS rest
+  FROM sentences LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN removed > 0 THEN rtrim(coalesce(rest, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS text,
+       coalesce(n, 0)::INTEGER AS n_sentences, coalesce(removed, 0)::INTEGER AS n_removed, coalesce(first_docs, []::BIGINT[]) AS first_docs
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN sources USING (doc_id)
+"""
+
+
 def _share_sql(depth: int) -> str:
     """Budgets of one tree level from those of the level above."""
     keys = [f"l{i}" for i in range(depth + 1)]
@@ -175,4 +204,4 @@ SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(
 """
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
-ORACLES: dict[str, str] = {"op3_vector_dedup": COSINE_SQL, "op8_ngram_join": JACCARD_SQL, "op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": REPEATS_SQL, "op3_vector_dedup": COSINE_SQL, "op8_ngram_join": JACCARD_SQL, "op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
