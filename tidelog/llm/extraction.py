@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +37,7 @@ class PageReader(HTMLParser):
         self.named = self.passed = 0  # open elements that only their name makes furniture, and the text passed over in them
         self.stack: list[tuple[str, int]] = []  # open elements: 1 starts page furniture, 2 does so by its name
         self.skipping = 0
+        self.open: Counter[str] = Counter()
         self.boxes: list[int] = [0]
         self.parent: list[int] = [-1]
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, chars in links, container, in a list
@@ -83,6 +85,7 @@ class PageReader(HTMLParser):
             return
         starts = self._furniture(tag, attrs)
         self.stack.append((tag, starts))
+        self.open[tag] += 1
         self.skipping += starts > 0
         self.named += starts == 2
         if tag == "a":
@@ -102,6 +105,7 @@ class PageReader(HTMLParser):
 
     def _pop(self) -> None:
         tag, starts = self.stack.pop()
+        self.open[tag] -= 1
         self.skipping -= starts > 0
         self.named -= starts == 2
         if tag == "a":
@@ -117,9 +121,9 @@ class PageReader(HTMLParser):
         if tag in BLOCKS:
             self._line()
         self.tags += 1
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if at is None:
+        if not self.open[tag]:
             return
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
         # an inline end tag does not close containers or furniture opened since
         if tag not in BLOCKS and tag not in FURNITURE and tag not in HIDDEN and any(
                 t in CONTAINERS or s for t, s in self.stack[at + 1:]):
@@ -183,12 +187,10 @@ def main_text(html: str | None) -> str:
             held[box] += len(text)
     for box in range(len(held) - 1, 0, -1):
         held[reader.parent[box]] += held[box]
-    region, total = 0, held[0]
-    while True:
-        inner = [b for b in range(region + 1, len(held)) if reader.parent[b] == region and held[b] >= HOLDS * total and total > 0]
-        if not inner:
-            break
-        region = inner[0]
+    heavy = {reader.parent[b]: b for b in range(len(held) - 1, 0, -1) if held[b] >= HOLDS * held[0] > 0}
+    region = 0
+    while region in heavy:
+        region = heavy[region]
     inside = {region}
     for box in range(region + 1, len(held)):
         if reader.parent[box] in inside:

@@ -22,7 +22,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(_table(spark, sf_dir, "documents"))
+    """first_doc: the smallest document that holds the first place of a removed run; the document itself if none was removed."""
+    found = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_sentences", "n_removed", F.coalesce(F.array_min("first_docs"), "doc_id").alias("first_doc"))
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,12 +163,12 @@ keyed AS (SELECT runs.*, array_to_string(s[i:j], chr(1)) AS key FROM runs JOIN t
 placed AS (SELECT *, first_value({{'d': doc_id, 'i': i}}) OVER (PARTITION BY key ORDER BY doc_id, i) AS f FROM keyed),
 again AS (SELECT doc_id, i, j, f.d AS source FROM placed WHERE f.d <> doc_id OR f.i <> i),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM again),
-sources AS (SELECT doc_id, list_sort(list(DISTINCT source)) AS first_docs FROM again GROUP BY doc_id),
+sources AS (SELECT doc_id, min(source) AS first_doc FROM again GROUP BY doc_id),
 kept AS (
   SELECT doc_id, count(*) AS n, count(gone.pos) AS removed, string_agg(part, '' ORDER BY sentences.pos) FILTER (gone.pos IS NULL) AS rest
   FROM sentences LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN removed > 0 THEN rtrim(coalesce(rest, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS text,
-       coalesce(n, 0)::INTEGER AS n_sentences, coalesce(removed, 0)::INTEGER AS n_removed, coalesce(first_docs, []::BIGINT[]) AS first_docs
+       coalesce(n, 0)::INTEGER AS n_sentences, coalesce(removed, 0)::INTEGER AS n_removed, coalesce(first_doc, doc_id) AS first_doc
 FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN sources USING (doc_id)
 """
 
