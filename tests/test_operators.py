@@ -169,9 +169,11 @@ def test_spread_and_gather(spark):
 
 def test_nest_keeps_rows_and_bounds_arrays(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "big").otherwise("small").alias("k"), "id")
-    nested = ag.nest(df, ["k"], ["id"], chunk_rows=100)
+    nested = ag.nest_chunks(df, ["k"], ["id"], chunk_rows=100)
     assert nested.select(F.max(F.size("data"))).first()[0] < 250
     assert rows(ag.unnest(nested, ["k"])) == rows(df)
+    one = ag.fold_chunks(nested, ["k"], {"c": F.size("data")}, {"n": F.sum("c")})
+    assert rows(one) == [("big", 900), ("small", 100)]
 
 
 # --- ranking -----------------------------------------------------------------

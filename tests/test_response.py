@@ -120,7 +120,7 @@ def direct_ess(values):
     m, n = values.shape
     centred = values - values.mean(1, keepdims=True)
     acov = np.array([[(c[: n - t] * c[t:]).sum() / n for t in range(n)] for c in centred])
-    return dr._geyer(acov, values.mean(1), n, True) / (m * n)
+    return dr._geyer(acov.mean(0), values.mean(1).var(ddof=1) if m > 1 else 0.0, m, n, True) / (m * n)
 
 
 def test_effective_ratio(spark, monkeypatch):
@@ -200,3 +200,13 @@ def test_rhat_cuts_every_chain_at_its_own_middle(spark):
     alone = dr.split_rhat(spark.createDataFrame(moved, schema), "param", "chain", "iter", "value").first()["rhat"]
     both = {r["param"]: r["rhat"] for r in dr.split_rhat(spark.createDataFrame(long + moved, schema), "param", "chain", "iter", "value").collect()}
     assert both["moved"] == pytest.approx(alone) and alone > 1.8 and both["long"] < 1.02
+
+
+def test_effective_size_of_a_slow_chain(spark):
+    rng = np.random.default_rng(8)
+    noise, x = rng.normal(size=20_000), np.zeros(20_000)
+    for i in range(1, len(x)):
+        x[i] = 0.999 * x[i - 1] + noise[i]
+    df = spark.createDataFrame([("slow", 0, i, float(v)) for i, v in enumerate(x)], "param string, chain int, iter long, value double")
+    ratio = dr.effective_ratio(df, "param", "chain", "iter", "value").first()["neff_ratio"]
+    assert 0.0001 < ratio < 0.003  # (1 - 0.999) / (1 + 0.999) = 0.0005 for an endless chain

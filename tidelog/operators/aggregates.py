@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import floor_minutes
@@ -127,11 +127,12 @@ def sum_of_levels(
     return wide.withColumn(out, total)
 
 
-def nest(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], out: str = "data", chunk_rows: int = 5000) -> DataFrame:
+def nest_chunks(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], out: str = "data", chunk_rows: int = 5000) -> DataFrame:
     """Rows of each group as arrays of structs, at most about ``chunk_rows`` per array.
 
     A large group becomes several nested rows (``chunk`` tells them apart), so no
-    array grows with the group; :func:`unnest` restores every row.
+    array grows with the group; :func:`fold_chunks` brings a group back to one row and
+    :func:`unnest` restores every row.
     """
     from .cleaning import attach_count
 
@@ -142,5 +143,11 @@ def nest(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], out: str
     return sized.groupBy(*keys, "chunk").agg(F.collect_list(F.struct(*rest)).alias(out))
 
 
+def fold_chunks(df: DataFrame, keys: Sequence[str], partial: Mapping[str, Column], merge: Mapping[str, Column]) -> DataFrame:
+    """One row per group: ``partial`` maps each chunk to columns, ``merge`` aggregates these columns over the chunks."""
+    parts = df.select(*keys, *[c.alias(name) for name, c in partial.items()])
+    return parts.groupBy(*keys).agg(*[c.alias(name) for name, c in merge.items()])
+
+
 def unnest(df: DataFrame, keys: Sequence[str], data: str = "data") -> DataFrame:
     return df.select(*keys, F.inline(F.col(data)))

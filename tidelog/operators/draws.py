@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import hash_uniform, saturating, student2_logpdf, student2_quantile
@@ -99,35 +99,39 @@ def split_rhat(draws: DataFrame, param: str, chain: str, iteration: str, value:
 
 
 def autocovariance(draws: DataFrame, param: str, chain: str, iteration: str, value: str, lags: int) -> DataFrame:
-    """Sums of lagged products per (parameter, chain), lag 0..lags; iterations must be gap-free.
+    """Sums of lagged products, one row per (parameter, chain, lag) for lags 0..``lags``; iterations must be gap-free.
 
-    Chains are cut into blocks with ``lags`` rows of overlap, so the work spreads over
-    (chain, block) and every lag comes from one window pass.
+    Chains are cut into blocks of at least BLOCK and ``lags`` rows, each with the ``lags`` rows after
+    it, so a row goes to two blocks at most and a block's products are one correlation.
     """
     means = draws.groupBy(param, chain).agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"))
     c = hand_back(draws.select(param, chain, iteration, value), means.withColumn("n", F.col("_n")), [param, chain], "_n", [iteration])
-    c = c.withColumn("_x", F.col(value) - F.col("_mean"))
-    block = F.floor(F.col(iteration) / BLOCK).cast("bigint")
-    # A row belongs to its own block and, as overlap, to the blocks within `lags` before it.
-    reach = F.floor(F.greatest(F.col(iteration) - lags, F.lit(0)) / BLOCK).cast("bigint")
-    c = c.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(reach, block)))
-    w = Window.partitionBy(param, chain, "_block").orderBy(iteration)
-    wide = c.select(
-        param, chain, "n", "_mean", "_x", (F.col("_own") == F.col("_block")).alias("_mine"),
-        *[F.lead("_x", t).over(w).alias(f"_l{t}") for t in range(1, lags + 1)],
-    ).filter("_mine")
-    sums = ", ".join(["sum(_x * _x)"] + [f"coalesce(sum(_x * _l{t}), 0D)" for t in range(1, lags + 1)])
-    return wide.groupBy(param, chain).agg(
-        F.first("n").alias("n"), F.first("_mean").alias("mean"), F.expr(f"array({sums})").alias("sums")
-    )
-
-
-def _geyer(acov: np.ndarray, means: np.ndarray, n: int, complete: bool) -> float | None:
-    """Effective draws from per-chain autocovariances [chain, lag]; None when more lags are needed."""
-    chains = len(means)
-    within = acov[:, 0].mean() * n / (n - 1)
-    pooled = within * (n - 1) / n + (means.var(ddof=1) if chains > 1 else 0.0)
-    rho = 1 - (within - acov.mean(axis=0) * n / (n - 1)) / pooled
+    size = max(BLOCK, lags)
+    block = F.floor(F.col(iteration) / size).cast("bigint")
+    reach = F.floor(F.greatest(F.col(iteration) - lags, F.lit(0)) / size).cast("bigint")
+    c = c.select(param, chain, "n", F.col("_mean").alias("mean"), F.col(iteration).cast("bigint").alias("_at"), (F.col(value) - F.col("_mean")).alias("_x"),
+                 F.explode(F.sequence(reach, block)).alias("_block"))
+    kinds = dict(c.dtypes)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        x, own = pdf["_x"].to_numpy(), int((pdf["_at"] // size == pdf["_block"].iloc[0]).sum())
+        ahead = np.zeros(own + lags)
+        ahead[:len(x)] = x[:own + lags]
+        first = pdf.iloc[0]
+        return pd.DataFrame({param: first[param], chain: first[chain], "n": first["n"], "mean": first["mean"],
+                             "lag": np.arange(lags + 1), "s": np.correlate(ahead, x[:own], "valid")})
+
+    long = c.groupBy(param, chain, "_block").applyInPandas(
+        products, f"`{param}` {kinds[param]}, `{chain}` {kinds[chain]}, n bigint, mean double, lag bigint, s double")
+    return long.groupBy(param, chain, "lag").agg(F.sum("s").alias("s"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+
+
+def _geyer(acov: np.ndarray, between: float, chains: int, n: int, complete: bool) -> float | None:
+    """Effective draws from the autocovariances averaged over chains; None when more lags are needed."""
+    within = acov[0] * n / (n - 1)
+    pooled = within * (n - 1) / n + between
+    rho = 1 - (within - acov * n / (n - 1)) / pooled
     rho[0] = 1.0
     total, last = 0.0, np.inf
     for t in range(0, len(rho) - 1, 2):
@@ -147,29 +151,27 @@ def effective_ratio(draws: DataFrame, param: str, chain: str, iteration: str, va
     """Effective sample size over the number of draws, initial monotone positive sequence.
 
     Lags are added (four times as many each round) only for parameters whose sequence has not ended, until it
-    ends or the chain is used up: no lag is cut off.
+    ends or the chain is used up: no lag is cut off. Chains are averaged per lag before anything is gathered.
     """
     done = None
     open_draws, longest = draws, draws.agg(F.max(iteration) + 1).first()[0]
     while True:
         lags = min(lags, longest - 1)
         acov = autocovariance(open_draws, param, chain, iteration, value, lags)
-        per = acov.groupBy(param).agg(F.collect_list(F.struct("n", "mean", "sums")).alias("chains"))
+        per = acov.groupBy(param, "lag").agg(
+            F.avg(F.col("s") / F.col("n")).alias("acov"), F.min("n").alias("n"), F.sum("n").alias("total"),
+            F.count(F.lit(1)).alias("chains"), F.coalesce(F.var_samp("mean"), F.lit(0.0)).alias("between"))
+        per = per.groupBy(param).agg(
+            F.sort_array(F.collect_list(F.struct("lag", "acov"))).alias("c"), *[F.first(x).alias(x) for x in ("n", "total", "chains", "between")]).select(
+            param, F.col("c.acov").alias("acov"), "n", "total", "chains", "between")
         schema = f"`{param}` {dict(per.dtypes)[param]}, n_draws bigint, ess double"
 
         def run(batches: Iterator[pd.DataFrame], all_lags: bool = lags >= longest - 1) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                rows = []
-                for name, chains in zip(pdf[param], pdf["chains"]):
-                    n = min(c["n"] for c in chains)
-                    acov = np.array([np.asarray(c["sums"]) / c["n"] for c in chains])
-                    ess = _geyer(acov, np.array([c["mean"] for c in chains]), n, all_lags)
-                    rows.append((name, sum(c["n"] for c in chains), ess))
-                yield pd.DataFrame(rows, columns=[param, "n_draws", "ess"])
-
-        out = materialize(per.mapInPandas(run, schema), "ess")
+                ess = [_geyer(np.asarray(a, float), b, k, n, all_lags) for a, b, k, n in zip(pdf["acov"], pdf["between"], pdf["chains"], pdf["n"])]
+                yield pd.DataFrame({param: pdf[param], "n_draws": pdf["total"], "ess": pd.Series(ess, dtype=float, index=pdf.index)})
+
+        out = materialize(per.mapInPandas(run, schema).withColumn("ess", F.when(~F.isnan("ess"), F.col("ess"))), "ess")
         closed = out.filter(F.col("ess").isNotNull())
         done = closed if done is None else done.unionByName(closed)
         rest = out.filter(F.col("ess").isNull()).select(param)

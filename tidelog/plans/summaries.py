@@ -248,7 +248,20 @@ def daily_total_month_mean(spark, d):
 @query("nest_unnest", with_views("SELECT location, day, event_id, ppfd FROM readings", READINGS))
 def nest_unnest(spark, d):
     r = readings(spark, d).select("location", "day", "event_id", "ppfd")
-    return ag.unnest(ag.nest(r, ["location", "day"], ["event_id"]), ["location", "day"])
+    return ag.unnest(ag.nest_chunks(r, ["location", "day"], ["event_id"]), ["location", "day"])
+
+
+@query(
+    "nest_fold",
+    with_views(f"SELECT location, day, count(*) AS n, {snap_sql('avg(ppfd)')} AS mean, max(ppfd) AS top FROM readings GROUP BY ALL", READINGS),
+)
+def nest_fold(spark, d):
+    r = readings(spark, d).select("location", "day", "event_id", "ppfd")
+    nested = ag.nest_chunks(r, ["location", "day"], ["event_id"], chunk_rows=50)
+    light = F.col("data.ppfd")
+    partial = {"c": F.size("data").cast("bigint"), "s": F.aggregate(light, F.lit(0.0), lambda a, v: a + v), "m": F.array_max(light)}
+    out = ag.fold_chunks(nested, ["location", "day"], partial, {"n": F.sum("c"), "mean": F.sum("s") / F.sum("c"), "top": F.max("m")})
+    return out.withColumn("mean", snap("mean"))
 
 
 @query(
