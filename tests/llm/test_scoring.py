@@ -92,6 +92,32 @@ def test_gibbs_reaches_the_exact_table_distribution():
     assert seats.tables.mean() == pytest.approx(want, abs=0.03)
 
 
+def exact_mean(n, others, d, h):
+    """Mean tables of n customers of one dish beside other tables of the restaurant, from the plain recursion over n."""
+    logs, t = np.r_[-np.inf, 0.0, np.full(n - 1, -np.inf)], np.arange(n + 1)
+    for k in range(1, n):
+        with np.errstate(divide="ignore"):
+            logs = np.logaddexp(np.r_[-np.inf, logs[:-1]], logs + np.log(np.maximum(k - d * t, 0)))
+    logs += t * math.log(h) + np.r_[0, np.cumsum(np.log(P.STRENGTH + d * (others + np.arange(n))))]
+    w = np.exp(logs - logs.max())
+    return (w * t).sum() / w.sum()
+
+
+@pytest.mark.parametrize("n, h", [(500, 0.05), (500, 0.002), (40, 0.01), (3000, 0.05)])
+def test_frequent_pairs_have_their_tables_after_the_sweeps_of_a_run(n, h):
+    rooms, others = 24, 8000
+    seats = P.Restaurants(np.full(rooms, n), np.arange(rooms, dtype=np.int32), rooms, 0.8, 3)
+    seats.open += others
+    tables, _ = seats.average(np.full(rooms, h))
+    assert tables.mean() == pytest.approx(exact_mean(n, others, 0.8, h), rel=0.03)
+
+
+def test_table_weights_above_the_recursion(monkeypatch):
+    want = P.Seatings(0.7, np.array([1500])).row(1500)
+    monkeypatch.setattr(P, "EXACT", 300)
+    assert np.abs(np.diff(P.Seatings(0.7, np.array([2, 1500])).row(1500)) - np.diff(want)).max() < 0.02
+
+
 def test_folding():
     assert fold("IdІоt 1d10t l0ser, t​rash!").split() == ["idiot", "idiot", "ioser", "trash"]
     assert fold(None) == "  " and fold("É") == " e "

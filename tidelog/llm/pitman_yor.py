@@ -24,6 +24,7 @@ STRENGTH = 0.5              # of every restaurant
 UNKNOWN = 0.9               # share of the base measure for words never seen; known words share the rest
 HOT_SHARE = 1 / 256         # a context above this share of the tokens, and above half a fragment, is cut by the next word
 BURN_IN, SAMPLES = 4, 8     # Gibbs sweeps before and while averaging
+EXACT = 2048                # customers of a kind up to which the weights of its tables come from the recursion
 _END = mix(np.array([0x656E64], np.uint64))[0]
 
 _CELL = "fragment int, block string, contexts binary, counts binary, words binary, low binary, docs binary, heads binary"
@@ -138,60 +139,110 @@ def _cells(fragments: int, hot: np.ndarray):
     return run
 
 
+class Seatings:
+    """Log weights of all seatings of n customers of one dish at 1 .. n tables (generalised Stirling numbers S of a discount).
+
+    The ratios S(n, t + 1) / S(n, t) follow a recursion in n without cancellation. It is carried to
+    EXACT customers; from there on the ratios depend on (t + 1/2) / n^d alone, and where tables
+    are many against customers on the saddle point of the generating function (1 - (1 - x)^d) / d.
+    """
+
+    def __init__(self, discount: float, counts: np.ndarray):
+        self.discount = discount
+        self.rows: dict[int, np.ndarray] = {}
+        most = min(int(counts.max(initial=1)), EXACT)
+        wanted = set(counts[counts < EXACT].tolist())
+        ratio = np.empty(most)
+        for n in range(1, most + 1):
+            if n > 1:  # ratio[t - 1] belongs to t; the last one has the weight 1 of n tables above it
+                t = np.arange(1, n - 1)
+                last = 1 / (1 / ratio[n - 3] + (n - 1) * (1 - discount)) if n > 2 else 1 / (1 - discount)
+                inner = ratio[:n - 2]
+                up = 1 + (n - 1 - discount * (t + 1)) * inner
+                down = n - 1 - discount * t
+                down[1:] += 1 / inner[:-1]
+                ratio[:n - 2] = up / down
+                ratio[n - 2] = last
+            if n in wanted:
+                self.rows[n] = np.r_[0.0, np.cumsum(np.log(ratio[:n - 1]))]
+        if most == EXACT:
+            self.last = np.log(ratio[:EXACT - 1])
+            self.y = np.geomspace(1e-9, 60 / (1 - discount) if discount < 0.9 else 600.0, 8192)  # -log(1 - x)
+            self.size = np.log(self._mean(self.y) - 1)
+
+    def _mean(self, y: np.ndarray) -> np.ndarray:
+        """Customers a table at a saddle point."""
+        return self.discount * -np.expm1(-y) * np.exp((1 - self.discount) * y) / -np.expm1(-self.discount * y)
+
+    def _saddle(self, n: int, t: np.ndarray) -> np.ndarray:
+        """Log of S(n, t + 1) / S(n, t): that of the table's factor at the saddle point half way."""
+        y = np.exp(np.interp(np.log(n / (t + 0.5) - 1), self.size, np.log(self.y)))
+        spare = n - t
+        return np.log(-np.expm1(-self.discount * y) / self.discount / (t + 0.5) * spare / (spare - 0.5))
+
+    def row(self, n: int) -> np.ndarray:
+        if n not in self.rows:
+            t = np.arange(1.0, n)
+            scale = (EXACT / n) ** self.discount
+            near = (t + 0.5) * scale - 0.5
+            s = np.arange(1.0, EXACT)
+            scaled = scale * np.interp(near, s, self.last + np.log(s * self.discount)) - np.log(t * self.discount)
+            far = near > min(EXACT / 10, 5 * EXACT ** self.discount)
+            scaled[far] = self._saddle(n, t[far])
+            self.rows[n] = np.r_[0.0, np.cumsum(scaled)]
+        return self.rows[n]
+
+
 class Restaurants:
     """Seating of many restaurants at once: ``kind`` k has ``count[k]`` customers for one dish in restaurant ``room[k]``.
 
-    A dish with one customer has one table. For the others every customer's table is kept; a
-    sweep removes a random customer of each kind and seats it again, all kinds side by side.
+    Only the number of tables of a kind enters the probabilities, so a sweep reseats all customers of
+    every kind at once: given one gamma variable per restaurant the kinds are independent, and the
+    tables of a kind have the weights of ``Seatings`` times a power of the weight of one table.
     """
 
     def __init__(self, count: np.ndarray, room: np.ndarray, rooms: int, discount: float, seed: int):
         self.count, self.room, self.rooms, self.discount = count, room, rooms, discount
         self.rng = np.random.default_rng(seed)
-        self.kind = np.flatnonzero(count > 1)
+        kind = np.flatnonzero(count > 1)
+        self.kind = kind[np.argsort(count[kind], kind="stable")]
         self.tables = np.ones(len(count), np.int64)
         self.open = np.bincount(room, minlength=rooms).astype(float)  # tables per restaurant
-        sizes = count[self.kind]
-        self.at = np.concatenate([[0], np.cumsum(sizes)])
-        self.seat = np.zeros(self.at[-1], np.int32)
-        self.held = np.zeros(self.at[-1], np.int32)  # customers of each table slot
-        self.held[self.at[:-1]] = sizes
+        self.sizes, starts = np.unique(count[self.kind], return_index=True)
+        self.cuts = np.r_[starts, len(kind)]
+        self.seatings = Seatings(discount, self.sizes)
+
+    @property
+    def at(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.count[self.kind])])
+
+    @property
+    def held(self) -> np.ndarray:
+        """One seating with these tables, as customers of each table slot: all but one a table sit at the first."""
+        at, count, tables = self.at, self.count[self.kind], self.tables[self.kind]
+        out = (np.arange(at[-1]) - np.repeat(at[:-1], count) < np.repeat(tables, count)).astype(np.int32)
+        out[at[:-1]] += (count - tables).astype(np.int32)
+        return out
 
     def sweep(self, parent: np.ndarray) -> None:
-        """One step for every kind, given the parent's probability of its dish."""
-        kind, at, n = self.kind, self.at[:-1], self.count[self.kind]
+        """All customers of every kind, given the parent's probability of its dish."""
+        kind = self.kind
         if not len(kind):
             return
-        who = at + (self.rng.random(len(kind)) * n).astype(np.int64)
-        slot = at + self.seat[who]
-        self.held[slot] -= 1
-        empty = self.held[slot] == 0
-        self.tables[kind] -= empty
-        self.open -= np.bincount(self.room[kind[empty]], minlength=self.rooms)
-        fresh = (STRENGTH + self.discount * self.open[self.room[kind]]) * parent[kind]
-        stay = n - 1 - self.discount * self.tables[kind]
-        new = self.rng.random(len(kind)) * (fresh + stay) < fresh
-        choice = self.seat[who].copy()
-        # a known table with probability in proportion to its customers less the discount
-        todo = np.flatnonzero(~new)
-        while len(todo):
-            other = at[todo] + (self.rng.random(len(todo)) * n[todo]).astype(np.int64)
-            table = self.seat[other]
-            held = self.held[at[todo] + table]
-            good = (other != who[todo]) & (self.rng.random(len(todo)) * held < held - self.discount)
-            choice[todo[good]] = table[good]
-            todo = todo[~good]
-        # a new table takes any slot without customers; there is one, as a customer stands
-        todo = np.flatnonzero(new & ~empty)
-        while len(todo):
-            free = (self.rng.random(len(todo)) * n[todo]).astype(np.int64)
-            good = self.held[at[todo] + free] == 0
-            choice[todo[good]] = free[good]
-            todo = todo[~good]
-        self.seat[who] = choice
-        self.held[at + choice] += 1
-        self.tables[kind] += new
-        self.open += np.bincount(self.room[kind[new]], minlength=self.rooms)
+        gamma = self.rng.standard_gamma(STRENGTH / self.discount + self.open)
+        weight = np.log(self.discount * np.maximum(gamma, 1e-300)[self.room[kind]] * parent[kind])
+        tables = np.empty(len(kind), np.int64)
+        for n, a, b in zip(self.sizes.tolist(), self.cuts[:-1], self.cuts[1:], strict=True):
+            row, step = self.seatings.row(n), max(1, (1 << 18) // n)
+            for low in range(a, b, step):
+                high = min(b, low + step)
+                logs = weight[low:high, None] * np.arange(n)
+                logs += row
+                logs -= logs.max(1, keepdims=True)
+                total = np.cumsum(np.exp(logs, out=logs), axis=1, out=logs)
+                tables[low:high] = 1 + (total < self.rng.random((high - low, 1)) * total[:, -1:]).sum(1)
+        self.open += np.bincount(self.room[kind], tables - self.tables[kind], minlength=self.rooms)
+        self.tables[kind] = tables
 
     def average(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean tables per kind and per restaurant over the samples after the burn-in."""
