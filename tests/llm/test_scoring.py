@@ -173,6 +173,15 @@ def test_main_text(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_parts_beside_the_longest_one_stay():
+    intro, long, end = ("intro " * 25).strip(), ("long " * 400).strip(), ("end " * 75).strip()
+    for page in (f"<body><article><div><p>{intro}</p></div><section><p>{long}</p></section><section><p>{end}</p></section></article></body>",
+                 f"<body><article><p>{intro}</p><blockquote><p>{long}</p></blockquote><p>{end}</p></article></body>",
+                 f"<body><nav>menu</nav><div><div><p>{intro}</p></div><div><p>{long}</p></div><div><p>{end}</p></div></div><footer>foot</footer></body>",
+                 f"<table><tr><td><p>{intro}</p></td><td><p>{long}</p></td></tr><tr><td><p>{end}</p></td></tr></table>"):
+        assert main_text(page) == f"{intro} {long} {end}"
+
+
 def test_smoothing_keeps_constants():
     assert smooth(np.full(7, 3.0)) == pytest.approx(np.full(7, 3.0))
     assert smooth(np.array([0.0, 0, 9, 0, 0]))[2] == smooth(np.array([0.0, 0, 9, 0, 0])).max()

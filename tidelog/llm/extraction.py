@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 SIGMA = 2.0       # lines
 LEVEL = 0.5       # threshold in standard deviations of the smoothed ratios
-HOLDS = 0.8       # share of the clustered text that the chosen container must hold
 
 # Elements by their part in a page, and words in class, id and role that name page furniture.
 HIDDEN = frozenset("script style noscript template head title svg canvas math object iframe audio video map".split())
@@ -40,6 +39,7 @@ class PageReader(HTMLParser):
         self.open: Counter[str] = Counter()
         self.boxes: list[int] = [0]
         self.parent: list[int] = [-1]
+        self.kind: list[str] = [""]  # tag of each container
         self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, chars in links, container, in a list
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = self.in_list = self.in_article = 0
@@ -96,6 +96,7 @@ class PageReader(HTMLParser):
             self.in_article += 1
         if tag in CONTAINERS:
             self.parent.append(self.boxes[-1])
+            self.kind.append(tag)
             self.boxes.append(len(self.parent) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -165,12 +166,25 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach:reach + len(ratios)]
 
 
+def _region(reader: PageReader, held: np.ndarray) -> int:
+    """Container of the main text, from the clustered text that each container holds.
+
+    It is left for one inside as long as no clustered text stays outside. Articles are whole, and
+    quotations, cells and centred parts belong to the text around them.
+    """
+    region = 0
+    full = {reader.parent[b]: b for b in range(len(held) - 1, 0, -1) if held[b] == held[0] > 0}
+    while region in full and reader.kind[region] not in ("article", "main") and reader.kind[full[region]] not in ("blockquote", "td", "center"):
+        region = full[region]
+    return region
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the content region, joined by one space.
 
     Lines above the threshold of the smoothed text-to-tag ratio form clusters; the region is the
-    innermost container that holds most of their text, and all its lines count, long or short,
-    but for furniture and lists of links.
+    innermost container that holds all their text but links, not below an article, and all its
+    lines count, long or short, but for furniture and lists of links.
     """
     if not html:
         return ""
@@ -187,10 +201,7 @@ def main_text(html: str | None) -> str:
             held[box] += len(text)
     for box in range(len(held) - 1, 0, -1):
         held[reader.parent[box]] += held[box]
-    heavy = {reader.parent[b]: b for b in range(len(held) - 1, 0, -1) if held[b] >= HOLDS * held[0] > 0}
-    region = 0
-    while region in heavy:
-        region = heavy[region]
+    region = _region(reader, held)
     inside = {region}
     for box in range(region + 1, len(held)):
         if reader.parent[box] in inside:
