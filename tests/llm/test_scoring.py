@@ -182,6 +182,17 @@ def test_parts_beside_the_longest_one_stay():
         assert main_text(page) == f"{intro} {long} {end}"
 
 
+def test_form_around_the_page_and_links_of_an_article_stay():
+    text = ("word " * 100).strip()
+    form = f"<body><form id=aspnetForm><nav>menu</nav><div class=sidebar>side</div><div><p>{text}</p><label>Mail</label></div></form></body>"
+    assert main_text(form) == text
+    assert main_text(f"<body><form><div class=menu-wrapper><p>{text}</p></div></form></body>") == text
+    assert main_text(f"<body><p>{text}</p><form><p>Your name please</p></form></body>") == text
+    links = "<ul><li><a href=x>First reference, a book</a><li><a href=y>Second one</a></ul>"
+    assert main_text(f"<body><article><p>{text}</p>{links}</article></body>") == f"{text} First reference, a book Second one"
+    assert main_text(f"<body>{links}<p>{text}</p></body>") == text
+
+
 def test_smoothing_keeps_constants():
     assert smooth(np.full(7, 3.0)) == pytest.approx(np.full(7, 3.0))
     assert smooth(np.array([0.0, 0, 9, 0, 0]))[2] == smooth(np.array([0.0, 0, 9, 0, 0])).max()

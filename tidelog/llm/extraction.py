@@ -30,11 +30,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class PageReader(HTMLParser):
     """Collects lines (texts between block tags) with their tags, links and containers."""
 
-    def __init__(self, names: bool = True):
+    def __init__(self, names: bool = True, forms: bool = True):
         super().__init__(convert_charrefs=True)
         self.names = names  # whether class, id and role count
+        self.forms = forms  # whether forms are furniture
         self.named = self.passed = 0  # open elements that only their name makes furniture, and the text passed over in them
-        self.stack: list[tuple[str, int]] = []  # open elements: 1 starts page furniture, 2 does so by its name
+        self.formed = self.in_form = 0  # text passed over in forms alone, and open forms
+        self.stack: list[tuple[str, int]] = []  # open elements: 1 starts page furniture, 2 does so by its name, 3 as a form
         self.skipping = 0
         self.open: Counter[str] = Counter()
         self.boxes: list[int] = [0]
@@ -52,7 +54,7 @@ class PageReader(HTMLParser):
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _furniture(self, tag: str, attrs) -> int:
-        if tag in HIDDEN or tag in FURNITURE or tag == "header" and not self.in_article:
+        if tag in HIDDEN or tag in FURNITURE and tag != "form" or tag == "header" and not self.in_article:
             return 1
         if tag in ("html", "body", "main"):
             return 0
@@ -72,7 +74,7 @@ class PageReader(HTMLParser):
                     found.discard("header")
                 if found and (tag != "article" or re.search(r"comment|repl|related|promo|\bads?\b", value, re.I)):
                     return 2
-        return 0
+        return 3 if tag == "form" and self.forms else 0
 
     def handle_starttag(self, tag, attrs):
         if tag == "body":  # an unclosed head ends here
@@ -88,6 +90,7 @@ class PageReader(HTMLParser):
         self.open[tag] += 1
         self.skipping += starts > 0
         self.named += starts == 2
+        self.in_form += starts == 3
         if tag == "a":
             self.in_link += 1
         elif tag in ("ul", "ol"):
@@ -109,6 +112,7 @@ class PageReader(HTMLParser):
         self.open[tag] -= 1
         self.skipping -= starts > 0
         self.named -= starts == 2
+        self.in_form -= starts == 3
         if tag == "a":
             self.in_link -= 1
         elif tag in ("ul", "ol"):
@@ -137,12 +141,14 @@ class PageReader(HTMLParser):
             self.parts.append(data)
             if self.in_link:
                 self.linked += len(data.strip())
-        elif self.skipping == self.named:
+        elif self.skipping == self.in_form:
+            self.formed += len(data.strip())
+        elif self.skipping == self.named + self.in_form:
             self.passed += len(data.strip())
 
 
-def read_lines(html: str, names: bool = True) -> PageReader:
-    reader = PageReader(names)
+def read_lines(html: str, names: bool = True, forms: bool = True) -> PageReader:
+    reader = PageReader(names, forms)
     rest = html
     while True:
         try:
@@ -153,8 +159,11 @@ def read_lines(html: str, names: bool = True) -> PageReader:
             rest = "&lt;" + reader.rawdata[1:] if reader.rawdata.startswith("<") else reader.rawdata[1:]
             reader.rawdata = ""
     reader._line()
-    if names and sum(len(line[0]) for line in reader.lines) < 0.05 * reader.passed:
-        return read_lines(html, False)  # a name fits the wrapper of the whole page
+    kept = sum(len(line[0]) for line in reader.lines)
+    if forms and kept < 0.05 * reader.formed:
+        return read_lines(html, names, False)  # a form is the wrapper of the whole page
+    if names and kept < 0.05 * reader.passed:
+        return read_lines(html, False, forms)  # a name fits the wrapper of the whole page
     return reader
 
 
@@ -184,7 +193,7 @@ def main_text(html: str | None) -> str:
 
     Lines above the threshold of the smoothed text-to-tag ratio form clusters; the region is the
     innermost container that holds all their text but links, not below an article, and all its
-    lines count, long or short, but for furniture and lists of links.
+    lines count, long or short, but for furniture and lists of links outside an article.
     """
     if not html:
         return ""
@@ -202,11 +211,14 @@ def main_text(html: str | None) -> str:
     for box in range(len(held) - 1, 0, -1):
         held[reader.parent[box]] += held[box]
     region = _region(reader, held)
-    inside = {region}
+    inside, article = {region}, {b for b, tag in enumerate(reader.kind) if tag in ("article", "main")}
+    for box in range(1, len(held)):
+        if reader.parent[box] in article:
+            article.add(box)
     for box in range(region + 1, len(held)):
         if reader.parent[box] in inside:
             inside.add(box)
-    return " ".join(text for text, _, linked, box, listed in lines if text and box in inside and not (listed and linked >= len(text) > 0))
+    return " ".join(text for text, _, linked, box, listed in lines if text and box in inside and not (listed and linked >= len(text) > 0 and box not in article))
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", name: str = "main_text") -> DataFrame:
