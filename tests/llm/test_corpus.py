@@ -231,3 +231,14 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_distinct_keeps_unlinked_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(5, a, "s0"), (5, b, "s0"), (5, b, "s1"), (3, b + " more", "s0"), (7, a + " more", "s0"), (8, c, "s0"), (9, c, "s0"),
+            (5, None, "s0"), (None, a, "s0"), (6, "", "s0")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    found = corpus_pipeline.distinct(spark, docs, "")
+    want = {(5, a, "s0"), (3, b + " more", "s0"), (8, c, "s0"), (5, None, "s0"), (None, a, "s0"), (6, "", "s0")}
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+    assert corpus_pipeline.distinct(spark, docs.where("doc_id > 6"), "").count() == 2
