@@ -10,9 +10,12 @@ from .extraction import extract_pages
 from .mixing import MixTargets, mix_sources, token_count
 from .ngram_join import ngram_join
 from .packing import packed_digest
+from .pieces import encode_texts, read_model
 from .pitman_yor import score_texts
+from .pivots import CLUSTERS, centroid_digest, cluster_vectors
 from .shards import shard_rows
 from .substring_dedup import LONG, SENTENCES, WORDS, dedup_substrings
+from .tandem import periodic_runs
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .vector_dedup import near_vectors
 
@@ -89,6 +92,56 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = read_model(spark, public_tokenizers.path(PIECE_MODEL))
+    docs = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, ids_col="ids", decoded_col="decoded")
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroids' table has one row per cluster, CLUSTERS at most, so it is broadcast."""
+    found, centroids = cluster_vectors(_table(spark, sf_dir, "embeddings"), clusters=CLUSTERS)
+    inertia = sum(c["inertia"] for c in centroids)
+    table = spark.createDataFrame(
+        [(c["cluster"], c["inertia"], inertia, centroid_digest(c["components"])) for c in centroids],
+        "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(table), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of documents whose hash of the id ends in 0: from word a on, the first p words from there again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    t = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)).alias("w"), g.alias("g"))
+    t = t.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    t = t.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return t.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exponents are compared as whole-number products; runs come sorted by start and period, so the first of equals is taken."""
+    found = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")), name="r").select("doc_id", "r.*")
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("b", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period",
+        F.floor(1000 * F.col("b.length") / F.col("b.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 # CRC-32 from its rule (reversed polynomial 0xEDB88320), then the permutation with one recursion step per round;
 # a walk past the table goes on with round 0. Row numbers follow doc_id.
 SHARD_SQL = """
@@ -144,6 +197,32 @@ FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
 """
 
 
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """Distances as dot products, whole numbers below 2**53 in double precision."""
+    def assign(k: int) -> str:
+        return f"""
+near{k} AS (SELECT rid, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (
+  SELECT rid, c, list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, y.v) + list_dot_product(y.v, y.v) AS d FROM vectors x, centers{k} y) GROUP BY rid)"""
+
+    def update(k: int) -> str:
+        return f"""
+means{k} AS (SELECT c, list(m ORDER BY i) AS v FROM (
+  SELECT c, i, floor(sum(x) / count(*)) AS m FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM near{k - 1} JOIN vectors USING (rid)) GROUP BY c, i) GROUP BY c),
+centers{k} AS (SELECT c, coalesce(m.v, o.v) AS v FROM centers{k - 1} o LEFT JOIN means{k} m USING (c))"""
+
+    return f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 1048576)) = 0),
+centers0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM vectors) ORDER BY h, v LIMIT {clusters}),
+{assign(0)},{",".join(update(k) + "," + assign(k) for k in range(1, rounds + 1))},
+sums AS (SELECT c, sum(d) AS total FROM near{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, total::BIGINT AS cluster_inertia, (SELECT sum(total) FROM sums)::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(y.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM near{rounds} JOIN vectors USING (rid) JOIN sums USING (c) JOIN centers{rounds} y USING (c)
+"""
+
+
 REPEATS_SQL = rf"""
 WITH units AS (
   SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?s:.*?)(?:[.!?]+\s+|\n\s*)|(?s:.+)'), lambda u, i: {{'u': u, 'i': i}})) AS x FROM documents),
@@ -205,5 +284,5 @@ counted AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTIT
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(copies::BIGINT))::INTEGER AS mix_epoch FROM counted
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards}
-ORACLES: dict[str, str] = {"op1_substring_dedup": REPEATS_SQL, "op3_vector_dedup": COSINE_SQL, "op8_ngram_join": JACCARD_SQL, "op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_pitman_yor": op2_pitman_yor, "op3_vector_dedup": op3_vector_dedup, "op4_html_text": op4_html_text, "op5_mixing": op5_mixing, "op7_token_packing": op7_token_packing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join, "op9_decontamination": op9_decontamination, "op10_feistel_shards": op10_feistel_shards, "op11_pieces": op11_pieces, "op12_pivot_clusters": op12_pivot_clusters, "op13_periodic_runs": op13_periodic_runs}
+ORACLES: dict[str, str] = {"op1_substring_dedup": REPEATS_SQL, "op3_vector_dedup": COSINE_SQL, "op8_ngram_join": JACCARD_SQL, "op5_mixing": MIX_SQL, "op10_feistel_shards": SHARD_SQL, "op12_pivot_clusters": _lloyd_sql(CLUSTERS, 3)}
