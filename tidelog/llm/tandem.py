@@ -165,7 +165,7 @@ def find_runs(symbol: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LEN
     end = at + 2 * period
     sort = np.lexsort((period, end))
     end, period = end[sort], period[sort]
-    starts, periods, ends = [], [], []
+    starts, periods, ends = [none], [none], [none]
     # per end the smallest period first: what is a multiple of it inside its run is no period of its own
     while len(end):
         fresh = np.concatenate([[True], end[1:] != end[:-1]])
