@@ -8,12 +8,13 @@ from ..functions.splines import Spline
 from ..functions.values import snap, snap_sql
 from ..operators import linear as ln
 from ..operators import seasonal as se
+from ..operators import simultaneous as sim
 from ..operators import siteblocks as sb
 from ..operators import smoothing as sm
 from ..session import materialize
 from ..operators.joins import dimension, grid_by_level
 from .registry import query
-from .tables import DAILY, READINGS, daily, readings, with_views
+from .tables import DAILY, PI, READINGS, daily, readings, with_views
 
 HOUR_SPLINE = Spline.even(0.0, 24.0, 5, "cs")
 MONTH_SPLINE = se.month_spline()
@@ -449,6 +450,34 @@ def contrasts_all_pairs(spark, d):
     return _snapped(_snapped(out, "estimate", "z"), "p_value", "p_holm", digits=6)
 
 
+def _tukey_sql(dim: int, points: int, shifts: int, seed: int) -> str:
+    """The same lattice, one list per point; ``dim`` is the even number at or above the number of sites."""
+    half = range(1, dim // 2 + 1)
+    steps = ", ".join(f"{float(v)!r}::DOUBLE" for v in sim.lattice_steps(dim))
+    shift = ", ".join(f"(('0x' || substr(md5('{seed}|' || s || '|{j}'), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296" for j in range(dim))
+    radius = [f"sqrt(-2 * ln(greatest(u[{2 * j - 1}], 1e-300)))" for j in half]
+    normal = [f"{r} * {f}(2 * {PI} * u[{2 * j}])" for f in ("cos", "sin") for j, r in zip(half, radius)]
+    tail = " + ".join(["1", *[" * ".join(f"(q / 2 / {i})" for i in range(1, j + 1)) for j in range(1, dim // 2)]])
+    return f"""
+levels AS (SELECT location, a, va, row_number() OVER (ORDER BY location) AS i FROM site),
+pairs AS (SELECT x.location || ' - ' || y.location AS contrast, x.a - y.a AS estimate, (x.a - y.a) / sqrt(x.va + y.va) AS z,
+                 y.i AS low, x.i AS high, sqrt(y.va) AS sd_low, sqrt(x.va) AS sd_high, sqrt(x.va + y.va) AS spread FROM levels x JOIN levels y ON x.i > y.i),
+lattice AS (SELECT s, i, list_transform(list_zip([{steps}], [{shift}]), lambda t: (i * t[1] + t[2]) - floor(i * t[1] + t[2])) AS u
+            FROM (SELECT unnest(range({shifts})) AS s), (SELECT unnest(range({points})) AS i)),
+normals AS (SELECT s, i, [{", ".join(normal)}] AS x FROM lattice),
+most AS (SELECT s, i, max(abs(x[high] * sd_high - x[low] * sd_low) / spread) / sqrt(any_value(list_dot_product(x, x))) AS m FROM normals, pairs GROUP BY s, i),
+chances AS (SELECT contrast, s, avg(exp(-q / 2) * ({tail})) AS p FROM (SELECT contrast, s, pow(z / m, 2) AS q FROM most, pairs) GROUP BY ALL)
+SELECT contrast, {snap_sql('any_value(estimate)')} AS estimate, {snap_sql('any_value(z)')} AS z, {snap_sql('avg(p)', 6)} AS p_value, stddev_samp(p) / sqrt({shifts}) < 1e-4 AS close
+FROM chances JOIN pairs USING (contrast) GROUP BY contrast"""
+
+
+@query("contrasts_tukey", "WITH " + ",\n".join([DAILY, PER_SITE]) + "," + _tukey_sql(6, sim.POINTS, sim.SHIFTS, 7))
+def contrasts_tukey(spark, d):
+    """Single-step p values of all pairs of site levels; ``close``: their standard error is below 1e-4."""
+    out = sim.tukey_pairs(_full_model(spark, d)).select("contrast", "estimate", "z", "p_value", (F.col("p_error") < 1e-4).alias("close"))
+    return _snapped(_snapped(out, "estimate", "z"), "p_value", digits=6)
+
+
 @query(
     "wald_pairs",
     with_views(
