@@ -51,7 +51,10 @@ def test_ids_and_texts_are_the_librarys(model, library):
 def test_windows_change_nothing(model, library, monkeypatch):
     texts = [*made_texts()[-4:], None, "short", "word " * 3000]
     monkeypatch.setattr(pieces, "CHUNK_BYTES", 700)
-    assert model.encode(pa.array(texts)).to_pylist() == library.encode([t or "" for t in texts])
+    monkeypatch.setattr(pieces, "CHUNK_IDS", 50)
+    ids = model.encode(pa.array(texts))
+    assert ids.to_pylist() == library.encode([t or "" for t in texts])
+    assert model.decode(ids).to_pylist() == [library.decode(x) for x in ids.to_pylist()]
 
 
 def test_any_ids_decode_as_in_the_library(model, library):

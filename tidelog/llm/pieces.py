@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .words import text_bytes
 
 CHUNK_BYTES = 4 << 20  # text encoded at once; longer texts pass in windows cut where no piece can span
+CHUNK_IDS = 1 << 18      # ids decoded at once
 SPACE = 0x2581
 NONE = np.int32(2**31 - 1)
 # Numbers of fields and kinds in the model file, and the text that stands for an unknown id.
@@ -320,9 +321,13 @@ class PieceModel:
             first = first[self.leads[ids[first]]]
             place[first] += 1
             length[first] -= 1
-        upto = np.concatenate([[0], np.cumsum(length)])
-        data = self.surface[np.arange(upto[-1]) + np.repeat(place - upto[:-1], length)].tobytes()
-        ends = upto[offsets]
+        parts = []
+        for low in range(0, len(ids), CHUNK_IDS):
+            some = length[low:low + CHUNK_IDS]
+            before = np.cumsum(some) - some
+            parts.append(self.surface[np.arange(some.sum()) + np.repeat(place[low:low + CHUNK_IDS] - before, some)].tobytes())
+        data = b"".join(parts)
+        ends = np.concatenate([[0], np.cumsum(length)])[offsets]
         try:
             data.decode()
         except UnicodeDecodeError:
@@ -386,5 +391,15 @@ def encode_texts(df: DataFrame, model: bytes, text_col: str = "text", ids_col: s
     table gives an empty table. Bytes that are no UTF-8 are read as replacement characters.
     """
     kept = [c for c in df.columns if c not in (ids_col, decoded_col)]
-    out = df.select(*kept, encode_column(F.col(text_col), model).alias(ids_col))
-    return out.select("*", decode_column(F.col(ids_col), model).alias(decoded_col)) if decoded_col else out
+    if decoded_col is None:
+        return df.select(*kept, encode_column(F.col(text_col), model).alias(ids_col))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # one worker for the two directions
+        for texts in batches:
+            ids = _model(model).encode(texts)
+            yield pa.StructArray.from_arrays([ids, _model(model).decode(ids)], names=["ids", "decoded"])
+
+    taken = "pieces__" + "_" * max(map(len, kept), default=0)  # no column has this name
+    out = df.select(*kept, both(F.col(text_col).cast("string")).alias(taken))
+    return out.select(*kept, F.col(taken)["ids"].alias(ids_col), F.col(taken)["decoded"].alias(decoded_col))
