@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import saturating
-from ..functions.distributions import f_upper_tail
+from ..functions.distributions import f_upper_tail, t_two_sided
 from ..session import materialize
 from .joins import hand_back, key_join, linear_grid
 
@@ -212,9 +212,16 @@ def fit_curves(
     or no usable curve: all NULL), ``boundary`` (the error falls on to the end of the searched
     ratios, as for a straight line: parameters NULL, sse kept) or ``ok``. Rows without light or value do not count in n.
     """
-    group = list(keys) or ["_all"]
+    return _fit_from_cells(_written_cells(df, keys, x, y), keys, inhibition, pack_cells)
+
+
+def _written_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     source = df if keys else df.withColumn("_all", F.lit(1))
-    cells = materialize(curve_cells(source, group, x, y), "cells")
+    return materialize(curve_cells(source, list(keys) or ["_all"], x, y), "cells")
+
+
+def _fit_from_cells(cells: DataFrame, keys: Sequence[str], inhibition: bool, pack_cells: int = PACK_CELLS) -> DataFrame:
+    group = list(keys) or ["_all"]
     top = F.coalesce(F.nullif(F.max(F.abs("x")), F.lit(0.0)), F.lit(1.0))
     lights = materialize(cells.groupBy(*group).agg(F.count("x").alias("_lights"), top.alias("_top")), "lights")
     if (lights.agg(F.max("_lights")).first()[0] or 0) <= pack_cells:
@@ -241,6 +248,88 @@ def fit_curves(
     )
 
 
+GRADIENT = ("1 - exp(-alpha / pmax * x) * (1 + alpha / pmax * x)", "x * exp(-alpha / pmax * x)", "-1D")
+POLISH_STEPS = 8
+
+
+def _gradient_sums(placed: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: gradient products ``_hij``, gradients times residuals ``_gi`` and the error sum at its parameters."""
+    rest = "(s1 - w * (pmax * (1 - exp(-alpha / pmax * x)) - rd))"
+    sums = [F.expr(f"sum(w * ({GRADIENT[i]}) * ({GRADIENT[j]}))").alias(f"_h{i}{j}") for i in range(3) for j in range(i, 3)]
+    sums += [F.expr(f"sum(({g}) * {rest})").alias(f"_g{i}") for i, g in enumerate(GRADIENT)]
+    sums.append(F.expr(f"sum(greatest(s2 - s1 * s1 / w, 0D) + {rest} * {rest} / w)").alias("_sse"))
+    return placed.groupBy(*group).agg(*[F.expr(f"first({c})").alias(c) for c in ("n", "pmax", "alpha", "rd")], *sums)
+
+
+def _inverse() -> tuple[list[list[str]], str]:
+    """Cofactors and determinant of the symmetric matrix ``_hij``."""
+    h = [[f"_h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    minor = lambda i, j: [[h[a][b] for b in range(3) if b != j] for a in range(3) if a != i]
+    cof = [[f"({'' if (i + j) % 2 == 0 else '-'}({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]}))" for j in range(3) for m in [minor(i, j)]] for i in range(3)]
+    return cof, "(" + " + ".join(f"{h[0][j]} * {cof[0][j]}" for j in range(3)) + ")"
+
+
+def polish_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, steps: int = POLISH_STEPS) -> DataFrame:
+    """Least-squares curves carried to the optimum, with unscaled covariances of (pmax, alpha, rd).
+
+    The searched fit starts Gauss-Newton steps; a step needs ten sums per group over its cells, so groups of any
+    size are served by one aggregation. Columns: keys, n, pmax, alpha, rd, sse, v00 ... v22 (upper triangle of the
+    inverse of the gradient products) and ``gradient``: the largest cosine between the residuals and a gradient,
+    zero at an optimum. Groups without a curve (see fit_curves) keep their row with NULLs, so does a
+    group whose gradient products are singular.
+    """
+    group = list(keys) or ["_all"]
+    cells = _written_cells(df, keys, x, y)
+    start = _fit_from_cells(cells, group, False)
+    start = materialize(start, "polish")
+    state = start.filter(F.col("pmax").isNotNull()).select(*group, F.col("n").cast("double").alias("n"), "pmax", "alpha", "rd")
+    groups = start.count()
+    cells = cells.filter(F.col("x").isNotNull())
+
+    def placed(current: DataFrame) -> DataFrame:
+        return hand_back(cells, current.withColumn("_size", F.col("n")), group, "_size", ["x"], groups).filter(F.col("pmax").isNotNull())
+
+    cof, det = _inverse()
+    move = [F.expr(f"{c} + ({' + '.join(f'{cof[i][j]} * _g{j}' for j in range(3))}) / {det}").alias(c) for i, c in enumerate(("pmax", "alpha", "rd"))]
+    for _ in range(steps):
+        sums = _gradient_sums(placed(state), group)
+        state = materialize(sums.select(*group, "n", *move), "polish").filter(F.expr("NOT isnan(pmax + alpha + rd) AND pmax <> 0"))
+    last = _gradient_sums(placed(state), group)
+    cosines = [F.expr(f"abs(_g{i}) / sqrt(_h{i}{i} * greatest(_sse, 1e-300D))") for i in range(3)]
+    found = last.select(
+        *group, "pmax", "alpha", "rd", F.col("_sse").alias("sse"),
+        *[F.expr(f"{cof[i][j]} / {det}").alias(f"v{i}{j}") for i in range(3) for j in range(i, 3)], F.greatest(*cosines).alias("gradient"))
+    return start.select(*group, "n").join(found, group, "left").drop(*([] if keys else ["_all"]))
+
+
+def curve_coefficients(fits: DataFrame, key: str) -> DataFrame:
+    """Coefficient table of one model with a curve for every level of ``key`` (first level: base, others: differences).
+
+    ``fits`` come from polish_curves; the error scale is common to all levels, as in one least-squares
+    fit. Columns: term, estimate, se, statistic, p_value (two-sided t). Levels without a curve have no terms.
+    """
+    fits = fits.filter(F.col("pmax").isNotNull())
+    total = fits.agg(F.struct(F.min(key).alias("base"), F.sum("sse").alias("sse"), (F.sum("n") - 3 * F.count(F.lit(1))).cast("double").alias("df"))).scalar()
+    own = fits.withColumn("_t", total).select(
+        "_t", F.col(key).cast("string").alias("_level"), (F.col(key) == F.col("_t.base")).alias("_first"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("own"), F.col(f"v{i}{i}").alias("var")) for i, c in enumerate(("pmax", "alpha", "rd"))])))
+    base = own.filter("_first").select("name", F.col("own").alias("base_own"), F.col("var").alias("base_var"))
+    scale = F.col("_t.sse") / F.col("_t.df")
+    # three rows
+    terms = own.join(F.broadcast(base), "name").select(
+        F.when(F.col("_first"), F.col("name")).otherwise(F.concat(F.lit("d"), "name", F.lit("["), "_level", F.lit("]"))).alias("term"),
+        (F.col("own") - F.when(F.col("_first"), 0.0).otherwise(F.col("base_own"))).alias("estimate"),
+        F.sqrt((F.col("var") + F.when(F.col("_first"), 0.0).otherwise(F.col("base_var"))) * scale).alias("se"), F.col("_t.df").alias("df"))
+
+    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["statistic"] = pdf["estimate"] / pdf["se"]
+            pdf["p_value"] = [t_two_sided(t, df) for t, df in zip(pdf["statistic"], pdf["df"])]
+            yield pdf[["term", "estimate", "se", "statistic", "p_value"]]
+
+    return terms.mapInPandas(tail, "term string, estimate double, se double, statistic double, p_value double")
+
+
 def compare_pooled(pooled: DataFrame, per_group: DataFrame, n_parameters: int = 3) -> DataFrame:
     """F test of one curve for all against one curve per group (one row)."""
     full = per_group.filter(F.col("sse").isNotNull()).agg(

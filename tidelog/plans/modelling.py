@@ -15,6 +15,7 @@ from ..session import materialize
 from ..operators.joins import dimension, grid_by_level
 from .registry import query
 from .tables import DAILY, PI, READINGS, daily, readings, with_views
+from .tails import normal_p, student_p
 
 HOUR_SPLINE = Spline.even(0.0, 24.0, 5, "cs")
 MONTH_SPLINE = se.month_spline()
@@ -267,20 +268,8 @@ base AS (SELECT * FROM site WHERE location = (SELECT min(location) FROM site)),
 """ + COEF
 
 
-def _simpson(density: str, t: str) -> str:
-    """Two-sided tail 1 - 2 * integral of ``density`` (a function of u) over 0..t, 0 beyond 9."""
-    body = density.replace("{u}", f"({t} * i / 400)")
-    return (
-        f"CASE WHEN {t} > 9 THEN 0.0::DOUBLE ELSE 1 - 2 * {t} / 400 / 3 * list_sum(list_transform(range(0, 401), "
-        f"lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {body})) END"
-    )
-
-
-NORMAL_P = _simpson("0.3989422804014327 * exp(-{u} * {u} / 2)", "abs(z)")
-STUDENT_P = _simpson(
-    "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(3.141592653589793 * df) * pow(1 + {u} * {u} / df, -(df + 1) / 2)",
-    "abs(t)",
-)
+NORMAL_P = normal_p("z")
+STUDENT_P = student_p("t", "df")
 
 
 def _full_model(spark, d, form="slope*site", family="gaussian"):

@@ -9,6 +9,7 @@ from ..functions.values import snap, snap_sql
 from ..operators import draws as dr
 from ..operators import lightcurve as lc
 from .registry import query
+from .tails import student_p
 from .tables import DRAWS, LINES, SITES_SQL, draws, lines, sites, table, with_views
 
 
@@ -127,6 +128,63 @@ def nls_inhibited(spark, d):
     return _snapped(_snapped(fits, "pmax", "alpha", "beta", "rd", digits=3), "sse", digits=2)
 
 
+def _polish_views(keys: str, prefix: str) -> list[str]:
+    """Gauss-Newton steps from ``<prefix>_best`` as SQL views; the 3 x 3 systems are solved by Cramer's rule."""
+    grads = ["1 - exp(-alpha / pmax * x) * (1 + alpha / pmax * x)", "x * exp(-alpha / pmax * x)", "-1.0"]
+    rest = "(s1 - w * (pmax * (1 - exp(-alpha / pmax * x)) - rd))"
+    sums = [f"sum(w * ({grads[i]}) * ({grads[j]})) AS h{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(({g}) * {rest}) AS g{i}" for i, g in enumerate(grads)]
+    det = lambda m: " + ".join(
+        f"{s} * {m[0][a]} * {m[1][b]} * {m[2][c]}" for s, a, b, c in ((1, 0, 1, 2), (1, 1, 2, 0), (1, 2, 0, 1), (-1, 2, 1, 0), (-1, 1, 0, 2), (-1, 0, 2, 1)))
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    swap = lambda k: [[f"g{i}" if j == k else h[i][j] for j in range(3)] for i in range(3)]
+    views = [f"{prefix}_p0 AS (SELECT {keys}, pmax, a * pmax AS alpha, rd FROM {prefix}_best)"]
+    for step in range(lc.POLISH_STEPS + 1):
+        views.append(f"""{prefix}_s{step} AS MATERIALIZED (SELECT {keys}, sum(w) AS n, any_value(pmax) AS pmax, any_value(alpha) AS alpha, any_value(rd) AS rd,
+          sum(greatest(s2 - s1 * s1 / w, 0) + {rest} * {rest} / w) AS sse, {", ".join(sums)}
+          FROM {prefix}_cells JOIN {prefix}_p{step} USING ({keys}) GROUP BY {keys})""")
+        views.append(f"{prefix}_p{step + 1} AS (SELECT {keys}, " + ", ".join(
+            f"{c} + ({det(swap(k))}) / ({det(h)}) AS {c}" for k, c in enumerate(("pmax", "alpha", "rd"))) + f" FROM {prefix}_s{step})")
+    unit = lambda k: [["1" if i == j == k else "0" if j == k or i == k else h[i][j] for j in range(3)] for i in range(3)]
+    views.append(f"{prefix}_opt AS (SELECT *, " + ", ".join(f"({det(unit(k))}) / ({det(h)}) AS v{k}" for k in range(3))
+                 + ", greatest(" + ", ".join(f"abs(g{k}) / sqrt(h{k}{k} * sse)" for k in range(3)) + f") AS gradient FROM {prefix}_s{lc.POLISH_STEPS})")
+    return views
+
+
+@query(
+    "nls_optimum",
+    with_views(
+        f"""SELECT location, n::BIGINT AS n, {snap_sql('pmax', 6)} AS pmax, {snap_sql('alpha', 6)} AS alpha, {snap_sql('rd', 6)} AS rd, {snap_sql('sse')} AS sse,
+                   {snap_sql('sqrt(v0 * sse / (n - 3))', 6)} AS se_pmax, {snap_sql('sqrt(v1 * sse / (n - 3))', 6)} AS se_alpha, {snap_sql('sqrt(v2 * sse / (n - 3))', 6)} AS se_rd,
+                   gradient < 1e-8 AS at_optimum FROM site_opt""", LINES, *SITE_CURVES, *_polish_views("location", "site")),
+)
+def nls_optimum(spark, d):
+    """Each site's curve with standard errors by its own scale; ``at_optimum``: no gradient is left."""
+    fits = lc.polish_curves(lines(spark, d), ["location"], "x", "y")
+    scale = F.col("sse") / (F.col("n") - 3)
+    out = fits.select("location", "n", "pmax", "alpha", "rd", "sse", *[F.sqrt(F.col(f"v{i}{i}") * scale).alias(f"se_{c}") for i, c in enumerate(("pmax", "alpha", "rd"))],
+                      (F.col("gradient") < 1e-8).alias("at_optimum"))
+    return _snapped(_snapped(out, "pmax", "alpha", "rd", "se_pmax", "se_alpha", "se_rd", digits=6), "sse")
+
+
+@query(
+    "nls_coef_table",
+    with_views(
+        f"""SELECT term, {snap_sql('estimate', 6)} AS estimate, {snap_sql('se', 6)} AS se, {snap_sql('t', 3)} AS statistic, {snap_sql(student_p('t', 'df'), 6)} AS p_value FROM (
+              SELECT *, estimate / se AS t FROM (
+                SELECT CASE WHEN o.location = b.location THEN o.name ELSE 'd' || o.name || '[' || o.location || ']' END AS term, df,
+                       CASE WHEN o.location = b.location THEN o.e ELSE o.e - b.e END AS estimate,
+                       sqrt(total / df * (o.v + CASE WHEN o.location = b.location THEN 0 ELSE b.v END)) AS se
+                FROM long o JOIN long b ON b.name = o.name AND b.location = (SELECT min(location) FROM long), (SELECT sum(sse) AS total, sum(n) - 3 * count(*) AS df FROM site_opt)))""",
+        LINES, *SITE_CURVES, *_polish_views("location", "site"),
+        """long AS (SELECT location, 'pmax' AS name, pmax AS e, v0 AS v FROM site_opt UNION ALL SELECT location, 'alpha', alpha, v1 FROM site_opt
+                    UNION ALL SELECT location, 'rd', rd, v2 FROM site_opt)"""),
+)
+def nls_coef_table(spark, d):
+    """The coefficient table of the model with one curve per site."""
+    table = lc.curve_coefficients(lc.polish_curves(lines(spark, d), ["location"], "x", "y"), "location")
+    return _snapped(_snapped(table, "estimate", "se", "p_value", digits=6), "statistic", digits=3)
+
+
 @query("robust_pooled_curve")
 def robust_pooled_curve(spark, d):
     t = lines(spark, d).select("l_orderkey", "l_linenumber", "location", "x", "y")
