@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .words import text_bytes
 
-CHUNK_BYTES = 4 << 20  # text encoded at once; longer texts pass in windows cut where no piece can span
+CHUNK_BYTES = 2 << 20  # text encoded at once; longer texts pass in windows cut where no piece can span
 CHUNK_IDS = 1 << 18      # ids decoded at once
 SPACE = 0x2581
 NONE = np.int32(2**31 - 1)
@@ -90,8 +90,8 @@ class PieceModel:
             texts.append({BYTE: lambda: bytes([int(name[1:-1], 16)]), CONTROL: bytes, UNKNOWN: lambda: unknown}.get(
                 kind, lambda: name.replace(chr(SPACE), " ").encode())())
         self.surface = np.frombuffer(b"".join(texts), np.uint8)
-        self.length = np.array([len(t) for t in texts], np.int64)
-        self.place = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.length = np.array([len(t) for t in texts], np.int32)
+        self.place = np.cumsum(self.length, dtype=np.int32) - self.length
         self.leads = (self.kinds == NORMAL) & np.array([n.startswith(chr(SPACE)) for n in names])
 
     def _pairs(self, ids: dict[str, int], scores: list[float]) -> None:
@@ -273,21 +273,29 @@ class PieceModel:
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text (null: none), as a list array."""
         data, offsets = text_bytes(texts)
-        try:
-            data.tobytes().decode()
-        except UnicodeDecodeError:
-            return self.encode(pa.array([bytes(data[a:b]).decode(errors="replace") for a, b in zip(offsets, offsets[1:])], pa.string()))
-        parts, counts, low = [], np.zeros(len(texts), np.int64), 0
+        parts, counts, low = [], [], 0
         while low < len(texts):
             high = min(len(texts), max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1))
-            for a, b in self._windows(data, offsets[low], offsets[high]):
-                edges = np.clip(offsets[low:high + 1], a, b) - a
-                ids, n = self._spans(data[a:b], edges, np.full(high - low, self.prefix and a == offsets[low]))
-                parts.append(ids)
-                counts[low:high] += n
+            some, edges = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+            try:
+                ids, n = self._rows(some, edges)
+            except UnicodeDecodeError:
+                mended = [bytes(some[a:b]).decode(errors="replace") for a, b in zip(edges, edges[1:])]
+                ids, n = self._rows(*text_bytes(pa.array(mended, pa.string())))
+            parts.append(ids)
+            counts.append(n)
             low = high
-        flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
+        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        at = np.concatenate([[0], *counts]).cumsum()
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+
+    def _rows(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts = [], np.zeros(len(edges) - 1, np.int64)
+        for a, b in self._windows(data, 0, len(data)):
+            ids, n = self._spans(data[a:b], np.clip(edges, a, b) - a, np.full(len(counts), self.prefix and a == 0))
+            parts.append(ids)
+            counts += n
+        return np.concatenate(parts), counts
 
     def _windows(self, data: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
         while high - low > 2 * CHUNK_BYTES:  # only a single text is that long
@@ -309,8 +317,15 @@ class PieceModel:
         if lists.null_count:
             lists = pa.array([x or [] for x in lists.to_pylist()], lists.type)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.int64)
-        offsets = offsets - offsets[0]
+        ids = lists.values.to_numpy(zero_copy_only=False)
+        parts, low = [], 0
+        while low < len(lists):
+            high = min(len(lists), max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_IDS, "right")) - 1))
+            parts.append(self._texts(ids[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]))
+            low = high
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def _texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("id outside the vocabulary")
         place, length = self.place[ids], self.length[ids]
@@ -321,13 +336,12 @@ class PieceModel:
             first = first[self.leads[ids[first]]]
             place[first] += 1
             length[first] -= 1
+        upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         parts = []
-        for low in range(0, len(ids), CHUNK_IDS):
-            some = length[low:low + CHUNK_IDS]
-            before = np.cumsum(some) - some
-            parts.append(self.surface[np.arange(some.sum()) + np.repeat(place[low:low + CHUNK_IDS] - before, some)].tobytes())
-        data = b"".join(parts)
-        ends = np.concatenate([[0], np.cumsum(length)])[offsets]
+        for a in range(0, len(ids), CHUNK_IDS):  # only a single text is that long
+            b = min(a + CHUNK_IDS, len(ids))
+            parts.append(self.surface[np.arange(upto[b] - upto[a]) + np.repeat(place[a:b] - (upto[a:b] - upto[a]), length[a:b])].tobytes())
+        data, ends = b"".join(parts), upto[offsets]
         try:
             data.decode()
         except UnicodeDecodeError:
