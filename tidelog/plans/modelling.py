@@ -13,6 +13,7 @@ from ..operators import siteblocks as sb
 from ..operators import smoothing as sm
 from ..session import materialize
 from ..operators.joins import dimension, grid_by_level
+from .gammasql import gamma_curve, gamma_views
 from .registry import query
 from .tables import DAILY, PI, READINGS, daily, readings, with_views
 from .tails import normal_p, student_p
@@ -200,7 +201,11 @@ def seasonal_gaussian(spark, d):
     return _pooled(spark, d, "gaussian", MONTH_SPLINE)
 
 
-@query("seasonal_gamma")
+GAMMA_BAND = f"{snap_sql('month')} AS month, {snap_sql('fit', 3)} AS fit, {snap_sql('l95', 3)} AS l95, {snap_sql('u95', 3)} AS u95"
+
+
+@query("seasonal_gamma", f"""WITH RECURSIVE {DAILY},{gamma_views("one", "SELECT 1 AS one, month, value FROM daily", MONTH_SPLINE)},{gamma_curve("one", MONTH_SPLINE, "pearson / (n - edf)")}
+SELECT site, {GAMMA_BAND} FROM curve, (SELECT DISTINCT location AS site FROM daily)""")
 def seasonal_gamma(spark, d):
     return _pooled(spark, d, "gamma", MONTH_SPLINE)
 
@@ -221,9 +226,11 @@ def seasonal_by_site(spark, d):
     })
 
 
-@query("seasonal_predict")
+@query("seasonal_predict", f"""WITH RECURSIVE {DAILY},{gamma_views("site", "SELECT location AS site, month, value FROM daily", MONTH_SPLINE)},
+common AS (SELECT sum(pearson) / sum(n - edf) AS phi FROM gm),{gamma_curve("site", MONTH_SPLINE, "(SELECT phi FROM common)")}
+SELECT site, {GAMMA_BAND} FROM curve""")
 def seasonal_predict(spark, d):
-    return sb.predict_sites(sb.fit_site_curves(_cells(spark, d), "gamma", MONTH_SPLINE), _grid(spark, d))
+    return _band_snapped(sb.predict_sites(sb.fit_site_curves(_cells(spark, d), "gamma", MONTH_SPLINE), _grid(spark, d)))
 
 
 @query("smooth_per_facet", _season_sql("site", "SELECT concat_ws(' ', location, position) AS site, month, value FROM daily", MONTH_SPLINE,
@@ -234,11 +241,13 @@ def smooth_per_facet(spark, d):
     return _snapped(_band_snapped(se.facet_curves(cells, ["site"], MONTH_SPLINE, "gaussian")), "edf", digits=3)
 
 
-@query("smooth_per_facet_open")
+@query("smooth_per_facet_open", f"""WITH RECURSIVE {DAILY},{gamma_views("site", "SELECT concat_ws(' ', location, position) AS site, month, value FROM daily", OPEN_SPLINE)},{gamma_curve("site", OPEN_SPLINE, "pearson / (n - edf)")}
+SELECT site, {snap_sql('edf', 3)} AS edf, {GAMMA_BAND} FROM curve""")
 def smooth_per_facet_open(spark, d):
     """The same with the Gamma family and the open basis."""
     t = daily(spark, d).withColumn("facet", F.concat_ws(" ", "location", "position"))
-    return se.facet_curves(ln.month_cells(t, "facet", "month", "value"), ["site"], OPEN_SPLINE, "gamma")
+    out = se.facet_curves(ln.month_cells(t, "facet", "month", "value"), ["site"], OPEN_SPLINE, "gamma")
+    return _snapped(_band_snapped(out), "edf", digits=3)
 
 
 @query("smooth_terms")
