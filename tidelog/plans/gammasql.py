@@ -91,3 +91,60 @@ curve AS (SELECT {keys}, month, edf, exp(e) AS fit, exp(e - 1.96 * h) AS l95, ex
   SELECT {keys}, month, edf, list_dot_product(b, beta) AS e,
          sqrt(greatest(phi * list_sum(list_transform(list_zip(b, inv), lambda t: t[1] * list_dot_product(t[2], b))), 0)) AS h
   FROM (SELECT *, {scale} AS phi FROM {name}), (SELECT month, [{basis}] AS b FROM (SELECT 1 + i * 11 / {points}::DOUBLE AS month FROM (SELECT unnest(range({points} + 1)) AS i)))))"""
+
+
+def shared_views(source: str, spline: Spline, name: str = "sh") -> str:
+    """View ``<name>``(n, edf, deviance, pearson): one smooth for all sites and a level for each; ``source`` gives (site, month, value).
+
+    Given the curve a site's level has a closed form. Levels are taken out of the sums, so the matrix has
+    the constant in its null space; the number of rows in every place makes it regular and changes nothing else.
+    """
+    k = spline.size
+    b = [f"b{i}" for i in range(k)]
+    basis = ", ".join(f"{t} AS b{i}" for i, t in enumerate(spline.sql("month")))
+    penalty = "[" + ", ".join("[" + ", ".join(f"({float(v)!r})::DOUBLE" for v in row) + "]" for row in spline.penalty) + "]"
+    gram = ", ".join("[" + ", ".join(f"sum(n * {x} * {y})" for y in b) + "]" for x in b)
+    minus = ", ".join("[" + ", ".join(f"sum(m[{i}] * m[{j}] / n)" for j in range(1, k + 1)) + "]" for i in range(1, k + 1))
+    level = "ln(list_sum(list_transform(cells, lambda c: c.s1 * exp(-curve[c.month]))) / n)"
+    z = "(level + curve[c.month] + (c.mean - exp(level + curve[c.month])) / exp(level + curve[c.month]))"
+    placed = f"""(SELECT step, l, settled, cells, curve, n, level, list_sum(list_transform(cells, lambda c: c.n * {z})) / n AS zbar
+        FROM (SELECT w.*, s.cells, s.n, {level} AS level FROM {name}_walk w, {name}_sites s WHERE step < {ITERATIONS}))"""
+    centred = f"({z} - zbar)"
+    sums = ", ".join(f"sum(list_sum(list_transform(cells, lambda c: c.n * {centred} * c.b[{i}])))" for i in range(1, k + 1))
+    work = f"""(SELECT step, any_value(l) AS l, any_value(settled) AS settled, [{sums}] AS cz,
+        sum(list_sum(list_transform(cells, lambda c: c.n * {centred} * {centred} + c.within / exp(2 * (level + curve[c.month]))))) AS zz FROM {placed} GROUP BY step)"""
+    scored = f"""(SELECT step, any_value(l) AS l, any_value(settled) AS settled, any_value(cz) AS cz,
+        list(n * (zz - 2 * list_dot_product(b, cz) + list_sum(list_transform(list_zip(b, g), lambda t: t[1] * list_dot_product(t[2], b)))) / pow(greatest(n - k - edf, 1e-6), 2) ORDER BY tried) AS gcv
+        FROM (SELECT w.*, m.n, m.g, m.k, i.l AS tried, i.edf, list_transform(i.inv, lambda v: list_dot_product(v, cz)) AS b FROM {work} w, {name}_model m, {name}_inv i) GROUP BY step)"""
+    tuned = f"""(SELECT step, cz, CASE WHEN open THEN found ELSE l END AS l, CASE WHEN NOT open THEN settled WHEN found = l THEN settled + 1 ELSE 0 END AS settled
+        FROM (SELECT *, settled < 2 AND step < {TUNED} AS open FROM {_ladder(scored, "step, l, settled, cz")}))"""
+    return f"""
+{name}_cells AS (SELECT site, month, count(*)::DOUBLE AS n, sum(value) AS s1, sum(value * value) AS s2, sum(ln(value)) AS slog FROM ({source}) GROUP BY ALL),
+{name}_sites AS MATERIALIZED (
+  SELECT site, sum(n) AS n, [{", ".join(f"sum(n * {x})" for x in b)}] AS m,
+         list({{'month': month, 'n': n, 'mean': s1 / n, 'within': greatest(s2 - s1 * s1 / n, 0), 's1': s1, 's2': s2, 'slog': slog, 'b': [{", ".join(b)}]}}) AS cells
+  FROM (SELECT *, {basis} FROM {name}_cells) GROUP BY site),
+{name}_model AS MATERIALIZED (
+  SELECT 1 AS one, *, {_trace_rest("g", k)} / {_trace_rest("s", k)} AS unit FROM (
+    SELECT n, k, r, {penalty} AS s, list_transform(list_zip(whole, minus), lambda t: list_transform(list_zip(t[1], t[2]), lambda u: u[1] - u[2])) AS g
+    FROM (SELECT sum(n) AS n, [{gram}] AS whole, [{", ".join(f"sum(n * {x})" for x in b)}] AS r FROM (SELECT *, {basis} FROM {name}_cells)),
+         (SELECT count(*) AS k, [{minus}] AS minus FROM {name}_sites))),{_solved(f"{name}_inv", "one", k, f"{name}_model", "n")},
+{name}_months AS (SELECT list([{", ".join(b)}] ORDER BY month) AS xs FROM (SELECT month, {basis} FROM (SELECT unnest(range(1, 13))::DOUBLE AS month))),
+{name}_walk(step, l, settled, curve) AS (
+  SELECT 0, 0::BIGINT, 0, list_transform(range(12), lambda i: 0.0::DOUBLE)
+  UNION ALL
+  SELECT t.step + 1, t.l, t.settled, list_transform(xs, lambda x: list_dot_product(x, list_transform(i.inv, lambda v: list_dot_product(v, t.cz))))
+  FROM {tuned} t JOIN {name}_inv i ON i.l = t.l, {name}_months),
+{name} AS (
+  SELECT n, k + edf AS edf, deviance, pearson FROM {name}_model, (SELECT i.edf FROM {name}_inv i JOIN {name}_walk w ON w.l = i.l AND w.step = {ITERATIONS}), (
+    SELECT sum(list_sum(list_transform(cells, lambda c: 2 * (c.n * (level + curve[c.month]) - c.slog + c.s1 / exp(level + curve[c.month]) - c.n)))) AS deviance,
+           sum(list_sum(list_transform(cells, lambda c: (c.s2 - 2 * exp(level + curve[c.month]) * c.s1 + c.n * exp(2 * (level + curve[c.month]))) / exp(2 * (level + curve[c.month]))))) AS pearson
+    FROM (SELECT w.*, s.cells, s.n AS sn, {level.replace('/ n)', '/ s.n)')} AS level FROM {name}_walk w, {name}_sites s WHERE w.step = {ITERATIONS})))"""
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    """Upper tail of F with any degrees of freedom: the incomplete beta integral after t = x exp(-s / a), by Simpson's rule."""
+    a, b, x = f"({d2} / 2)", f"({d1} / 2)", f"({d2} / ({d2} + {d1} * {f}))"
+    front = f"exp({a} * ln({x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
+    return (f"{front} * 0.02 / 3 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+            f" * exp(-i * 0.02) * pow(1 - {x} * exp(-i * 0.02 / {a}), {b} - 1)))")

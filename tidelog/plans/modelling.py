@@ -13,7 +13,7 @@ from ..operators import siteblocks as sb
 from ..operators import smoothing as sm
 from ..session import materialize
 from ..operators.joins import dimension, grid_by_level
-from .gammasql import gamma_curve, gamma_views
+from .gammasql import f_tail, gamma_curve, gamma_views, shared_views
 from .registry import query
 from .tables import DAILY, PI, READINGS, daily, readings, with_views
 from .tails import normal_p, student_p
@@ -215,15 +215,23 @@ def seasonal_open(spark, d):
     return _pooled(spark, d, "gaussian", OPEN_SPLINE)
 
 
-@query("seasonal_by_site")
+@query("seasonal_by_site", f"""WITH RECURSIVE {DAILY},{gamma_views("one", "SELECT 1 AS one, month, value FROM daily", MONTH_SPLINE)},
+{shared_views("SELECT location AS site, month, value FROM daily", MONTH_SPLINE)},{gamma_views("site", "SELECT location AS site, month, value FROM daily", MONTH_SPLINE, "own")},
+models AS (SELECT 1 AS rank, 'pooled' AS model, n - edf AS df_residual, deviance FROM gm UNION ALL SELECT 2, 'site', n - edf, deviance FROM sh
+           UNION ALL SELECT 3, 'by_site', sum(n - edf), sum(deviance) FROM own),
+steps AS (SELECT *, lag(df_residual) OVER o - df_residual AS df, lag(deviance) OVER o - deviance AS fall, (SELECT sum(pearson) / sum(n - edf) FROM own) AS phi, (SELECT sum(n - edf) FROM own) AS last
+          FROM models WINDOW o AS (ORDER BY rank))
+SELECT model, {snap_sql('df_residual', 3)} AS df_residual, {snap_sql('deviance', 3)} AS deviance, {snap_sql('df', 3)} AS df, {snap_sql('fall', 3)} AS deviance_drop,
+       {snap_sql('f', 3)} AS f_value, {snap_sql(f_tail('f', 'df', 'last'), 5)} AS p_value FROM (SELECT *, fall / df / phi AS f FROM steps)""")
 def seasonal_by_site(spark, d):
     """The three nested seasonal models and their analysis of deviance, from one pass over the rows."""
     cells = _cells(spark, d)
-    return ln.compare_nested(spark, {
+    out = ln.compare_nested(spark, {
         "pooled": se.SeasonModel(ln.collect_months(cells), "pooled", "gamma", MONTH_SPLINE).fit,
         "site": sb.fit_shared_curve(cells, "gamma", MONTH_SPLINE),
         "by_site": sb.fit_site_curves(cells, "gamma", MONTH_SPLINE).summary,
     })
+    return _snapped(_snapped(out, "df_residual", "deviance", "df", "deviance_drop", "f_value", digits=3), "p_value", digits=5)
 
 
 @query("seasonal_predict", f"""WITH RECURSIVE {DAILY},{gamma_views("site", "SELECT location AS site, month, value FROM daily", MONTH_SPLINE)},
