@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as 10-minute style logger readings."""
+    return reading_columns(table(spark, sf_dir, "events"))
+
+
+def reading_columns(events: DataFrame) -> DataFrame:
     hour = decimal_hour("ts")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("event_type").alias("location"),
         F.when(F.col("user_id") % 2 == 0, "0m").otherwise("1m").alias("position"),
