@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.splines import Spline
+from ..functions.thinplate import thin_plate, thin_plate_of
 from ..functions.values import snap, snap_sql
 from ..operators import linear as ln
 from ..operators import seasonal as se
@@ -21,6 +22,7 @@ from .tails import normal_p, student_p
 HOUR_SPLINE = Spline.even(0.0, 24.0, 5, "cs")
 MONTH_SPLINE = se.month_spline()
 OPEN_SPLINE = se.month_spline(cyclic=False)
+MONTH_PLATE = thin_plate(range(1, 13))  # what the distinct months of the tables give
 
 
 def _snapped(df, *columns, digits=4):
@@ -215,6 +217,25 @@ def seasonal_open(spark, d):
     return _pooled(spark, d, "gaussian", OPEN_SPLINE)
 
 
+@query("thin_plate_gram", with_views(_gram_sql("location", MONTH_PLATE, "month", "value", "daily"), DAILY))
+def thin_plate_gram(spark, d):
+    t = daily(spark, d)
+    return _long_gram(sm.gram(t, ["location"], thin_plate_of(t, "month"), "month", "value"), ["location"])
+
+
+@query("seasonal_thin_plate", _pooled_sql(MONTH_PLATE))
+def seasonal_thin_plate(spark, d):
+    return _pooled(spark, d, "gaussian", thin_plate_of(daily(spark, d), "month"))
+
+
+@query("seasonal_thin_plate_by_site", f"""WITH RECURSIVE {DAILY},{gamma_views("site", "SELECT location AS site, month, value FROM daily", MONTH_PLATE)},
+common AS (SELECT sum(pearson) / sum(n - edf) AS phi FROM gm),{gamma_curve("site", MONTH_PLATE, "(SELECT phi FROM common)")}
+SELECT site, {GAMMA_BAND} FROM curve""")
+def seasonal_thin_plate_by_site(spark, d):
+    curves = sb.fit_site_curves(_cells(spark, d), "gamma", thin_plate_of(daily(spark, d), "month"))
+    return _band_snapped(sb.predict_sites(curves, _grid(spark, d)))
+
+
 @query("seasonal_by_site", f"""WITH RECURSIVE {DAILY},{gamma_views("one", "SELECT 1 AS one, month, value FROM daily", MONTH_SPLINE)},
 {shared_views("SELECT location AS site, month, value FROM daily", MONTH_SPLINE)},{gamma_views("site", "SELECT location AS site, month, value FROM daily", MONTH_SPLINE, "own")},
 models AS (SELECT 1 AS rank, 'pooled' AS model, n - edf AS df_residual, deviance FROM gm UNION ALL SELECT 2, 'site', n - edf, deviance FROM sh
