@@ -8,6 +8,7 @@ from ..functions.texts import drawn_index, extract
 from ..functions.values import snap, snap_sql
 from ..operators import draws as dr
 from ..operators import lightcurve as lc
+from ..operators import sampler as sp
 from .registry import query
 from .tails import student_p
 from .tables import DRAWS, LINES, SITES_SQL, draws, lines, sites, table, with_views
@@ -191,6 +192,16 @@ def robust_pooled_curve(spark, d):
     return lc.robust_curves(t, ["location"], "x", "y", ["l_orderkey", "l_linenumber"])
 
 
+@query("posterior_curves")
+def posterior_curves(spark, d):
+    """Posterior mean, 80 % interval and split R-hat of every parameter of the partly pooled site curves."""
+    found, groups = sp.sample_curves(lines(spark, d), ["location"], "x", "y", warmup=20, draws=160)
+    named = found.join(F.broadcast(groups), "k", "left").withColumn("name", F.concat_ws("|", "param", "location"))
+    table = dr.mean_and_interval(named, ["name"], "value").join(dr.split_rhat(named, "name", "chain", "iter", "value"), "name")
+    part = F.split("name", "[|]")
+    return table.select(F.get(part, F.lit(0)).alias("param"), F.get(part, F.lit(1)).alias("location"), "estimate", "hdi_low", "hdi_high", "rhat")
+
+
 # --- posterior draws ---------------------------------------------------------
 
 
