@@ -57,7 +57,8 @@ class SeasonModel:
             full = np.zeros((p, p))
             full[start : start + z.shape[1], start : start + z.shape[1]] = z.T @ spline.penalty @ z
             penalties.append(full)
-        self.fit: Fit = fit_cells(cells, np.column_stack(columns), terms, family, penalties)
+        self.design = np.column_stack(columns)
+        self.fit: Fit = fit_cells(cells, self.design, terms, family, penalties)
 
     def site_map(self, i: int) -> np.ndarray:
         """Matrix from model coefficients to (level, basis values at knots) of site ``i``."""
@@ -94,6 +95,36 @@ class SeasonModel:
         return out
 
 
+    def fractional_tests(self) -> list[tuple[str, float, float, float]]:
+        """Per smooth: its label, the rank of its test and the two Wald statistics of that rank (Wood 2013, Biometrika 100).
+
+        The rank is 2 edf - trace(F F), with F the matrix from data to fit; it need not be whole. The part above
+        the whole number couples two directions, and the sign of the coupling is arbitrary: both are given.
+        """
+        gram = self.design.T @ (self.cells.n[:, None] * self.design)
+        f = self.fit.cov / self.fit.scale @ gram
+        spare = 2 * np.diag(f) - np.einsum("ij,ji->i", f, f)
+        out = []
+        for label, start, z in self.blocks:
+            block = slice(start, start + z.shape[1])
+            r = np.linalg.cholesky(gram[block, block] + 1e-12 * np.trace(gram[block, block]) * np.eye(z.shape[1])).T
+            w, v = np.linalg.eigh(r @ self.fit.cov[block, block] @ r.T)
+            w, v = w[::-1], v[:, ::-1]
+            b = v.T @ (r @ self.fit.beta[block])
+            rank = float(min(spare[block].sum(), (w > w[0] * 1e-12).sum()))
+            whole = int(rank + 1e-9)
+            part = rank - whole
+            plain = b**2 / w
+            if part < 1e-6 or whole == 0:
+                stat = float(plain[:max(whole, 1)].sum())
+                out.append((label, max(rank, 1.0), stat, stat))
+                continue
+            pair, side = b[whole - 1:whole + 1] / np.sqrt(w[whole - 1:whole + 1]), np.sqrt(part * (1 - part) / 2)
+            base = float(plain[:whole - 1].sum() + pair[0] ** 2 + part * pair[1] ** 2)
+            out.append((label, rank, base + 2 * side * float(pair[0] * pair[1]), base - 2 * side * float(pair[0] * pair[1])))
+        return out
+
+
 def band(df: DataFrame, eta: Column, variance: Column, log_link: bool, z: float = 1.96) -> DataFrame:
     back = F.exp if log_link else (lambda c: c)
     half = F.lit(z) * F.sqrt(F.greatest(variance, F.lit(0.0)))

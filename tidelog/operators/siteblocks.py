@@ -254,12 +254,13 @@ def fit_site_curves(cells: DataFrame, family: str, spline: Spline) -> SiteCurves
                 model = SeasonModel(Cells(["all"], np.zeros(len(c), int), col["month"], col["n"], col["s1"], col["s2"], col["slog"]), "pooled", family, spline)
                 t, fit = model.site_map(0), model.fit
                 _, _, edf, rank, stat, _ = model.smooth_table("")[0]
+                _, fine, plus, minus = model.fractional_tests()[0]
                 left = fit.n - fit.df_model
                 rows.append((site, (t @ fit.beta).tolist(), (t @ fit.cov @ t.T / fit.scale).ravel().tolist(), fit.n, fit.df_model, fit.deviance,
-                             fit.scale * left, edf, rank, stat * fit.scale))
-            yield pd.DataFrame(rows, columns=["site", "theta", "theta_cov", "n", "df", "deviance", "spread", "edf", "rank", "stat"])
+                             fit.scale * left, edf, rank, stat * fit.scale, fine, plus * fit.scale, minus * fit.scale))
+            yield pd.DataFrame(rows, columns=["site", "theta", "theta_cov", "n", "df", "deviance", "spread", "edf", "rank", "stat", "fine_rank", "fine_plus", "fine_minus"])
 
-    schema = "site string, theta array<double>, theta_cov array<double>, n double, df double, deviance double, spread double, edf double, rank double, stat double"
+    schema = "site string, theta array<double>, theta_cov array<double>, n double, df double, deviance double, spread double, edf double, rank double, stat double, fine_rank double, fine_plus double, fine_minus double"
     sites = materialize(pack_sites(cells).mapInPandas(run, schema), "site-curves")
     t = sites.agg(*[F.sum(c).alias(c) for c in ("n", "df", "deviance", "spread")]).first()
     return SiteCurves(sites, family, spline, Summary(t["n"], t["df"], t["deviance"], t["spread"] / (t["n"] - t["df"])))
@@ -289,6 +290,26 @@ def smooth_table(curves: SiteCurves, variable: str) -> DataFrame:
     return curves.sites.mapInPandas(tail, "variable string, site string, edf double, ref_df double, f_value double, p_value double")
 
 
+def smooth_reference_table(curves: SiteCurves, variable: str) -> DataFrame:
+    """Per site: edf, reference df, F of its smooth and p from the distribution of a statistic with fractional rank.
+
+    p is the mean over the two signs of the coupling (see SeasonModel.fractional_tests).
+    """
+    from ..functions.distributions import smooth_tail
+
+    df, scale = curves.summary.df_residual, curves.summary.scale
+
+    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            plus, minus = pdf["fine_plus"] / scale, pdf["fine_minus"] / scale
+            p = [None if None in (a, b) else (a + b) / 2 for a, b in (
+                (smooth_tail(u, r, df), smooth_tail(v, r, df)) for u, v, r in zip(plus, minus, pdf["fine_rank"]))]
+            yield pd.DataFrame({"variable": variable, "site": pdf["site"], "edf": pdf["edf"], "ref_df": pdf["fine_rank"],
+                                "f_value": (plus + minus) / 2 / pdf["fine_rank"], "p_value": p})
+
+    return curves.sites.mapInPandas(tail, "variable string, site string, edf double, ref_df double, f_value double, p_value double")
+
+
 def fit_shared_curve(cells: DataFrame, family: str, spline: Spline) -> Summary:
     """One smooth for all sites and a level for each.
 

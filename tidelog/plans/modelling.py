@@ -286,6 +286,17 @@ def smooth_terms(spark, d):
     return tables[0].unionByName(tables[1])
 
 
+@query("smooth_terms_reference")
+def smooth_terms_reference(spark, d):
+    """The smooths of the values and of values without a season, tested with fractional rank."""
+    t = daily(spark, d).withColumn("flat", F.col("raw") / 1000)
+    tables = []
+    for name, column in (("scaled", "value"), ("flat", "flat")):
+        cells = materialize(ln.month_cells(t, "location", "month", column), "month-cells")
+        tables.append(sb.smooth_reference_table(sb.fit_site_curves(cells, "gaussian", MONTH_SPLINE), name))
+    return tables[0].unionByName(tables[1])
+
+
 # --- linear models -----------------------------------------------------------
 
 # Per-site regression on h = month - 6; the treatment-coded model is a rewriting of it.
