@@ -4,9 +4,12 @@ Texts are cut vertically: the pair (previous word, word) of every token goes to
 the previous word, so a fragment holds whole context restaurants. As every token of a text is
 also a context of that text exactly once (the end token starts it), token counts are known
 there as well. Fragments send their tables to the parent, cut by word in the same way, and get
-back the parent's part of the probability of each word they hold. Sums per text come back by block.
-Contexts that hold a large share of all tokens are cut further, by the next word; their totals are
-summed in one small row. Only the size of the input and the few hundred such words reach the driver.
+back the parent's part of the probability of each word they hold. Children and parent are seated twice in
+turn, the second time with one discount for all fragments. Sums per text come back by block.
+Contexts that hold a large share of all tokens are cut further, by the next word; their tokens and the
+mean tables of their last seating are summed over the fragments, so that the words after any context,
+a hot one too, have probabilities that add up to one. Only the size of the input and the few hundred such
+words reach the driver.
 """
 
 from __future__ import annotations
@@ -28,11 +31,16 @@ EXACT = 2048                # customers of a kind up to which the weights of its
 _END = mix(np.array([0x656E64], np.uint64))[0]
 
 _CELL = "fragment int, block string, contexts binary, counts binary, words binary, low binary, docs binary, heads binary"
-_MESSAGE = "fragment int, sender int, codes binary, low binary, many binary, tables binary, totals binary"
-_ANSWER = "fragment int, sender int, mass binary, totals binary"
+_MESSAGE = "fragment int, sender int, codes binary, low binary, many binary, tables binary, totals binary, own binary"
+_ANSWER = "fragment int, sender int, mass binary, totals binary, own binary"
 _PART = "block string, sums binary, heads binary, totals binary"
 
 
+def _parents(fragments: int) -> int:
+    """Parts of the parent: every fragment writes a row to each of them, and each gets the words of all fragments."""
+    return max(min(fragments, 16), fragments // 32)
+
+
 def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
 
@@ -257,14 +265,18 @@ class Restaurants:
 
 
 def _discount(count: np.ndarray) -> float:
-    once, twice = float((count == 1).sum()), float((count == 2).sum())
+    return _ratio(float((count == 1).sum()), float((count == 2).sum()))
+
+
+def _ratio(once: float, twice: float) -> float:
+    """Discount from the numbers of kinds with one and with two customers."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
 class _Fragment:
     """Pairs of one fragment, decoded in the order of their blocks."""
 
-    def __init__(self, table: pa.Table, fragments: int, hot: np.ndarray):
+    def __init__(self, table: pa.Table, parents: int, hot: np.ndarray):
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         self.number, self.blocks = rows[0]["fragment"], rows
         contexts = [_from_six(r["contexts"]) for r in rows]
@@ -290,51 +302,90 @@ class _Fragment:
         spot = np.searchsorted(self.keys, key)
         spot = np.minimum(spot, max(0, len(self.keys) - 1)).astype(np.int32)
         self.kind = np.where(self.keys[spot] == key, spot, -1) if len(self.keys) else np.full(len(key), -1, np.int32)
-        self.target = _fragment(self.words, fragments)
-        self.discount = _discount(self.count)
+        self.target = _fragment(self.words, parents)
 
-    def seating(self, seed: int, elsewhere: np.ndarray | None = None) -> Restaurants:
+    def seating(self, seed: int, discount: float, elsewhere: np.ndarray) -> Restaurants:
         """Fresh seating; ``elsewhere`` are the tables that hot contexts have in other fragments."""
-        seats = Restaurants(self.count, self.kind_room, len(self.context), self.discount, seed * 1_000_003 + self.number)
-        if elsewhere is not None:
-            seats.open[self.hot_room] += elsewhere[self.hot]
+        seats = Restaurants(self.count, self.kind_room, len(self.context), discount, seed * 1_000_003 + self.number)
+        seats.open[self.hot_room] += elsewhere[self.hot]
         return seats
 
+    def rooms(self, tables: np.ndarray) -> np.ndarray:
+        """Tables of each context in this fragment, from those of its kinds."""
+        return np.bincount(self.kind_room, tables, minlength=len(self.context))
+
     def guess(self) -> np.ndarray:
         """Probability of each dish from this fragment alone, to start from."""
         share = np.bincount(self.kind_dish, self.count, minlength=len(self.words)) + 0.5
         return share / share.sum()
 
+    def messages(self, tables: np.ndarray, rooms: np.ndarray, parents: int, hot: int, ones: tuple[float, float] = (0.0, 0.0), own: bytes = b"") -> pa.Table:
+        """Tables per word for every part of the parent. With them go sums: tables, tokens, vocabulary, pairs seen
+        once and twice, and the parent's words with one and two customers (``ones``); to its first part also the training tokens and
+        tables of hot contexts here; ``own`` comes back to this fragment through one part."""
+        per_word = np.bincount(self.kind_dish, tables, minlength=len(self.words)).astype(np.int64)
+        whole = np.ones(len(self.context), bool)
+        whole[self.hot_room] = False
+        totals = np.array([per_word.sum(), self.known.sum(), (self.known[whole] > 0).sum(), (self.count == 1).sum(), (self.count == 2).sum(), *ones], float).tobytes()
+        part = np.zeros((2, hot))
+        part[0, self.hot], part[1, self.hot] = self.known[self.hot_room], rooms[self.hot_room]
+        rows = []
+        for g in range(parents):
+            a, b = np.searchsorted(self.target, (g, g + 1))
+            w, t = self.words[a:b], per_word[a:b]
+            many = np.flatnonzero(t != 1).astype(np.uint32)
+            rows.append((g, self.number, (w >> np.uint64(32)).astype(np.uint32).tobytes(), (w >> np.uint64(24)).astype(np.uint8).tobytes(),
+                         many.tobytes(), t[many].astype(np.uint32).tobytes(), totals + part.tobytes() if g == 0 else totals, own if g == self.number % parents else b""))
+        cols = list(zip(*rows, strict=True))
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
+                        names=[x.split()[0] for x in _MESSAGE.split(", ")])
+
+
+class _Answers:
+    """What the parent's parts answered to one fragment."""
+
+    def __init__(self, table: pa.Table):
+        rows = sorted(table.select(["sender", "mass", "totals", "own"]).to_pylist(), key=lambda r: r["sender"])
+        self.mass = np.concatenate([np.frombuffer(r["mass"], np.float32) for r in rows]).astype(float)
+        totals = np.stack([np.frombuffer(r["totals"])[:7] for r in rows])
+        self.customers, self.tokens, self.vocabulary, _, self.discount = totals[0, :5]
+        self.known, self.tables, self.elsewhere = np.frombuffer(rows[0]["totals"])[7:].reshape(3, -1)  # of hot contexts, everywhere and elsewhere
+        self.vocabulary += (self.known > 0).sum()
+        self.spare = STRENGTH + totals[:, 3].sum()
+        self.ones = tuple(totals[:, 5:].sum(0))
+        self.own = b"".join(r["own"] for r in rows)
+
+    def parent(self) -> np.ndarray:
+        """Probability of each word of the fragment in the parent; all unknown words share the rest."""
+        base = np.where(self.mass > 0, (1 - UNKNOWN) / max(1.0, self.vocabulary), UNKNOWN)
+        return (self.mass + self.spare * base) / (STRENGTH + self.customers)
+
 
 def _send(fragments: int, seed: int, hot: np.ndarray):
-    """Tables of a fragment's restaurants per word, to the parent's fragments."""
+    """First tables of a fragment's restaurants, seated with its own discount and word shares."""
 
     def run(table: pa.Table) -> pa.Table:
-        f = _Fragment(table, fragments, hot)
+        f = _Fragment(table, _parents(fragments), hot)
         own = np.zeros(len(hot))
-        own[f.hot] = np.bincount(f.kind_room, minlength=len(f.context))[f.hot_room]
-        seats = f.seating(seed, own * (fragments - 1))  # until it is known: as many in each other fragment
+        own[f.hot] = f.rooms(np.ones(len(f.count)))[f.hot_room]
+        seats = f.seating(seed, _discount(f.count), own * (fragments - 1))  # until it is known: as many in each other fragment
         parent = f.guess()[f.kind_dish]
         for _ in range(BURN_IN):
             seats.sweep(parent)
-        tables = np.bincount(f.kind_dish, seats.tables, minlength=len(f.words)).astype(np.int64)
-        whole = np.ones(len(f.context), bool)
-        whole[f.hot_room] = False
-        totals = np.array([tables.sum(), f.known.sum(), (f.known[whole] > 0).sum()], float).tobytes()
-        # hot contexts: their training tokens and tables here, for the first part of the parent
-        part = np.zeros((2, len(hot)))
-        part[0, f.hot] = f.known[f.hot_room]
-        part[1, f.hot] = np.bincount(f.kind_room, seats.tables, minlength=len(f.context))[f.hot_room]
-        rows = []
-        for g in range(fragments):
-            a, b = np.searchsorted(f.target, (g, g + 1))
-            w, t = f.words[a:b], tables[a:b]
-            many = np.flatnonzero(t != 1).astype(np.uint32)
-            rows.append((g, f.number, (w >> np.uint64(32)).astype(np.uint32).tobytes(), (w >> np.uint64(24)).astype(np.uint8).tobytes(),
-                         many.tobytes(), t[many].astype(np.uint32).tobytes(), totals + part.tobytes() if g == 0 else totals))
-        cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                        names=[x.split()[0] for x in _MESSAGE.split(", ")])
+        return f.messages(seats.tables, f.rooms(seats.tables), _parents(fragments), len(hot))
+
+    return run
+
+
+def _reseat(fragments: int, seed: int, hot: np.ndarray):
+    """Tables given the parent: the last sample goes to the parent again, the means stay with the fragment."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        f, answers = _Fragment(left, _parents(fragments), hot), _Answers(right)
+        seats = f.seating(seed + 1, answers.discount, answers.elsewhere)
+        mean, _ = seats.average(answers.parent()[f.kind_dish])
+        mean = mean.astype(np.float32)
+        return f.messages(seats.tables, f.rooms(mean), _parents(fragments), len(hot), answers.ones, mean[f.count > 1].tobytes())
 
     return run
 
@@ -353,58 +404,62 @@ def _parent(seed: int):
             tables.append(t)
         count = np.bincount(place, np.concatenate(tables), minlength=len(words)).astype(np.int64)
         given = np.stack([np.frombuffer(r["totals"]) for r in rows])
-        customers, tokens, vocabulary = given[:, :3].sum(0)
-        hot = given[:, 3:].reshape(len(rows), 2, -1)
+        customers, tokens, vocabulary, once, twice = given[:, :5].sum(0)
+        hot = given[:, 7:].reshape(len(rows), 2, -1)
         seen = np.flatnonzero(count)
-        discount = _discount(count[seen])
+        discount = _ratio(*given[0, 5:7]) if given[0, 5] else _discount(count[seen])  # that of all parts, once they know it
         seats = Restaurants(count[seen], np.zeros(len(seen), np.int32), 1, discount, seed * 1_000_003 + 500_009 + rows[0]["fragment"])
         # tables of the whole restaurant are close to one per known word; those of other parts stay fixed
         seats.open += max(0.0, vocabulary - len(seen))
         mean, _ = seats.average(np.full(len(seen), (1 - UNKNOWN) / max(1.0, vocabulary)))
         mass = np.zeros(len(words), np.float32)
         mass[seen] = count[seen] - discount * mean
-        totals = np.array([customers, tokens, vocabulary, discount * mean.sum()]).tobytes()
-        # each sender learns the tokens of hot contexts everywhere and their tables elsewhere
-        extra = [hot[:, 0].sum(0).tobytes() + (hot[:, 1].sum(0) - h).tobytes() for h in hot[:, 1]]
+        totals = np.array([customers, tokens, vocabulary, discount * mean.sum(), _ratio(once, twice), (count == 1).sum(), (count == 2).sum()]).tobytes()
+        # each sender learns the tokens and tables of hot contexts everywhere, and their tables elsewhere
+        extra = [np.concatenate([hot[:, 0].sum(0), hot[:, 1].sum(0), hot[:, 1].sum(0) - h]).tobytes() for h in hot[:, 1]]
         ends = np.cumsum([0, *map(len, codes)])
         return pa.table([pa.array([r["sender"] for r in rows], pa.int32()), pa.array([rows[0]["fragment"]] * len(rows), pa.int32()),
                          pa.array([mass[place[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                         pa.array([totals + x for x in extra], pa.binary())], names=[x.split()[0] for x in _ANSWER.split(", ")])
+                         pa.array([totals + x for x in extra], pa.binary()), pa.array([r["own"] for r in rows], pa.binary())],
+                        names=[x.split()[0] for x in _ANSWER.split(", ")])
 
     return run
 
 
-def _score(fragments: int, seed: int, hot: np.ndarray):
+class _Predictive:
+    """Averaged predictive probabilities of a fragment: (share + spare parent) / size of each context."""
+
+    def __init__(self, f: _Fragment, answers: _Answers):
+        tables = np.ones(len(f.count))
+        tables[f.count > 1] = np.frombuffer(answers.own, np.float32)
+        rooms, known = f.rooms(tables), f.known.copy()
+        rooms[f.hot_room], known[f.hot_room] = answers.tables[f.hot], answers.known[f.hot]
+        self.share = np.append(f.count - answers.discount * tables, 0.0)  # the last place serves pairs never seen
+        self.spare, self.parent, self.known = STRENGTH + answers.discount * rooms, answers.parent(), known
+
+    def of(self, room: np.ndarray, dish: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        probability = self.share[kind]
+        probability += self.spare[room] * self.parent[dish]
+        probability /= (STRENGTH + self.known)[room]
+        return probability
+
+
+def _score(fragments: int, hot: np.ndarray):
     """Partial sums of every text of a fragment's blocks: base term, log probability, known tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        f = _Fragment(left, fragments, hot)
-        answers = sorted(right.select(["sender", "mass", "totals"]).to_pylist(), key=lambda r: r["sender"])
-        mass = np.concatenate([np.frombuffer(r["mass"], np.float32) for r in answers]).astype(float)
-        totals = np.stack([np.frombuffer(r["totals"])[:4] for r in answers])
-        everywhere, elsewhere = np.frombuffer(answers[0]["totals"])[4:].reshape(2, -1)
-        customers, tokens, vocabulary = totals[0, :3]
-        vocabulary += (everywhere > 0).sum()
-        f.known[f.hot_room] = everywhere[f.hot]
-        spare = STRENGTH + totals[:, 3].sum()
-        base = np.where(mass > 0, (1 - UNKNOWN) / max(1.0, vocabulary), UNKNOWN)
-        parent = (mass + spare * base) / (STRENGTH + customers)
-        tables, rooms = f.seating(seed + 1, elsewhere).average(parent[f.kind_dish])
-        share = np.zeros(len(f.keys) + 1)
-        share[:-1] = f.count - f.discount * tables  # the last place serves pairs never seen
-        probability = share[f.kind]
-        probability += (STRENGTH + f.discount * rooms)[f.room] * parent[f.dish]
-        probability /= (STRENGTH + f.known)[f.room]
-        logs = np.log10(probability)
-        term = np.log10(f.known + 0.1)[f.room]
-        seen = f.known[f.room] > 0
+        f, answers = _Fragment(left, _parents(fragments), hot), _Answers(right)
+        model = _Predictive(f, answers)
+        logs = np.log10(model.of(f.room, f.dish, f.kind))
+        term = np.log10(model.known + 0.1)[f.room]
+        seen = model.known[f.room] > 0
         at, out = 0, []
         for r, size in zip(f.blocks, f.sizes, strict=True):
             doc = f.doc[at:at + size]
             n = int(doc.max()) + 1 if size else 0
             sums = (np.bincount(doc, term[at:at + size], n).tobytes(), np.bincount(doc, logs[at:at + size], n).astype(np.float32).tobytes(),
                     np.bincount(doc, seen[at:at + size], n).astype(np.uint32).tobytes())
-            out.append((r["block"], b"".join(sums), r["heads"], np.array([tokens, vocabulary]).tobytes()))
+            out.append((r["block"], b"".join(sums), r["heads"], np.array([answers.tokens, answers.vocabulary]).tobytes()))
             at += size
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0]), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in _PART.split(", ")])
@@ -412,6 +467,15 @@ def _score(fragments: int, seed: int, hot: np.ndarray):
     return run
 
 
+def _exchange(rows: DataFrame, fragments: int, hot: np.ndarray, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of texts (id, text, train) by fragment, and the answers of the parent after the second seating."""
+    cells = rows.mapInArrow(_cells(fragments, hot), _CELL)
+    first = cells.groupBy("fragment").applyInArrow(_send(fragments, seed, hot), _MESSAGE)
+    told = first.groupBy("fragment").applyInArrow(_parent(seed), _ANSWER)
+    again = cells.groupBy("fragment").cogroup(told.groupBy("fragment")).applyInArrow(_reseat(fragments, seed, hot), _MESSAGE)
+    return cells, again.groupBy("fragment").applyInArrow(_parent(seed + 1), _ANSWER)
+
+
 def _sum_blocks(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     ids, train, sizes = np.frombuffer(next(r["heads"] for r in rows if r["heads"]), np.int64).reshape(3, -1)
@@ -443,10 +507,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     missing = -(1 << 63)
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), text.alias("text"), train.alias("train"))
     hot = hot_contexts(rows.select("text"), fragments)
-    cells = rows.mapInArrow(_cells(fragments, hot), _CELL)
-    sent = cells.groupBy("fragment").applyInArrow(_send(fragments, seed, hot), _MESSAGE)
-    answers = sent.groupBy("fragment").applyInArrow(_parent(seed), _ANSWER)
-    parts = cells.groupBy("fragment").cogroup(answers.groupBy("fragment")).applyInArrow(_score(fragments, seed, hot), _PART)
+    cells, answers = _exchange(rows, fragments, hot, seed)
+    parts = cells.groupBy("fragment").cogroup(answers.groupBy("fragment")).applyInArrow(_score(fragments, hot), _PART)
     scored = parts.groupBy("block").applyInArrow(
         _sum_blocks, "row long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.when(F.col("row") != missing, F.col("row")).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
