@@ -15,11 +15,12 @@ from ..operators.joins import apply_factor
 from ..operators.ordering import union_by_name
 from ..session import new_path
 from ..sources import calibration as cal
+from ..sources import loggers as lg
 from ..sources import scans as sc
 from ..sources import sinks as sk
 from ..sources.files import is_folder
 from ..sources.workbook import write_rows
-from .registry import query
+from .registry import ORACLES, query
 from .tables import READINGS, readings, with_views
 
 CHUNK = 20_000
@@ -246,6 +247,32 @@ def sink_by_region(spark, d):
     return out.withColumn("total", snap("total"))
 
 
+@query(
+    "logger_source",
+    with_views(
+        """SELECT location, position, event_id::DOUBLE AS n, ppfd AS oxygen, logger::DOUBLE AS temperature
+           FROM readings WHERE logger % 4 < 2 AND location IN ('view', 'click') AND position = '0m' AND ppfd > 20""", READINGS),
+)
+def logger_source(spark, d):
+    """The text files of the headerless logger by the data source; the filters on their names choose the files."""
+    lg.register(spark)
+    table = spark.read.format("loggers").options(
+        path=_folder(spark, d, "oxygen", _write_oxygen), skip=2, columns=",".join(OXYGEN_NAMES), kinds="n_nn", keys=",,location,position", pattern="[.]csv$").load()
+    return table.filter(F.col("location").isin("view", "click") & (F.col("position") == "0m") & (F.col("oxygen") > 20))
+
+
+@query("logger_sink", ORACLES["sink_by_region"])
+def logger_sink(spark, d):
+    """The routed table written by the all-or-nothing sink."""
+    lg.register(spark)
+    folder = new_path(spark, "routed")
+    rows = readings(spark, d).select("event_id", "location", "gappy", "day")
+    rows.write.format("loggers").options(path=folder, column="location", pattern="view|click", hit="inner", miss="outer").mode("append").save()
+    both = [sc.scan_typed_csv(spark, f"{folder}/region={r}", INTERMEDIATE).withColumn("region", F.lit(r)) for r in ("inner", "outer")]
+    out = union_by_name(both).groupBy("region", "location").agg(F.count(F.lit(1)).alias("n"), F.sum("gappy").alias("total"))
+    return out.withColumn("total", snap("total"))
+
+
 def _write_variants(r, folder):
     """Three laboratories: the first names the concentration plainly, the others by its processing."""
     for lab, head in ((0, "id,station,conc"), (1, "station,conc_base_gain_carry_value,extra,id"), (2, "station,conc_base_gain_carry_value,extra,id")):
