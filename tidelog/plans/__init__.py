@@ -1,4 +1,4 @@
 """Registered queries with their SQL equivalents."""
 
-from . import arriving, cleaning, modelling, response, scanning, series, summaries  # noqa: F401
+from . import arriving, cleaning, modelling, response, scanning, series, sqltext, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
