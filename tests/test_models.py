@@ -265,3 +265,21 @@ def test_slopes_keep_their_digits_under_a_large_offset(spark):
     out = sm.slope_at_rows(spark.createDataFrame(data, "g string, i int, x double, y double"), ["g"], "x", "y", spline, ["i"])
     got = {(r["g"], r["i"]): r["rate"] for r in out.collect()}
     assert max(abs(got["low", i] - got["high", i]) for i in range(len(x))) < 1e-5
+
+
+@pytest.mark.parametrize("family", ["gaussian", "gamma"])
+def test_shared_curve_by_jobs_equals_the_local_one(frame, family):
+    cells, spline = ln.month_cells(frame, "site", "month", "y"), se.month_spline()
+    here, jobs = (sb.fit_shared_curve(cells, family, spline, few) for few in (10, 0))
+    assert (here.n, here.df_model, here.deviance, here.scale) == pytest.approx((jobs.n, jobs.df_model, jobs.deviance, jobs.scale), rel=1e-10)
+
+
+def test_pairs_and_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sites = [(f"s{i:02d}", float(rng.normal(0, 1.5)), float(rng.uniform(0.05, 0.3))) for i in range(12)] + [("t0", 1.0, 0.1), ("t1", 1.0, 0.1)]
+    fit = sb.SiteFit(spark.createDataFrame(sites, "site string, a double, vaa double"), "gaussian", "site", sb.Summary(200.0, float(len(sites)), 1.0, 1.0), None)
+    found = []
+    for rows_of_a_block in (sb.ranking.BLOCK_ROWS, 10):
+        monkeypatch.setattr(sb.ranking, "BLOCK_ROWS", rows_of_a_block)
+        found.append([sorted(tuple(r) for r in df.collect()) for df in (sb.all_pairs(fit).select("contrast", "p_value", "p_holm"), sb.neighbour_z(fit))])
+    assert found[0] == found[1] and len(found[0][0]) == 91 and len(found[0][1]) == 13

@@ -19,6 +19,7 @@ from ..functions.curves import normal_p_two_sided
 from ..functions.distributions import t_two_sided
 from ..functions.splines import Spline
 from ..session import materialize
+from . import ranking
 from .joins import linear_grid
 from .linear import Cells, collect_months, stationary_levels
 from .seasonal import SeasonModel, band, null_space
@@ -26,6 +27,7 @@ from .smoothing import dot, quadratic
 
 MONTHS = np.arange(1, 13)
 TOLERANCE, STEPS = 1e-11, 200
+FEW_SITES = 2048  # their cells are about a megabyte
 
 
 @dataclass
@@ -47,7 +49,7 @@ def pack_sites(cells: DataFrame) -> DataFrame:
     month = F.when(F.col("month").between(1, 12), F.col("month")).otherwise(F.raise_error(F.lit("expected months 1..12")).cast("int"))
     packed = cells.select("site", month.alias("month"), "n", "s1", "s2", "slog").groupBy("site").agg(
         F.collect_list(F.struct("month", "n", "s1", "s2", "slog")).alias("cells"))
-    return materialize(packed, "sites")
+    return packed
 
 
 def _unpack(packed: pd.Series) -> dict[str, np.ndarray]:
@@ -219,15 +221,40 @@ def all_pairs(fit: SiteFit) -> DataFrame:
         F.concat_ws(" - ", "site", "_site").alias("contrast"), (F.col("a") - F.col("_a")).alias("estimate"),
         F.sqrt((F.col("vaa") + F.col("_vaa")) * fit.summary.scale).alias("se"))
     pairs = pairs.withColumn("z", F.col("estimate") / F.col("se")).withColumn("p_value", normal_p_two_sided("z"))
-    order = Window.orderBy("p_value", "contrast")
-    step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(Window.partitionBy()) - F.row_number().over(order) + 1) * F.col("p_value"))
-    return pairs.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(order)).drop("_step")
+    return _holm(pairs, _count(fit) * (_count(fit) - 1) // 2)
+
+
+def _count(fit: SiteFit) -> int:
+    """Number of sites, from the model's degrees of freedom."""
+    return round(fit.summary.df_model / (2 if "slope" in fit.form else 1))
+
+
+def _holm(pairs: DataFrame, count: int) -> DataFrame:
+    """Holm-adjusted p values; more pairs than one task ranks are ranked in blocks, which carry the maximum of those before."""
+    if count <= ranking.BLOCK_ROWS:
+        order = Window.orderBy("p_value", "contrast")
+        step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(Window.partitionBy()) - F.row_number().over(order) + 1) * F.col("p_value"))
+        return pairs.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(order)).drop("_step")
+    ranked = ranking.rank_values(pairs, [], ["p_value", "contrast"]).rows
+    stepped = ranked.withColumn("_step", F.least(F.lit(1.0), (F.col("n") - F.col("hi") + 1) * F.col("p_value")))
+    inside = Window.partitionBy("_block").orderBy("p_value", "contrast")
+    before = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    tops = stepped.groupBy("_block").agg(F.max("_step").alias("_top")).withColumn("_g", F.lit(1)).select("_block", F.max("_top").over(before).alias("_before"))
+    out = stepped.withColumn("_inside", F.max("_step").over(inside)).join(tops, "_block").select("contrast", F.greatest("_inside", "_before").alias("p_holm"))
+    return pairs.join(out, "contrast", "left")
 
 
 def neighbour_z(fit: SiteFit) -> DataFrame:
     """z tests between sites that are neighbours in falling order of level."""
-    order = Window.orderBy(F.col("a").desc(), "site")
-    t = fit.sites.select("site", "a", "vaa", *[F.lead(c).over(order).alias(f"_{c}") for c in ("site", "a", "vaa")]).where("_site is not null")
+    sites = fit.sites.select("site", "a", "vaa")
+    if _count(fit) <= ranking.BLOCK_ROWS:
+        order = Window.orderBy(F.col("a").desc(), "site")
+        t = sites.select("*", *[F.lead(c).over(order).alias(f"_{c}") for c in ("site", "a", "vaa")]).where("_site is not null")
+    else:
+        falling = sites.withColumn("_down", -F.col("a"))
+        placed = falling.join(ranking.rank_values(falling, [], ["_down", "site"]).rows.select("site", "hi"), "site")
+        after = placed.select((F.col("hi") - 1).alias("hi"), *[F.col(c).alias(f"_{c}") for c in ("site", "a", "vaa")])
+        t = placed.join(after, "hi")
     z = (F.col("a") - F.col("_a")) / F.sqrt((F.col("vaa") + F.col("_vaa")) * fit.summary.scale)
     return t.select(F.concat_ws(" - ", "site", "_site").alias("compare"), z.alias("z")).withColumn("p_value", normal_p_two_sided("z"))
 
@@ -310,13 +337,15 @@ def smooth_reference_table(curves: SiteCurves, variable: str) -> DataFrame:
     return curves.sites.mapInPandas(tail, "variable string, site string, edf double, ref_df double, f_value double, p_value double")
 
 
-def fit_shared_curve(cells: DataFrame, family: str, spline: Spline) -> Summary:
+def fit_shared_curve(cells: DataFrame, family: str, spline: Spline, few_sites: int = FEW_SITES) -> Summary:
     """One smooth for all sites and a level for each.
 
     Given the smooth, the level of a site has a closed form, so each step needs only sums over the
-    sites, with the levels taken out of the normal equations; nothing is kept per site.
+    sites, with the levels taken out of the normal equations; nothing is kept per site. The packed cells of
+    at most ``few_sites`` sites are added up where the steps are made, those of more sites by a job a step.
     """
-    packed = pack_sites(cells)
+    packed = materialize(pack_sites(cells), "sites")
+    local = packed.toPandas() if packed.count() <= few_sites else None
     total = collect_months(cells)
     weight = np.zeros(12)
     weight[total.month.astype(int) - 1] = total.n
@@ -349,6 +378,8 @@ def fit_shared_curve(cells: DataFrame, family: str, spline: Spline) -> Summary:
                 g = x.T @ (n.sum(0)[:, None] * x) - mean.T @ (sn * mean)
                 yield pd.DataFrame([[*((n * work).sum(0) @ x), (n * work**2).sum(), spread, deviance, pearson, n.sum(), len(n), *g.ravel()]], columns=names)
 
+        if local is not None:
+            return sum((part.iloc[0] for part in run(iter([local]))), pd.Series(0.0, index=names)).to_dict()
         return packed.mapInPandas(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first().asDict()
 
     curve, level, settled = np.zeros(12), 0.0, 0
