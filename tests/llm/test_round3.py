@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 import sentencepiece
 
 from tidelog.llm import pieces, tandem
+from tidelog.llm.extraction import main_text
 from tidelog.llm.pieces import PieceModel, encode_texts, read_model
 from tidelog.llm.pivots import centroid_digest, choose_pivots, cluster_vectors, nearest
 from tidelog.llm.queries import PIECE_MODEL, QUERIES, with_planted_runs
@@ -221,3 +223,20 @@ def test_planting_leaves_nulls(spark):
     rows = [(i, t) for i in range(60) for t in (None, "", "a b c d e f g h i j")]
     got = with_planted_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.text is None for r in got) == 60 and sum(r.text == "" for r in got) == 60
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<article><section id="side-effects"><p>Effects of it.</p></section><section id="search-algorithms"><p>How to search.</p></section></article>', "Effects of it. How to search."),
+    ('<article><p>First.</p><p id="legal">A legal word.</p><section id="comments"><p>Nice!</p></section></article>', "First. A legal word."),
+    ('<article><p>Here <math><mi>x</mi></math> is one.</p></article>', "Here x is one."),
+    ("<p>Said and done, 5 < 6.</p><p>More <b", "Said and done, 5 < 6. More"),
+])
+def test_article_parts_and_unclosed_tags(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("rest", ["<a <" * 250_000, "<a href='x' " * 80_000, "<!-- x " * 100_000, "<a '" * 200_000 + ">"])
+def test_broken_markup_takes_little_time(rest):
+    start = time.perf_counter()
+    assert main_text("<p>Some words of text.</p>" + rest).startswith("Some words of text.")
+    assert time.perf_counter() - start < 5

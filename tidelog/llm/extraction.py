@@ -14,7 +14,7 @@ SIGMA = 2.0       # lines
 LEVEL = 0.5       # threshold in standard deviations of the smoothed ratios
 
 # Elements by their part in a page, and words in class, id and role that name page furniture.
-HIDDEN = frozenset("script style noscript template head title svg canvas math object iframe audio video map".split())
+HIDDEN = frozenset("script style noscript template head title svg canvas object iframe audio video map".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button select option textarea label fieldset datalist".split())
 CONTAINERS = frozenset("body main article section div td blockquote center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr th caption thead tbody tfoot pre hr br address figure figcaption header details summary html".split())
@@ -70,6 +70,8 @@ class PageReader(HTMLParser):
             if self.names and name in ("class", "id") and tag not in HEADINGS and tag != "header":
                 # the heading part of an article is named header too
                 found = {m.strip(" _-").lower() for m in NAMES.findall(value)}
+                if name == "id" and self.in_article and (tag == "p" or value.strip().lower() not in found):
+                    continue  # ids of an article's sections are slugs of their headings
                 if "header" in found and (self.in_article or re.search(r"article|post|entry|content|story|title", value, re.I)):
                     found.discard("header")
                 if found and (tag != "article" or re.search(r"comment|repl|related|promo|\bads?\b", value, re.I)):
@@ -147,9 +149,16 @@ class PageReader(HTMLParser):
             self.passed += len(data.strip())
 
 
+def without_open_tag(html: str) -> str:
+    """The page up to the first tag that never ends; the parser would look for its end again at every ``<`` from there on."""
+    last = html.rfind(">") + 1
+    found = re.compile("<[a-zA-Z/!?]").search(html, last)
+    return html[:found.start()] if found else html
+
+
 def read_lines(html: str, names: bool = True, forms: bool = True) -> PageReader:
     reader = PageReader(names, forms)
-    rest = html
+    rest = html = without_open_tag(html)
     while True:
         try:
             reader.feed(rest)
