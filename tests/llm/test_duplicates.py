@@ -1,13 +1,16 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import rows
 from tests.llm.test_words import plain
 from tidelog.llm import ngram_join as N, vector_dedup as V
 from tidelog.llm.components import components
-from tidelog.llm.substring_dedup import dedup_substrings, runs, sentences
+from tidelog.llm import substring_dedup as S
+from tidelog.llm.substring_dedup import dedup_substrings
 
 
 def groups(nodes, pairs):
@@ -106,8 +109,6 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch):
 
 
 def test_quantisation_bound_holds():
-    import pyarrow as pa
-
     rng = np.random.default_rng(3)
     x = rng.standard_normal((64, 24)) * 10.0 ** rng.integers(-3, 3, (64, 1))
     out = V._quantise(pa.table({"id": pa.array(range(64), pa.int64()), "vector": [v.tolist() for v in x], "dim": pa.array([24] * 64, pa.int32()), "block": pa.array([0] * 64, pa.int32())})).to_pylist()[0]
@@ -118,32 +119,90 @@ def test_quantisation_bound_holds():
     assert np.all(error <= e[:, None] * a[None, :] + a[:, None] * e[None, :] + e[:, None] * e[None, :] + 1e-12)
 
 
-def test_runs_and_sentences():
-    text = "One two. Three four!  Five\n\nsix seven, " + "long " * 50 + ", end"
-    assert "".join(text[a:b] for a, b in sentences(text)) == text
-    assert sentences("") == [] and runs("") == (0, [])
-    assert runs("a. b. c.", 2, 2)[1][0][:2] == (0, 2)
+def sentences(text):
+    """Sentences of a text by the stated rule, one word after the other."""
+    out, held = [], ""
+    for unit in re.findall(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*", text or ""):
+        held += unit
+        word = unit.strip(" \t\n\v\f\r")
+        spelt = "".join(c.lower() if "A" <= c <= "Z" else c for c in word)
+        if sum(spelt.encode()) % 8 == 0 or word[-1] in ".!?" or "\n" in unit[unit.index(word) + len(word):]:
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
+
+
+def brute_repeats(texts, longest=10**9):
+    """Text, sentences and removed ones of each id, by looking at every span of sentences (of at most ``longest`` words)."""
+    cut = {i: sentences(t) for i, t in texts.items()}
+    keys = {i: [tuple(plain(s)) for s in c] for i, c in cut.items()}
+    seen, gone = {}, {i: set() for i in texts}
+    for i in sorted(texts):
+        for a in range(len(keys[i])):
+            held = 0
+            for b in range(a, len(keys[i])):
+                held += len(keys[i][b])
+                if held > longest:
+                    break
+                if (b > a and held >= 12) or held >= 24:
+                    if seen.setdefault(tuple(keys[i][a:b + 1]), (i, a)) != (i, a):
+                        gone[i] |= set(range(a, b + 1))
+    return {i: ("".join(s for k, s in enumerate(cut[i]) if k not in gone[i]).rstrip(" \t\n\v\f\r") if gone[i] else texts[i], len(cut[i]), len(gone[i])) for i in texts}
+
+
+def repeats_of(spark, texts):
+    df = spark.createDataFrame([(t, i, "v") for i, t in texts.items()], "text string, doc_id long, version string").repartition(4)
+    return {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in dedup_substrings(df).collect()}
+
+
+@pytest.mark.parametrize("chunk", [S.CHUNK_BYTES, 200])
+def test_sentences(monkeypatch, chunk):
+    monkeypatch.setattr(S, "CHUNK_BYTES", chunk)
+    texts = ["One two. Three four!  Five\n\nsix seven, " + "Long été words here " * 50 + "\t, end", "", None, " \n ", "  lead\n tail \n", "x" * 900 + " y. z"]
+    found = []
+    for _, p in S.split_texts(pa.array(texts)):
+        for i in range(len(p.at) - 1):
+            b = p.bounds(i) if p.at[i + 1] > p.at[i] else []
+            found.append([p.data[x:y].tobytes().decode() for x, y in zip(b[:-1], b[1:])])
+    assert found == [sentences(t) for t in texts]
 
 
-def test_substring_dedup_equals_one_pass(spark):
+def test_substring_dedup_equals_all_spans(spark):
     random.seed(9)
-    pool = [" ".join(random.choice("abcdefgh") * 3 + str(random.randint(0, 50)) for _ in range(random.randint(3, 15))) + random.choice(".!?") for _ in range(80)]
+    pool = [" ".join(random.choice("abcdefgh") * 3 + str(random.randint(0, 50)) for _ in range(random.randint(1, 15))) + random.choice(".!?,\n") for _ in range(80)]
     shared = " ".join(pool[:5])
     texts = {i: " ".join(random.choice(pool[10:]) + f" {i}." for _ in range(8)) for i in range(30)}
     for i in (4, 9, 20):
         texts[i] += " " + shared
-    texts.update({30: texts[2], 31: None, 32: "", 33: "Short. Text.", 34: (pool[7] + " ") * 200})
-    seen, want = {}, {}
-    for i in sorted(texts):
-        parts, gone = sentences(texts[i] or ""), set()
-        for a, n, h in runs(texts[i] or "")[1]:
-            gone |= set(range(a, a + n)) if seen.setdefault(h, (i, a)) != (i, a) else set()
-        want[i] = ("".join(texts[i][a:b] for k, (a, b) in enumerate(parts) if k not in gone).rstrip() if gone else texts[i], len(parts), len(gone))
-    df = spark.createDataFrame([(t, i, "v") for i, t in texts.items()], "text string, doc_id long, version string").repartition(4)
-    found = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in dedup_substrings(df).collect()}
-    assert found == want
-    assert want[20][2] >= 3 and want[4][2] == 0 and want[30][2] > 0
+    texts.update({30: texts[2], 31: None, 32: "", 33: "Short. Text.", 34: (pool[7] + " ") * 60, 35: " ".join(pool[:40]).upper(), 36: "x " * 300, 37: " \n"})
+    want = brute_repeats(texts)
+    assert repeats_of(spark, texts) == want
+    assert want[20][2] >= 3 and want[4][2] == 0 and want[30][0] == ""
     twice = spark.createDataFrame([(1, shared), (1, shared), (None, shared)], "doc_id long, text string")
-    assert [(r.doc_id, r.n_removed > 0, r.first_docs) for r in dedup_substrings(twice).orderBy("doc_id").collect()] == [
-        (None, False, []), (1, True, []), (1, True, [])]  # an id that is null is not listed
+    assert [(r.doc_id, r.text, r.first_docs) for r in dedup_substrings(twice).orderBy("doc_id").collect()] == [
+        (None, shared, []), (1, "", []), (1, "", [])]  # an id that is null is not listed
     assert dedup_substrings(twice.limit(0)).count() == 0
+
+
+def test_copies_vanish_whole(spark):
+    """Copies without any stop, with a short last sentence, of one word, and a passage inside longer sentences."""
+    random.seed(3)
+    draw = lambda n: " ".join("".join(random.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    a, b, c = draw(300), draw(10) + ". " + draw(10) + ". Yes. ", "word " * 40
+    inner = draw(60)
+    texts = {1: a, 2: a, 3: draw(30) + ". " + b, 4: b, 5: c, 6: c, 7: f"{draw(9)} {inner} {draw(9)}.", 8: f"{draw(40)} {inner} {draw(30)}."}
+    found = repeats_of(spark, texts)
+    assert {i: t for i, (t, _, _) in found.items() if i not in (7, 8)} == {1: a, 2: "", 3: texts[3], 4: "", 5: c, 6: ""}
+    left = set(found[8][0].split()) & set(inner.split())
+    assert found[7][0] == texts[7] and len(left) < 40 and set(texts[8].split()) - set(inner.split()) <= set(found[8][0].split())
+
+
+def test_hot_runs_take_both_joins(spark, monkeypatch):
+    random.seed(4)
+    line = " ".join(random.choices("abcdefghijklmnop", k=40))
+    texts = {i: f"{i} begins here.\n{line}\n" + " ".join(random.choices("qrstuvw", k=30)) + f" {i}" for i in range(40)}
+    texts[90] = texts[7]
+    want = brute_repeats(texts)
+    for parts in (1, 20, 512):
+        monkeypatch.setattr(S, "HOT_PARTS", parts)
+        assert repeats_of(spark, texts) == want

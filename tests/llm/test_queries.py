@@ -8,10 +8,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import compare, connect  # noqa: E402
+from tests.llm.test_duplicates import brute_repeats  # noqa: E402
 from tests.llm.test_scoring import brute_base  # noqa: E402
 from tidelog.llm.extraction import main_text  # noqa: E402
 from tidelog.llm.queries import ORACLES, QUERIES  # noqa: E402
-from tidelog.llm.substring_dedup import runs, sentences  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,15 +53,9 @@ def test_pages(spark, con):
 
 
 def test_repeats(spark, con):
-    seen = {}
-    want = {}
-    for i, text in con.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
-        gone = set()
-        for a, n, h in runs(text)[1]:
-            gone |= set(range(a, a + n)) if seen.setdefault(h, (i, a)) != (i, a) else set()
-        parts = sentences(text)
-        want[i] = "".join(text[a:b] for k, (a, b) in enumerate(parts) if k not in gone).rstrip() if gone else text
-    assert {r.doc_id: r.text for r in QUERIES["op1_substring_dedup"](spark, SF).collect()} == want
+    texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
+    want = brute_repeats(texts, longest=60)  # longer spans consist of these
+    assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in QUERIES["op1_substring_dedup"](spark, SF).collect()} == want
 
 
 def test_leaks_hold_every_verbatim_item(spark, con):

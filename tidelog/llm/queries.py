@@ -14,7 +14,7 @@ from .pieces import encode_texts, read_model
 from .pitman_yor import score_texts
 from .pivots import CLUSTERS, centroid_digest, cluster_vectors
 from .shards import shard_rows
-from .substring_dedup import LONG, SENTENCES, WORDS, dedup_substrings
+from .substring_dedup import MARK, SENTENCES, WORDS, dedup_substrings
 from .tandem import periodic_runs
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .vector_dedup import near_vectors
@@ -225,19 +225,30 @@ FROM near{rounds} JOIN vectors USING (rid) JOIN sums USING (c) JOIN centers{roun
 
 REPEATS_SQL = rf"""
 WITH units AS (
-  SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?s:.*?)(?:[.!?]+\s+|\n\s*)|(?s:.+)'), lambda u, i: {{'u': u, 'i': i}})) AS x FROM documents),
-parts AS (
-  SELECT doc_id, x.i AS i, unnest(list_transform(CASE WHEN length(x.u) > {LONG} THEN regexp_extract_all(x.u, '(?s:.*?)[,;:]\s+|(?s:.+)') ELSE [x.u] END,
-                                          lambda p, k: {{'p': p, 'k': k}})) AS y FROM units),
-sentences AS (
-  SELECT doc_id, y.p AS part, row_number() OVER (PARTITION BY doc_id ORDER BY i, y.k) AS pos, regexp_extract_all(lower(y.p), '\S+') AS w FROM parts),
-counted AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM sentences),
-reached AS (SELECT doc_id, upto, min(pos) AS j FROM counted GROUP BY ALL),
+  SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[ \x09-\x0D]*[^ \x09-\x0D]+[ \x09-\x0D]*'), lambda u, i: {{'u': u, 'i': i}})) AS x FROM documents),
+spelt AS (SELECT doc_id, x.i AS i, x.u AS u, translate(regexp_extract(x.u, '[^ \x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM units),
+sums AS (
+  SELECT w, list_sum(list_transform(regexp_extract_all(hex(w), '..'),
+    lambda h: 16 * instr('123456789ABCDEF', h[1]) + instr('123456789ABCDEF', h[2]))) AS s
+  FROM (SELECT DISTINCT w FROM spelt)),
+closing AS (
+  SELECT doc_id, i, u, w, s % {MARK} = 0 OR w[-1] IN ('.', '!', '?') OR contains(regexp_extract(u, '[ \x09-\x0D]*$'), chr(10)) AS closes FROM spelt JOIN sums USING (w)),
+cut AS (SELECT *, count(*) FILTER (closes) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS pos FROM closing),
+sentences AS (SELECT doc_id, pos, string_agg(u, '' ORDER BY i) AS part, list(w ORDER BY i) AS w FROM cut GROUP BY doc_id, pos),
+counted AS (
+  SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) - len(w) AS before,
+         count(*) OVER (PARTITION BY doc_id) AS n FROM sentences),
 texts AS (SELECT doc_id, list(array_to_string(w, ' ') ORDER BY pos) AS s FROM sentences GROUP BY doc_id),
 runs AS (
-  SELECT c.doc_id, c.pos AS i, greatest(r.j, c.pos + {SENTENCES - 1}) AS j
-  FROM counted c ASOF JOIN reached r ON c.doc_id = r.doc_id AND r.upto >= c.upto - len(c.w) + {WORDS}
-  WHERE greatest(r.j, c.pos + {SENTENCES - 1}) <= c.n),
+  SELECT c.doc_id, c.pos AS i, greatest(r.pos, c.pos + {SENTENCES - 1}) AS j
+  FROM counted c ASOF JOIN counted r ON c.doc_id = r.doc_id AND r.upto >= c.before + {WORDS}
+  WHERE len(c.w) < {2 * WORDS} AND greatest(r.pos, c.pos + {SENTENCES - 1}) <= c.n
+  UNION
+  SELECT c.doc_id, least(r.pos, c.pos - {SENTENCES - 1}) AS i, c.pos AS j
+  FROM counted c ASOF JOIN counted r ON c.doc_id = r.doc_id AND r.before <= c.upto - {WORDS}
+  WHERE len(c.w) < {2 * WORDS} AND least(r.pos, c.pos - {SENTENCES - 1}) >= 1
+  UNION
+  SELECT doc_id, pos, pos FROM counted WHERE len(w) >= {2 * WORDS}),
 keyed AS (SELECT runs.*, array_to_string(s[i:j], chr(1)) AS key FROM runs JOIN texts USING (doc_id)),
 placed AS (SELECT *, first_value({{'d': doc_id, 'i': i}}) OVER (PARTITION BY key ORDER BY doc_id, i) AS f FROM keyed),
 again AS (SELECT doc_id, i, j, f.d AS source FROM placed WHERE f.d <> doc_id OR f.i <> i),

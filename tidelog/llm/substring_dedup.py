@@ -2,74 +2,139 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-
-SENTENCES, WORDS = 2, 12  # a run is the shortest one from a sentence on that has both
-LONG = 90                 # characters above which a sentence is also cut after commas
-
-_END = re.compile(r"[.!?]+\s+|\n\s*")
-_COMMA = re.compile(r"[,;:]\s+")
-_MASK = (1 << 64) - 1
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences; together they cover the text. Blanks after a sentence belong to it."""
-    out, at = [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end - at > LONG:
-            for m in _COMMA.finditer(text, at, end):
-                if m.end() < end:
-                    out.append((at, m.end()))
-                    at = m.end()
-        if end > at:
-            out.append((at, end))
-            at = end
-    return out
-
-
-def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of sentences, and (first sentence, sentences, hash) of each run of the text.
-
-    Hashes ignore case and the width of blanks. The last sentences, too few for a run, start none.
+from .words import _BYTE, _LOWER, _M2, _SPACE, CHUNK_BYTES, _power, mix, text_bytes
+
+SENTENCES, WORDS = 2, 12  # a run has at least both; a sentence of twice WORDS words is a run alone
+MARK = 8                  # a word also ends a sentence when the sum of its bytes is a multiple of this
+HOT_PARTS = 512           # a run with more than this share of all runs is joined by broadcast; there are fewer of these
+
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+
+
+@dataclass
+class Pieces:
+    """Sentences of some texts: bytes, first byte and hash of each word, first word of each sentence, and offsets per text."""
+
+    data: np.ndarray
+    offsets: np.ndarray   # bytes of each text
+    starts: np.ndarray    # first byte of each word
+    hashes: np.ndarray    # of each word, with whether it ends a sentence
+    first: np.ndarray     # first word of each sentence, and the number of words
+    at: np.ndarray        # sentences of each text
+
+    def bounds(self, text: int) -> np.ndarray:
+        """First byte of each sentence of a text, and its end; blanks before the first word belong to the first sentence."""
+        inner = self.starts[self.first[self.at[text]:self.at[text + 1]]]
+        return np.concatenate([self.offsets[text:text + 1], inner[1:], self.offsets[text + 1:text + 2]])
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, hash and byte sum of each word; no word spans an edge."""
+    space = _SPACE[data]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = space[:-1]
+    new[edges] = True
+    starts = np.flatnonzero(~space & new[:-1])
+    new[1:-1] = space[1:]
+    new[edges] = True
+    ends = np.flatnonzero(~space & new[1:]) + 1
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_LOWER[data], dtype=np.int64, out=sums[1:])
+    raw = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power("up", len(data)), out=raw[1:])
+    value = (raw[ends] - raw[starts]) * _power("down", len(data))[starts]
+    return starts, ends, mix(value ^ (ends - starts).astype(np.uint64) * _M2), sums[ends] - sums[starts]
+
+
+def _windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of one text of at least CHUNK_BYTES that end after white space; a longer word makes its part longer."""
+    low = 0
+    while low < len(data):
+        high = low
+        blank = np.empty(0, np.int64)
+        while not len(blank) and high < len(data):
+            blank = np.flatnonzero(_SPACE[data[high:high + CHUNK_BYTES]]) + high
+            high = min(len(data), high + CHUNK_BYTES)
+        if high < len(data):
+            high = int(blank[-1]) + 1
+        yield low, high
+        low = high
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
+    """Sentences end after . ! or ?, before a line break, and after a word whose byte sum (A-Z lowered) MARK divides."""
+    if len(data) > CHUNK_BYTES and len(offsets) == 2:
+        parts = []
+        for low, high in _windows(data):
+            starts, ends, hashes, sums = _words(data[low:high], np.array([0, high - low]))
+            parts.append((starts + low, ends + low, hashes, sums))
+        starts, ends, hashes, sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+    else:
+        starts, ends, hashes, sums = _words(data, offsets)
+    words_at = np.searchsorted(starts, offsets)
+    breaks = np.flatnonzero(data == 10)
+    after = np.append(starts[1:], len(data))[:len(starts)]
+    closes = (sums % MARK == 0) | _STOP[data[ends - 1]] | (np.searchsorted(breaks, after) > np.searchsorted(breaks, ends))
+    closes[words_at[1:][words_at[1:] > words_at[:-1]] - 1] = True
+    opens = np.ones(len(starts), bool)
+    opens[1:] = closes[:-1]
+    first = np.flatnonzero(opens)
+    return Pieces(data, offsets, starts, mix(hashes + closes.astype(np.uint64)), np.append(first, len(starts)), np.searchsorted(first, words_at))
+
+
+def split_texts(column: pa.Array) -> Iterator[tuple[int, Pieces]]:
+    """(first row, sentences) for rows of at most CHUNK_BYTES together; a longer text comes alone. Null is empty."""
+    data, offsets = text_bytes(column)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
+        yield low, _pieces(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+        low = high
+
+
+def find_runs(p: Pieces, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first sentence in it, sentences and hash of the shortest runs from each sentence on and up to each sentence.
+
+    Whatever longer span two places share is covered by these: a sentence in it lies in the first run from
+    the span's start, or the words before it are enough for a run up to it. Equal hashes mean equal words, cut alike.
     """
-    parts = [text[a:b].lower().split() for a, b in sentences(text)]
-    hashes = [xxhash.xxh64_intdigest(" ".join(p)) for p in parts]
-    sizes = [len(p) for p in parts]
-    out, end, held = [], 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (end - i < least or held < words):
-            held += sizes[end]
-            end += 1
-        if end - i < least or held < words:
-            break
-        value = end - i
-        for h in hashes[i:end]:
-            value = (value * 0x9E3779B97F4A7C15 ^ h) & _MASK
-            value = (value ^ value >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-        out.append((i, end - i, value))
-        held -= sizes[i]
-    return len(parts), out
+    n, size = len(p.first) - 1, np.diff(p.first)
+    text = np.repeat(np.arange(len(p.at) - 1), np.diff(p.at))
+    here = np.arange(n)
+    alone = size >= 2 * words
+    end = np.where(alone, here + 1, np.maximum(here + least, np.searchsorted(p.first, p.first[:-1] + words)))
+    forward = end <= p.at[text + 1]
+    begin = np.where(alone, here, np.minimum(here + 1 - least, np.searchsorted(p.first, p.first[1:] - words, "right") - 1))
+    back = begin >= p.at[text]
+    back &= ~(back & forward[begin] & (end[begin] == here + 1))  # found from its start already
+    low, high = np.concatenate([here[forward], begin[back]]), np.concatenate([end[forward], here[back] + 1])
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    a, b = p.first[low], p.first[high]
+    total = np.zeros(len(p.hashes) + 1, np.uint64)
+    np.cumsum(p.hashes * _power("up", len(p.hashes)), out=total[1:])
+    value = mix((total[b] - total[a]) * _power("down", len(p.hashes) + 1)[a] ^ (b - a).astype(np.uint64) * _M2)
+    return text[low], low - p.at[text[low]], high - low, value
 
 
 def _run_rows(least: int, words: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                found = [runs(t or "", least, words)[1] for t in texts[low:low + 500]]
-                sizes = [len(x) for x in found]
-                flat = np.array([y for x in found for y in x], dtype=np.uint64).reshape(-1, 3)
-                place = pa.array(np.repeat(np.arange(low, low + len(found)), sizes))
+            for low, pieces in split_texts(batch.column(1)):
+                text, at, size, value = find_runs(pieces, least, words)
+                place = pa.array(text + low)
                 yield pa.RecordBatch.from_arrays([
-                    ids.take(place), batch.column(2).take(place), pa.array(flat[:, 0].astype(np.int32)),
-                    pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].view(np.int64))], names=["id", "version", "at", "size", "run"])
+                    batch.column(0).take(place), batch.column(2).take(place), pa.array(at.astype(np.int32)),
+                    pa.array(size.astype(np.int32)), pa.array(value.view(np.int64))], names=["id", "version", "at", "size", "run"])
 
     return run
 
@@ -77,39 +142,54 @@ def _run_rows(least: int, words: int):
 def _cut(batches):
     """Texts without the covered sentences; those between kept ones are joined as they stood."""
     for batch in batches:
-        out, count, removed = [], [], []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            parts = sentences(text or "")
-            gone = np.zeros(len(parts), bool)
-            for s in spans or ():
-                gone[s["at"]:s["at"] + s["size"]] = True
-            count.append(len(parts))
-            removed.append(int(gone.sum()))
-            out.append("".join(text[a:b] for (a, b), g in zip(parts, gone, strict=True) if not g).rstrip() if gone.any() else text)
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(count, pa.int32()), pa.array(removed, pa.int32()), batch.column(4)],
-            names=["id", "version", "text", "n_sentences", "n_removed", "first_docs"])
+        texts, spans = batch.column(2), batch.column(3)
+        for low, pieces in split_texts(texts):
+            count = np.diff(pieces.at)
+            out, removed = [], []
+            for i in range(len(count)):
+                found, text = spans[low + i].as_py(), texts[low + i].as_py()
+                gone = np.zeros(count[i], bool)
+                for s in found or ():
+                    gone[s["at"]:s["at"] + s["size"]] = True
+                if gone.any():
+                    bounds = pieces.bounds(i)
+                    kept = np.flatnonzero(~gone)
+                    text = b"".join(pieces.data[bounds[k]:bounds[k + 1]].tobytes() for k in kept).decode().rstrip(" \t\n\v\f\r")
+                removed.append(int(gone.sum()))
+                out.append(text)
+            rows = batch.slice(low, len(count))
+            yield pa.RecordBatch.from_arrays([
+                rows.column(0), rows.column(1), pa.array(out, pa.string()), pa.array(count.astype(np.int32)), pa.array(removed, pa.int32()), rows.column(4)],
+                names=["id", "version", "text", "n_sentences", "n_removed", "first_docs"])
 
 
 def repeated_runs(texts: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(id, version, at, size, first_id) of every run of ``texts(id, text, version)`` that is not the first of its kind.
 
-    First is the smallest id (null before all), then version, then place. Counts are combined
-    before they are shuffled, and only repeated runs are joined back.
+    First is the smallest id (null before all), then version, then place. Counts are combined before they
+    are shuffled, and only repeated runs are joined back: the hot ones (more than a 1 / HOT_PARTS share of all
+    runs each, so fewer than HOT_PARTS) where the rows lie, the others by their hash.
     """
     rows = materialize(texts.mapInArrow(_run_rows(least, words), "id long, version long, at int, size int, run long"), "runs")
-    first = rows.groupBy("run").agg(F.min(F.struct("id", "version", "at")).alias("f"), F.max(F.struct("id", "version", "at")).alias("l")).where("f <> l").select("run", "f")
-    return rows.join(first, "run").where(~F.struct("id", "version", "at").eqNullSafe(F.col("f"))).select(
-        "id", "version", "at", "size", F.col("f.id").alias("first_id"))
+    first = rows.groupBy("run").agg(F.min(F.struct("id", "version", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "repeated-runs")
+    hot = first.where(F.col("n") > F.lit(rows.count() / HOT_PARTS)).select("run", F.col("f").alias("hot"))
+    marked = rows.join(F.broadcast(hot), "run", "left")
+    others = marked.where("hot is null").drop("hot").join(first.select("run", "f"), "run")
+    found = others.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "f"))
+    return found.where(~F.struct("id", "version", "at").eqNullSafe(F.col("f"))).select("id", "version", "at", "size", F.col("f.id").alias("first_id"))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """Id, text without repeated runs, n_sentences, n_removed, first_docs (ids that hold the first places) of each row.
 
-    A run is the shortest sequence of consecutive sentences from one on with at least ``least``
-    sentences and ``words`` words. All sentences of a run that also stands at an earlier place, in
-    any text, are removed. Rows that agree in id and text are one text: both are kept or cut alike. Null texts
-    stay null; texts too short for a run are kept. An empty table gives an empty table. Other columns are not read.
+    Words stand between ASCII blanks; their A-Z are lowered for comparison. A sentence ends after a word that
+    ends in . ! or ?, before a line break, and, whatever its length, after every word whose byte sum MARK divides,
+    so a passage inside longer sentences is cut alike wherever it stands. A run is a sequence of consecutive
+    sentences with at least ``least`` sentences and ``words`` words, or one sentence of twice ``words`` words. All
+    sentences of a run that also stands at an earlier place, in any text, are removed; an exact copy becomes empty. Rows
+    that agree in id and text are one text: both are kept or cut alike. Null texts stay null; texts too short for
+    a run are kept. An empty table gives an empty table. Other columns are not read.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("version", F.xxhash64("text"))
