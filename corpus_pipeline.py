@@ -23,24 +23,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
     Texts without words and rows without id are in no group and stay; of rows with one id and text one
-    stays. Different texts are grouped by their links alone, also when they share an id.
+    stays. Different texts are grouped by their links alone, also when they share an id: every row
+    gets a number of its own, written beside it, and the join runs over these numbers.
     """
-    named = docs.where("doc_id is not null")
-    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return _distinct_rows(named).unionByName(docs.where("doc_id is null").select(*docs.columns))
-    found = materialize(ngram_join(docs).select(F.col("doc_id").alias("i"), "component"), "pipeline-groups")
-    kept = found.where("i = component").select("i")
-    one = docs.join(kept.hint("shuffle_hash"), docs.doc_id == F.col("i"), "left_semi")
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
-
-
-def _distinct_rows(docs: DataFrame) -> DataFrame:
-    """``distinct`` where ids repeat: a row is named by the hash of its id and text."""
-    keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row__"), F.struct(*docs.columns).alias("doc__"))
-    rows = materialize(keyed.groupBy("row__").agg(F.min("doc__").alias("doc__")).select("row__", "doc__.*"), "pipeline-rows")
-    found = ngram_join(rows.select("row__", "text"), id_col="row__").join(rows.select("row__", "doc_id"), "row__")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row__")).alias("f")).select(F.col("f.row__").alias("row__"))
-    return rows.join(materialize(first, "pipeline-groups"), "row__", "left_semi").select(*docs.columns)
+    named = docs.where("doc_id is not null").withColumn("row__", F.monotonically_increasing_id())
+    rows = materialize(named, "pipeline-rows")
+    found = ngram_join(rows, id_col="row__").select("row__", F.when(F.col("n_shingles") > 0, F.col("component")).alias("group__"))
+    empty = F.col("group__").isNull()
+    facts = rows.select("row__", "doc_id", F.md5("text").alias("name"), F.xxhash64(*docs.columns).alias("tie"))  # ties: rows of one id, the same at every run
+    first = found.join(facts, "row__").groupBy(
+        "group__", F.when(empty, F.col("doc_id")).alias("empty_id"), F.when(empty, F.col("name")).alias("empty_name")).agg(
+        F.min(F.struct("doc_id", "tie", "row__")).alias("f")).select(F.col("f.row__").alias("row__"))
+    kept = rows.join(materialize(first, "pipeline-groups").hint("shuffle_hash"), "row__", "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
