@@ -104,6 +104,7 @@ def plan_mix(rows: DataFrame, levels: list[str], targets: MixTargets) -> DataFra
     ends = sums.withColumn("end", F.sum("tokens").over(upto)).where("end > rest").groupBy(*levels).agg(
         F.min_by(F.struct("piece", (F.col("end") - F.col("tokens")).alias("start")), "piece").alias("e")).select(
         *levels, F.col("e.piece").alias("piece"), F.col("e.start").alias("start"))
+    ends = materialize(ends, "mix-ends")  # one row a leaf; read again, the join is dealt by piece too and a hot leaf stays split
     inside = placed.join(ends, [*levels, "piece"]).groupBy(*levels, "piece", "start", "rest", "place").agg(F.sum("tokens").alias("tokens"))
     run = Window.partitionBy(*levels).orderBy("place")
     last = inside.withColumn("end", F.col("start") + F.sum("tokens").over(run)).groupBy(*levels).agg(
