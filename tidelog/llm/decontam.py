@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from .words import PLAIN, chunks
 
 HALF = 32            # a passage is two halves of so many words; passages overlap by one half
 RANK = 160
-BATCH_ITEMS = 224    # items compared at once, little above RANK so that the subspace holds most of each
+BATCH_ITEMS = 224    # passages of items compared at once, little above RANK so that the subspace holds most of each
 COMMON, FEW = 0.01, 50  # words in a larger share of passages (and in more than FEW) weigh nothing,
 RAREST = 8           # but for the rarest words of each item
 COSINE, SHARE = 0.5, 0.35
@@ -38,16 +39,33 @@ def _words_of(texts: list[str]) -> list[np.ndarray]:
 
 
 def prepare(rows: list[tuple[int, str | None]]) -> Items:
-    """Items without words are left out; longer ones are cut into passages of two halves."""
-    ids, words = [], []
-    for (item, _), w in zip(rows, _words_of([t or "" for _, t in rows]), strict=True):
+    """All passages of some rows as one batch."""
+    return next(batches(rows, None), Items([], [], np.empty(0, np.uint64)))
+
+
+def batches(rows: Iterable[tuple[int, str | None]], size: int | None = BATCH_ITEMS) -> Iterator[Items]:
+    """Batches of ``size`` passages (None: all in one). Items without words are left out, longer ones are cut into passages of two halves.
+
+    Passages of one item may lie in two batches. A batch has at most ``size`` passages of 64 words, however long the items are.
+    """
+    def batch() -> Items:
+        vocabulary = np.unique(np.concatenate(words))
+        return Items(ids, [np.searchsorted(vocabulary, w) for w in words], vocabulary)
+
+    ids: list[int] = []
+    words: list[np.ndarray] = []
+    for item, text in rows:
+        w = _words_of([text or ""])[0]
         for a in range(0, max(1, len(w) - HALF), HALF):
             piece = w[a:a + 2 * HALF]
             if len(piece):
                 ids.append(item)
                 words.append(piece)
-    vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
-    return Items(ids, [np.searchsorted(vocabulary, w) for w in words], vocabulary)
+            if len(ids) == size:
+                yield batch()
+                ids, words = [], []
+    if ids:
+        yield batch()
 
 
 class _Finder:
@@ -256,17 +274,15 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rank
     Passages of documents whose latent vector points to an item (cosine and share of the item's
     weight) are compared with it word by word: a leak holds at least WHOLE of the item's words in
     order, or PARTLY of them and the answer, its last words. Punctuation and case do not
-    count. Null texts are empty; an empty benchmark leaves every list empty. Large benchmarks go in batches of BATCH_ITEMS, over
+    count. Null texts are empty; an empty benchmark leaves every list empty. Large benchmarks go in batches of BATCH_ITEMS passages, over
     all texts each. Only benchmark rows and matrices of their words reach the driver. Columns of the new names are replaced.
     """
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()]
+    rows = benchmark.select("item_id", F.lower("text").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     text = F.lower(F.col(text_col).cast("string"))
     found = []
-    for a in range(0, len(rows), BATCH_ITEMS):
-        items = prepare(rows[a:a + BATCH_ITEMS])
-        if items.ids:
-            weights, vectors = latent_space(df.select(text.alias("text")), items, rank)
-            found.append(F.arrow_udf(_matching(_Finder(items.vocabulary), items, weights, vectors), "items array<long>, share double")(text))
+    for items in batches((r[0], r[1]) for r in rows.toLocalIterator()):
+        weights, vectors = latent_space(df.select(text.alias("text")), items, rank)
+        found.append(F.arrow_udf(_matching(_Finder(items.vocabulary), items, weights, vectors), "items array<long>, share double")(text))
     kept = [c for c in df.columns if c not in ("leaked_items", "leaked_share")]
     none = F.struct(F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(0.0).alias("share"))
     marked = df.select(*kept, F.array(none, *found).alias("leaks__"))
