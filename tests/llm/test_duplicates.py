@@ -135,6 +135,7 @@ def sentences(text):
 def brute_repeats(texts, longest=10**9):
     """Text, sentences and removed ones of each id, by looking at every span of sentences (of at most ``longest`` words)."""
     cut = {i: sentences(t) for i, t in texts.items()}
+    stop = {i: [s.rstrip(" \t\n\v\f\r")[-1] in ".!?" or "\n" in s[len(s.rstrip(" \t\n\v\f\r")):] for s in c] for i, c in cut.items()}
     keys = {i: [tuple(plain(s)) for s in c] for i, c in cut.items()}
     seen, gone = {}, {i: set() for i in texts}
     for i in sorted(texts):
@@ -144,8 +145,8 @@ def brute_repeats(texts, longest=10**9):
                 held += len(keys[i][b])
                 if held > longest:
                     break
-                if (b > a and held >= 12) or held >= 24:
-                    if seen.setdefault(tuple(keys[i][a:b + 1]), (i, a)) != (i, a):
+                if (any(stop[i][a:b]) and held >= 12) or held >= 24:
+                    if seen.setdefault((*keys[i][a:b + 1], *stop[i][a:b]), (i, a)) != (i, a):
                         gone[i] |= set(range(a, b + 1))
     return {i: ("".join(s for k, s in enumerate(cut[i]) if k not in gone[i]).rstrip(" \t\n\v\f\r") if gone[i] else texts[i], len(cut[i]), len(gone[i])) for i in texts}
 

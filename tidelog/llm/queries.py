@@ -232,24 +232,26 @@ sums AS (
     lambda h: 16 * instr('123456789ABCDEF', h[1]) + instr('123456789ABCDEF', h[2]))) AS s
   FROM (SELECT DISTINCT w FROM spelt)),
 closing AS (
-  SELECT doc_id, i, u, w, s % {MARK} = 0 OR w[-1] IN ('.', '!', '?') OR contains(regexp_extract(u, '[ \x09-\x0D]*$'), chr(10)) AS closes FROM spelt JOIN sums USING (w)),
-cut AS (SELECT *, count(*) FILTER (closes) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS pos FROM closing),
-sentences AS (SELECT doc_id, pos, string_agg(u, '' ORDER BY i) AS part, list(w ORDER BY i) AS w FROM cut GROUP BY doc_id, pos),
+  SELECT doc_id, i, u, w, s % {MARK} = 0 AS mark, w[-1] IN ('.', '!', '?') OR contains(regexp_extract(u, '[ \x09-\x0D]*$'), chr(10)) AS stop FROM spelt JOIN sums USING (w)),
+cut AS (SELECT *, count(*) FILTER (mark OR stop) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS pos FROM closing),
+sentences AS (SELECT doc_id, pos, string_agg(u, '' ORDER BY i) AS part, list(w ORDER BY i) AS w, bool_or(stop) AS stop FROM cut GROUP BY doc_id, pos),
 counted AS (
-  SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos) - len(w) AS before,
-         count(*) OVER (PARTITION BY doc_id) AS n FROM sentences),
-texts AS (SELECT doc_id, list(array_to_string(w, ' ') ORDER BY pos) AS s FROM sentences GROUP BY doc_id),
-runs AS (
-  SELECT c.doc_id, c.pos AS i, greatest(r.pos, c.pos + {SENTENCES - 1}) AS j
-  FROM counted c ASOF JOIN counted r ON c.doc_id = r.doc_id AND r.upto >= c.before + {WORDS}
-  WHERE len(c.w) < {2 * WORDS} AND greatest(r.pos, c.pos + {SENTENCES - 1}) <= c.n
-  UNION
-  SELECT c.doc_id, least(r.pos, c.pos - {SENTENCES - 1}) AS i, c.pos AS j
-  FROM counted c ASOF JOIN counted r ON c.doc_id = r.doc_id AND r.before <= c.upto - {WORDS}
-  WHERE len(c.w) < {2 * WORDS} AND least(r.pos, c.pos - {SENTENCES - 1}) >= 1
-  UNION
-  SELECT doc_id, pos, pos FROM counted WHERE len(w) >= {2 * WORDS}),
-keyed AS (SELECT runs.*, array_to_string(s[i:j], chr(1)) AS key FROM runs JOIN texts USING (doc_id)),
+  SELECT *, sum(len(w)) OVER o AS upto, sum(len(w)) OVER o - len(w) AS before, count(*) FILTER (stop) OVER o - stop::INT AS stops,
+         count(*) OVER (PARTITION BY doc_id) AS n FROM sentences WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+texts AS (SELECT doc_id, list(array_to_string(w, ' ') ORDER BY pos) AS s, list(CASE WHEN stop THEN chr(2) ELSE chr(1) END ORDER BY pos) AS e FROM sentences GROUP BY doc_id),
+ends AS (SELECT doc_id, stops AS k, min(pos) AS low, max(pos) AS high FROM counted GROUP BY doc_id, stops),
+forth AS (
+  SELECT c.doc_id, c.pos AS i, least(coalesce(m.pos, c.n + 1), greatest(coalesce(r.pos, c.n + 1), coalesce(x.low, c.n + 1))) AS j, c.n
+  FROM counted c ASOF LEFT JOIN counted r ON c.doc_id = r.doc_id AND r.upto >= c.before + {WORDS}
+  ASOF LEFT JOIN counted m ON c.doc_id = m.doc_id AND m.upto >= c.before + {2 * WORDS}
+  LEFT JOIN ends x ON c.doc_id = x.doc_id AND x.k = c.stops + {SENTENCES - 1}),
+back AS (
+  SELECT c.doc_id, greatest(coalesce(m.pos, 0), least(coalesce(r.pos, 0), coalesce(x.high, 0))) AS i, c.pos AS j
+  FROM counted c ASOF LEFT JOIN counted r ON c.doc_id = r.doc_id AND r.before <= c.upto - {WORDS}
+  ASOF LEFT JOIN counted m ON c.doc_id = m.doc_id AND m.before <= c.upto - {2 * WORDS}
+  LEFT JOIN ends x ON c.doc_id = x.doc_id AND x.k = c.stops - {SENTENCES - 1}),
+runs AS (SELECT doc_id, i, j FROM forth WHERE j <= n UNION SELECT doc_id, i, j FROM back WHERE i >= 1),
+keyed AS (SELECT runs.*, array_to_string(list_transform(range(i, j + 1), lambda k: s[k] || CASE WHEN k < j THEN e[k] ELSE '' END), '') AS key FROM runs JOIN texts USING (doc_id)),
 placed AS (SELECT *, first_value({{'d': doc_id, 'i': i}}) OVER (PARTITION BY key ORDER BY doc_id, i) AS f FROM keyed),
 again AS (SELECT doc_id, i, j, f.d AS source FROM placed WHERE f.d <> doc_id OR f.i <> i),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM again),

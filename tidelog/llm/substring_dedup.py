@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .words import _BYTE, _LOWER, _M2, _SPACE, CHUNK_BYTES, _power, mix, text_bytes
 
-SENTENCES, WORDS = 2, 12  # a run has at least both; a sentence of twice WORDS words is a run alone
-MARK = 8                  # a word also ends a sentence when the sum of its bytes is a multiple of this
+SENTENCES, WORDS = 2, 12  # a run touches so many sentences and has so many words, or has twice the words
+MARK = 8                  # sentences are cut into pieces after words whose sum of bytes is a multiple of this
 HOT_PARTS = 512           # a run with more than this share of all runs is joined by broadcast; there are fewer of these
 
 _STOP = np.zeros(256, bool)
@@ -22,17 +22,18 @@ _STOP[[ord(c) for c in ".!?"]] = True
 
 @dataclass
 class Pieces:
-    """Sentences of some texts: bytes, first byte and hash of each word, first word of each sentence, and offsets per text."""
+    """Pieces of the sentences of some texts: bytes, words, first word of each piece, and offsets per text."""
 
     data: np.ndarray
     offsets: np.ndarray   # bytes of each text
     starts: np.ndarray    # first byte of each word
-    hashes: np.ndarray    # of each word, with whether it ends a sentence
-    first: np.ndarray     # first word of each sentence, and the number of words
-    at: np.ndarray        # sentences of each text
+    hashes: np.ndarray    # of each word
+    stops: np.ndarray     # whether a sentence ends with the word
+    first: np.ndarray     # first word of each piece, and the number of words
+    at: np.ndarray        # pieces of each text
 
     def bounds(self, text: int) -> np.ndarray:
-        """First byte of each sentence of a text, and its end; blanks before the first word belong to the first sentence."""
+        """First byte of each piece of a text, and its end; blanks before the first word belong to the first piece."""
         inner = self.starts[self.first[self.at[text]:self.at[text + 1]]]
         return np.concatenate([self.offsets[text:text + 1], inner[1:], self.offsets[text + 1:text + 2]])
 
@@ -71,7 +72,7 @@ def _windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
-    """Sentences end after . ! or ?, before a line break, and after a word whose byte sum (A-Z lowered) MARK divides."""
+    """Sentences end after . ! or ? and before a line break; pieces also after a word whose byte sum (A-Z lowered) MARK divides."""
     if len(data) > CHUNK_BYTES and len(offsets) == 2:
         parts = []
         for low, high in _windows(data):
@@ -83,12 +84,13 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Pieces:
     words_at = np.searchsorted(starts, offsets)
     breaks = np.flatnonzero(data == 10)
     after = np.append(starts[1:], len(data))[:len(starts)]
-    closes = (sums % MARK == 0) | _STOP[data[ends - 1]] | (np.searchsorted(breaks, after) > np.searchsorted(breaks, ends))
+    stops = _STOP[data[ends - 1]] | (np.searchsorted(breaks, after) > np.searchsorted(breaks, ends))
+    closes = stops | (sums % MARK == 0)
     closes[words_at[1:][words_at[1:] > words_at[:-1]] - 1] = True
     opens = np.ones(len(starts), bool)
     opens[1:] = closes[:-1]
     first = np.flatnonzero(opens)
-    return Pieces(data, offsets, starts, mix(hashes + closes.astype(np.uint64)), np.append(first, len(starts)), np.searchsorted(first, words_at))
+    return Pieces(data, offsets, starts, hashes, stops, np.append(first, len(starts)), np.searchsorted(first, words_at))
 
 
 def split_texts(column: pa.Array) -> Iterator[tuple[int, Pieces]]:
@@ -102,18 +104,26 @@ def split_texts(column: pa.Array) -> Iterator[tuple[int, Pieces]]:
 
 
 def find_runs(p: Pieces, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first sentence in it, sentences and hash of the shortest runs from each sentence on and up to each sentence.
+    """Text, first piece in it, pieces and hash of the shortest runs from each piece on and up to each piece.
 
-    Whatever longer span two places share is covered by these: a sentence in it lies in the first run from
-    the span's start, or the words before it are enough for a run up to it. Equal hashes mean equal words, cut alike.
+    Whatever longer span two places share is covered by these: a piece of it lies in the first run from the
+    span's start, or else the pieces before it are enough for a run up to it. Equal hashes mean equal words
+    with the same sentence ends between them; how the last one ends does not count.
     """
-    n, size = len(p.first) - 1, np.diff(p.first)
+    n = len(p.first) - 1
     text = np.repeat(np.arange(len(p.at) - 1), np.diff(p.at))
     here = np.arange(n)
-    alone = size >= 2 * words
-    end = np.where(alone, here + 1, np.maximum(here + least, np.searchsorted(p.first, p.first[:-1] + words)))
+    ended = np.zeros(n + 1, np.int64)  # sentence ends before each piece
+    np.cumsum(p.stops[p.first[1:] - 1], out=ended[1:])
+
+    def reach(k):
+        return np.searchsorted(p.first, p.first[:-1] + k), np.searchsorted(p.first, p.first[1:] - k, "right") - 1
+
+    (some, some_back), (many, many_back) = reach(words), reach(2 * words)
+    end = np.minimum(many, np.maximum(some, np.searchsorted(ended, ended[:-1] + least - 1) + 1))
     forward = end <= p.at[text + 1]
-    begin = np.where(alone, here, np.minimum(here + 1 - least, np.searchsorted(p.first, p.first[1:] - words, "right") - 1))
+    begin = np.maximum(many_back, np.minimum(some_back, np.searchsorted(ended, ended[:-1] - (least - 1), "right") - 1))
+    begin = np.minimum(begin, here)
     back = begin >= p.at[text]
     back &= ~(back & forward[begin] & (end[begin] == here + 1))  # found from its start already
     low, high = np.concatenate([here[forward], begin[back]]), np.concatenate([end[forward], here[back] + 1])
@@ -121,9 +131,9 @@ def find_runs(p: Pieces, least: int = SENTENCES, words: int = WORDS) -> tuple[np
     low, high = low[order], high[order]
     a, b = p.first[low], p.first[high]
     total = np.zeros(len(p.hashes) + 1, np.uint64)
-    np.cumsum(p.hashes * _power("up", len(p.hashes)), out=total[1:])
-    value = mix((total[b] - total[a]) * _power("down", len(p.hashes) + 1)[a] ^ (b - a).astype(np.uint64) * _M2)
-    return text[low], low - p.at[text[low]], high - low, value
+    np.cumsum(mix(p.hashes + p.stops.astype(np.uint64)) * _power("up", len(p.hashes)), out=total[1:])
+    value = (total[b - 1] - total[a]) * _power("down", len(p.hashes) + 1)[a] ^ (b - a).astype(np.uint64) * _M2
+    return text[low], low - p.at[text[low]], high - low, mix(mix(value) ^ p.hashes[b - 1])
 
 
 def _run_rows(least: int, words: int):
@@ -184,10 +194,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Id, text without repeated runs, n_sentences, n_removed, first_docs (ids that hold the first places) of each row.
 
     Words stand between ASCII blanks; their A-Z are lowered for comparison. A sentence ends after a word that
-    ends in . ! or ?, before a line break, and, whatever its length, after every word whose byte sum MARK divides,
-    so a passage inside longer sentences is cut alike wherever it stands. A run is a sequence of consecutive
-    sentences with at least ``least`` sentences and ``words`` words, or one sentence of twice ``words`` words. All
-    sentences of a run that also stands at an earlier place, in any text, are removed; an exact copy becomes empty. Rows
+    ends in . ! or ? and before a line break. Every sentence, whatever its length, is cut into pieces after words
+    whose byte sum MARK divides, so a passage inside longer sentences is cut alike wherever it stands; n_sentences and
+    n_removed count pieces. A run is a sequence of consecutive pieces with parts of at least ``least`` sentences
+    and ``words`` words, or with twice ``words`` words, so one shared short sentence is left alone. All
+    pieces of a run that also stands at an earlier place, in any text, are removed; an exact copy becomes empty. Rows
     that agree in id and text are one text: both are kept or cut alike. Null texts stay null; texts too short for
     a run are kept. An empty table gives an empty table. Other columns are not read.
     """
