@@ -77,6 +77,22 @@ def test_ngram_join_equals_all_pairs(spark, texts, monkeypatch):
         assert found == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_ngram_join_writes_no_row_per_ngram(spark, texts, monkeypatch):
+    sets, want = brute(texts)
+    written, write = {}, N.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    monkeypatch.setattr(N, "FRAGMENT_GRAMS", 100, raising=False)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component for r in N.ngram_join(df).collect()} == want
+    assert written and max(written.values()) <= len(texts)
+
+
 def test_ngram_join_odd_rows(spark):
     schema = "doc_id long, text string"
     assert N.ngram_join(spark.createDataFrame([], schema)).count() == 0

@@ -15,6 +15,7 @@ from .words import chunks, mix, shingles
 WORDS = 5
 PERCENT = 75
 FRAGMENT_BYTES = 16 << 20  # text whose n-grams make one vertical fragment of the rarity pass
+FRAGMENT_GRAMS = 1 << 20  # n-grams of one vertical fragment of the order
 TILE_DOCS = 512
 TILE_GRAMS = 1 << 20
 
@@ -135,19 +136,82 @@ def _nodes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(mix(out[:, 0] + sizes.astype(np.uint64)) ^ out[:, 1]).view(np.int64)
 
 
-def _grams(k: int):
-    """(node, n, grams) of the texts (id, text, node) whose set has the expected checksum."""
+_INCIDENT = "fragment int, block string, grams binary, counts binary, docs binary, nodes binary, sizes binary"
+
+
+def _post_sets(fragments: int, k: int):
+    """Distinct n-grams of each block of texts (id, text, node) whose set has the expected checksum, with their holders, by fragment."""
 
     def run(batches):
+        task, serial, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
             expected = batch.column(2).to_numpy(zero_copy_only=False)
             for low, high, words, offsets in chunks(batch.column(1)):
                 grams, at = shingles(words, offsets, k)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
-                node = _nodes(grams, at)
-                right = pa.array(node == expected[low:high])
+                node, sizes = _nodes(grams, at), np.diff(at)
+                right = np.zeros(len(node), bool)
+                for i in np.flatnonzero(node == expected[low:high]).tolist():  # rows of one id and text are one set
+                    right[i] = node[i] not in seen
+                    seen.add(node[i])
+                if not right.any():
+                    continue
+                grams = grams[np.repeat(right, sizes)]
+                node, sizes = node[right], sizes[right].astype(np.int64)
+                doc = np.repeat(np.arange(len(node), dtype=np.uint32), sizes)
+                order = np.argsort(grams, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(grams[order]) != 0])
+                every, counts, doc = grams[order[first]], np.diff(np.r_[first, len(order)]).astype(np.uint32), doc[order]
+                ends = np.r_[first, len(order)]
+                part = (every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                runs = {key: (c, d) for key, c, d in _slices(part)}
+                name = f"{task}-{serial}"
+                serial += 1
+                out = []
+                for f in sorted({0, *runs}):
+                    c, d = runs.get(f, (0, 0))
+                    head = (node.tobytes(), sizes.tobytes()) if f == 0 else (b"", b"")
+                    out.append((f, name, every[c:d].tobytes(), counts[c:d].tobytes(), doc[ends[c]:ends[d]].tobytes(), *head))
+                cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(np.diff(at).astype(np.int64)), lists], names=["node", "n", "grams"]).filter(right)
+                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(x, pa.binary()) for x in cols[2:])],
+                    names=["fragment", "block", "grams", "counts", "docs", "nodes", "sizes"])
+
+    return run
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In one fragment: per block, the n-grams that several sets hold, with the logarithm of their number."""
+    grams = [np.frombuffer(x, np.uint64) for x in pdf.grams]
+    counts = [np.frombuffer(x, np.uint32) for x in pdf.counts]
+    every, place = np.unique(np.concatenate(grams), return_inverse=True)
+    held = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+    level = np.floor(np.log2(np.maximum(held, 1))).astype(np.uint8)
+    out, at = [], 0
+    for gram, count, docs in zip(grams, counts, pdf.docs, strict=True):
+        mine = place[at:at + len(gram)]
+        at += len(gram)
+        kept = held[mine] > 1
+        docs = np.frombuffer(docs, np.uint32)[np.repeat(kept, count)]
+        out.append((gram[kept].tobytes(), level[mine][kept].tobytes(), count[kept].tobytes(), docs.tobytes()))
+    return pd.DataFrame({"block": pdf.block, **{c: [x[i] for x in out] for i, c in enumerate(("grams", "levels", "counts", "docs"))}, "nodes": pdf.nodes, "sizes": pdf.sizes})
+
+
+def _order_block(percent: int):
+    """Shared n-grams of each set of a block in the global order; sets with too few of them for any link are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+        node, sizes = flat("nodes", np.int64), flat("sizes", np.int64)
+        counts = flat("counts", np.uint32)
+        doc, gram = flat("docs", np.uint32), np.repeat(flat("grams", np.int64), counts)
+        level = np.repeat(flat("levels", np.uint8), counts).astype(np.int32)
+        enough = np.bincount(doc, minlength=len(node)) >= (sizes * percent + 99) // 100
+        kept = enough[doc]
+        doc, gram, level = doc[kept], gram[kept], level[kept]
+        order = np.lexsort((gram, level, doc))
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(node))[enough])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (level, gram)]
+        return pa.table({"node": node[enough], "n": sizes[enough], "levels": lists[0], "grams": lists[1]})
 
     return run
 
@@ -199,31 +263,39 @@ def _link_tile(percent: int):
     return run
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) that connect every two sets of ``sets(node, n, grams)`` with Jaccard of at least ``percent``/100.
+def order_sets(texts: DataFrame, grams: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(node, n, levels[], grams[]) of the sets of ``texts(id, text, node)``: the n-grams that other sets hold too, in the global order.
+
+    ``grams`` is the number of n-grams there are, which fixes the number of fragments. The order is by
+    frequency level, then hash; sets that share too few n-grams for any link are left out. As in
+    ``set_table`` blocks of sets are cut into fragments of the hash range, so n-grams travel as
+    packed numbers and not as rows.
+    """
+    posted = texts.mapInArrow(_post_sets(1 + grams // FRAGMENT_GRAMS, k), _INCIDENT)
+    levelled = posted.groupBy("fragment").applyInPandas(
+        _levels, "block string, grams binary, levels binary, counts binary, docs binary, nodes binary, sizes binary")
+    ordered = levelled.groupBy("block").applyInArrow(_order_block(percent), "node long, n long, levels array<int>, grams array<long>")
+    return materialize(ordered, "ngram-order")
+
+
+def links(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) that connect every two sets of ``order_sets`` with Jaccard of at least ``percent``/100.
 
-    The global order is by frequency level, then hash. A pair that reaches the threshold shares
-    one of the first n - ceil(t*n) + 1 n-grams of each set, so the candidate groups are the
-    connected groups over these prefixes; sets never meet through their common n-grams alone.
-    Inside a group every pair is counted, in tiles of bounded size, and only links are written.
+    A pair that reaches the threshold shares one of the first n - ceil(t*n) + 1 n-grams of each set,
+    so the candidate groups are the connected groups over these prefixes; sets never meet through their
+    common n-grams alone. Inside a group every pair is counted, in tiles of bounded size, and only links are written.
     """
-    grams = materialize(sets.select("node", "n", F.explode("grams").alias("g")), "ngram-rows")
-    often = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    rows = grams.join(often, "g").withColumn("level", F.floor(F.log2("df")).cast("int"))
     need = F.expr(f"(n * {percent} + 99) div 100")
-    ordered = materialize(rows.groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("level", "g"))).alias("o")).where(F.size("o") >= need), "ngram-order")
-    # n-grams of one set alone come first in the order and take n - size(o) places of the prefix
-    prefix = F.greatest(F.lit(0), F.size("o") - need + 1).cast("int")
-    first = ordered.select("node", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("node", F.col("x.g").alias("g"))
+    # n-grams of one set alone come first in the order and take n - size(grams) places of the prefix
+    prefix = F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")
+    first = ordered.select("node", F.explode(F.slice("grams", F.lit(1), prefix)).alias("g"))
     centre = first.groupBy("g").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
     group = components(first.join(centre, "g").select("a", F.col("node").alias("b")), "ngram-groups")
     member = materialize(group.join(ordered, "node"), "ngram-members")
-    size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("o")).alias("total")).where("m > 1").select(
+    size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("total")).where("m > 1").select(
         "component", F.greatest(F.ceil(F.col("m") / TILE_DOCS), F.ceil(F.col("total") / TILE_GRAMS)).cast("int").alias("blocks"))
     tiled = member.join(size, "component").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).select(
-        "node", "n", F.col("o.level").alias("levels"), F.col("o.g").alias("grams"),
-        "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        "node", "n", "levels", "grams", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
         "node", "n", "levels", "grams", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     return tiled.groupBy("component", "p", "q").applyInArrow(_link_tile(percent), "a long, b long")
 
@@ -243,8 +315,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     classes = full.groupBy("node", "n").agg(F.min("id").alias("rep"), F.max(F.col("shared") * 100 >= F.col("n") * percent).alias("maybe"))
     classes = materialize(classes, "ngram-classes")
     chosen = classes.where("maybe").select(F.col("rep").alias("id"), "node")
-    sets = texts.join(chosen.hint("shuffle_hash"), "id").select("id", "text", "node").mapInArrow(_grams(k), "node long, n long, grams array<long>")
-    found = links(sets.dropDuplicates(["node"]), percent).select("a", "b")
+    size = classes.where("maybe").agg(F.sum("n")).first()[0] or 0
+    ordered = order_sets(texts.join(chosen.hint("shuffle_hash"), "id").select("id", "text", "node"), size, k, percent)
+    found = links(ordered, percent).select("a", "b")
     # rows of one id are one node of the graph, so their sets connect as well
     several = full.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     same = full.join(several, "id").select("a", F.col("node").alias("b"))
