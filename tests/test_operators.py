@@ -84,6 +84,18 @@ def test_hand_back_spreads_the_hot_group(spark):
     assert sum(sizes) == 64_000 and len(spread) == 8 and max(r["count"] for r in spread) < 20_000
 
 
+def test_a_large_factor_table_is_neither_repeated_nor_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 5)
+    df = frame(spark, [(i % 12 if i % 12 else None, float(i)) for i in range(48)], "logger int, x double")
+    factors = frame(spark, [(i, i / 2.0) for i in range(10)] + [(3, 7.0)], "logger int, f double")
+    out = jn.apply_factor(df, factors, "logger", "x", "f", "y")
+    plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    both = {i: [i / 2.0] for i in range(10)} | {3: [1.5, 7.0]}
+    want = [(k, float(i), None if f is None else i * f) for i in range(48) for k in [i % 12 or None] for f in both.get(k, [None])]
+    assert rows(out) == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
 def test_alias_label_factor_grid(spark):
     df = frame(spark, [("a", 1.0), ("b", 2.0), (None, 3.0)], "site string, x double")
     assert rows(jn.alias_sites(df, "site", {"a": ["a2", "a3"]})) == [(None, 3.0), ("a", 1.0), ("a2", 1.0), ("a3", 1.0), ("b", 2.0)]

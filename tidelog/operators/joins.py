@@ -119,18 +119,18 @@ def hand_back(
 
 
 def apply_factor(
-    rows: DataFrame, factors: DataFrame, key: str, value: str, factor: str, out: str, parts: int = 16
+    rows: DataFrame, factors: DataFrame, key: str, value: str, factor: str, out: str
 ) -> DataFrame:
     """Multiply a reading by the coefficient of its logger; unknown loggers give NULL.
 
-    A factor table below the session's threshold is broadcast. A larger one is repeated once
-    per part and the readings of a logger are hashed over the parts.
+    A factor table that has been counted and is small is broadcast. A larger one is sorted and merged
+    with the readings, never gathered in one place; a logger with very many readings is split by
+    the session's skew handling.
     """
     f = factors.select(F.col(key).alias("_fkey"), F.col(factor).alias("_factor"))
-    f = f.withColumn("_fpart", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    left = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
-    joined = left.join(f, (F.col(key) == F.col("_fkey")) & (F.col("_part") == F.col("_fpart")), "left")
-    return joined.withColumn(out, F.col(value) * F.col("_factor")).drop("_fkey", "_factor", "_part", "_fpart")
+    small = f.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(f) if small else f.hint("merge"), F.col(key) == F.col("_fkey"), "left")
+    return joined.withColumn(out, F.col(value) * F.col("_factor")).drop("_fkey", "_factor")
 
 
 def alias_sites(df: DataFrame, site: str, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
