@@ -102,6 +102,14 @@ def test_the_window_always_holds_the_present_place():
         assert np.allclose(np.take_along_axis(grid, state.offset[:, :, None] + WINDOW, 2)[:, :, 0], state.log_ratio)
 
 
+def test_sums_by_light_value_are_those_of_the_rows():
+    (x, y), grid = made_rows(60)[0], np.linspace(-3, -1, 2 * WINDOW + 1)
+    light, counts = np.unique(np.round(x / 5), return_counts=True)
+    each = weighted_sums(np.repeat(light, counts), y, grid, 9.0, -2.0, 2.0, 0.7, np.random.default_rng(4))
+    cells = weighted_sums(light, y, grid, 9.0, -2.0, 2.0, 0.7, np.random.default_rng(4), counts)
+    assert cells == pytest.approx(each, rel=1e-9)
+
+
 def test_spark_run_repeats_and_names_its_groups(spark):
     rows = [(s, float(x), float(y)) for s, (x, y) in zip(("a", "b", "c"), made_rows(40)) for x, y in zip(x, y)]
     rows += [("few", 1.0, 2.0), (None, 2.0, 3.0), ("a", None, 1.0), ("a", float("nan"), 1.0), ("b", 1.0, None)]

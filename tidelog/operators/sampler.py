@@ -27,6 +27,7 @@ from .lightcurve import polish_curves
 WINDOW = 8            # grid places to either side that a step can reach
 STEP = 0.5            # distance of grid places in standard errors of log(alpha / pmax)
 DIRECT = 1 << 20      # numbers of a sweep that tasks send to the driver themselves; more are added up in a shuffle first
+BLOCK_ROWS = 1 << 15  # rows that are packed together
 WRITE_EVERY = 50      # sweeps between writes of the draws
 SCHEMA = "chain int, iter long, param string, k int, value double"
 
@@ -124,27 +125,56 @@ class Chains:
         return pd.concat(parts, ignore_index=True)
 
 
-def weighted_sums(x: np.ndarray, y: np.ndarray, grid: np.ndarray, pmax: float, ratio: float, rd: float, sigma: float, rng) -> np.ndarray:
-    """Draw the weights of one group's rows and add up w, wy, wyy, then wg, wgg, wgy at every place of the grid."""
-    z = (y - pmax * (1 - np.exp(-np.exp(ratio) * x)) + rd) / sigma
-    w = rng.gamma(1.5, size=len(x)) * 2 / (2 + z * z)
+def weighted_sums(x: np.ndarray, y: np.ndarray, grid: np.ndarray, pmax: float, ratio: float, rd: float, sigma: float, rng,
+                  counts: np.ndarray | None = None) -> np.ndarray:
+    """Draw the weights of one group's rows and add up w, wy, wyy, then wg, wgg, wgy at every place of the grid.
+
+    With ``counts`` x holds each light value of the block once and y the counts[i] values of x[i] one after another:
+    every row has a weight of its own, curves are taken once per light value.
+    """
+    curve = pmax * (1 - np.exp(-np.exp(ratio) * x)) - rd
+    z = (y - (curve if counts is None else np.repeat(curve, counts))) / sigma
+    # gamma(3/2) is an exponential plus half a squared normal draw
+    w = rng.standard_normal(len(y))
+    w *= 0.5 * w
+    w += rng.standard_exponential(len(y))
+    w *= 2 / (2 + z * z)
+    wy = w * y
+    wyy = wy @ y
+    if counts is not None:
+        at = np.cumsum(counts) - counts
+        w, wy = np.add.reduceat(w, at), np.add.reduceat(wy, at)
     g = 1 - np.exp(-np.exp(grid)[:, None] * x[None, :])
-    wg = g * w
-    return np.concatenate([[w.sum(), w @ y, w @ (y * y)], wg.sum(1), np.einsum("jn,jn->j", wg, g), wg @ y])
+    return np.concatenate([[w.sum(), wy.sum(), wyy], g @ w, (g * g) @ w, g @ wy])
+
 
+def _pack(rows: DataFrame, tasks: int) -> DataFrame:
+    """(block, k, x, counts, y), packed numbers: one row per group and up to BLOCK_ROWS input rows, dealt over ``tasks`` files; ``rows`` are (k, x, y).
+
+    x holds each light value of a block once, in ascending order, y the values of each in turn.
+    """
+    def block(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        k, x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((x, k))
+        k, x, y = k[order], x[order], y[order]
+        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
+        counts = np.diff(np.r_[first, len(k)]).astype(np.int32)
+        found, at = np.unique(k, return_index=True)
+        ends, own = np.r_[at, len(k)], np.searchsorted(first, np.r_[at, len(k)])
+        cells = [[x[first[c:d]].tobytes() for c, d in zip(own, own[1:])], [counts[c:d].tobytes() for c, d in zip(own, own[1:])], [y[c:d].tobytes() for c, d in zip(ends, ends[1:])]]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["k", "x", "counts", "y"])
 
-def _pack(rows: DataFrame) -> DataFrame:
-    """(block, k, x[], y[]): one row per input batch and group, written once; ``rows`` are (k, x, y)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            k, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            order = np.argsort(k, kind="stable")
-            found, at = np.unique(k[order], return_index=True)
-            cut = pa.array(np.append(at, len(k)), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(found, pa.int32()), pa.ListArray.from_arrays(cut, pa.array(x[order])), pa.ListArray.from_arrays(cut, pa.array(y[order]))], names=["k", "x", "y"])
-
-    packed = rows.mapInArrow(run, "k int, x array<double>, y array<double>")
+            parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                yield block(parts)
+                parts = []
+        if any(len(p[0]) for p in parts):
+            yield block(parts)
+
+    packed = rows.mapInArrow(run, "k int, x binary, counts binary, y binary").repartition(tasks)
     return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "sampler-rows")
 
 
@@ -170,9 +200,8 @@ def sample_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, priors: Pr
     steps = np.clip(STEP * np.sqrt(np.maximum(variance, 1e-12) * scale), 1e-6, 1.0)
     usable = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(
         "_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
-    packed = _pack(usable.join(groups, keys).select("k", "_x", "_y"))
     tasks = spark.sparkContext.defaultParallelism
-    packed = packed.coalesce(tasks)  # one row of sums per task, chain and group
+    packed = _pack(usable.join(groups, keys).select("k", "_x", "_y"), tasks).coalesce(tasks)  # one row of sums per task, chain and group
     state = Chains(start, steps, np.array([r["n"] for r in known], dtype=float), priors or Priors(), chains, seed)
     size = 3 + 3 * (2 * WINDOW + 1)
 
@@ -182,12 +211,12 @@ def sample_curves(df: DataFrame, keys: Sequence[str], x: str, y: str, priors: Pr
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for block, k, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                    xs, ys = xs.values.to_numpy(), ys.values.to_numpy()
+                for block, k, *cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4))):
+                    xs, counts, ys = (np.frombuffer(c.as_buffer(), t) for c, t in zip(cells, (np.float64, np.int32, np.float64)))
                     for c in range(len(now)):
                         rng = np.random.default_rng([seed, number, block, c])
                         slot = c * now.shape[1] + k - 1
-                        total[slot] = total.get(slot, 0.0) + weighted_sums(xs, ys, grid[c, k - 1], *now[c, k - 1], rng)
+                        total[slot] = total.get(slot, 0.0) + weighted_sums(xs, ys, grid[c, k - 1], *now[c, k - 1], rng, counts)
             yield pa.RecordBatch.from_pydict({"slot": pa.array(list(total), pa.int64()), "sums": pa.array(list(total.values()), pa.list_(pa.float64()))})
 
         out = np.zeros((now.shape[0] * now.shape[1], size))
