@@ -1,6 +1,7 @@
 """Logger files written by hand into a scratch folder and read back."""
 
 import datetime as dt
+import sys
 
 import pytest
 from pyspark.errors import PySparkException
@@ -119,3 +120,21 @@ def test_written_tables_can_be_dropped(spark, monkeypatch):
     monkeypatch.setattr(ss, "_written", {})
     table = materialize(spark.range(3), "drop")
     assert table.count() == 3 and ss.drop_written(spark) == 1 and ss.drop_written(spark) == 0
+
+
+def test_a_file_is_written_from_its_own_rows_alone(spark, tmp_path):
+    def encode(found):
+        return f"{sys.getallocatedblocks()} {found[0]} {found[-1]} {len(found)}".encode()
+
+    held, files, parts = {}, 40, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for n in (1, files):
+            lines = spark.range(10_000 * n).selectExpr(f"concat('f', id % {n}) AS file_name", f"-(id div {n}) AS row", "concat('line ', id) AS line")
+            sk.write_files(lines, str(tmp_path / f"out{n}"), encode)
+            found = {p.name: p.read_text().split(" ", 1) for p in (tmp_path / f"out{n}").iterdir()}
+            assert {k: v[1] for k, v in found.items()} == {f"f{k}": f"line {9999 * n + k} line {k} 10000" for k in range(n)}
+            held[n] = max(int(v[0]) for v in found.values())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert held[files] - held[1] < 100_000  # objects of one file, not of all 400,000 lines

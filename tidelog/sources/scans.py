@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from itertools import batched, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,13 +183,13 @@ def scan_workbooks(spark: SparkSession, path: str, types: str, names: Sequence[s
         .select(F.col("_metadata.file_path").alias("path"), "content")
     )
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                for rows in batched(islice(iter_rows(bytes(content)), skip, None), 5000):
-                    yield pd.DataFrame({"path": [name] * len(rows), "cells": rows})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for rows in batched(islice(iter_rows(content.as_py()), skip, None), 5000):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.list_(pa.string()))], names=["path", "cells"])
 
-    cells = files.mapInPandas(parse, "path string, cells array<string>")
+    cells = files.mapInArrow(parse, "path string, cells array<string>")
     return cells.select("path", *_typed(F.col("cells"), types, names))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +29,18 @@ def write_routed(df: DataFrame, path: str, column: str, pattern: str, hit: str,
 def write_files(lines: DataFrame, folder: str, encode: Callable[[list[str]], bytes]) -> None:
     """Write one file per ``file_name`` from its lines (columns file_name, row, line).
 
-    A file is gathered in one task, so callers bound the rows of a file. The content goes to
-    a name of the attempt first and is then moved, so a repeated attempt leaves one good file.
+    A file is gathered in one task, so callers bound the rows of a file; a task holds one file at a time. The content
+    goes to a name of the attempt first and is then moved, so a repeated attempt leaves one good file.
     """
-    packed = lines.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("rows"))
-    packed = packed.select("file_name", F.col("rows.line").alias("lines"))
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(rows: pa.Table) -> pa.Table:
         system, base = resolve(folder)
         system.create_dir(base, recursive=True)
-        for pdf in batches:
-            for name, content in zip(pdf["file_name"], pdf["lines"]):
-                hidden = f"{base}/_{uuid.uuid4().hex}"
-                with system.open_output_stream(hidden) as out:
-                    out.write(encode(list(content)))
-                system.move(hidden, f"{base}/{name}")
-            yield pdf[["file_name"]]
-
-    packed.mapInPandas(save, "file_name string").count()
+        order = pc.sort_indices(rows, sort_keys=[("row", "ascending"), ("line", "ascending")], null_placement="at_start")
+        hidden = f"{base}/_{uuid.uuid4().hex}"
+        with system.open_output_stream(hidden) as out:
+            out.write(encode(rows["line"].take(order).to_pylist()))
+        system.move(hidden, f"{base}/{rows['file_name'][0].as_py()}")
+        return rows.select(["file_name"]).slice(0, 1)
+
+    lines.select("file_name", "row", "line").groupBy("file_name").applyInArrow(save, "file_name string").count()
