@@ -134,11 +134,7 @@ def weighted_sums(x: np.ndarray, y: np.ndarray, grid: np.ndarray, pmax: float, r
     """
     curve = pmax * (1 - np.exp(-np.exp(ratio) * x)) - rd
     z = (y - (curve if counts is None else np.repeat(curve, counts))) / sigma
-    # gamma(3/2) is an exponential plus half a squared normal draw
-    w = rng.standard_normal(len(y))
-    w *= 0.5 * w
-    w += rng.standard_exponential(len(y))
-    w *= 2 / (2 + z * z)
+    w = rng.gamma(1.5, size=len(y)) * 2 / (2 + z * z)
     wy = w * y
     wyy = wy @ y
     if counts is not None:
