@@ -276,3 +276,10 @@ def test_distinct_keeps_unlinked_texts_that_share_an_id(spark):
     again = corpus_pipeline.distinct(spark, docs.repartition(5, "source"), "")
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, found.collect()))  # of equal texts of one id the same row stays
     assert corpus_pipeline.distinct(spark, docs.where("doc_id > 6"), "").count() == 2
+
+
+def test_token_count_keeps_only_first_characters(spark):
+    texts = ["", None, " ", "a", " a\tbb\n\x0bccc ", "é 日本 😀😀 x😀 \u00a0\x1c", "😀", "w " * 20_000]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", token_count(F.col("text")).alias("n"))
+    assert [r.n for r in out.orderBy("i").collect()] == [0, 0, 0, 1, 3, 5, 1, 20_000]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -34,8 +34,9 @@ class MixTargets:
 
 
 def token_count(text: Column) -> Column:
-    """Words of a text, without cutting it up; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words of a text, without an object per word: the first characters of words are what is left; null has none."""
+    firsts = F.regexp_replace(text, r"[\x20\x09-\x0D]+|(?<=[^\x20\x09-\x0D])[^\x20\x09-\x0D]+", "")
+    return F.coalesce(F.length(firsts), F.lit(0)).cast("long")
 
 
 def share_out(leaves: DataFrame, levels: list[str], targets: MixTargets) -> DataFrame:
