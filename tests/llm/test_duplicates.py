@@ -93,6 +93,56 @@ def test_ngram_join_writes_no_row_per_ngram(spark, texts, monkeypatch):
     assert written and max(written.values()) <= len(texts)
 
 
+def test_ngram_join_posts_one_row_per_block_and_fragment(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] * 3, "id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert df.mapInArrow(N._post(8, 5), N._POSTED).count() <= 8  # however many batches the task reads
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ngram_join_compares_only_sets_that_can_link(spark, monkeypatch):
+    random.seed(11)
+    words = lambda count: [f"v{random.randrange(5000)}" for _ in range(count)]
+    out, base, far = {}, words(204), []
+
+    def changed(places):
+        w = list(base)
+        for i in places:
+            w[i] = f"new{len(out)}x{i}"
+        return " ".join(w)
+
+    for _ in range(30):
+        out[len(out)] = changed([random.randrange(204)])
+    for shift in range(8):  # a fifth of the n-grams belongs to none but this text
+        far.append(len(out))
+        out[len(out)] = changed(range(10 + shift, 204, 24))
+    for _ in range(40):  # many small groups, some with a text too far for a link
+        w = words(random.randint(20, 60))
+        for change in (0, 1, 4)[:random.randint(2, 3)]:
+            out[len(out)] = " ".join(w[:len(w) - change] + [f"end{len(out)}"] * change)
+    sets, want = brute(out)
+    assert all(want[i] == i for i in far)
+    members, write = [], N.materialize
+
+    def kept(df, label):
+        found = write(df, label)
+        if label == "ngram-members":
+            members.append(found)
+        return found
+
+    monkeypatch.setattr(N, "materialize", kept)
+    df = spark.createDataFrame(list(out.items()), "doc_id long, text string").repartition(3)
+    for name, value in (("SMALL_DOCS", 64), ("SMALL_DOCS", 0), ("TILE_DOCS", 8)):  # shared tiles and tiles of their own agree
+        monkeypatch.setattr(N, name, value, raising=False)
+        monkeypatch.setattr(N, "BROADCAST_ROWS", value if value < 64 else 1 << 20, raising=False)
+        monkeypatch.setattr(N, "BLOCK_GRAMS", 500 if value < 64 else 1 << 21, raising=False)
+        found = N.ngram_join(df).select("doc_id", "n_shingles", "set_id", "component").collect()
+        assert {r.doc_id: (r.n_shingles, r.component) for r in found} == {i: (len(sets[i]), want[i]) for i in sets}
+        assert not {r.set_id for r in found if r.doc_id in far} & {r.node for r in members.pop().collect()}
+
+
 def test_ngram_join_odd_rows(spark):
     schema = "doc_id long, text string"
     assert N.ngram_join(spark.createDataFrame([], schema)).count() == 0

@@ -3,32 +3,66 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .components import components
-from .words import chunks, mix, shingles
+from .words import chunks, mix, shingles, text_bytes
 
 WORDS = 5
 PERCENT = 75
 FRAGMENT_BYTES = 16 << 20  # text whose n-grams make one vertical fragment of the rarity pass
 FRAGMENT_GRAMS = 1 << 20  # n-grams of one vertical fragment of the order
+WINDOW_BYTES = 128 << 10  # text whose words are hashed at once
+BLOCK_GRAMS = 1 << 21  # n-grams of a block; only a single text may have more
+BLOCK_ROWS = 1 << 15  # texts are numbered by 16 bits inside a block, which may go over this by one batch of as many
+FRAGMENTS = 1 << 16  # most fragments
+BROADCAST_ROWS = 1 << 20  # ids of the sets to be ordered that are sent to every executor rather than joined by a shuffle of all texts
 TILE_DOCS = 512
 TILE_GRAMS = 1 << 20
+SMALL_DOCS, SMALL_GRAMS = 64, 1 << 17  # candidate groups up to this size share a tile
 
 
-def _slices(sorted_keys: np.ndarray):
-    """(key, start, end) of each run of a sorted array."""
-    if len(sorted_keys):
-        cuts = np.flatnonzero(np.diff(sorted_keys)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(sorted_keys)], strict=True):
-            yield int(sorted_keys[a]), int(a), int(b)
+def _batches(batches):
+    """Batches of at most ``BLOCK_ROWS`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(at, BLOCK_ROWS)
 
 
-_POSTED = "fragment int, block string, grams binary, repeated binary, rows binary, counts binary, ids binary, sizes binary, nodes binary"
+def _blocks(sets):
+    """Lists of the tuples (n-grams, set sizes, ...) of ``sets`` that make up one block each, joined column by column."""
+    held, grams, rows = [], 0, 0
+    for one in sets:
+        if held and (grams + len(one[0]) > BLOCK_GRAMS or rows >= BLOCK_ROWS):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, grams, rows = [], 0, 0
+        held.append(one)
+        grams, rows = grams + len(one[0]), rows + len(one[1])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary column whose row i has the bytes of values[ends[i]:ends[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column in a row, and where each row's begin."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data, ends = text_bytes(column)
+    return data.view(kind), ends // np.dtype(kind).itemsize
+
+
+def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragment of each n-gram: equal ranges of the hash, in ascending order."""
+    return (grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+
+
+_POSTED = "fragment int, block long, codes binary, docs binary, repeated binary, ids binary, sizes binary, nodes binary"
 
 
 def _post(fragments: int, k: int):
@@ -38,75 +72,66 @@ def _post(fragments: int, k: int):
     its rows, so that a very common n-gram brings one entry per block at most.
     """
 
-    def run(batches):
-        task, serial = TaskContext.get().partitionId(), 0
-        for batch in batches:
+    def sets(batches):
+        for batch in _batches(batches):
             keys, named = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for low, high, words, offsets in chunks(batch.column(1)):
+            for low, high, words, offsets in chunks(batch.column(1), WINDOW_BYTES):
                 grams, at = shingles(words, offsets, k)
-                sizes = np.diff(at)
-                doc = np.repeat(np.arange(high - low), sizes)
-                order = np.argsort(grams, kind="stable")
-                again = grams[order[1:]] == grams[order[:-1]]
-                many = np.zeros(len(grams), bool)
-                many[order[1:][again]] = True
-                many[order[:-1][again]] = True
-                known = np.bincount(doc[many], minlength=high - low)
-                part = ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-                code = grams.astype(np.uint32)
-                common = np.unique(grams[many])
-                common_part = ((common >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int32)
-                by = np.argsort(part[~many], kind="stable")
-                part_, code_, doc_ = part[~many][by], code[~many][by], doc[~many][by].astype(np.uint32)
-                runs = {key: (a, b) for key, a, b in _slices(part_)}
-                shared = {key: (a, b) for key, a, b in _slices(common_part)}
-                name = f"{task}-{serial}"
-                serial += 1
-                out = []
-                for f in sorted({0, *runs, *shared}):
-                    a, b = runs.get(f, (0, 0))
-                    c, d = shared.get(f, (0, 0))
-                    rows, counts = np.unique(doc_[a:b], return_counts=True)
-                    head = (keys[low:high].tobytes(), np.stack([sizes, known, named[low:high]]).astype(np.int64).tobytes(), _nodes(grams, at).tobytes()) if f == 0 else (b"", b"", b"")
-                    out.append((f, name, code_[a:b].tobytes(), common[c:d].astype(np.uint32).tobytes(), rows.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), *head))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(x, pa.binary()) for x in cols[2:])],
-                    names=["fragment", "block", "grams", "repeated", "rows", "counts", "ids", "sizes", "nodes"])
+                yield grams, np.diff(at), keys[low:high], named[low:high], _nodes(grams, at)
+
+    def run(batches):
+        name = TaskContext.get().partitionId() << 32
+        for grams, sizes, keys, named, nodes in _blocks(sets(batches)):
+            # 16 bits of the fragment, 32 of the n-gram, 16 of the text
+            entry = _fragment(grams, fragments) << np.uint64(48) | (grams & np.uint64(0xFFFFFFFF)) << np.uint64(16)
+            entry |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            entry.sort()
+            same = entry[1:] >> np.uint64(16) == entry[:-1] >> np.uint64(16)
+            many = np.zeros(len(entry), bool)
+            many[1:] = same
+            many[:-1] |= same
+            known = np.bincount((entry[many] & np.uint64(0xFFFF)).astype(np.int64), minlength=len(sizes))
+            first = many.copy()
+            first[1:] &= ~same
+            alone, common = entry[~many], entry[first]
+            wanted = np.arange(fragments + 1, dtype=np.uint64)
+            a, c = np.searchsorted(alone >> np.uint64(48), wanted), np.searchsorted(common >> np.uint64(48), wanted)
+            used = np.flatnonzero((np.diff(a) > 0) | (np.diff(c) > 0) | (wanted[1:] == 1))  # the first one carries the head
+            a, c = np.r_[0, a[used + 1]], np.r_[0, c[used + 1]]
+            head = lambda x: pa.array([x.tobytes()] + [b""] * (len(used) - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(np.full(len(used), name), pa.int64()), _packed((alone >> np.uint64(16)).astype(np.uint32), a),
+                 _packed(alone.astype(np.uint16), a), _packed((common >> np.uint64(16)).astype(np.uint32), c),
+                 head(keys.astype(np.int64)), head(np.stack([sizes, known, named]).astype(np.int64)), head(nodes)],
+                names=["fragment", "block", "codes", "docs", "repeated", "ids", "sizes", "nodes"])
+            name += 1
 
     return run
 
 
-def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In one fragment: per block and text, its n-grams that other texts hold too."""
-    codes = [np.frombuffer(x, np.uint32) for x in pdf.grams]
-    common = [np.frombuffer(x, np.uint32) for x in pdf.repeated]
-    every = np.sort(np.concatenate([*codes, *common, *common]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for code, rows, counts in zip(codes, pdf.rows, pdf.counts, strict=True):
-        rows, counts = np.frombuffer(rows, np.uint32), np.frombuffer(counts, np.uint32)
-        if not len(code) or not len(twice):
-            out.append((b"", b""))
-            continue
-        place = np.minimum(np.searchsorted(twice, code), len(twice) - 1)
-        hit = (twice[place] == code).astype(np.int64)
-        # postings of a fragment stand in the order of their texts
-        found = np.add.reduceat(hit, np.r_[0, np.cumsum(counts.astype(np.int64))[:-1]])
-        out.append((rows[found > 0].tobytes(), found[found > 0].astype(np.uint32).tobytes()))
-    return pd.DataFrame({"block": pdf.block, "rows": [x[0] for x in out], "found": [x[1] for x in out], "ids": pdf.ids, "sizes": pdf.sizes, "nodes": pdf.nodes})
-
-
-def _sum_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _count_shared(table: pa.Table) -> pa.Table:
+    """In one fragment: per block, the text of each n-gram that other texts hold too."""
+    codes, ends = _flat(table["codes"], np.uint32)
+    entry = np.concatenate([codes, _flat(table["repeated"], np.uint32)[0]]).astype(np.uint64) << np.uint64(32)
+    entry |= np.arange(len(entry), dtype=np.uint64)
+    entry.sort()
+    same = entry[1:] >> np.uint64(32) == entry[:-1] >> np.uint64(32)
+    several = np.zeros(len(entry), bool)
+    several[1:] = same
+    several[:-1] |= same
+    hit = np.zeros(len(entry), bool)
+    hit[(entry[several] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    hit = hit[:len(codes)]
+    found = np.r_[0, np.cumsum(hit)][ends]
+    return pa.table({"block": table["block"], "found": _packed(_flat(table["docs"], np.uint16)[0][hit], found), **{c: table[c] for c in ("ids", "sizes", "nodes")}})
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
     """Sum the partial counts of a block over all fragments."""
-    head = pdf[pdf.ids.map(len) > 0].iloc[0]
-    sizes, known, named = np.frombuffer(head.sizes, np.int64).reshape(3, -1)
-    total = known.copy()
-    for rows, found in zip(pdf.rows, pdf.found, strict=True):
-        total[np.frombuffer(rows, np.uint32)] += np.frombuffer(found, np.uint32)
-    ids = pd.array(np.frombuffer(head.ids, np.int64), dtype="Int64")
-    ids[named == 0] = pd.NA
-    return pd.DataFrame({"id": ids, "n": sizes, "shared": total, "node": np.frombuffer(head.nodes, np.int64)})
+    sizes, known, named = _flat(table["sizes"], np.int64)[0].reshape(3, -1)
+    total = known + np.bincount(_flat(table["found"], np.uint16)[0], minlength=len(sizes))
+    ids = pa.array(_flat(table["ids"], np.int64)[0], mask=named == 0)
+    return pa.table({"id": ids, "n": sizes, "shared": total, "node": _flat(table["nodes"], np.int64)[0]})
 
 
 def set_table(texts: DataFrame, k: int = WORDS) -> DataFrame:
@@ -117,11 +142,11 @@ def set_table(texts: DataFrame, k: int = WORDS) -> DataFrame:
     ones with a chance of 2**-64.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = 1 + size // FRAGMENT_BYTES
+    fragments = min(FRAGMENTS, 1 + size // FRAGMENT_BYTES)
     posted = texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(_post(fragments, k), _POSTED)
-    counted = posted.groupBy("fragment").applyInPandas(
-        _count_shared, "block string, rows binary, found binary, ids binary, sizes binary, nodes binary")
-    summed = counted.groupBy("block").applyInPandas(_sum_block, "id long, n long, shared long, node long")
+    counted = posted.groupBy("fragment").applyInArrow(
+        _count_shared, "block long, found binary, ids binary, sizes binary, nodes binary")
+    summed = counted.groupBy("block").applyInArrow(_sum_block, "id long, n long, shared long, node long")
     return materialize(summed, "ngram-sets")
 
 
@@ -136,117 +161,136 @@ def _nodes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(mix(out[:, 0] + sizes.astype(np.uint64)) ^ out[:, 1]).view(np.int64)
 
 
-_INCIDENT = "fragment int, block string, grams binary, counts binary, docs binary, nodes binary, sizes binary"
+_INCIDENT = "fragment int, block long, grams binary, docs binary, nodes binary, sizes binary"
 
 
 def _post_sets(fragments: int, k: int):
-    """Distinct n-grams of each block of texts (id, text, node) whose set has the expected checksum, with their holders, by fragment."""
+    """N-grams of each block of texts (id, text, node) whose set has the expected checksum, with their holders, by fragment."""
 
-    def run(batches):
-        task, serial, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in batches:
+    def sets(batches):
+        seen = set()
+        for batch in _batches(batches):
             expected = batch.column(2).to_numpy(zero_copy_only=False)
-            for low, high, words, offsets in chunks(batch.column(1)):
+            for low, high, words, offsets in chunks(batch.column(1), WINDOW_BYTES):
                 grams, at = shingles(words, offsets, k)
                 node, sizes = _nodes(grams, at), np.diff(at)
                 right = np.zeros(len(node), bool)
                 for i in np.flatnonzero(node == expected[low:high]).tolist():  # rows of one id and text are one set
                     right[i] = node[i] not in seen
                     seen.add(node[i])
-                if not right.any():
-                    continue
-                grams = grams[np.repeat(right, sizes)]
-                node, sizes = node[right], sizes[right].astype(np.int64)
-                doc = np.repeat(np.arange(len(node), dtype=np.uint32), sizes)
-                order = np.argsort(grams, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(grams[order]) != 0])
-                every, counts, doc = grams[order[first]], np.diff(np.r_[first, len(order)]).astype(np.uint32), doc[order]
-                ends = np.r_[first, len(order)]
-                part = (every >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                runs = {key: (c, d) for key, c, d in _slices(part)}
-                name = f"{task}-{serial}"
-                serial += 1
-                out = []
-                for f in sorted({0, *runs}):
-                    c, d = runs.get(f, (0, 0))
-                    head = (node.tobytes(), sizes.tobytes()) if f == 0 else (b"", b"")
-                    out.append((f, name, every[c:d].tobytes(), counts[c:d].tobytes(), doc[ends[c]:ends[d]].tobytes(), *head))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(x, pa.binary()) for x in cols[2:])],
-                    names=["fragment", "block", "grams", "counts", "docs", "nodes", "sizes"])
+                if right.any():
+                    yield grams[np.repeat(right, sizes)], sizes[right], node[right]
+
+    def run(batches):
+        name = TaskContext.get().partitionId() << 32
+        for grams, sizes, node in _blocks(sets(batches)):
+            order = np.argsort(grams)
+            docs = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
+            grams = grams[order]
+            wanted = np.arange(fragments + 1, dtype=np.uint64)
+            ends = np.searchsorted(_fragment(grams, fragments), wanted)
+            used = np.flatnonzero((np.diff(ends) > 0) | (wanted[1:] == 1))
+            ends = np.r_[0, ends[used + 1]]
+            head = lambda x: pa.array([x.astype(np.int64).tobytes()] + [b""] * (len(used) - 1), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(np.full(len(used), name), pa.int64()), _packed(grams, ends), _packed(docs, ends), head(node), head(sizes)],
+                names=["fragment", "block", "grams", "docs", "nodes", "sizes"])
+            name += 1
 
     return run
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+def _levels(table: pa.Table) -> pa.Table:
     """In one fragment: per block, the n-grams that several sets hold, with the logarithm of their number."""
-    grams = [np.frombuffer(x, np.uint64) for x in pdf.grams]
-    counts = [np.frombuffer(x, np.uint32) for x in pdf.counts]
-    every, place = np.unique(np.concatenate(grams), return_inverse=True)
-    held = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-    level = np.floor(np.log2(np.maximum(held, 1))).astype(np.uint8)
-    out, at = [], 0
-    for gram, count, docs in zip(grams, counts, pdf.docs, strict=True):
-        mine = place[at:at + len(gram)]
-        at += len(gram)
-        kept = held[mine] > 1
-        docs = np.frombuffer(docs, np.uint32)[np.repeat(kept, count)]
-        out.append((gram[kept].tobytes(), level[mine][kept].tobytes(), count[kept].tobytes(), docs.tobytes()))
-    return pd.DataFrame({"block": pdf.block, **{c: [x[i] for x in out] for i, c in enumerate(("grams", "levels", "counts", "docs"))}, "nodes": pdf.nodes, "sizes": pdf.sizes})
+    grams, ends = _flat(table["grams"], np.uint64)
+    order = np.argsort(grams)
+    every = grams[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(every)])
+    held = np.empty(len(every), np.int64)
+    held[order] = np.repeat(count, count)
+    kept = held > 1
+    ends = np.r_[0, np.cumsum(kept)][ends]
+    level = np.floor(np.log2(held[kept])).astype(np.uint8)
+    return pa.table({"fragment": table["fragment"], "block": table["block"], "grams": _packed(grams[kept], ends), "levels": _packed(level, ends),
+                     "docs": _packed(_flat(table["docs"], np.uint16)[0][kept], ends), "nodes": table["nodes"], "sizes": table["sizes"]})
 
 
 def _order_block(percent: int):
     """Shared n-grams of each set of a block in the global order; sets with too few of them for any link are left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        flat = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
-        node, sizes = flat("nodes", np.int64), flat("sizes", np.int64)
-        counts = flat("counts", np.uint32)
-        doc, gram = flat("docs", np.uint32), np.repeat(flat("grams", np.int64), counts)
-        level = np.repeat(flat("levels", np.uint8), counts).astype(np.int32)
+        table = table.sort_by("fragment")  # n-grams ascend with the fragment, and inside it
+        node, sizes = _flat(table["nodes"], np.int64)[0], _flat(table["sizes"], np.int64)[0]
+        doc, gram, level = _flat(table["docs"], np.uint16)[0], _flat(table["grams"], np.int64)[0], _flat(table["levels"], np.uint8)[0]
         enough = np.bincount(doc, minlength=len(node)) >= (sizes * percent + 99) // 100
-        kept = enough[doc]
-        doc, gram, level = doc[kept], gram[kept], level[kept]
-        order = np.lexsort((gram, level, doc))
-        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(node))[enough])].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (level, gram)]
-        return pa.table({"node": node[enough], "n": sizes[enough], "levels": lists[0], "grams": lists[1]})
+        kept = np.flatnonzero(enough[doc])
+        doc = doc[kept].astype(np.uint64)
+        # 16 bits of the set, 8 of the level, 40 of the place
+        entry = doc << np.uint64(48) | level[kept].astype(np.uint64) << np.uint64(40) | kept.astype(np.uint64)
+        entry.sort()
+        place = (entry & np.uint64((1 << 40) - 1)).astype(np.int64)
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc.astype(np.int64), minlength=len(node))[enough])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (level[place].astype(np.int8), gram[place])]
+        return pa.table({"node": node[enough], "n": sizes[enough], "s": np.diff(offsets.to_numpy()), "levels": lists[0], "grams": lists[1]})
 
     return run
 
 
+def _pairs(gram: np.ndarray, holder: np.ndarray, size: int) -> np.ndarray:
+    """Number of n-grams each two of ``size`` sets share, from the n-grams few sets hold: every pair of holders is counted."""
+    at, codes = np.cumsum(np.r_[False, gram[1:] != gram[:-1]]), []
+    for step in range(1, int(np.bincount(at).max())):
+        i = np.flatnonzero(at[step:] == at[:-step])
+        codes.append(holder[i] * size + holder[i + step])
+    return np.bincount(np.concatenate(codes or [np.empty(0, np.int64)]), minlength=size * size).reshape(size, size)
+
+
+def _products(gram: np.ndarray, holder: np.ndarray, size: int) -> np.ndarray:
+    """The same by matrix products, for sets that have most of their n-grams in common."""
+    new = np.r_[True, gram[1:] != gram[:-1]]
+    column = np.cumsum(new) - 1
+    out = np.zeros((size, size), np.float32)  # whole numbers below 2**24
+    for at in range(0, int(column[-1]) + 1, 8192):
+        a, b = np.searchsorted(column, (at, at + 8192))
+        block = np.zeros((size, int(column[b - 1]) - at + 1), np.float32)
+        block[holder[a:b], column[a:b] - at] = 1
+        out += block @ block.T
+    return out
+
+
 def _link_tile(percent: int):
     """Links of one tile: partial overlaps of each fragment counted separately and summed per pair.
 
     Of the links found, a spanning forest is returned, so a tile gives at most one row per set.
+    Small groups that share a tile are counted side by side: n-grams of different groups never meet.
     """
 
     def run(table: pa.Table) -> pa.Table:
         nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+        group = table["component"].to_numpy()[first]
+        by = np.argsort(group, kind="stable")  # equal n-grams of one group stand together below
+        nodes, first, group = nodes[by], first[by], group[by]
         n = table["n"].to_numpy()[first]
         lists, levels = pa.concat_arrays(table["grams"].chunks).take(pa.array(first)), pa.concat_arrays(table["levels"].chunks).take(pa.array(first))
-        grams, level = lists.flatten().to_numpy(), levels.flatten().to_numpy()
+        grams, level = lists.flatten().to_numpy(), levels.flatten().to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
+        alone = group[0] == group[-1]
+        number = np.cumsum(np.r_[False, group[1:] != group[:-1]])[owner]
         # fragments: consecutive cuts of the order (frequency level, then quarter of the hash range)
         fragment = level * 4 + (grams >> 62) + 2
-        overlap = np.zeros((len(nodes), len(nodes)), np.int64)
+        overlap = np.zeros((len(nodes), len(nodes)))  # whole numbers
         for f in np.unique(fragment):
-            chosen = fragment == f
+            chosen = np.flatnonzero(fragment == f)
+            chosen = chosen[np.argsort(grams[chosen], kind="stable")]
             gram, holder = grams[chosen], owner[chosen]
-            order = np.argsort(gram, kind="stable")
-            gram, holder = gram[order], holder[order]
-            new = np.r_[True, gram[1:] != gram[:-1]]
-            run_of = np.cumsum(new) - 1
+            run_of = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (number[chosen][1:] != number[chosen][:-1])])
             held = np.bincount(run_of)
             kept = held[run_of] > 1
-            holder, column = holder[kept], np.cumsum(new[kept]) - 1
-            for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
-                a, b = np.searchsorted(column, (at, at + 8192))
-                block = np.zeros((len(nodes), int(column[b - 1]) - at + 1), np.float32)
-                block[holder[a:b], column[a:b] - at] = 1
-                overlap += (block @ block.T).astype(np.int64)
-        linked = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
+            if kept.any():
+                overlap += (_products if alone else _pairs)(run_of[kept], holder[kept], len(nodes))
+        overlap = np.maximum(overlap, overlap.T)
+        linked = (100 + percent) * overlap >= percent * (n[:, None] + n[None, :])
         left, pairs = np.ones(len(nodes), bool), []
         for i in range(len(nodes)):
             queue = [i] if left[i] else []
@@ -264,40 +308,50 @@ def _link_tile(percent: int):
 
 
 def order_sets(texts: DataFrame, grams: int, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, n, levels[], grams[]) of the sets of ``texts(id, text, node)``: the n-grams that other sets hold too, in the global order.
+    """(node, n, s, levels[], grams[]) of the sets of ``texts(id, text, node)``: the s n-grams that other sets hold too, in the global order.
 
     ``grams`` is the number of n-grams there are, which fixes the number of fragments. The order is by
     frequency level, then hash; sets that share too few n-grams for any link are left out. As in
     ``set_table`` blocks of sets are cut into fragments of the hash range, so n-grams travel as
     packed numbers and not as rows.
     """
-    posted = texts.mapInArrow(_post_sets(1 + grams // FRAGMENT_GRAMS, k), _INCIDENT)
-    levelled = posted.groupBy("fragment").applyInPandas(
-        _levels, "block string, grams binary, levels binary, counts binary, docs binary, nodes binary, sizes binary")
-    ordered = levelled.groupBy("block").applyInArrow(_order_block(percent), "node long, n long, levels array<int>, grams array<long>")
+    posted = texts.mapInArrow(_post_sets(min(FRAGMENTS, 1 + grams // FRAGMENT_GRAMS), k), _INCIDENT)
+    levelled = posted.groupBy("fragment").applyInArrow(
+        _levels, "fragment int, block long, grams binary, levels binary, docs binary, nodes binary, sizes binary")
+    ordered = levelled.groupBy("block").applyInArrow(_order_block(percent), "node long, n long, s int, levels array<tinyint>, grams array<long>")
     return materialize(ordered, "ngram-order")
 
 
 def links(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) that connect every two sets of ``order_sets`` with Jaccard of at least ``percent``/100.
 
-    A pair that reaches the threshold shares one of the first n - ceil(t*n) + 1 n-grams of each set,
-    so the candidate groups are the connected groups over these prefixes; sets never meet through their
-    common n-grams alone. Inside a group every pair is counted, in tiles of bounded size, and only links are written.
+    A pair that reaches the threshold shares one of the first n - ceil(t*n) + 1 n-grams of the set with
+    more n-grams and one of the first n - ceil(2t/(1+t)*n) + 1 of the other, and the former has t/(1+t)
+    of the sum of both sizes in shared n-grams. The candidate groups are the connected groups over such
+    pairs; sets never meet through their common n-grams alone. Inside a group every pair is counted, in
+    tiles of bounded size, and only links are written.
     """
-    need = F.expr(f"(n * {percent} + 99) div 100")
-    # n-grams of one set alone come first in the order and take n - size(grams) places of the prefix
-    prefix = F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")
-    first = ordered.select("node", F.explode(F.slice("grams", F.lit(1), prefix)).alias("g"))
-    centre = first.groupBy("g").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
-    group = components(first.join(centre, "g").select("a", F.col("node").alias("b")), "ngram-groups")
-    member = materialize(group.join(ordered, "node"), "ngram-members")
-    size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("total")).where("m > 1").select(
-        "component", F.greatest(F.ceil(F.col("m") / TILE_DOCS), F.ceil(F.col("total") / TILE_GRAMS)).cast("int").alias("blocks"))
-    tiled = member.join(size, "component").withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).select(
-        "node", "n", "levels", "grams", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "node", "n", "levels", "grams", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    return tiled.groupBy("component", "p", "q").applyInArrow(_link_tile(percent), "a long, b long")
+    need, both = F.expr(f"(n * {percent} + 99) div 100"), F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}")
+    # n-grams of one set alone come first in the order and take n - s places of the prefix
+    prefix = F.greatest(F.lit(0), F.col("s") - need + 1).cast("int")
+    first = ordered.select("node", "n", "s", both.alias("both"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g"))
+    centre = first.where("at + both <= s").groupBy("g").agg(F.min(F.struct("n", "node")).alias("c")).select("g", "c.n", "c.node")
+    centre = centre.withColumnsRenamed({"n": "least", "node": "a"})
+    near = first.join(centre, "g").where(f"node <> a and n >= least and s * {100 + percent} >= (n + least) * {percent}")
+    group = components(near.select("a", F.col("node").alias("b")), "ngram-groups")
+    member = materialize(group.join(ordered.select("node", "s"), "node"), "ngram-members")
+    size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("s").alias("total")).where("m > 1").select(
+        "component", F.greatest(F.ceil(F.col("m") / TILE_DOCS), F.ceil(F.col("total") / TILE_GRAMS)).cast("int").alias("blocks"),
+        ((F.col("m") <= SMALL_DOCS) & (F.col("total") <= SMALL_GRAMS)).alias("small"))
+    sets, grams = member.agg(F.count("*"), F.sum("s")).first()
+    shared = 1 + max(2 * sets // TILE_DOCS, 4 * (grams or 0) // TILE_GRAMS)  # tiles of small groups
+    block, other = F.expr("pmod(xxhash64(node), blocks)"), F.expr("sequence(0, blocks - 1)")
+    placed = member.join(size, "component").withColumn("block", F.when(F.col("small"), -1).otherwise(block)).select(
+        "node", "component", F.when(F.col("small"), F.expr(f"pmod(xxhash64(component), {shared})")).otherwise(F.col("component")).alias("tile"),
+        "block", F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(other)).alias("other")).select(
+        "node", "component", "tile", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    tiled = ordered.join(placed, "node")
+    return tiled.groupBy("tile", "p", "q").applyInArrow(_link_tile(percent), "a long, b long")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -315,8 +369,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     classes = full.groupBy("node", "n").agg(F.min("id").alias("rep"), F.max(F.col("shared") * 100 >= F.col("n") * percent).alias("maybe"))
     classes = materialize(classes, "ngram-classes")
     chosen = classes.where("maybe").select(F.col("rep").alias("id"), "node")
-    size = classes.where("maybe").agg(F.sum("n")).first()[0] or 0
-    ordered = order_sets(texts.join(chosen.hint("shuffle_hash"), "id").select("id", "text", "node"), size, k, percent)
+    size, sets = classes.where("maybe").agg(F.sum("n"), F.count("*")).first()
+    if sets <= BROADCAST_ROWS:  # the texts of one id still meet in one task
+        picked = texts.join(F.broadcast(chosen), "id").repartition("id")
+    else:
+        picked = texts.join(chosen.hint("shuffle_hash"), "id")
+    ordered = order_sets(picked.select("id", "text", "node"), size or 0, k, percent)
     found = links(ordered, percent).select("a", "b")
     # rows of one id are one node of the graph, so their sets connect as well
     several = full.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")

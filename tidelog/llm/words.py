@@ -21,9 +21,12 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit values (splitmix finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,23 +52,22 @@ def _window_words(data: np.ndarray, edges: np.ndarray, blanks: np.ndarray) -> tu
     """Word hashes of ``data`` and, for each edge, the number of words that start before it."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
-    space = blanks[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[edges] = True
-    cut[0] = cut[-1] = True
-    before = np.empty(len(data), bool)
-    before[0] = True
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & (before | cut[:-1]))
-    after = np.empty(len(data), bool)
-    after[-1] = True
-    after[:-1] = space[1:]
-    ends = np.flatnonzero(~space & (after | cut[1:]))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * _power("up", len(data)), out=sums[1:])
-    raw = (sums[ends + 1] - sums[starts]) * _power("down", len(data))[starts]
-    return mix(raw ^ ((ends - starts + 1).astype(np.uint64) * _M2)), np.searchsorted(starts, edges)
+    space = np.frombuffer(data.tobytes().translate(blanks.tobytes()), bool)
+    rim = np.empty(len(data) + 1, bool)  # a text or a blank ends before this byte
+    rim[1:] = space
+    rim[edges] = True
+    rim[0] = rim[-1] = True
+    starts = np.flatnonzero(rim[:-1] > space)
+    rim[:-1] = space  # a text or a blank begins at this byte
+    rim[edges] = True
+    rim[0] = rim[-1] = True
+    ends = np.flatnonzero(rim[1:] > space) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.take(_BYTE, data, out=sums[1:], mode="clip")
+    sums[1:] *= _power("up", len(data))
+    np.cumsum(sums, out=sums)
+    raw = (sums[ends] - sums[starts]) * _power("down", len(data))[starts]
+    return mix(raw ^ ((ends - starts).astype(np.uint64) * _M2)), np.searchsorted(starts, edges)
 
 
 def _long_words(data: np.ndarray, blanks: np.ndarray) -> np.ndarray:
