@@ -19,7 +19,7 @@ WINDOW_BYTES = 128 << 10  # text whose words are hashed at once
 BLOCK_GRAMS = 1 << 21  # n-grams of a block; only a single text may have more
 BLOCK_ROWS = 1 << 15  # texts are numbered by 16 bits inside a block, which may go over this by one batch of as many
 FRAGMENTS = 1 << 16  # most fragments
-BROADCAST_ROWS = 1 << 20  # ids of the sets to be ordered that are sent to every executor rather than joined by a shuffle of all texts
+BROADCAST_ROWS = 1 << 19  # ids of the sets to be ordered that are sent to every executor rather than joined by a shuffle of all texts
 TILE_DOCS = 512
 TILE_GRAMS = 1 << 20
 SMALL_DOCS, SMALL_GRAMS = 64, 1 << 17  # candidate groups up to this size share a tile
@@ -238,16 +238,16 @@ def _order_block(percent: int):
 
 
 def _pairs(gram: np.ndarray, holder: np.ndarray, size: int) -> np.ndarray:
-    """Number of n-grams each two of ``size`` sets share, from the n-grams few sets hold: every pair of holders is counted."""
+    """Every two of ``size`` sets that hold an n-gram, as one number, once for each n-gram: for n-grams that few sets hold."""
     at, codes = np.cumsum(np.r_[False, gram[1:] != gram[:-1]]), []
     for step in range(1, int(np.bincount(at).max())):
         i = np.flatnonzero(at[step:] == at[:-step])
         codes.append(holder[i] * size + holder[i + step])
-    return np.bincount(np.concatenate(codes or [np.empty(0, np.int64)]), minlength=size * size).reshape(size, size)
+    return np.concatenate(codes)
 
 
 def _products(gram: np.ndarray, holder: np.ndarray, size: int) -> np.ndarray:
-    """The same by matrix products, for sets that have most of their n-grams in common."""
+    """Number of n-grams each two of ``size`` sets share, for sets that have most of them in common."""
     new = np.r_[True, gram[1:] != gram[:-1]]
     column = np.cumsum(new) - 1
     out = np.zeros((size, size), np.float32)  # whole numbers below 2**24
@@ -279,7 +279,7 @@ def _link_tile(percent: int):
         number = np.cumsum(np.r_[False, group[1:] != group[:-1]])[owner]
         # fragments: consecutive cuts of the order (frequency level, then quarter of the hash range)
         fragment = level * 4 + (grams >> 62) + 2
-        overlap = np.zeros((len(nodes), len(nodes)))  # whole numbers
+        overlap, met = np.zeros((len(nodes), len(nodes))), []  # whole numbers
         for f in np.unique(fragment):
             chosen = np.flatnonzero(fragment == f)
             chosen = chosen[np.argsort(grams[chosen], kind="stable")]
@@ -287,9 +287,15 @@ def _link_tile(percent: int):
             run_of = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (number[chosen][1:] != number[chosen][:-1])])
             held = np.bincount(run_of)
             kept = held[run_of] > 1
-            if kept.any():
-                overlap += (_products if alone else _pairs)(run_of[kept], holder[kept], len(nodes))
-        overlap = np.maximum(overlap, overlap.T)
+            if not kept.any():
+                continue
+            if alone:
+                overlap += _products(run_of[kept], holder[kept], len(nodes))
+            else:
+                met.append(_pairs(run_of[kept], holder[kept], len(nodes)))
+        if met:
+            overlap += np.bincount(np.concatenate(met), minlength=overlap.size).reshape(overlap.shape)
+            overlap += overlap.T
         linked = (100 + percent) * overlap >= percent * (n[:, None] + n[None, :])
         left, pairs = np.ones(len(nodes), bool), []
         for i in range(len(nodes)):
@@ -326,8 +332,8 @@ def links(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) that connect every two sets of ``order_sets`` with Jaccard of at least ``percent``/100.
 
     A pair that reaches the threshold shares one of the first n - ceil(t*n) + 1 n-grams of the set with
-    more n-grams and one of the first n - ceil(2t/(1+t)*n) + 1 of the other, and the former has t/(1+t)
-    of the sum of both sizes in shared n-grams. The candidate groups are the connected groups over such
+    more n-grams and one of the first n - ceil(2t/(1+t)*n) + 1 of the other, and from there on the former
+    has t/(1+t) of the sum of both sizes in shared n-grams. The candidate groups are the connected groups over such
     pairs; sets never meet through their common n-grams alone. Inside a group every pair is counted, in
     tiles of bounded size, and only links are written.
     """
@@ -337,7 +343,8 @@ def links(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = ordered.select("node", "n", "s", both.alias("both"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "g"))
     centre = first.where("at + both <= s").groupBy("g").agg(F.min(F.struct("n", "node")).alias("c")).select("g", "c.n", "c.node")
     centre = centre.withColumnsRenamed({"n": "least", "node": "a"})
-    near = first.join(centre, "g").where(f"node <> a and n >= least and s * {100 + percent} >= (n + least) * {percent}")
+    # at the first n-gram a pair shares, both sets have all they share from there on
+    near = first.join(centre, "g").where(f"node <> a and n >= least and (s - at) * {100 + percent} >= (n + least) * {percent}")
     group = components(near.select("a", F.col("node").alias("b")), "ngram-groups")
     member = materialize(group.join(ordered.select("node", "s"), "node"), "ngram-members")
     size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("s").alias("total")).where("m > 1").select(

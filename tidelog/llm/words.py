@@ -134,12 +134,19 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
     rows = np.repeat(np.arange(len(count)), sizes)
     first = offsets[:-1][rows] + (np.arange(at[-1]) - at[:-1][rows])
     span = np.minimum(count, k)[rows]
-    for n in range(1, k + 1):
-        chosen = first[span == n] if n < k else first[span >= k]
+    for n in range(1, k):
+        chosen = first[span == n]
         value = np.full(len(chosen), n, np.uint64)
         for j in range(n):
             value = mix(value * _M1 + words[chosen + j])
-        out[span == n if n < k else span >= k] = value
+        out[span == n] = value
+    windows = max(0, len(words) - k + 1)  # k words in a row, a few of them of two texts
+    value = np.full(windows, k, np.uint64)
+    for j in range(k):
+        value *= _M1
+        value += words[j:j + windows]
+        value = mix(value)
+    out[span == k] = value[first[span == k]]
     for i in np.flatnonzero(sizes > 1):
         out[at[i]:at[i + 1]].sort()
     keep = np.ones(len(out), bool)
